@@ -32,3 +32,11 @@ def text_of(name: str = "text") -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of at most 256 rows or about 16 MB, where the session has Spark's own limits."""
+    for key, usual, own in (("maxRecordsPerBatch", "10000", "256"), ("maxBytesPerBatch", None, str(1 << 24))):
+        key = f"spark.sql.execution.arrow.{key}"
+        if usual is None or spark.conf.get(key) == usual:
+            spark.conf.set(key, own)
