@@ -4,13 +4,14 @@ Features of a text: whether it has a word, and whether it has a word that begins
 letters). One weight vector w is shared by all grades; P(grade >= k) = 1 / (1 + exp(b_k - w x)) with rising
 thresholds b_k. The outputs are the expected severity, which is the sum of these over k, and the grade.
 
-The labels say toxic or not. Severity among toxic rows is graded by how large a share of their words
-are ones that mark toxic rows: below GRADES[0], below GRADES[1], or more.
+The labels say toxic or not. Severity among toxic rows is graded by how many different words they
+have that mark toxic rows: fewer than GRADES[0], fewer than GRADES[1], or more.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,17 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import small_batches, text_of
+from tidemark.llm.shared import small_batches, text_of, written
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 #: Bound of the labelled sample that the model is fitted on: so many toxic and so many other rows.
 SAMPLE = 10_000
-#: Features kept: those of the largest significance, this many at most; each in at least LEAST_ROWS toxic rows.
-FEATURES, LEAST_ROWS = 4096, 5
+#: Features kept: those of the largest significance, this many at most; each in at least LEAST_ROWS toxic rows and LEAST_SHARE of them.
+FEATURES, LEAST_ROWS, LEAST_SHARE = 4096, 5, 0.005
 #: A feature must be so many times likelier in toxic rows, with this z-value.
 LEAST_LIFT, LEAST_Z = 8.0, 4.0
-GRADES = (0.01, 0.03)
+GRADES = (3, 6)
 LEVELS = len(GRADES) + 1
 #: Documents whose chance of any toxicity reaches this are rejected.
 REJECT = 0.5
@@ -54,10 +55,9 @@ class Features(dict):
         return got
 
     def of(self, text: str) -> tuple[list[int], int, int]:
-        """(features of a text, number of its words, number of words that have features)."""
-        words = WORD.findall(text.lower())
-        has = [f for w in words if (f := self[w])]
-        return sorted({i for f in has for i in f}), len(words), len(has)
+        """(features of a text, number of different words that have any)."""
+        has = [f for w in set(WORD.findall(text.lower())) if (f := self[w])]
+        return sorted({i for f in has for i in f}), len(has)
 
 
 @dataclass
@@ -77,10 +77,10 @@ class OrdinalModel:
         return self.at_least(np.array([self.weights[self.features.of(t)[0]].sum() for t in texts], float))
 
 
-def fit_cumulative(rows: list[list[int]], grades: np.ndarray, n_features: int, steps: int = 400, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative(rows: list[list[int]], grades: np.ndarray, n_features: int, steps: int = 800, rate: float = 0.1, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and rising thresholds of the most likely model, by gradient steps with momentum (Adam).
 
-    The first threshold is free and each next one lies above the one before by the exponential of a free number.
+    Toxic and other rows weigh the same in all. The first threshold is free and each next one lies above the one before by the exponential of a free number.
     """
     levels = LEVELS
     flat = np.array([i for r in rows for i in r], np.int64)
@@ -89,6 +89,8 @@ def fit_cumulative(rows: list[list[int]], grades: np.ndarray, n_features: int, s
     p[n_features] = 2.0
     m, v = np.zeros_like(p), np.zeros_like(p)
     hit = np.arange(levels + 1)[None, :]
+    toxic = grades > 0
+    weight = np.where(toxic, 0.5 / max(toxic.sum(), 1), 0.5 / max((~toxic).sum(), 1))
     for t in range(1, steps + 1):
         w, gaps = p[:n_features], np.exp(p[n_features + 1 :])
         b = p[n_features] + np.concatenate([[0], np.cumsum(gaps)])
@@ -98,30 +100,49 @@ def fit_cumulative(rows: list[list[int]], grades: np.ndarray, n_features: int, s
         chance = np.maximum(full[:, :-1] - full[:, 1:], 1e-12)
         slope = np.hstack([np.zeros((len(rows), 1)), q * (1 - q), np.zeros((len(rows), 1))])
         own = hit == grades[:, None]
-        inverse = (own / chance).sum(1)
+        inverse = (own / chance).sum(1) * weight
         upper = (slope[:, :-1] * own).sum(1) * inverse  # effect of the threshold below the grade
         lower = (slope[:, 1:] * own).sum(1) * inverse
         by_score = upper - lower
         by_b = np.array([-upper[grades == k + 1].sum() + lower[grades == k].sum() for k in range(levels)])
         g = np.zeros_like(p)
-        g[:n_features] = -np.bincount(flat, by_score[owner], n_features) / len(rows) + ridge * w
-        by_b = -by_b / len(rows)
+        g[:n_features] = -np.bincount(flat, by_score[owner], n_features) + ridge * w
+        by_b = -by_b
         g[n_features] = by_b.sum()
         for j in range(levels - 1):
             g[n_features + 1 + j] = by_b[j + 1 :].sum() * gaps[j]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        p -= rate * min(1, 2 - 2 * t / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     b = p[n_features] + np.concatenate([[0], np.cumsum(np.exp(p[n_features + 1 :]))])
     return p[:n_features], b
 
 
+def copy_key(text: str) -> int:
+    """The least hash of the text's runs of three words, which most near copies share."""
+    words = WORD.findall(text.lower())
+    k = min(3, len(words))
+    return min((zlib.crc32(" ".join(words[i : i + k]).encode()) * 0x9E3779B1 & 0xFFFFFFFF for i in range(len(words) - k + 1)), default=0)
+
+
 def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(t, toxic) of SAMPLE rows of each kind at most, by a hash of the id. The ids, which are so bounded, are broadcast."""
+    """(t, toxic) of SAMPLE rows of each kind at most, by a hash of the id; one row of those that share a copy key.
+
+    The ids, which are so bounded, are broadcast. Copies are left out, as words that only they share would seem to mark a kind.
+    """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("toxic"))
     known = known.groupBy("_id").agg(F.max("toxic").alias("toxic"))
     picked = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE) for k in (0, 1)]
     ids = F.broadcast(picked[0].union(picked[1]))
-    return docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("t")).join(ids, "_id").select("t", "toxic")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("key", pa.array([copy_key(t) for t in batch["t"].to_pylist()], pa.int64()))
+
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("t")).join(ids, "_id").select("_id", "t", "toxic")
+    rows = rows.mapInArrow(keyed, f"_id {rows.schema['_id'].dataType.simpleString()}, t string, toxic int, key long")
+    rows = written(rows, "sample")
+    first = rows.groupBy("key", "toxic").agg(F.min("_id").alias("_id"))
+    return rows.join(F.broadcast(first.select("_id").distinct()), "_id", "left_semi").select("t", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> OrdinalModel:
@@ -139,23 +160,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([by[0][n] for n in names], pa.int64()), pa.array([by[1][n] for n in names], pa.int64())], ["name", "good", "bad"])
 
     counts = sample.mapInArrow(counted, "name string, good long, bad long").groupBy("name").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    counts = counts.filter(F.col("bad") >= LEAST_ROWS)
-    rows = [total] if (total := counts.filter("name = ''").first()) else []
-    if not rows or not total["good"]:
+    counts = written(counts.filter(F.col("bad") >= LEAST_ROWS), "word-counts")
+    total = counts.filter("name = ''").first()
+    if not total or not total["good"]:
         return OrdinalModel({}, np.zeros(0), np.full(LEVELS, 60.0))
     share, base = (F.col("bad") + 0.5) / (total["bad"] + 1), (F.col("good") + 0.5) / (total["good"] + 1)
     z = F.log(share / base) / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    top = counts.filter("name <> ''").filter((share / base >= LEAST_LIFT) & (z >= LEAST_Z)).orderBy(z.desc(), "name").limit(FEATURES).collect()
+    top = counts.filter("name <> ''").filter((F.col("bad") >= LEAST_SHARE * total["bad"]) & (share / base >= LEAST_LIFT) & (z >= LEAST_Z)).orderBy(z.desc(), "name").limit(FEATURES).collect()
     vocabulary = {r["name"]: i for i, r in enumerate(top)}
 
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(vocabulary)
         for batch in batches:
             got = [features.of(t) for t in batch["t"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())], ["toxic", "has", "words", "hits"])
+            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.int64())], ["toxic", "has", "hits"])
 
-    seen = sample.mapInArrow(active, "toxic int, has array<int>, words long, hits long").orderBy("toxic", "words", "has").collect()
-    grade = lambda r: 0 if not r["toxic"] else 1 + sum(r["hits"] / max(r["words"], 1) >= g for g in GRADES)
+    seen = sample.mapInArrow(active, "toxic int, has array<int>, hits long").orderBy("toxic", "hits", "has").collect()
+    grade = lambda r: 0 if not r["toxic"] else 1 + sum(r["hits"] >= g for g in GRADES)
     w, b = fit_cumulative([r["has"] for r in seen], np.array([grade(r) for r in seen]), len(vocabulary))
     return OrdinalModel(vocabulary, w, b)
 
