@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact, minhash, packing, sharding, syncmers, toxicity, urls, warc
+from tidemark.llm import bpe, exact, minhash, packing, sharding, suffixes, syncmers, toxicity, urls, warc
 from tidemark.llm.shared import table
 
 
@@ -28,6 +28,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,7 +56,7 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_likeness(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_toxicity, op4_sharding, op6_bpe, op7_packing, op8_warc, op9_minhash, op10_syncmers)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_toxicity, op4_sharding, op5_suffix_dedup, op6_bpe, op7_packing, op8_warc, op9_minhash, op10_syncmers)}
 
 ORACLE = {
     "op2_exact_dedup": """
