@@ -56,7 +56,13 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_likeness(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_toxicity, op4_sharding, op5_suffix_dedup, op6_bpe, op7_packing, op8_warc, op9_minhash, op10_syncmers)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_toxicity, op4_sharding, op5_suffix_dedup, op6_bpe, op7_packing, op8_warc, op9_minhash, op10_syncmers, pipeline)}
 
 ORACLE = {
     "op2_exact_dedup": """
