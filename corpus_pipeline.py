@@ -32,10 +32,10 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Texts go by doc_id, which the stages before have left unique; rows without one keep their text.
     """
-    kept = suffixes.without_repeats(docs.filter("doc_id IS NOT NULL"))
+    kept = suffixes.without_repeats(docs.filter("doc_id IS NOT NULL")).withColumnRenamed("kept", "__tidemark_text")
     rows = docs.join(kept, "doc_id", "left")
-    text = F.when(F.col("text").isNotNull() & F.col("doc_id").isNotNull(), F.col("kept")).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text).drop("kept")
+    text = F.when(F.col("text").isNotNull() & F.col("doc_id").isNotNull(), F.col("__tidemark_text")).otherwise(F.col("text"))
+    rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

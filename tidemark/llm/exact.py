@@ -77,7 +77,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row for each text: that of the largest id. Of repeated rows with that id, one stays."""
-    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept")).distinct()
-    both = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__tidemark_kept")).distinct()
+    both = docs.join(kept, docs[id_col].eqNullSafe(kept["__tidemark_kept"]), "left_semi")
     first = Window.partitionBy(id_col).orderBy(id_col)
-    return both.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
+    return both.withColumn("__tidemark_nth", F.row_number().over(first)).filter("__tidemark_nth = 1").drop("__tidemark_nth")

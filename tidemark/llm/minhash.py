@@ -244,9 +244,9 @@ def _rest(member: DataFrame, done: DataFrame, reps: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: that of the smallest id. Of repeated rows with that id, one stays."""
-    kept = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept")).distinct()
+    kept = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__tidemark_kept")).distinct()
     from pyspark.sql import Window
 
     first = Window.partitionBy(id_col).orderBy(id_col)
-    both = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
-    return both.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1 OR doc_id IS NULL".replace("doc_id", id_col)).drop("_nth")
+    both = docs.join(kept, docs[id_col].eqNullSafe(kept["__tidemark_kept"]), "left_semi")
+    return both.withColumn("__tidemark_nth", F.row_number().over(first)).filter("__tidemark_nth = 1 OR doc_id IS NULL".replace("doc_id", id_col)).drop("__tidemark_nth")
