@@ -27,7 +27,7 @@ CACHED = f"""
 #: What the server has: 0 was destroyed, 2 moved, 3, 5 and 7 got other flags, 9 is new.
 REMOTE = f"""
     SELECT {_KEYS}, concat('MB', CASE WHEN o_orderkey % 10 = 2 THEN (o_custkey + 1) % 20 ELSE o_custkey % 20 END) AS mailbox_id,
-           CASE WHEN o_orderkey % 10 IN (3, 5, 7) THEN {_OTHER} ELSE {_FLAGS} END AS flags, CAST(o_totalprice AS BIGINT) AS size
+           CASE WHEN o_orderkey % 10 IN (3, 5, 7) THEN {_OTHER} ELSE {_FLAGS} END AS flags, CAST(floor(o_totalprice) AS BIGINT) AS size
     FROM orders WHERE o_orderkey % 10 NOT IN (0, 8)
 """
 #: What the disk has: 4 and 5 got other flags, 6 and 7 are gone, 8 is new (some are moves: a gone file's message in another folder).
@@ -35,7 +35,7 @@ LOCAL = f"""
     SELECT concat('f', o_orderkey) AS maildir_id,
            CASE WHEN o_orderkey % 40 = 8 THEN concat('<m', o_orderkey - 2, '@x>') ELSE concat('<m', o_orderkey, '@x>') END AS message_id,
            concat('MB', o_custkey % 20) AS mailbox_id, CASE WHEN o_orderkey % 10 IN (4, 5) THEN {_OTHER} ELSE {_FLAGS} END AS flags,
-           CAST(o_totalprice AS BIGINT) AS size
+           CAST(floor(o_totalprice) AS BIGINT) AS size
     FROM orders WHERE o_orderkey % 10 NOT IN (6, 7, 9)
 """
 #: Mailboxes: regions, nations below them and customers below those.
