@@ -30,7 +30,7 @@ SAMPLE = 10_000
 #: Features kept: those of the largest significance, this many at most; each in at least LEAST_ROWS toxic rows and LEAST_SHARE of them.
 FEATURES, LEAST_ROWS, LEAST_SHARE = 4096, 5, 0.005
 #: A feature must be so many times likelier in toxic rows, with this z-value.
-LEAST_LIFT, LEAST_Z = 8.0, 4.0
+LEAST_LIFT, LEAST_Z = 8.0, 2.5
 GRADES = (3, 6)
 LEVELS = len(GRADES) + 1
 #: Documents whose chance of any toxicity reaches this are rejected.
