@@ -60,7 +60,7 @@ def eta_estimate(spark, d):
 @query("""
     WITH b AS (SELECT user_id, event_id // 4 AS batch, concat(user_id, '/', event_type) AS path, ts FROM events WHERE event_type <> 'purchase'),
     w AS (SELECT concat(user_id, '/', event_type) AS path, ts - INTERVAL 1 HOUR AS done FROM events WHERE event_id % 3 <> 0)
-    SELECT batch, bool_and(hit) AS own FROM (SELECT batch, path, bool_or(done IS NOT NULL) AS hit FROM b LEFT JOIN w ON b.path = w.path AND b.ts >= w.done AND b.ts < w.done + INTERVAL 2 HOUR GROUP BY ALL) GROUP BY 1
+    SELECT batch, bool_and(hit) AS own FROM (SELECT batch, b.path, bool_or(done IS NOT NULL) AS hit FROM b LEFT JOIN w ON b.path = w.path AND b.ts >= w.done AND b.ts < w.done + INTERVAL 2 HOUR GROUP BY ALL) GROUP BY 1
 """)
 def self_write_match(spark, d):
     e = table(spark, d, "events").withColumn("path", F.concat(F.col("user_id").cast("string"), F.lit("/"), F.col("event_type")))
