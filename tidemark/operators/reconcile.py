@@ -189,3 +189,19 @@ def applied(cached: DataFrame, plan: DataFrame) -> DataFrame:
     rows = rows.union(new.select("email_id", null, null, null))
     rows = rows.join(boxes, "email_id", "left").join(flags, "email_id", "left").join(files, "email_id", "left")
     return rows.select("email_id", F.coalesce("_box", "mailbox_id").alias("mailbox_id"), F.coalesce("_file", "maildir_id").alias("maildir_id"), F.coalesce("_flags", "flags").alias("flags"))
+
+
+def rebind_verdicts(fresh: DataFrame, cached: DataFrame, destroyed: DataFrame) -> DataFrame:
+    """(email_id, maildir_id, verdict) of mails with ids that the cache doesn't know, whose message it knows in the same mailbox with a file:
+    the file goes to the new id if the old one is destroyed, and stays where it is if that is alive."""
+    rows = cached.filter("maildir_id IS NOT NULL").select("message_id", "mailbox_id", "maildir_id", F.col("email_id").alias("_old"))
+    dead = destroyed.select(F.col("email_id").alias("_old"), F.lit(True).alias("_dead")).distinct()
+    both = fresh.join(rows, ["message_id", "mailbox_id"]).join(dead, "_old", "left")
+    return both.select("email_id", "maildir_id", F.when(F.col("_dead"), "rebind").otherwise("skip: still alive").alias("verdict"))
+
+
+def claims(fresh: DataFrame, local: DataFrame) -> DataFrame:
+    """(email_id, maildir_id, refused) of mails whose message is in a file of the same mailbox: a file goes to the smallest id, others are refused."""
+    both = fresh.select("email_id", "message_id", "mailbox_id").join(local.select("message_id", "mailbox_id", "maildir_id"), ["message_id", "mailbox_id"])
+    first = both.groupBy("maildir_id").agg(F.min("email_id").alias("_first"))
+    return both.join(first, "maildir_id").select("email_id", "maildir_id", (F.col("email_id") != F.col("_first")).alias("refused"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import orphans as O
 from tidemark.operators import reconcile as R
 from tidemark.registry import query
 from tidemark.sources.tables import view, with_views
@@ -172,3 +173,97 @@ def move_adopt_apply(spark, d):
     s = _sides(spark, d)
     failed = s.cached.filter(F.substring("email_id", -2, 1) == "1").select("email_id")
     return s.plan().filter("kind = 'adopt'").join(failed, "email_id", "left_anti").select("email_id", "maildir_id")
+
+
+_ORPHANS = " , orphans AS (SELECT mailbox_id FROM (VALUES ('MB1'), ('MB4'), ('MB99')) t(mailbox_id)) "
+_ROLES = _PLAN + _ORPHANS + """
+    , home AS (SELECT p.*, c.mailbox_id AS home FROM plan p LEFT JOIN cached c ON p.email_id = c.email_id),
+    role AS (SELECT *, CASE WHEN kind IN ('upload', 'move_remote', 'adopt') AND target IN (SELECT * FROM orphans) THEN 'in' WHEN home IN (SELECT * FROM orphans) AND kind = 'update_remote_flags' THEN 'changed'
+             WHEN home IN (SELECT * FROM orphans) AND kind IN ('move_remote', 'destroy_remote') THEN 'moot' END AS role FROM home)
+"""
+
+
+def _orphans(spark):
+    return spark.createDataFrame([("MB1",), ("MB4",), ("MB99",)], "mailbox_id string")
+
+
+@query(_sql(_ROLES + """
+    SELECT kind, email_id, maildir_id, source, target FROM role WHERE role IS NULL UNION ALL SELECT 'move_local', email_id, maildir_id, target, source FROM role WHERE role = 'in' AND kind = 'move_remote'
+    UNION ALL SELECT 'delete_local_folder', NULL, NULL, mailbox_id, NULL FROM orphans
+"""))
+def orphan_matrix_local(spark, d):
+    s = _sides(spark, d)
+    return O.settle_local(s.plan(), s.cached, _orphans(spark), "server")
+
+
+@query(_sql(_PLAN + _ORPHANS + """
+    SELECT kind, email_id, maildir_id, source, target FROM plan WHERE target IS NULL OR target NOT IN (SELECT * FROM orphans)
+    UNION ALL SELECT 'move_remote', email_id, maildir_id, target, source FROM plan WHERE kind = 'move_local' AND target IN (SELECT * FROM orphans) AND source NOT IN (SELECT * FROM orphans)
+    UNION ALL SELECT 'destroy_remote_mailbox', NULL, NULL, mailbox_id, NULL FROM orphans
+"""))
+def orphan_matrix_remote(spark, d):
+    return O.settle_remote(_sides(spark, d).plan(), _orphans(spark))
+
+
+@query(_sql(_ORPHANS + "SELECT 'create_remote_mailbox' AS kind, mailbox_id, NULL AS maildir_id FROM orphans UNION ALL SELECT 'upload', mailbox_id, maildir_id FROM local WHERE size <= 200000 AND mailbox_id IN (SELECT * FROM orphans)"))
+def orphan_resurrect(spark, d):
+    return O.resurrected(_orphans(spark), view(spark, d, "local"), 200000)
+
+
+@query(_sql(_ORPHANS + "SELECT mailbox_id, mailbox_id IN (SELECT mailbox_id FROM remote) AS live FROM orphans"))
+def orphan_resurrect_prepass(spark, d):
+    return O.hoisted(_orphans(spark), view(spark, d, "remote"))
+
+
+@query(_sql("SELECT email_id, min(box) AS mailbox_id FROM (SELECT email_id, mailbox_id AS box FROM remote UNION ALL SELECT email_id, concat('MB', size % 25) FROM remote) WHERE box NOT IN ('MB3', 'MB5') AND CAST(substr(box, 3) AS INTEGER) < 20 GROUP BY 1"))
+def recon_membership(spark, d):
+    """The smallest live mailbox of mails that are in several."""
+    r = view(spark, d, "remote").select("email_id", F.explode(F.array("mailbox_id", F.concat(F.lit("MB"), (F.col("size") % 25).cast("string")))).alias("mailbox_id"))
+    live = F.broadcast(view(spark, d, "cached").select("mailbox_id").distinct().filter(~F.col("mailbox_id").isin("MB3", "MB5")))
+    return r.join(live, "mailbox_id", "left_semi").groupBy("email_id").agg(F.min("mailbox_id").alias("mailbox_id"))
+
+
+@query(_sql("""
+    SELECT r.email_id, CASE WHEN r.size % 11 = 0 THEN 'destroyed' WHEN r.mailbox_id IN ('MB3', 'MB5') THEN 'not synced' WHEN c.email_id IS NULL AND r.size % 3 = 0 THEN 'no message id' END AS reason
+    FROM remote r LEFT JOIN cached c USING (email_id) WHERE r.size % 11 = 0 OR r.mailbox_id IN ('MB3', 'MB5') OR c.email_id IS NULL AND r.size % 3 = 0
+"""))
+def recon_skips(spark, d):
+    """Mails that take no part, and why."""
+    r = view(spark, d, "remote").withColumn("anchor", F.when(F.col("size") % 3 != 0, F.col("message_id")))
+    gone = r.filter("size % 11 = 0").select("email_id", F.lit(True).alias("gone"))
+    known = view(spark, d, "cached").select("email_id", F.lit(True).alias("known"))
+    r = r.join(gone, "email_id", "left").join(known, "email_id", "left")
+    reason = F.when(F.col("gone"), "destroyed").when(F.col("mailbox_id").isin("MB3", "MB5"), "not synced").when(F.col("known").isNull() & F.col("anchor").isNull(), "no message id")
+    return r.select("email_id", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+_AGAIN = ", fresh AS (SELECT email_id || 'b' AS email_id, message_id, mailbox_id, flags, email_id AS twin FROM remote WHERE size % 4 = 0 UNION ALL SELECT email_id || 'b', message_id, mailbox_id, flags, email_id FROM cached WHERE email_id IN (SELECT email_id FROM dead)) "
+
+
+def _fresh(spark, d):
+    """Mails with new ids for messages that the cache knows under others."""
+    s = _sides(spark, d)
+    pick = lambda df: df.select(F.concat("email_id", F.lit("b")).alias("email_id"), "message_id", "mailbox_id", "flags")
+    return s, pick(s.remote.filter("size % 4 = 0")).union(pick(s.destroyed))
+
+
+@query(_sql(_AGAIN + "SELECT f.email_id, c.maildir_id, CASE WHEN c.email_id IN (SELECT email_id FROM dead) THEN 'rebind' ELSE 'skip: still alive' END AS verdict FROM fresh f JOIN cached c USING (message_id, mailbox_id)"))
+def recon_adopt_db(spark, d):
+    s, fresh = _fresh(spark, d)
+    return R.rebind_verdicts(fresh, s.cached, s.destroyed)
+
+
+@query(_sql(_AGAIN + "SELECT f.email_id, l.maildir_id, row_number() OVER (PARTITION BY l.maildir_id ORDER BY f.email_id) > 1 AS refused FROM (SELECT * FROM fresh UNION ALL SELECT email_id || 'c', message_id, mailbox_id, flags, twin FROM fresh) f JOIN local l USING (message_id, mailbox_id)"))
+def recon_adopt_disk(spark, d):
+    """Files that mails of the server claim; of several mails for one file the first has it."""
+    s, fresh = _fresh(spark, d)
+    both = fresh.union(fresh.withColumn("email_id", F.concat("email_id", F.lit("c"))))
+    return R.claims(both, s.local)
+
+
+@query(_sql(_AGAIN + "SELECT f.email_id, l.maildir_id, f.flags AS server, l.flags AS file, CASE WHEN f.flags = l.flags THEN 'none' ELSE 'update_local_flags' END AS action FROM fresh f JOIN local l USING (message_id, mailbox_id)"))
+def recon_adopt_flags(spark, d):
+    s, fresh = _fresh(spark, d)
+    files = s.local.select("message_id", "mailbox_id", "maildir_id", F.col("flags").alias("file"))
+    both = fresh.join(files, ["message_id", "mailbox_id"])
+    return both.select("email_id", "maildir_id", F.col("flags").alias("server"), "file", F.when(F.col("flags") == F.col("file"), "none").otherwise("update_local_flags").alias("action"))
