@@ -524,3 +524,9 @@ def test_pipeline(spark, tmp_path):
         assert got == want, name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     assert corpus_pipeline.STAGES[1][1](spark, docs.filter("false"), str(tmp_path)).count() == 0
+
+
+def test_buckets(spark):
+    for cuts in ([], [5], [1, 2, 3, 9], list(range(0, 300, 3))):
+        got = spark.range(-2, 305).select("id", syncmers.bucket(F.col("id"), cuts).alias("b")).collect()
+        assert all(r["b"] == sum(c < r["id"] for c in cuts) for r in got)

@@ -1,7 +1,7 @@
 """Exact byte-pair encoding by backtracking over longest matches, and decoding by an offset table.
 
-For a word an Aho-Corasick automaton gives all vocabulary entries at each place. The encoder takes the
-longest one that is compatible with the token before it: two neighbours are compatible if merging
+For a word an Aho-Corasick automaton gives how far the vocabulary reaches from a place. The encoder takes the
+longest entry there that is compatible with the token before it: two neighbours are compatible if merging
 their joint text by rank gives just these two. A dead end takes the last token back and tries the
 next shorter one; each place is left at most once, so time is linear in the word. Compatible
 neighbours all along make the one result that merging by rank gives.
@@ -16,6 +16,7 @@ import functools
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from tidemark.llm.shared import small_batches, text_of
 #: Fixed value: white space as Unicode defines it.
 BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: Different words whose codes a task remembers, up to this many characters each.
-REMEMBERED, SHORT = 300_000, 64
+REMEMBERED, SHORT = 600_000, 64
 WORD_END = ""
 
 
@@ -43,7 +44,7 @@ def byte_letters() -> list[str]:
 
 
 class WordBpe(dict):
-    """Vocabulary and merges of a file; as a dict, the packed ids of words met so far."""
+    """Vocabulary and merges of a file; as a dict, the packed ids of words and other pieces met so far."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -65,7 +66,7 @@ class WordBpe(dict):
         self.made = {p: self.rank[ab] for p, ab in self.parts.items()}
         self.automaton = ahocorasick.Automaton()
         for m, i in self.ids.items():
-            self.automaton.add_word(m, (len(m), i))
+            self.automaton.add_word(m, i)
         self.automaton.make_automaton()
         self.fits: dict[tuple[int, int], bool] = {}
         names = [(self.names.get(i, "") + " ").encode() for i in range(max(self.names) + 1)]
@@ -94,39 +95,47 @@ class WordBpe(dict):
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of a word in the vocabulary's letters, its last one marked."""
-        at: list[list[tuple[int, int]]] = [[] for _ in range(len(word))]
-        for end, (n, i) in self.automaton.iter(word):
-            at[end - n + 1].append((n, i))
-        for found in at:
-            found.sort(reverse=True)
+        ids, reach = self.ids, self.automaton.longest_prefix
+        out: list[tuple[int, int, int]] = []  # start, length, id
         dead: set[int] = set()
-        out: list[tuple[int, int, int]] = []  # start, which of the matches there, id
-        start, which = 0, 0
-        while start < len(word):
-            last = out[-1][2] if out else None
-            options = at[start]
-            while which < len(options):
-                n, i = options[which]
-                if start + n not in dead and (last is None or self.compatible(last, i)):
+        start, last, end = 0, None, len(word)
+        n = reach(word)
+        while start < end:
+            while n:
+                i = ids.get(word[start : start + n])
+                if i is not None and start + n not in dead and (last is None or self.compatible(last, i)):
                     break
-                which += 1
-            if which < len(options):
-                out.append((start, which, i))
-                start, which = start + n, 0
+                n -= 1
+            if n:
+                out.append((start, n, i))
+                start, last = start + n, i
+                n = reach(word[start:])
             else:
                 if not out:
                     raise ValueError(f"no encoding of {word!r}")
                 dead.add(start)
-                start, which, _ = out.pop()
-                which += 1
+                start, n, _ = out.pop()
+                n -= 1
+                last = out[-1][2] if out else None
         return [i for _, _, i in out]
 
+    def word(self, word: str) -> bytes:
+        """Packed ids of a word of normalised text."""
+        packed = self.get(word)
+        if packed is None:
+            ids = self.encode_word(word.encode().decode("latin-1").translate(self.letters) + WORD_END)
+            packed = self.remember(word, struct.pack(f"<{len(ids)}I", *ids))
+        return packed
+
     def __missing__(self, chunk: str) -> bytes:
-        """Packed ids of a piece of normalised text without blanks."""
-        ids: list[int] = []
-        for word in self.pattern.findall(chunk):
-            ids += self.encode_word(word.encode().decode("latin-1").translate(self.letters) + WORD_END)
-        packed = np.array(ids, "<u4").tobytes()
+        """Packed ids of a piece of normalised text without blanks: of its words, which mostly are itself, or itself without one sign at the end."""
+        if chunk.isalpha():
+            return self.word(chunk)
+        if chunk[:-1].isalpha() and chunk[-1] in ".,!?":
+            return self.remember(chunk, self.word(chunk[:-1]) + self.word(chunk[-1]))
+        return self.remember(chunk, b"".join(map(self.word, self.pattern.findall(chunk))))
+
+    def remember(self, chunk: str, packed: bytes) -> bytes:
         if len(chunk) <= SHORT:
             if len(self) >= REMEMBERED:
                 self.clear()

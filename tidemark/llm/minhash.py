@@ -27,13 +27,15 @@ REGISTERS = ROWS * BANDS
 MANTISSA = 10
 #: A pair is compared on its sets from this estimated likeness on: five standard deviations below SHARE.
 LEAST_ESTIMATE = 0.75 - 5 * (0.75 * 0.25 / REGISTERS) ** 0.5
-#: Groups up to this size are compared pair by pair; larger ones are first split by further bands.
-SMALL_GROUP = 64
-DEPTH = 3
+#: Registers of the finer signature for documents whose groups have unlinked members, and the likeness from which they are compared on their sets.
+FINE = 1024
+LEAST_FINE = 0.75 - 5 * (0.75 * 0.25 / FINE) ** 0.5
+#: Fine signatures are compared in blocks of so many documents.
+BLOCK_ROWS = 1024
 _rng = np.random.default_rng(7)
 _MIX = _rng.integers(0, 2**64, 8, dtype=np.uint64) | np.uint64(1)
-_FLIP = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint32)
-_ODD = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint32) | np.uint32(1)
+_FLIP = _rng.integers(0, 2**32, FINE, dtype=np.uint32)
+_ODD = _rng.integers(0, 2**32, FINE, dtype=np.uint32) | np.uint32(1)
 #: Shingles that are hashed together: as many as the processor's cache holds.
 BLOCK = 1 << 15
 #: Different words whose hashes a task remembers.
@@ -72,9 +74,9 @@ def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(mix(h))
 
 
-def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of REGISTERS 16-bit registers for each set; those of an empty set mean nothing."""
-    least = np.full((REGISTERS, len(sets)), 0xFFFFFFFF, np.uint32)
+def registers(sets: list[np.ndarray], count: int = REGISTERS) -> np.ndarray:
+    """One row of count 16-bit registers for each set; those of an empty set mean nothing."""
+    least = np.full((count, len(sets)), 0xFFFFFFFF, np.uint32)
     full = [i for i, s in enumerate(sets) if len(s)]
     at = 0
     while at < len(full):
@@ -87,7 +89,7 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
         for lo in range(0, len(h), BLOCK):  # more than one step only for a single long set
             part = (h[lo : lo + BLOCK] >> np.uint64(32)).astype(np.uint32)
             starts = np.cumsum([0] + [len(sets[i]) for i in own[:-1]]) if len(own) > 1 else np.array([0])
-            for r in range(REGISTERS):
+            for r in range(count):
                 m = np.minimum.reduceat((part ^ _FLIP[r]) * _ODD[r], starts)
                 least[r, own] = np.minimum(least[r, own], m)
         at = end
@@ -156,18 +158,31 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _pairs_in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each small group (a list of id, label, n, regs), the pairs of different labels whose estimate reaches LEAST_ESTIMATE."""
+def _finely_signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
     for batch in batches:
-        left, right = [], []
-        for group in batch["members"].to_pylist():
-            ids, labels, n = (np.array([m[k] for m in group], np.int64) for k in ("id", "label", "n"))
-            regs = np.frombuffer(b"".join(m["regs"] for m in group), "<u2").reshape(-1, REGISTERS)
-            for i in range(len(ids) - 1):
-                ok = (estimate(regs[i], regs[i + 1 :], n[i], n[i + 1 :]) >= LEAST_ESTIMATE) & (labels[i + 1 :] != labels[i])
-                right += ids[i + 1 :][ok].tolist()
-                left += [int(ids[i])] * int(ok.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+        sets = [shingles(t, hashes) for t in batch["t"].to_pylist()]
+        regs = registers(sets, FINE)
+        yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary())], ["id", "n", "regs"])
+
+
+def _pairs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each two blocks (lists of id, label, n, regs; or one block with itself), the pairs of different labels whose estimate reaches LEAST_FINE."""
+    for batch in batches:
+        for left, right, same in zip(batch["lefts"].to_pylist(), batch["rights"].to_pylist(), batch["same"].to_pylist(), strict=True):
+            (ia, la, na, ra), (ib, lb, nb, rb) = (
+                (*(np.array([m[k] for m in side], np.int64) for k in ("id", "label", "n")), np.frombuffer(b"".join(m["regs"] for m in side), "<u2").reshape(-1, FINE)) for side in (left, right)
+            )
+            a, b = [], []
+            for i in range(len(ia)):
+                ok = lb != la[i]
+                if same:
+                    ok[: i + 1] = False
+                at = np.flatnonzero(ok & (100 * np.minimum(nb, na[i]) >= SHARE * np.maximum(nb, na[i])))
+                at = at[estimate(ra[i], rb[at], na[i], nb[at]) >= LEAST_FINE]
+                b += ib[at].tolist()
+                a += [int(ia[i])] * len(at)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -183,7 +198,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null, empty or blank texts have an empty set and link with nothing. Equal sets are one class from the start and
     only the class with the smallest id goes on. Within a band's group every class is compared with the group's smallest
     one, so that large groups cost as many pairs as they have members. What these links leave in different components
-    of one group is compared pair by pair, after groups of over SMALL_GROUP were split by up to DEPTH further bands.
+    of one group is compared by finer signatures; see _rest.
     A null id takes no part in links and is a component of its own; rows repeated with one id fall together.
     """
     small_batches(docs.sparkSession)
@@ -200,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = written(_near(stars, reps), "candidates")
     links = written(_verify(near, _sets_of(near, texts)), "links")
     done = components(links)
-    rest = _rest(member, done, reps)
+    rest = _rest(member, done, texts)
     if not rest.isEmpty():
         more = written(_verify(rest, _sets_of(rest, texts)), "links")
         done = components(links.union(more))
@@ -221,25 +236,32 @@ def _sets_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(texts.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, set binary").dropDuplicates(["id"]), "sets")
 
 
-def _rest(member: DataFrame, done: DataFrame, reps: DataFrame) -> DataFrame:
-    """Candidate pairs whose members share a group but are in different components."""
+def _rest(member: DataFrame, done: DataFrame, texts: DataFrame) -> DataFrame:
+    """Candidate pairs that share a group while they are in different components.
+
+    Documents of such groups that are joined by a chain of groups are a cloud. A cloud's documents are compared by finer
+    signatures, block by block; each block meets each other block of its cloud in one task, and only likely links leave it.
+    """
     label = F.coalesce("component", "id").alias("label")
-    open_ = member.join(done, "id", "left").select("id", "band", "key", label)
-    found = None
-    for depth in range(DEPTH + 1):
-        mixed = open_.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-        here = written(open_.join(mixed.select("band", "key", "size"), ["band", "key"]), "mixed")
-        small = here if depth == DEPTH else here.filter(F.col("size") <= SMALL_GROUP)
-        lists = small.join(reps, "id").groupBy("band", "key").agg(F.collect_list(F.struct("id", "label", "n", "regs")).alias("members"))
-        pairs = lists.select("members").mapInArrow(_pairs_in_groups, "a long, b long")
-        found = pairs if found is None else found.union(pairs)
-        large = here.filter(F.col("size") > SMALL_GROUP)
-        if depth == DEPTH or large.isEmpty():
-            break
-        again = F.explode(F.array(*[F.struct(F.lit(b).alias("other"), F.substring("regs", 2 * ROWS * b + 1, 2 * ROWS).alias("more")) for b in range(BANDS)]))
-        open_ = large.join(reps.select("id", "regs"), "id").select("id", "label", "band", "key", again.alias("x")).filter("x.other > band")
-        open_ = open_.select("id", "label", F.col("x.other").alias("band"), F.unhex(F.sha2(F.concat("key", F.col("band").cast("string").cast("binary"), F.col("x.more")), 256)).alias("key"))
-    return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    open_ = member.join(done, "id", "left").select("id", "hub", "band", "key", label)
+    mixed = open_.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    here = written(open_.join(mixed.select("band", "key"), ["band", "key"]).select("id", "hub", "label").distinct(), "mixed")
+    if here.isEmpty():
+        return here.select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    clouds = components(here.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    fine = texts.join(here.select("id").distinct(), "id", "left_semi").mapInArrow(_finely_signed, "id long, n long, regs binary").dropDuplicates(["id"])
+    fine = fine.join(here.select("id", "label").distinct(), "id").join(clouds, "id")
+    sizes = clouds.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    fine = fine.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    own = fine.select("component", "block", "blocks", F.struct("id", "label", "n", "regs").alias("m"))
+    pair = lambda x, y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: pair(F.col("block"), o)))
+    each = own.withColumn("p", meets)
+    lists = each.groupBy("component", "p").agg(
+        F.collect_list(F.when(F.col("block") == F.col("p.x"), F.col("m"))).alias("lefts"), F.collect_list(F.when(F.col("block") == F.col("p.y"), F.col("m"))).alias("rights")
+    )
+    pairs = lists.select("lefts", "rights", (F.col("p.x") == F.col("p.y")).alias("same")).mapInArrow(_pairs_of_blocks, "a long, b long")
+    return written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,6 @@ No document's suffixes are sorted in one task, and every step streams over sorte
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -312,18 +311,15 @@ def repeated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spread = F.when(F.col("anchor") < 0, F.xxhash64("run", "doc")).otherwise(F.col("anchor"))
     tuples = known.mapInArrow(_tuples, "anchor long, run long, doc long").repartition(parts, spread).sortWithinPartitions("anchor", "run", "doc")
     verdicts = tuples.mapInArrow(_verdicts, "doc long, key long").groupBy("doc").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    verdicts = written(verdicts, "verdicts")
-    del tuples
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of the first sort
-    mine = rows.join(verdicts.withColumnRenamed("doc", "id"), "id")
-    doubtful = mine.filter(F.exists("keys", lambda k: k.bitwiseAND(2) == 2)).select("id", "t", "keys")
+    verdicts = written(verdicts, "verdicts").withColumnRenamed("doc", "id")
+    mine = known.join(verdicts, "id", "left")  # both uses of the texts share one exchange
+    doubtful = mine.filter(F.exists("keys", lambda k: k.bitwiseAND(2) == 2))
     bodies = doubtful.mapInArrow(_doubtful, "group long, split boolean, doc long, run long, first int, body binary").repartition(parts, "group").sortWithinPartitions("split", "group", "doc")
     masks = bodies.mapInArrow(_masks, "doc long, run long, mask long").groupBy("doc").agg(F.collect_list(F.struct("run", "mask")).alias("m"))
     masks = masks.select(F.col("doc").alias("id"), F.col("m.run").alias("masked"), F.col("m.mask").alias("masks"))
     none = F.array().cast("array<bigint>")
-    both = rows.join(verdicts.withColumnRenamed("doc", "id"), "id", "left").join(masks, "id", "left")
-    return both.select("id", "t", *[F.coalesce(c, none).alias(c) for c in ("keys", "masked", "masks")])
+    both = mine.join(masks, "id", "left").select("id", "t", *[F.coalesce(c, none).alias(c) for c in ("keys", "masked", "masks")])
+    return both.union(rows.filter("id IS NULL").select("id", "t", none, none, none))
 
 
 def _longs(column: pa.Array, i: int) -> np.ndarray:

@@ -16,6 +16,7 @@ K, S = 5, 2
 #: Hashes in a fingerprint: the least ones of all anchors of the whole text.
 SKETCH = 64
 TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]+"
+#: Ranges of the key in which documents are put in order: so many, or as many as the session has shuffle partitions.
 BUCKETS = 256
 
 
@@ -52,16 +53,26 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.greatest(F.size(union), F.lit(1)))
 
 
+def bucket(key: Column, cuts: list[int]) -> Column:
+    """How many of the rising cuts are below key: first by every wth one, then among the w from there on."""
+    if not cuts:
+        return F.lit(0)
+    w = int(len(cuts) ** 0.5) + 1
+    whole, coarse = (F.array(*[F.lit(c) for c in x]) for x in (cuts, cuts[::w]))
+    below = lambda x: F.size(F.filter(x, lambda c: c < key))
+    first = F.greatest(below(coarse) - 1, F.lit(0)) * w
+    return first + below(F.slice(whole, first + 1, F.lit(w)))
+
+
 def with_next(df: DataFrame, key: str, text: str, carried: str) -> DataFrame:
     """df with next_text and next_carried, of the row that follows by descending key (after the last: of the first).
 
     Rows are dealt into ranges of the key, followed inside a range by a window, and across ranges by
-    the first row of the next range, of which there are BUCKETS at most. Equal keys follow by text.
+    the first row of the next range; what the driver sees is a key for each range. Equal keys follow by text.
     """
-    probabilities = [i / BUCKETS for i in range(1, BUCKETS)]
-    cuts = sorted(set(df.approxQuantile(key, probabilities, 1 / (4 * BUCKETS))))
-    cut = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    df = df.withColumn("_b", F.size(F.filter(cut, lambda c: c < F.col(key))))
+    n = max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = sorted({int(c) for c in df.approxQuantile(key, [i / n for i in range(1, n)], 1 / (4 * n))})
+    df = df.withColumn("_b", bucket(F.col(key), cuts))
     ends = {r["_b"]: r["hi"] for r in df.groupBy("_b").agg(F.max(key).alias("hi")).collect()}
     order = sorted(ends, reverse=True)
     follows = [(b, order[(i + 1) % len(order)]) for i, b in enumerate(order)]

@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             got = [features.of(t) for t in batch["t"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.int64())], ["toxic", "has", "hits"])
 
-    seen = sample.mapInArrow(active, "toxic int, has array<int>, hits long").orderBy("toxic", "hits", "has").collect()
+    seen = sorted(sample.mapInArrow(active, "toxic int, has array<int>, hits long").collect())
     grade = lambda r: 0 if not r["toxic"] else 1 + sum(r["hits"] >= g for g in GRADES)
     w, b = fit_cumulative([r["has"] for r in seen], np.array([grade(r) for r in seen]), len(vocabulary))
     return OrdinalModel(vocabulary, w, b)
