@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import small_batches, text_of, written
+from tidemark.llm.shared import only, small_batches, text_of, written
 
 WORDS = 5
 SHARE = 75
@@ -233,7 +233,7 @@ def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _sets_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    return written(texts.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, set binary").dropDuplicates(["id"]), "sets")
+    return written(only(texts, ids).mapInArrow(_sets, "id long, set binary").dropDuplicates(["id"]), "sets")
 
 
 def _rest(member: DataFrame, done: DataFrame, texts: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def _rest(member: DataFrame, done: DataFrame, texts: DataFrame) -> DataFrame:
     if here.isEmpty():
         return here.select(F.col("id").alias("a"), F.col("hub").alias("b"))
     clouds = components(here.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    fine = texts.join(here.select("id").distinct(), "id", "left_semi").mapInArrow(_finely_signed, "id long, n long, regs binary").dropDuplicates(["id"])
+    fine = only(texts, here.select("id").distinct()).mapInArrow(_finely_signed, "id long, n long, regs binary").dropDuplicates(["id"])
     fine = fine.join(here.select("id", "label").distinct(), "id").join(clouds, "id")
     sizes = clouds.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
     fine = fine.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Spark's setting that removes shuffle files at the end of the query that wrote them, not when the driver next collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Ids of one long each are broadcast up to so many (some 100 MB on an executor); beyond that the rows that they select are shuffled.
+BROADCAST_IDS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +36,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ids (id, each once). Whole texts stay where they are unless there are more than BROADCAST_IDS ids."""
+    ids = written(ids.select("id"), "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
