@@ -1,10 +1,11 @@
-"""The queries of this subpackage, and the SQL for those that SQL can express."""
+"""The queries of this subpackage; oracles.py has the SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, exact, minhash, packing, sharding, suffixes, syncmers, toxicity, urls, warc
+from tidemark.llm.oracles import ORACLE  # noqa: F401
 from tidemark.llm.shared import table
 
 
@@ -63,12 +64,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_toxicity, op4_sharding, op5_suffix_dedup, op6_bpe, op7_packing, op8_warc, op9_minhash, op10_syncmers, pipeline)}
-
-ORACLE = {
-    "op2_exact_dedup": """
-        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
-               sha256(coalesce(text, '')) AS text_sha256
-        FROM documents
-        WINDOW g AS (PARTITION BY coalesce(text, ''))
-    """,
-}
