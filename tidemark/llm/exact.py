@@ -69,9 +69,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the same id all get that id; a null id never stays unless its whole group has none. Other columns of docs don't matter.
     """
     rows = recipes(docs, id_col, text_col, normalise, digest)
-    groups = rows.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    return rows.join(groups, "recipe").select(
-        F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.size("recipe").alias("n_chunks")
+    groups = rows.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+    both = rows.join(written(groups, "groups"), "recipe", "left")  # a table of its own, so that Spark splits the copies of a large group
+    keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
+    return both.select(
+        F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), "text_sha256", F.size("recipe").alias("n_chunks")
     )
 
 
