@@ -205,8 +205,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = written(signatures(docs, id_col, text_col), "signatures")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
     full = sigs.filter("n > 0 AND id IS NOT NULL")
-    classes = full.groupBy("digest").agg(F.min("id").alias("id"))
-    reps = written(full.join(classes.select("digest", "id").distinct(), ["digest", "id"]).dropDuplicates(["id", "digest"]).select("id", "n", "regs"), "classes")
+    several = full.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size")).filter("size > 1")
+    several = written(several.select("digest", "rep"), "equal-sets")  # a table of its own, so that Spark splits the members of a large class
+    first = F.col("id") == F.coalesce("rep", "id")
+    reps = written(full.join(several, "digest", "left").filter(first).dropDuplicates(["id", "digest"]).select("id", "n", "regs"), "classes")
     band = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.substring("regs", 2 * ROWS * b + 1, 2 * ROWS).alias("key")) for b in range(BANDS)]))
     bands = reps.select("id", band.alias("x")).select("id", "x.band", "x.key")
     groups = written(bands.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1"), "groups")
@@ -219,7 +221,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not rest.isEmpty():
         more = written(_verify(rest, _sets_of(rest, texts)), "links")
         done = components(links.union(more))
-    named = sigs.join(classes.select("digest", F.col("id").alias("rep")), "digest", "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")))
+    named = sigs.select("id", "n", "digest").join(several, "digest", "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "id")))
     named = named.join(done.select(F.col("id").alias("rep"), "component"), "rep", "left")
     own = F.coalesce("component", "rep", "id")
     return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
