@@ -99,11 +99,20 @@ def ago(seconds: Column) -> Column:
     return F.when(s < 60, whole("s", 1)).when(s < 3600, whole("m", 60)).when(s < 86400, whole("h", 3600)).otherwise(whole("d", 86400))
 
 
+def one_decimal(x: Column) -> Column:
+    """A double of at least 1 with one decimal, rounded by its exact binary value, half to even."""
+    bits = ((x - F.floor(x)) * F.lit(float(2**52))).cast("long") * 10
+    tenth, rest = F.shiftright(bits, 52), bits.bitwiseAND(F.lit(2**52 - 1))
+    up = (rest > 2**51) | ((rest == 2**51) & (tenth % 2 == 1))
+    n = F.floor(x) * 10 + tenth + up.cast("int")
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
 def eta(seconds: Column) -> Column:
     """~Ns below 90 s (1 at least), minutes rounded up below 5,400 s, else hours with one decimal."""
     return F.when(seconds < 90, F.concat(F.lit("~"), F.greatest(F.ceil(seconds), F.lit(1)).cast("string"), F.lit("s"))).when(
         seconds < 5400, F.concat(F.lit("~"), F.ceil(seconds / 60).cast("string"), F.lit("m"))
-    ).otherwise(F.format_string("~%.1fh", F.bround(seconds / 3600, 1)))
+    ).otherwise(F.concat(F.lit("~"), one_decimal(seconds / 3600), F.lit("h")))
 
 
 def clamp(configured: Column, server: Column) -> Column:
