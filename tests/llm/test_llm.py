@@ -164,6 +164,33 @@ def test_url_model(spark):
     assert urls.judge(pages.filter("false")).count() == 0
 
 
+def test_each_junk_host_kind_is_blocked(spark):
+    r = random.Random(8)
+    kinds = ["casino-win", "cheap-pills", "free-bets", "adult-x", "ads-track", "spam-farm"]
+    hosts = [f"www.{k}.example.com" for k in kinds for _ in range(5)] + [f"{r.choice(WORDS)}{r.choice(WORDS)}.example.com" for _ in range(270)]
+    data = [(i, f"http://{h}/en/{r.randrange(1000)}") for i, h in enumerate(hosts)]
+    got = {x["page_id"]: x["verdict"] for x in urls.judge(spark.createDataFrame(data, "page_id long, url string")).collect()}
+    assert all((got[i] == "block") == (i < 30) for i in got)
+
+
+def test_examples_of_hosts(spark):
+    cases = {"www.cheap-pills.com": True, "m.free-bets.org": True, "ads-track.com": True, "a.casino1.b": True, "free-x.com": None, "win.net": None, "roads.alphabet.com": False, "a.org": False, "": False}
+    df = spark.createDataFrame([(h,) for h in cases], "host string")
+    assert {r["host"]: r["e"] for r in df.select("host", urls.example(F.col("host")).alias("e")).collect()} == cases
+
+
+def test_few_rejected_urls_and_queries(spark):
+    held = lambda u: int(hashlib.md5(u.encode()).hexdigest()[:8], 16) % urls.HELD_OUT
+    for fold in (0, 3):  # a lone rejected URL, whichever fold it is in
+        lone = next(u for u in (f"casino.com/x{i}" for i in range(100)) if held(u) == fold)
+        data = [(i, f"http://{WORDS[i]}.com/en/{i}") for i in range(40)] + [(99, "http://" + lone)]
+        got = {x["page_id"]: x for x in urls.judge(spark.createDataFrame(data, "page_id long, url string")).collect()}
+        assert got[99]["threshold"] < float("inf") and [i for i in got if got[i]["verdict"] == "block"] == [99]
+    data = [(i, f"http://{'casino' if i < 20 else WORDS[i]}.com/{'?pay=zzz' if i < 20 else '?page=1'}{i}") for i in range(60)] + [(90, "http://lor.com/?pay=zzz1"), (91, "http://lor.com/?page=11")]
+    got = {x["page_id"]: x["score"] for x in urls.judge(spark.createDataFrame(data, "page_id long, url string")).collect()}
+    assert got[90] > got[91]
+
+
 def test_calibrate():
     assert urls.calibrate([]) == float("inf")
     assert urls.calibrate([(-200, 5, 0), (100, 0, 5)]) == -0.495
