@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact, minhash, packing, suffixes, toxicity
-from tidemark.llm.shared import table, written
+from tidemark.llm.shared import table, text_of, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +30,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; their texts without strings that start in a document of smaller id, n_chars as it then is.
 
-    Texts go by doc_id, which the stages before have left unique; rows without one keep their text.
+    Texts go by doc_id and digest, which the stages before have left unique together; rows without an id keep their text.
     """
-    kept = suffixes.without_repeats(docs.filter("doc_id IS NOT NULL")).withColumnRenamed("kept", "__tidemark_text")
-    rows = docs.join(kept, "doc_id", "left")
+    kept = suffixes.without_repeats(docs.filter("doc_id IS NOT NULL")).toDF("__tidemark_id", "__tidemark_sha", "__tidemark_text")
+    same = (docs["doc_id"] == kept["__tidemark_id"]) & (F.sha2(text_of(), 256) == kept["__tidemark_sha"])
+    rows = docs.join(kept, same, "left")
     text = F.when(F.col("text").isNotNull() & F.col("doc_id").isNotNull(), F.col("__tidemark_text")).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -78,6 +78,22 @@ def test_exact_drop(spark, docs, empty):
     assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in exact.exact_duplicates(odd).collect()} == {(None, None, True), (3, 3, True)}
 
 
+def test_exact_drop_keeps_each_text(spark):
+    data = [(None, "a", 1), (None, "b", 1), (None, "b", 1), (None, "c", 1), (5, "x", 1), (5, "y", 1), (5, "y", 1), (7, "x", 1), (3, "c", 1), (9, None, 1), (9, "", 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in exact.drop_exact_duplicates(docs).collect()]
+    assert sorted(got, key=repr) == sorted([(None, "a"), (None, "b"), (5, "y"), (7, "x"), (3, "c"), (9, "")], key=repr)
+
+
+def test_later_stages_keep_texts_that_share_an_id(spark, tmp_path):
+    one, two, more = prose(21, 60), prose(22, 60), prose(23, 60)
+    docs = spark.createDataFrame([(5, one, 1), (5, two, 1), (7, more, 1), (8, more, 1), (None, one, 1)], "doc_id long, text string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(5, one), (5, two), (7, more), (0, one)])
+    got = corpus_pipeline.drop_repeated_strings(spark, docs, "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(5, one), (5, two), (7, more), (8, ""), (0, one)])
+
+
 def test_chunks_cover_the_text(spark):
     texts = [prose(i, 3000) for i in range(3)] + ["x" * 20000, "", "é\n" * 5000]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", exact.chunks_of(F.col("t")).alias("c")).collect()

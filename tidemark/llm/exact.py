@@ -78,8 +78,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row for each text: that of the largest id. Of repeated rows with that id, one stays."""
-    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__tidemark_kept")).distinct()
-    both = docs.join(kept, docs[id_col].eqNullSafe(kept["__tidemark_kept"]), "left_semi")
-    first = Window.partitionBy(id_col).orderBy(id_col)
-    return both.withColumn("__tidemark_nth", F.row_number().over(first)).filter("__tidemark_nth = 1").drop("__tidemark_nth")
+    """docs with one row for each text: that of the largest id. Of repeated rows with that id and text, one stays, rather one whose text isn't null.
+
+    Rows are told apart by id and text together, so that texts under one id, or under none, are each kept.
+    """
+    pair = lambda sha: F.concat_ws("/", sha, F.col(id_col).cast("string")).alias("__tidemark_pair")
+    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(pair(F.col("text_sha256"))).distinct()
+    both = docs.select("*", pair(F.sha2(text_of(text_col), 256))).join(kept, "__tidemark_pair", "left_semi")
+    first = Window.partitionBy("__tidemark_pair").orderBy(F.col(text_col).isNull())
+    both = both.select(*docs.columns, "__tidemark_pair")
+    return both.withColumn("__tidemark_nth", F.row_number().over(first)).filter("__tidemark_nth = 1").drop("__tidemark_nth", "__tidemark_pair")

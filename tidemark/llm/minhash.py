@@ -267,7 +267,17 @@ def _rest(member: DataFrame, done: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest id. Of repeated rows with that id, one stays."""
+    """docs with one row of each component: that of the smallest id. Of repeated rows with that id, one stays.
+
+    Rows without an id, and those whose id has several texts, take no part and all stay.
+    """
+    text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    several = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__tidemark_several")).agg(F.min(text).alias("lo"), F.max(text).alias("hi"))
+    several = written(several.filter("lo <> hi").select("__tidemark_several"), "several")
+    if not several.isEmpty():
+        same = docs[id_col] == several["__tidemark_several"]
+        apart = docs.join(several, same, "left_semi")
+        return drop_near_duplicates(docs.join(several, same, "left_anti"), id_col, text_col).unionByName(apart)
     kept = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__tidemark_kept")).distinct()
     from pyspark.sql import Window
 

@@ -348,15 +348,16 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, kept) of each row: its text without repeats; a character goes only with all its bytes."""
+    """(id, text_sha256, kept) of each row: the digest of its text, and its text without repeats; a character goes only with all its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, sha = [], []
             for i, text in enumerate(batch["t"].to_pylist()):
                 data = bytes_of(text)
+                sha.append(hashlib.sha256(data).hexdigest())
                 gone = whole_characters(data, covered(data, *(_longs(batch[c], i) for c in ("keys", "masked", "masks"))))
                 out.append(data[~gone].tobytes().decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(out, pa.string())], ["id", "kept"])
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(sha, pa.string()), pa.array(out, pa.string())], ["id", "text_sha256", "kept"])
 
-    return repeated(docs, id_col, text_col).mapInArrow(run, "id long, kept string").withColumnRenamed("id", id_col)
+    return repeated(docs, id_col, text_col).mapInArrow(run, "id long, text_sha256 string, kept string").withColumnRenamed("id", id_col)
