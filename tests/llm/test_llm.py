@@ -311,6 +311,34 @@ def test_verdicts_of_anchors_across_batches(monkeypatch, hot, cut):
             assert kinds & {2, 3}
 
 
+@pytest.mark.parametrize("hot", [0, 2, 100])
+@pytest.mark.parametrize("cut", [1, 2, 5, 100])
+def test_verdicts_of_repeated_tuples(monkeypatch, hot, cut):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    data = sorted([(1, 4 * r, d) for r in range(1, 5) for d in (2, 2, 2)] + [(1, 12, 7), (1, 12, 7), (2, 4, 3), (2, 4, 3)])
+    got = set()
+    for b in suffixes._verdicts(batches(*data[k : k + cut], names=["anchor", "run", "doc"]) for k in range(0, len(data), cut)):
+        got |= set(zip(b["doc"].to_pylist(), b["key"].to_pylist(), strict=True))
+    assert {x for x in got if x[1] & 3 == suffixes.FULL} == {(7, 12 | suffixes.FULL)}
+
+
+@pytest.mark.parametrize("hot", [20_000, 0])
+def test_suffixes_of_repeated_rows(spark, hot, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        text, other = prose(11, 60), prose(12, 60)
+        data = [(5, text), (5, text), (5, text), (4, other), (6, other + text), (6, other + text)]
+        got = [(r["doc_id"], r["n_removed"]) for r in suffixes.digests(spark.createDataFrame(data, "doc_id long, text string")).collect()]
+    finally:
+        spark.conf.set(key, before)
+    size = len((other + text).encode())
+    assert {i: {n for j, n in got if j == i} for i in (4, 5)} == {4: {0}, 5: {0}} and len(got) == 6
+    assert all(size - 49 <= n + 49 and n <= size for j, n in got if j == 6)
+
+
 def test_split_windows():
     data = np.frombuffer(prose(1, 60).encode(), np.uint8)
     anchor, run, first, count = suffixes.runs(data)

@@ -144,20 +144,29 @@ def _tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(["anchor", "run", "doc"], anchor[new], run[new], doc[new])
 
 
+def _later(run: np.ndarray, new: np.ndarray, doc: np.ndarray, least: int = 0) -> tuple[np.ndarray, int]:
+    """Whether each tuple's document is larger than the least one of its run, and the last run's least. new: where a run begins; least: of a run that began before."""
+    at = np.maximum.accumulate(np.where(new, np.arange(len(run)), -1))
+    leasts = np.where(at < 0, least, doc[at])
+    return doc > leasts, int(leasts[-1])
+
+
 def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, key) from tuples in order: key is the run and, in its lowest bits, FULL, PART or SPLIT. Runs of an unshared anchor have no verdict."""
     held = [np.empty(0, np.int64)] * 3
-    hot, hot_run = -2, 0
+    hot, hot_run, hot_doc = -2, 0, 0
 
     def closed(anchor: np.ndarray, run: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
         """Verdicts of whole anchors."""
-        known = anchor < 0
-        again = np.concatenate([[False], (run[1:] == run[:-1]) & (anchor[1:] == anchor[:-1])]) if len(run) else known
+        known = again = anchor < 0
+        if len(run):
+            new = np.concatenate([[True], (run[1:] != run[:-1]) | (anchor[1:] != anchor[:-1])])
+            again, _ = _later(run, new, doc)
         starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(run) else np.empty(0, np.int64)
         several = np.zeros(len(run), bool)
         if len(starts):
             owner = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [len(run)]])))
-            many = np.add.reduceat((~again).astype(np.int64), starts) > 1
+            many = np.add.reduceat(new.astype(np.int64), starts) > 1
             docs = np.maximum.reduceat(doc, starts) > np.minimum.reduceat(doc, starts)
             several = (many & docs)[owner]
         verdict = np.where(known | again, FULL, np.where(several, PART, 0))
@@ -170,7 +179,8 @@ def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         if hot == held[0][0]:  # the rest of an anchor that is split
             n = int(np.searchsorted(held[0], hot, "right"))
-            again = np.concatenate([[held[1][0] == hot_run], held[1][1:n] == held[1][: n - 1]])
+            new = np.concatenate([[held[1][0] != hot_run], held[1][1:n] != held[1][: n - 1]])
+            again, hot_doc = _later(held[1][:n], new, held[2][:n], hot_doc)
             hot_run = held[1][n - 1]
             yield _batch(["doc", "key"], held[2][:n], held[1][:n] | np.where(again, FULL, SPLIT))
             held = [h[n:] for h in held]
@@ -184,7 +194,7 @@ def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if hot < 0:
                 yield closed(*held)
             else:
-                again = np.concatenate([[False], held[1][1:] == held[1][:-1]])
+                again, hot_doc = _later(held[1], np.concatenate([[True], held[1][1:] != held[1][:-1]]), held[2])
                 yield _batch(["doc", "key"], held[2], held[1] | np.where(again, FULL, SPLIT))
             held = [h[:0] for h in held]
     yield closed(*held)
