@@ -563,6 +563,18 @@ def test_edited_likeness(spark, docs, empty):
     assert syncmers.edited_likeness(one).first()["near_next"] == 1.0
 
 
+def test_likeness_of_long_texts_is_by_all_anchors(spark):
+    texts = {2: prose(31, 3000) + " " + prose(33, 150), 1: prose(32, 3000) + " " + prose(33, 150)}
+    n = len(texts[2]) // 3
+    edited = texts[2][:-n] + texts[1][:n]
+    df = spark.createDataFrame([*texts.items(), (3, edited)], "doc_id long, text string")
+    sets = {r["doc_id"]: {a["hash"] for a in r["anchors"]} for r in syncmers.fingerprints(df).collect()}
+    got = {r["doc_id"]: r for r in syncmers.edited_likeness(df.filter("doc_id < 3")).collect()}
+    for column, other in (("near_next", 1), ("near_edited", 3)):
+        assert abs(got[2][column] - len(sets[2] & sets[other]) / len(sets[2] | sets[other])) < 1e-12
+    assert 0 < got[2]["near_next"] == got[1]["near_next"] < 0.1
+
+
 # pipeline
 
 

@@ -35,11 +35,14 @@ def with_anchors(df: DataFrame, text: Column, out: str) -> DataFrame:
     return df.drop("_h", "_s", "_p")
 
 
-def with_sketch(df: DataFrame, text: Column, out: str) -> DataFrame:
-    """df with the array out: the SKETCH least 32-bit hashes of the text's anchors, in order."""
-    df = with_anchors(df, text, "_anchors")
-    least = F.expr(f"slice(sort_array(array_distinct(transform(_anchors, a -> a.hash & 4294967295))), 1, {SKETCH})")
-    return df.withColumn(out, least).drop("_anchors")
+def with_set(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """df with the array out: each hash of the text's anchors once."""
+    return with_anchors(df, text, "_anchors").withColumn(out, F.expr("array_distinct(_anchors.hash)")).drop("_anchors")
+
+
+def sketch_of(hashes: Column) -> Column:
+    """The SKETCH least 32-bit hashes, in order."""
+    return F.slice(F.sort_array(F.array_distinct(F.transform(hashes, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))))), 1, SKETCH)
 
 
 def as_text(sketch: Column) -> Column:
@@ -47,10 +50,10 @@ def as_text(sketch: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness of two texts' anchor sets, estimated from their sketches; 1 if neither has an anchor."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.greatest(F.size(union), F.lit(1)))
+    """Jaccard likeness of two texts by all their anchors (arrays of different hashes); 1 if neither has an anchor."""
+    both = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - both
+    return F.when(union == 0, F.lit(1.0)).otherwise(both / F.greatest(union, F.lit(1)))
 
 
 def bucket(key: Column, cuts: list[int]) -> Column:
@@ -64,8 +67,8 @@ def bucket(key: Column, cuts: list[int]) -> Column:
     return first + below(F.slice(whole, first + 1, F.lit(w)))
 
 
-def with_next(df: DataFrame, key: str, text: str, carried: str) -> DataFrame:
-    """df with next_text and next_carried, of the row that follows by descending key (after the last: of the first).
+def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
+    """df with next_text, that of the row that follows by descending key (after the last: of the first).
 
     Rows are dealt into ranges of the key, followed inside a range by a window, and across ranges by
     the first row of the next range; what the driver sees is a key for each range. Equal keys follow by text.
@@ -77,38 +80,37 @@ def with_next(df: DataFrame, key: str, text: str, carried: str) -> DataFrame:
     order = sorted(ends, reverse=True)
     follows = [(b, order[(i + 1) % len(order)]) for i, b in enumerate(order)]
     w = Window.partitionBy("_b").orderBy(F.col(key).desc(), F.col(text))
-    df = df.withColumn("_lead", F.lead(F.struct(F.col(text).alias("t"), F.col(carried).alias("c"))).over(w))
+    df = df.withColumn("_lead", F.lead(text).over(w))
     firsts = df.sparkSession.createDataFrame([(b, ends[n]) for b, n in follows], "_b int, _first bigint")
-    starts = df.select(F.col(key).alias("_first"), F.col(text).alias("_t"), F.col(carried).alias("_c")).filter(F.col("_first").isin([ends[n] for _, n in follows]))
-    starts = starts.groupBy("_first").agg(F.min(F.struct("_t", "_c")).alias("_start"))
+    starts = df.select(F.col(key).alias("_first"), F.col(text).alias("_start")).filter(F.col("_first").isin([ends[n] for _, n in follows]))
+    starts = starts.groupBy("_first").agg(F.min("_start").alias("_start"))
     jump = F.broadcast(firsts).join(starts, "_first").select("_b", "_start")
     df = df.join(jump, "_b", "left")
-    following = F.coalesce(F.col("_lead"), F.struct(F.col("_start._t").alias("t"), F.col("_start._c").alias("c")))
-    return df.withColumn("_f", following).withColumn("next_text", F.col("_f.t")).withColumn("next_carried", F.col("_f.c")).drop("_b", "_lead", "_start", "_f")
+    return df.withColumn("next_text", F.coalesce("_lead", "_start")).drop("_b", "_lead", "_start")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_chars, sketch, anchors (pos, hash) of the whole text. A null text is empty."""
     rows = docs.select(F.col(id_col), text_of(text_col).alias("_t"))
     rows = with_anchors(rows, F.col("_t"), "anchors")
-    rows = with_sketch(rows, F.col("_t"), "sketch")
-    return rows.select(id_col, F.char_length("_t").cast("long").alias("n_chars"), "sketch", "anchors")
+    return rows.select(id_col, F.char_length("_t").cast("long").alias("n_chars"), sketch_of(F.col("anchors.hash")).alias("sketch"), "anchors")
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each text and of its edited text, and their likeness to each other and to the next document's.
+    """Fingerprints of each text and of its edited text, and the likeness of all its anchors to the edited text's and to the next document's.
 
     Edited: the last third of the code points, rounded down, gives way to as many (or all) of the next
     document's first ones. A null id stands last in descending order; a null text is empty.
     """
     rows = docs.select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_k"), text_of(text_col).alias("_t"))
-    rows = with_next(with_sketch(rows, F.col("_t"), "_a"), "_k", "_t", "_a")
+    rows = with_next(rows, "_k", "_t")
     n = F.char_length("_t")
     rows = rows.withColumn("_m", F.floor(n / 3).cast("int"))
     edited = F.concat(F.substring("_t", F.lit(1), n - F.col("_m")), F.substring("next_text", F.lit(1), F.col("_m")))
-    rows = rows.select(id_col, n.cast("long").alias("n_chars"), edited.alias("_e"), "_a", F.col("next_carried").alias("_n"))
-    rows = with_sketch(rows, F.col("_e"), "_b")
+    rows = rows.select(id_col, n.cast("long").alias("n_chars"), "_t", edited.alias("_e"), "next_text")
+    for text, out in (("_t", "_a"), ("_e", "_b"), ("next_text", "_n")):
+        rows = with_set(rows, F.col(text), out)
     return rows.select(
-        id_col, "n_chars", F.sha2("_e", 256).alias("edited_sha256"), as_text(F.col("_a")).alias("fingerprint"), as_text(F.col("_b")).alias("edited_fingerprint"),
+        id_col, "n_chars", F.sha2("_e", 256).alias("edited_sha256"), as_text(sketch_of(F.col("_a"))).alias("fingerprint"), as_text(sketch_of(F.col("_b"))).alias("edited_fingerprint"),
         likeness(F.col("_a"), F.col("_b")).alias("near_edited"), likeness(F.col("_a"), F.col("_n")).alias("near_next"),
     )
