@@ -67,8 +67,8 @@ def bucket(key: Column, cuts: list[int]) -> Column:
     return first + below(F.slice(whole, first + 1, F.lit(w)))
 
 
-def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
-    """df with next_text, that of the row that follows by descending key (after the last: of the first).
+def with_next(df: DataFrame, key: str, text: str, carried: str) -> DataFrame:
+    """df with next_text and next_carried, of the row that follows by descending key (after the last: of the first).
 
     Rows are dealt into ranges of the key, followed inside a range by a window, and across ranges by
     the first row of the next range; what the driver sees is a key for each range. Equal keys follow by text.
@@ -80,13 +80,14 @@ def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
     order = sorted(ends, reverse=True)
     follows = [(b, order[(i + 1) % len(order)]) for i, b in enumerate(order)]
     w = Window.partitionBy("_b").orderBy(F.col(key).desc(), F.col(text))
-    df = df.withColumn("_lead", F.lead(text).over(w))
+    df = df.withColumn("_lead", F.lead(F.struct(F.col(text).alias("t"), F.col(carried).alias("c"))).over(w))
     firsts = df.sparkSession.createDataFrame([(b, ends[n]) for b, n in follows], "_b int, _first bigint")
-    starts = df.select(F.col(key).alias("_first"), F.col(text).alias("_start")).filter(F.col("_first").isin([ends[n] for _, n in follows]))
+    starts = df.select(F.col(key).alias("_first"), F.struct(F.col(text).alias("t"), F.col(carried).alias("c")).alias("_start")).filter(F.col("_first").isin([ends[n] for _, n in follows]))
     starts = starts.groupBy("_first").agg(F.min("_start").alias("_start"))
     jump = F.broadcast(firsts).join(starts, "_first").select("_b", "_start")
     df = df.join(jump, "_b", "left")
-    return df.withColumn("next_text", F.coalesce("_lead", "_start")).drop("_b", "_lead", "_start")
+    df = df.withColumn("_f", F.coalesce("_lead", "_start"))
+    return df.withColumn("next_text", F.col("_f.t")).withColumn("next_carried", F.col("_f.c")).drop("_b", "_lead", "_start", "_f")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,13 +104,12 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document's first ones. A null id stands last in descending order; a null text is empty.
     """
     rows = docs.select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_k"), text_of(text_col).alias("_t"))
-    rows = with_next(rows, "_k", "_t")
+    rows = with_next(with_set(rows, F.col("_t"), "_a"), "_k", "_t", "_a")
     n = F.char_length("_t")
     rows = rows.withColumn("_m", F.floor(n / 3).cast("int"))
     edited = F.concat(F.substring("_t", F.lit(1), n - F.col("_m")), F.substring("next_text", F.lit(1), F.col("_m")))
-    rows = rows.select(id_col, n.cast("long").alias("n_chars"), "_t", edited.alias("_e"), "next_text")
-    for text, out in (("_t", "_a"), ("_e", "_b"), ("next_text", "_n")):
-        rows = with_set(rows, F.col(text), out)
+    rows = rows.select(id_col, n.cast("long").alias("n_chars"), edited.alias("_e"), "_a", F.col("next_carried").alias("_n"))
+    rows = with_set(rows, F.col("_e"), "_b")
     return rows.select(
         id_col, "n_chars", F.sha2("_e", 256).alias("edited_sha256"), as_text(sketch_of(F.col("_a"))).alias("fingerprint"), as_text(sketch_of(F.col("_b"))).alias("edited_fingerprint"),
         likeness(F.col("_a"), F.col("_b")).alias("near_edited"), likeness(F.col("_a"), F.col("_n")).alias("near_next"),
