@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -379,6 +380,33 @@ def test_bpe_random_words():
         assert np.frombuffer(b.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_bpe_of_every_character():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, b = Tokenizer.from_file(path), bpe.WordBpe(path)
+    every = regex.findall(r"[\P{C}\p{Cc}\p{Cf}]", bpe.every_character())
+    for texts in ([c + "a" for c in every], [c + "\u0307" for c in every]):
+        for k in range(0, len(texts), 50_000):
+            ids = [e.ids for e in t.encode_batch(texts[k : k + 50_000], add_special_tokens=False)]
+            assert [x for x, e in zip(texts[k : k + 50_000], ids, strict=True) if np.frombuffer(b.encode(x), "<u4").tolist() != e] == []
+
+
+def test_bpe_of_long_words(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, b, r = Tokenizer.from_file(path), bpe.WordBpe(path), random.Random(3)
+    monkeypatch.setattr(bpe, "PAIRS", 50)
+    word = "".join(r.choice("aeiotnshr") for _ in range(30_000))
+    assert np.frombuffer(b.encode(word), "<u4").tolist() == t.encode(word, add_special_tokens=False).ids and len(b.fits) <= 50
+    steps = []
+    fit = b.compatible
+    monkeypatch.setattr(b, "compatible", lambda x, y: steps.append(1) or fit(x, y))
+    counts = []
+    for n in (5_000, 50_000):
+        steps.clear()
+        b.encode_word(word[:2500] * (n // 2500))
+        counts.append(len(steps))
+    assert counts[1] < 11 * counts[0]
+
+
 def test_packing(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
@@ -511,6 +539,37 @@ def test_estimate():
         assert abs(minhash.estimate(regs[0], regs[1], np.array(len(a)), np.array(len(b))) - true) < 0.06
 
 
+@pytest.mark.parametrize("columns", [4096, 7])
+def test_common_shingles_and_spanning_links(monkeypatch, columns):
+    monkeypatch.setattr(minhash, "COLUMNS", columns)
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**63, 60, dtype=np.uint64)
+    docs = [(k, k // 3, np.unique(np.concatenate([base[r.random(60) < 0.9], r.integers(0, 2**63, 4, dtype=np.uint64)]))) for k in range(40)]
+    for left, right in ((docs, []), (docs[:25], docs[25:]), (docs[:1], docs[1:]), (docs[:1], [])):
+        got = minhash.common([d[2] for d in left], [d[2] for d in right])
+        assert all(got[i, j] == len(np.intersect1d(x[2], y[2])) for i, x in enumerate(left) for j, y in enumerate(right or left) if x is not y)
+        edges = [(x, y) for x in left for y in (right or left) if x[0] < y[0] and 100 * (k := len(np.intersect1d(x[2], y[2]))) >= 75 * (len(x[2]) + len(y[2]) - k)]
+
+        def parts(links):
+            up = {d[1]: d[1] for d in docs}
+            find = lambda x: x if up[x] == x else find(up[x])
+            for a, b in links:
+                a, b = sorted((find(a), find(b)))
+                up[b] = a
+            return [find(d[1]) for d in docs]
+
+        links = minhash.spanning_links(left, right)
+        label = {d[0]: d[1] for d in docs}
+        assert parts([(label[a], label[b]) for a, b in links]) == parts([(x[1], y[1]) for x, y in edges])
+        assert len(links) == len({d[1] for d in docs}) - len(set(parts([(label[a], label[b]) for a, b in links])))
+
+
+def test_clouds_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)
+    base = prose(19, 120)
+    check_components(spark, [(i, edited(base, i, 0.02 + 0.0007 * i)) for i in range(100)])
+
+
 def test_components(spark):
     r = random.Random(6)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)] + [(7, 7)]

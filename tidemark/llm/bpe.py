@@ -1,7 +1,7 @@
 """Exact byte-pair encoding by backtracking over longest matches, and decoding by an offset table.
 
-For a word an Aho-Corasick automaton gives how far the vocabulary reaches from a place. The encoder takes the
-longest entry there that is compatible with the token before it: two neighbours are compatible if merging
+For a word an Aho-Corasick automaton gives the longest entry of the vocabulary at each place, and a table the next shorter entry
+that it begins with. The encoder takes the longest entry at a place that is compatible with the token before it: two neighbours are compatible if merging
 their joint text by rank gives just these two. A dead end takes the last token back and tries the
 next shorter one; each place is left at most once, so time is linear in the word. Compatible
 neighbours all along make the one result that merging by rank gives.
@@ -18,7 +18,7 @@ import json
 import re
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -26,13 +26,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers
+from tokenizers.pre_tokenizers import Split
 
 from tidemark.llm.shared import small_batches, text_of
 
 #: Fixed value: white space as Unicode defines it.
 BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
-#: Different words whose codes a task remembers, up to this many characters each.
-REMEMBERED, SHORT = 600_000, 64
+#: Different words whose codes a task remembers, up to this many characters each, and pairs of tokens known to fit or not.
+REMEMBERED, SHORT, PAIRS = 600_000, 64, 1_000_000
 WORD_END = ""
 
 
@@ -43,6 +45,51 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else next(rest) for b in range(256)]
 
 
+def ranges(letters: Iterable[str]) -> str:
+    """A pattern's class of these characters, without its brackets."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, letters)):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+@functools.cache
+def every_character() -> str:
+    return "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+
+
+@functools.cache
+def unknown_characters() -> str:
+    """Characters that Python's Unicode tables don't have; newer tables may."""
+    return "".join(c for c in every_character() if unicodedata.category(c) == "Cn")
+
+
+@functools.cache
+def moved_marks() -> str:
+    """Marks that the library's tables put in another order beside a mark above, below, inside or under than Python's do."""
+    marks = [c for c in every_character() if unicodedata.category(c)[0] == "M"]
+    nfc = normalizers.NFC().normalize_str
+    return "".join(c for c in marks if any(nfc(x) != unicodedata.normalize("NFC", x) for p in "\u0307\u0323\u0334\u0345" for x in (c + p, p + c)))
+
+
+def class_of(kind: str) -> str:
+    """The class of letters (kind L) or numbers (N) as the tokenizers library has it, for a pattern of nested sets.
+
+    This library's tables, the regex module's and Python's are of different versions of Unicode. Where the last two agree so does
+    the first, which lies between them; on the others it is asked.
+    """
+    newer = set(regex.findall(rf"\p{{{kind}}}", every_character()))
+    older = {c for c in every_character() if unicodedata.category(c)[0] == kind}
+    open_ = "".join(sorted(newer ^ older))
+    left = {c for piece, _ in Split(Regex(rf"\p{{{kind}}}"), "removed").pre_tokenize_str(open_) for c in piece} if open_ else set()
+    own = set(open_) - left
+    out, more = newer & left, own - newer
+    return rf"[[\p{{{kind}}}" + (f"--[{ranges(out)}]" if out else "") + "]" + (f"[{ranges(more)}]" if more else "") + "]"
+
+
 class WordBpe(dict):
     """Vocabulary and merges of a file; as a dict, the packed ids of words and other pieces met so far."""
 
@@ -53,7 +100,10 @@ class WordBpe(dict):
         self.suffix = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pattern = regex.compile(pattern.replace(r"\p{L}", class_of("L")).replace(r"\p{N}", class_of("N")), regex.V1)
+        self.rare = re.compile(f"[{ranges(unknown_characters() + moved_marks())}]")
+        self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
         marked = {t: (t[: -len(self.suffix)] + WORD_END if t.endswith(self.suffix) else t) for t in model["vocab"]}
@@ -66,8 +116,10 @@ class WordBpe(dict):
         self.made = {p: self.rank[ab] for p, ab in self.parts.items()}
         self.automaton = ahocorasick.Automaton()
         for m, i in self.ids.items():
-            self.automaton.add_word(m, i)
+            self.automaton.add_word(m, (len(m), i))
         self.automaton.make_automaton()
+        self.length = {i: len(m) for m, i in self.ids.items()}
+        self.shorter = {i: next((self.ids[m[:k]] for k in range(len(m) - 1, 0, -1) if m[:k] in self.ids), None) for m, i in self.ids.items()}
         self.fits: dict[tuple[int, int], bool] = {}
         names = [(self.names.get(i, "") + " ").encode() for i in range(max(self.names) + 1)]
         self.offsets = np.cumsum([0] + [len(x) for x in names])
@@ -75,9 +127,12 @@ class WordBpe(dict):
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the joint text of a and b by rank leaves just a and b: no merge across the border comes before those that make them."""
-        if (a, b) not in self.fits:
-            self.fits[a, b] = self._compatible(a, b)
-        return self.fits[a, b]
+        fit = self.fits.get((a, b))
+        if fit is None:
+            if len(self.fits) >= PAIRS:
+                self.fits.clear()
+            self.fits[a, b] = fit = self._compatible(a, b)
+        return fit
 
     def _compatible(self, a: int, b: int) -> bool:
         # Undo the merges of both sides from the latest on; at each state, the pieces at the border may merge only later than the merge undone last.
@@ -94,30 +149,34 @@ class WordBpe(dict):
                 until, b = rb + 1, self.parts[b][0]
 
     def encode_word(self, word: str) -> list[int]:
-        """Ids of a word in the vocabulary's letters, its last one marked."""
-        ids, reach = self.ids, self.automaton.longest_prefix
-        out: list[tuple[int, int, int]] = []  # start, length, id
-        dead: set[int] = set()
-        start, last, end = 0, None, len(word)
-        n = reach(word)
+        """Ids of a word in the vocabulary's letters, its last one marked.
+
+        One run of the automaton gives the longest token that begins at each place: of the tokens that end at a place the longest
+        comes first, and a later end at the same beginning is a longer token.
+        """
+        end = len(word)
+        longest: list[int | None] = [None] * end
+        for last, (n, i) in self.automaton.iter(word):
+            longest[last - n + 1] = i
+        length, shorter, compatible = self.length, self.shorter, self.compatible
+        out: list[int] = []
+        dead = bytearray(end + 1)
+        start, before, i = 0, None, longest[0]
         while start < end:
-            while n:
-                i = ids.get(word[start : start + n])
-                if i is not None and start + n not in dead and (last is None or self.compatible(last, i)):
-                    break
-                n -= 1
-            if n:
-                out.append((start, n, i))
-                start, last = start + n, i
-                n = reach(word[start:])
+            while i is not None and (dead[start + length[i]] or before is not None and not compatible(before, i)):
+                i = shorter[i]
+            if i is not None:
+                out.append(i)
+                start, before = start + length[i], i
+                i = longest[start] if start < end else None
             else:
                 if not out:
-                    raise ValueError(f"no encoding of {word!r}")
-                dead.add(start)
-                start, n, _ = out.pop()
-                n -= 1
-                last = out[-1][2] if out else None
-        return [i for _, _, i in out]
+                    raise ValueError(f"no encoding of {word[:100]!r}")
+                dead[start] = 1
+                taken = out.pop()
+                start -= length[taken]
+                before, i = out[-1] if out else None, shorter[taken]
+        return out
 
     def word(self, word: str) -> bytes:
         """Packed ids of a word of normalised text."""
@@ -142,6 +201,12 @@ class WordBpe(dict):
             self[chunk] = packed
         return packed
 
+    def normalised(self, text: str) -> str:
+        """NFC, white space as one blank, lower case; by the tokenizers library if the text has characters that Python doesn't know or orders otherwise."""
+        if not text.isascii() and self.rare.search(text):
+            return self.normalizer.normalize_str(text)
+        return BLANKS.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
+
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; special tokens in it count as such."""
         parts = self.cut.split(text) if self.cut and "<" in text else [text]
@@ -150,8 +215,7 @@ class WordBpe(dict):
             if k % 2:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
             else:
-                plain = BLANKS.sub(" ", unicodedata.normalize("NFC", part)).replace("Σ", "σ").lower()
-                out.append(b"".join(map(self.__getitem__, plain.split(" "))))
+                out.append(b"".join(map(self.__getitem__, self.normalised(part).split(" "))))
         return b"".join(out)
 
     def decode(self, packed: bytes) -> bytes:
