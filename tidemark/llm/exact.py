@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import text_of, written
+from tidemark.llm.shared import BROADCAST_IDS, first_of_repeats, text_of, without, written
 
 #: A chunk has 1,024 to 8,192 characters and ends after a blank that follows one of these characters.
 CHUNK = r"(?s).{1024,8192}?(?<=[dgkpy.,]\s)|.{1,8192}"
@@ -80,11 +80,19 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row for each text: that of the largest id. Of repeated rows with that id and text, one stays, rather one whose text isn't null.
 
-    Rows are told apart by id and text together, so that texts under one id, or under none, are each kept.
+    Rows under one id, or under none, are told apart by their text, so that each of their texts is kept. All others go or stay by
+    their id alone, and their texts aren't moved.
     """
-    pair = lambda sha: F.concat_ws("/", sha, F.col(id_col).cast("string")).alias("__tidemark_pair")
-    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(pair(F.col("text_sha256"))).distinct()
-    both = docs.select("*", pair(F.sha2(text_of(text_col), 256))).join(kept, "__tidemark_pair", "left_semi")
-    first = Window.partitionBy("__tidemark_pair").orderBy(F.col(text_col).isNull())
-    both = both.select(*docs.columns, "__tidemark_pair")
-    return both.withColumn("__tidemark_nth", F.row_number().over(first)).filter("__tidemark_nth = 1").drop("__tidemark_nth", "__tidemark_pair")
+    judged = exact_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("id"), "text_sha256", "kept")
+    judged = written(judged, "judged")
+    several = written(judged.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").select("id"), "several")
+    gone = judged.filter("NOT kept AND id IS NOT NULL").select("id").union(several).distinct()
+    plain = without(docs.filter(F.col(id_col).isNotNull()), gone, id_col)
+    alike = judged.join(F.broadcast(several) if several.count() <= BROADCAST_IDS else several, "id", "left_semi").union(judged.filter("id IS NULL"))
+    if alike.isEmpty():
+        return plain
+    pair = lambda sha, i: F.concat_ws("/", sha, F.col(i).cast("string")).alias("__tidemark_pair")
+    kept = written(alike.filter("kept").select(pair(F.col("text_sha256"), "id")).distinct(), "kept")
+    rows = docs.join(several.select(F.col("id").alias("__tidemark_id")), F.col(id_col) == F.col("__tidemark_id"), "left_semi").union(docs.filter(F.col(id_col).isNull()))
+    rows = rows.select("*", pair(F.sha2(text_of(text_col), 256), id_col)).join(kept, "__tidemark_pair", "left_semi").select(*docs.columns, "__tidemark_pair")
+    return plain.union(first_of_repeats(rows, "__tidemark_pair", F.col(text_col).isNull()).drop("__tidemark_pair"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import only, small_batches, text_of, written
+from tidemark.llm.shared import first_of_repeats, only, small_batches, text_of, without, written
 
 WORDS = 5
 SHARE = 75
@@ -27,11 +27,12 @@ REGISTERS = ROWS * BANDS
 MANTISSA = 10
 #: A pair is compared on its sets from this estimated likeness on: five standard deviations below SHARE.
 LEAST_ESTIMATE = 0.75 - 5 * (0.75 * 0.25 / REGISTERS) ** 0.5
-#: Registers of the finer signature for documents whose groups have unlinked members, and the likeness from which they are compared on their sets.
+#: Hash functions there are; a signature takes the first REGISTERS of them.
 FINE = 1024
-LEAST_FINE = 0.75 - 5 * (0.75 * 0.25 / FINE) ** 0.5
-#: Fine signatures are compared in blocks of so many documents.
-BLOCK_ROWS = 1024
+#: Documents and shingles in a block of a cloud, about: two blocks of 64-bit hashes are in a task's memory at once.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19
+#: Columns of the matrices by whose product common shingles are counted.
+COLUMNS = 4096
 _rng = np.random.default_rng(7)
 _MIX = _rng.integers(0, 2**64, 8, dtype=np.uint64) | np.uint64(1)
 _FLIP = _rng.integers(0, 2**32, FINE, dtype=np.uint32)
@@ -158,31 +159,76 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _finely_signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in batches:
-        sets = [shingles(t, hashes) for t in batch["t"].to_pylist()]
-        regs = registers(sets, FINE)
-        yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary())], ["id", "n", "regs"])
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of left has in common with each of right (none: of left; a set with itself counts what others have too)."""
+    values = [np.concatenate(side) for side in (left, right or left)]
+    owners = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (left, right or left)]
+    if right:
+        shared = np.intersect1d(*values)
+    else:
+        shared, times = np.unique(values[0], return_counts=True)
+        shared = shared[times > 1]
+    places = [np.searchsorted(shared, v) for v in values]
+    hits = [np.flatnonzero(shared[np.minimum(p, len(shared) - 1)] == v) if len(shared) else p[:0] for p, v in zip(places, values, strict=True)]
+    owners, places = ([x[h] for x, h in zip(xs, hits, strict=True)] for xs in (owners, places))
+    counts = np.zeros((len(left), len(right or left)))
+    for lo in range(0, len(shared), COLUMNS):
+        sides = []
+        for owner, place, side in zip(owners, places, (left, right or left), strict=True):
+            here = (place >= lo) & (place < lo + COLUMNS)
+            m = np.zeros((len(side), COLUMNS), np.float32)
+            m[owner[here], place[here] - lo] = 1
+            sides.append(m)
+        counts += sides[0] @ sides[1].T
+    return counts.astype(np.int64)
+
+
+def spanning_links(left: list[tuple], right: list[tuple]) -> list[tuple[int, int]]:
+    """Of the links of (id, label, set) of left with those of right (none: among left), as many as join different labels, and no more."""
+    nodes = left + right
+    label = np.unique([x[1] for x in nodes], return_inverse=True)[1]
+    if label.max() == 0:
+        return []
+    sets = [x[2] for x in nodes]
+    n = np.array([len(s) for s in sets])
+    both = common(sets[: len(left)], sets[len(left) :])
+    linked = 100 * both >= SHARE * (n[: len(left), None] + (n[None, len(left) :] if right else n[None, :]) - both)
+    mates = [np.flatnonzero(label == k) for k in range(label.max() + 1)]
+    seen, out = np.zeros(len(mates), bool), []
+    for root in range(len(mates)):
+        if seen[root]:
+            continue
+        seen[root] = True
+        waiting = mates[root].tolist()
+        while waiting:
+            i = waiting.pop()
+            near = np.flatnonzero(linked[i]) + len(left) * bool(right) if i < len(left) else np.flatnonzero(linked[:, i - len(left)])
+            for j in near[~seen[label[near]]].tolist():
+                if not seen[label[j]]:
+                    seen[label[j]] = True
+                    waiting += mates[label[j]].tolist()
+                    out.append((nodes[i][0], nodes[j][0]))
+    return out
+
+
+def _links_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b), the spanning links of each two blocks, from rows (cloud, x, y, right, id, label, set) in the order of the first four."""
+    key, left, right = None, [], []
+
+    def found() -> pa.RecordBatch:
+        links = spanning_links(left, right) if left and (right or key[1] == key[2]) else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-
-def _pairs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each two blocks (lists of id, label, n, regs; or one block with itself), the pairs of different labels whose estimate reaches LEAST_FINE."""
     for batch in batches:
-        for left, right, same in zip(batch["lefts"].to_pylist(), batch["rights"].to_pylist(), batch["same"].to_pylist(), strict=True):
-            (ia, la, na, ra), (ib, lb, nb, rb) = (
-                (*(np.array([m[k] for m in side], np.int64) for k in ("id", "label", "n")), np.frombuffer(b"".join(m["regs"] for m in side), "<u2").reshape(-1, FINE)) for side in (left, right)
-            )
-            a, b = [], []
-            for i in range(len(ia)):
-                ok = lb != la[i]
-                if same:
-                    ok[: i + 1] = False
-                at = np.flatnonzero(ok & (100 * np.minimum(nb, na[i]) >= SHARE * np.maximum(nb, na[i])))
-                at = at[estimate(ra[i], rb[at], na[i], nb[at]) >= LEAST_FINE]
-                b += ib[at].tolist()
-                a += [int(ia[i])] * len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        columns = [batch[c].to_pylist() for c in ("cloud", "x", "y", "right", "id", "label")]
+        for cloud, x, y, is_right, i, label, hashes in zip(*columns, batch["set"], strict=True):
+            if key != (cloud, x, y):
+                if key:
+                    yield found()
+                key, left, right = (cloud, x, y), [], []
+            (right if is_right else left).append((i, label, np.frombuffer(hashes.as_buffer(), np.uint64).copy()))
+    if key:
+        yield found()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -198,7 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null, empty or blank texts have an empty set and link with nothing. Equal sets are one class from the start and
     only the class with the smallest id goes on. Within a band's group every class is compared with the group's smallest
     one, so that large groups cost as many pairs as they have members. What these links leave in different components
-    of one group is compared by finer signatures; see _rest.
+    of one group is compared by whole sets in blocks; see _rest.
     A null id takes no part in links and is a component of its own; rows repeated with one id fall together.
     """
     small_batches(docs.sparkSession)
@@ -217,9 +263,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = written(_near(stars, reps), "candidates")
     links = written(_verify(near, _sets_of(near, texts)), "links")
     done = components(links)
-    rest = _rest(member, done, texts)
-    if not rest.isEmpty():
-        more = written(_verify(rest, _sets_of(rest, texts)), "links")
+    more = _rest(member, done, texts)
+    if not more.isEmpty():
         done = components(links.union(more))
     named = sigs.select("id", "n", "digest").join(several, "digest", "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "id")))
     named = named.join(done.select(F.col("id").alias("rep"), "component"), "rep", "left")
@@ -239,10 +284,11 @@ def _sets_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _rest(member: DataFrame, done: DataFrame, texts: DataFrame) -> DataFrame:
-    """Candidate pairs that share a group while they are in different components.
+    """Links (a, b) between documents that share a group while they are in different components.
 
-    Documents of such groups that are joined by a chain of groups are a cloud. A cloud's documents are compared by finer
-    signatures, block by block; each block meets each other block of its cloud in one task, and only likely links leave it.
+    Documents of such groups that are joined by a chain of groups are a cloud. Its most common component's documents needn't meet each
+    other; all others meet every document of the cloud, block by block, where their whole sets are compared. Two blocks give out only
+    what joins components: fewer links than they have components.
     """
     label = F.coalesce("component", "id").alias("label")
     open_ = member.join(done, "id", "left").select("id", "hub", "band", "key", label)
@@ -250,20 +296,23 @@ def _rest(member: DataFrame, done: DataFrame, texts: DataFrame) -> DataFrame:
     here = written(open_.join(mixed.select("band", "key"), ["band", "key"]).select("id", "hub", "label").distinct(), "mixed")
     if here.isEmpty():
         return here.select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    clouds = components(here.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    fine = only(texts, here.select("id").distinct()).mapInArrow(_finely_signed, "id long, n long, regs binary").dropDuplicates(["id"])
-    fine = fine.join(here.select("id", "label").distinct(), "id").join(clouds, "id")
-    sizes = clouds.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-    fine = fine.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    own = fine.select("component", "block", "blocks", F.struct("id", "label", "n", "regs").alias("m"))
-    pair = lambda x, y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
-    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: pair(F.col("block"), o)))
-    each = own.withColumn("p", meets)
-    lists = each.groupBy("component", "p").agg(
-        F.collect_list(F.when(F.col("block") == F.col("p.x"), F.col("m"))).alias("lefts"), F.collect_list(F.when(F.col("block") == F.col("p.y"), F.col("m"))).alias("rights")
-    )
-    pairs = lists.select("lefts", "rights", (F.col("p.x") == F.col("p.y")).alias("same")).mapInArrow(_pairs_of_blocks, "a long, b long")
-    return written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    clouds = components(here.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "cloud")
+    sets = only(texts, here.select("id").distinct()).mapInArrow(_sets, "id long, set binary").dropDuplicates(["id"])
+    rows = written(sets.join(here.select("id", "label").distinct(), "id").join(clouds, "id"), "clouds")
+    size = F.octet_length("set") / 8
+    sizes = rows.groupBy("cloud", "label").agg(F.count("*").alias("n"), F.sum(size).alias("shingles"))
+    most = sizes.groupBy("cloud").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    blocks = lambda kind: F.ceil(F.greatest(F.sum(F.when(kind, F.col("n"))) / BLOCK_ROWS, F.sum(F.when(kind, F.col("shingles"))) / BLOCK_SHINGLES))
+    main = F.col("label") == F.col("main")
+    sizes = written(sizes.join(most, "cloud").groupBy("cloud", "main").agg(blocks(~main).alias("others"), blocks(main).alias("mains")), "cloud-sizes")
+    rows = rows.join(sizes, "cloud")
+    own = F.when(main, F.col("others") + F.pmod(F.xxhash64("id"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("id"), F.col("others")))
+    last = F.when(main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    rows = rows.select("cloud", "id", "label", "set", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    rows = rows.select("cloud", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("right"), "id", "label", "set")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = rows.repartition(parts, "cloud", "x", "y").sortWithinPartitions("cloud", "x", "y", "right")
+    return written(pairs.mapInArrow(_links_of_blocks, "a long, b long"), "links")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,9 +327,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         same = docs[id_col] == several["__tidemark_several"]
         apart = docs.join(several, same, "left_semi")
         return drop_near_duplicates(docs.join(several, same, "left_anti"), id_col, text_col).unionByName(apart)
-    kept = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__tidemark_kept")).distinct()
-    from pyspark.sql import Window
-
-    first = Window.partitionBy(id_col).orderBy(id_col)
-    both = docs.join(kept, docs[id_col].eqNullSafe(kept["__tidemark_kept"]), "left_semi")
-    return both.withColumn("__tidemark_nth", F.row_number().over(first)).filter("__tidemark_nth = 1 OR doc_id IS NULL".replace("doc_id", id_col)).drop("__tidemark_nth")
+    near = near_duplicates(docs, id_col, text_col)
+    dropped = near.filter("NOT kept").select(F.col(id_col).alias("id")).distinct()
+    return first_of_repeats(without(docs, dropped, id_col), id_col)

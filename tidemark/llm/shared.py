@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Spark's setting that removes shuffle files at the end of the query that wrote them, not when the driver next collects garbage.
@@ -42,6 +42,29 @@ def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
+def without(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id isn't among ids (id, each once), those without an id too. Texts stay where they are as in only."""
+    ids = written(ids.select(F.col("id").alias("__tidemark_out")), "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, rows[id_col] == ids["__tidemark_out"], "left_anti")
+
+
+def first_of_repeats(rows: DataFrame, key: str, order: Column | None = None) -> DataFrame:
+    """One row of those that share a key, the first by order; rows without a key all stay.
+
+    Only keys are shuffled to find those that repeat, and only the rows of these are put in order; each task sends one row of a key.
+    """
+    several = rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__tidemark_several")).count().filter("count > 1").select("__tidemark_several")
+    several = written(several, "repeats")
+    n = several.count()
+    if not n:
+        return rows
+    ids = F.broadcast(several) if n <= BROADCAST_IDS // 8 else several
+    same = rows[key] == several["__tidemark_several"]
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.col(key) if order is None else order))
+    firsts = rows.join(ids, same, "left_semi").withColumn("__tidemark_nth", nth).filter("__tidemark_nth = 1").drop("__tidemark_nth")
+    return rows.join(ids, same, "left_anti").union(firsts)
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
