@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.reconcile import COLUMNS
+from tidemark.operators.reconcile import COLUMNS, PHASES
 
 
 def roles(plan: DataFrame, cached: DataFrame, orphans: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def roles(plan: DataFrame, cached: DataFrame, orphans: DataFrame) -> DataFrame:
     the mailbox's end makes it needless. An action that goes from one orphan into another counts for the one it goes into."""
     where = cached.select("email_id", F.col("mailbox_id").alias("_home")).dropDuplicates(["email_id"])
     rows = plan.join(where, "email_id", "left")
-    o = F.broadcast(orphans.select("mailbox_id").distinct())
+    o = orphans.select("mailbox_id").distinct()
     rows = rows.join(o.withColumnRenamed("mailbox_id", "_to"), F.col("target") == F.col("_to"), "left").join(o.withColumnRenamed("mailbox_id", "_at"), F.col("_home") == F.col("_at"), "left")
     into = F.col("_to").isNotNull() & F.col("kind").isin("upload", "move_remote", "adopt")
     changed = F.col("_at").isNotNull() & (F.col("kind") == "update_remote_flags")
@@ -22,35 +22,41 @@ def roles(plan: DataFrame, cached: DataFrame, orphans: DataFrame) -> DataFrame:
     return rows.select(*COLUMNS, F.when(into, F.col("_to")).when(changed | needless, F.col("_at")).alias("orphan"), role.alias("role"))
 
 
-def settle_local(plan: DataFrame, cached: DataFrame, orphans: DataFrame, winner: str) -> DataFrame:
-    """(kind, email_id, maildir_id, source, target) after the mailboxes of orphans, which the server deleted, are settled.
+def _of(kind: str) -> tuple[Column, Column]:
+    return F.lit(PHASES[kind]), F.lit(kind)
+
+
+def settle_local(plan: DataFrame, cached: DataFrame, orphans: DataFrame, winner: str, files: DataFrame | None = None, largest: int = 0) -> DataFrame:
+    """(phase, kind, email_id, maildir_id, source, target) after the mailboxes of orphans, which the server deleted, are settled.
 
     Without a blocker the folder goes, with its moot actions. With one, if the server wins, its blockers go as well and files moved
-    in go back; if the local side wins, the mailbox is made anew.
+    in go back; if the local side wins, the mailbox is made anew, and gets the files (as in resurrected) that are in its folder.
     """
     tagged = roles(plan, cached, orphans)
     blocked = tagged.filter("role = 'blocker'").select(F.col("orphan").alias("mailbox_id")).distinct()
-    short = ["kind", "email_id", "maildir_id", "source", "target"]
+    short = ["phase", "kind", "email_id", "maildir_id", "source", "target"]
     null = F.lit(None).cast("string")
     kept = tagged.filter("role IS NULL").select(*short)
     gone = orphans.select("mailbox_id").distinct()
     if winner == "server":
-        back = tagged.filter("role = 'blocker' AND kind = 'move_remote'").select(F.lit("move_local"), "email_id", "maildir_id", F.col("target"), F.col("source"))
-        return kept.union(back).union(gone.select(F.lit("delete_local_folder"), null, null, "mailbox_id", null))
-    made = blocked.select(F.lit("create_remote_mailbox"), null, null, null, "mailbox_id")
-    return kept.union(gone.join(blocked, "mailbox_id", "left_anti").select(F.lit("delete_local_folder"), null, null, "mailbox_id", null)).union(made)
+        back = tagged.filter("role = 'blocker' AND kind = 'move_remote'").select(*_of("move_local"), "email_id", "maildir_id", F.col("target"), F.col("source"))
+        return kept.union(back).union(gone.select(*_of("delete_local_folder"), null, null, "mailbox_id", null))
+    made = blocked.select(*_of("create_remote_mailbox"), null, null, null, "mailbox_id")
+    if files is not None:
+        made = made.union(resurrected(blocked, files, largest).filter("kind = 'upload'").select(*_of("upload"), null, "maildir_id", null, "mailbox_id"))
+    return kept.union(gone.join(blocked, "mailbox_id", "left_anti").select(*_of("delete_local_folder"), null, null, "mailbox_id", null)).union(made)
 
 
 def settle_remote(plan: DataFrame, orphans: DataFrame) -> DataFrame:
-    """(kind, email_id, maildir_id, source, target) after mailboxes whose folders were deleted here are settled: mails that the server
+    """(phase, kind, email_id, maildir_id, source, target) after mailboxes whose folders were deleted here are settled: mails that the server
     moved in from a mailbox that isn't an orphan go back, other actions into them go, and the mailboxes are destroyed."""
-    o = F.broadcast(orphans.select(F.col("mailbox_id").alias("target"), F.lit(True).alias("_o")).distinct())
-    short = ["kind", "email_id", "maildir_id", "source", "target"]
+    o = orphans.select(F.col("mailbox_id").alias("target"), F.lit(True).alias("_o")).distinct()
+    short = ["phase", "kind", "email_id", "maildir_id", "source", "target"]
     rows = plan.select(*short).join(o, "target", "left").select(*short, "_o")
     live = rows.filter("_o AND kind = 'move_local'").join(orphans.select(F.col("mailbox_id").alias("source")), "source", "left_anti")
-    back = live.select(F.lit("move_remote"), "email_id", "maildir_id", F.col("target"), F.col("source"))
+    back = live.select(*_of("move_remote"), "email_id", "maildir_id", F.col("target"), F.col("source"))
     null = F.lit(None).cast("string")
-    return rows.filter("_o IS NULL").select(*short).union(back).union(orphans.select(F.lit("destroy_remote_mailbox"), null, null, "mailbox_id", null).distinct())
+    return rows.filter("_o IS NULL").select(*short).union(back).union(orphans.select(*_of("destroy_remote_mailbox"), null, null, "mailbox_id", null).distinct())
 
 
 def resurrected(orphans: DataFrame, files: DataFrame, largest: int) -> DataFrame:

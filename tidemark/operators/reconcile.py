@@ -1,7 +1,7 @@
 """Three-way reconciliation of a remote, a cached and a local view of messages into a plan of actions.
 
-Each stage is a DataFrame from earlier ones; what one stage settles is anti-joined away by the next. Where several
-rows would do, the smallest id wins. Rows:
+The three views meet once, in two full outer joins; what was found of each message is a table, from which every stage is a filter.
+Only what changed is matched by message id. Where several rows would do, the smallest id wins. Rows:
 remote (email_id, message_id, mailbox_id, flags, size), cached (email_id, message_id, mailbox_id, maildir_id, flags),
 local (maildir_id, message_id, mailbox_id, flags, size). A plan has (phase, kind, email_id, maildir_id, source, target, flags).
 """
@@ -14,25 +14,46 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The order in which kinds of actions are carried out.
-PHASES = {"move_remote": 1, "adopt": 2, "download": 3, "move_local": 4, "update_local_flags": 5, "delete_local": 6, "upload": 7, "update_remote_flags": 8, "destroy_remote": 9}
+from tidemark.sources.shared import written
+
+#: The order in which kinds of actions are carried out; adoptions of moved files wait for the server's answer.
+PHASES = {
+    "create_local_mailbox": 1, "rename_local_mailbox": 2, "adopt": 3, "download": 4, "update_local_flags": 5, "move_local": 6, "delete_local": 7, "delete_local_folder": 8,
+    "create_remote_mailbox": 9, "rename_remote_mailbox": 10, "upload": 11, "update_remote_flags": 12, "move_remote": 13, "destroy_remote": 14, "destroy_remote_mailbox": 15, "adopt_moved": 16,
+}
 COLUMNS = ("phase", "kind", "email_id", "maildir_id", "source", "target", "flags")
 
 
 @dataclass(frozen=True)
 class Policy:
-    """Who wins a conflict ('server' or 'local'), whether remote has all messages, the largest upload, and the messages to destroy."""
+    """Who wins a conflict ('server' or 'local'), whether remote has all messages, the largest upload, and which deleted
+    mailboxes the other side deletes as well ('none', 'local', 'remote' or 'both': folders here, mailboxes there)."""
 
     winner: str = "server"
     full: bool = True
     largest: int = 100 * 1024 * 1024
+    deletes: str = "none"
+
+
+def _null(kind: str = "string") -> Column:
+    return F.lit(None).cast(kind)
+
 
+def act(kind: str, email: str | Column | None = None, maildir: str | Column | None = None, source: str | Column | None = None, target: str | Column | None = None, flags: str | Column | None = None) -> Column:
+    """An action as a struct of COLUMNS. Kind adopt_moved is an adoption in a later phase."""
+    of = lambda c: _null() if c is None else F.col(c) if isinstance(c, str) else c
+    return F.struct(F.lit(PHASES[kind]).alias("phase"), F.lit("adopt" if kind == "adopt_moved" else kind).alias("kind"), *[of(c).alias(n) for n, c in zip(COLUMNS[2:], (email, maildir, source, target, flags), strict=True)])
 
-def action(df: DataFrame, kind: str, email: str | Column | None = None, maildir: str | Column | None = None, source: str | Column | None = None, target: str | Column | None = None, flags: str | Column | None = None) -> DataFrame:
-    def of(c: str | Column | None) -> Column:
-        return F.lit(None).cast("string") if c is None else (F.col(c) if isinstance(c, str) else c)
 
-    return df.select(F.lit(PHASES[kind]).alias("phase"), F.lit(kind).alias("kind"), *[of(c).alias(n) for n, c in zip(COLUMNS[2:], (email, maildir, source, target, flags), strict=True)])
+def acts(df: DataFrame, *actions: tuple[Column, Column]) -> DataFrame:
+    """A plan of the actions (condition, action) that hold for each row of df, in one pass."""
+    found = F.array_compact(F.array(*[F.when(when, action) for when, action in actions]))
+    return df.select(F.explode(found).alias("_a")).select("_a.*")
+
+
+def first_of(df: DataFrame, keys: list[str], by: str, *columns: str) -> DataFrame:
+    """(keys, x) with the struct x of columns of the row with the smallest by: an aggregate, so that no group is in one place."""
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*columns), by).alias("x"))
 
 
 def local_changes(local: DataFrame, cached: DataFrame) -> DataFrame:
@@ -40,154 +61,296 @@ def local_changes(local: DataFrame, cached: DataFrame) -> DataFrame:
 
     A file that is known from another mailbox is new where it is; files without a message id have no anchor and are left out as new ones.
     """
-    known = cached.filter("maildir_id IS NOT NULL").select("maildir_id", F.col("mailbox_id").alias("_box"), F.col("flags").alias("old_flags"))
-    seen = local.join(known, "maildir_id", "left")
-    same = F.col("_box") == F.col("mailbox_id")
-    kind = F.when(~F.coalesce(same, F.lit(False)) & F.col("message_id").isNotNull(), "new").when(same & (F.col("old_flags") != F.col("flags")), "flags")
-    found = seen.select(kind.alias("kind"), "maildir_id", "message_id", "mailbox_id", F.when(kind == "flags", F.col("old_flags")).alias("old_flags"), F.col("flags").alias("new_flags"), "size").filter("kind IS NOT NULL")
-    gone = cached.filter("maildir_id IS NOT NULL").join(local, "maildir_id", "left_anti")
-    null = F.lit(None)
-    return found.union(gone.select(F.lit("deleted"), "maildir_id", "message_id", "mailbox_id", F.col("flags"), null.cast("string"), null.cast("bigint")))
+    known = cached.filter("maildir_id IS NOT NULL").select("maildir_id", F.col("message_id").alias("_mid"), F.col("mailbox_id").alias("_box"), F.col("flags").alias("old_flags"), F.lit(True).alias("_known"))
+    here = local.select("maildir_id", "message_id", "mailbox_id", F.col("flags").alias("new_flags"), "size", F.lit(True).alias("_here"))
+    both = here.join(known, "maildir_id", "full")
+    same = F.coalesce(F.col("_box") == F.col("mailbox_id"), F.lit(False))
+    kind = F.when(F.col("_here").isNull(), "deleted").when(~same & F.col("message_id").isNotNull(), "new").when(same & (F.col("old_flags") != F.col("new_flags")), "flags")
+    gone = kind == "deleted"
+    return both.select(
+        kind.alias("kind"), "maildir_id", F.when(gone, F.col("_mid")).otherwise(F.col("message_id")).alias("message_id"), F.when(gone, F.col("_box")).otherwise(F.col("mailbox_id")).alias("mailbox_id"),
+        F.when(kind != "new", F.col("old_flags")).alias("old_flags"), "new_flags", "size",
+    ).filter("kind IS NOT NULL")
 
 
 @dataclass
 class Sides:
-    """The three views, and what follows from them for all stages."""
+    """The three views, and what follows from them for all stages.
+
+    live (mailbox_id): mailboxes that take part; None: all. destroyed_ids (email_id): what the server said is gone, where remote hasn't all messages.
+    """
 
     remote: DataFrame
     cached: DataFrame
     local: DataFrame
     policy: Policy
+    live: DataFrame | None = None
+    destroyed_ids: DataFrame | None = None
 
-    def __post_init__(self) -> None:
-        c = self.cached
-        self.changes = local_changes(self.local, c).persist()
-        self.known = self.remote.join(c.select("email_id", F.col("mailbox_id").alias("old_box"), "maildir_id", F.col("flags").alias("old_flags")), "email_id")
-        self.unknown = self.remote.join(c, "email_id", "left_anti")
-        self.destroyed = c.join(self.remote, "email_id", "left_anti") if self.policy.full else c.filter("false")
-        self.deletes = self.changes.filter("kind = 'deleted'").join(c.select("maildir_id", "email_id"), "maildir_id")
-        self.flagged = self.changes.filter("kind = 'flags'").join(c.select("maildir_id", "email_id"), "maildir_id")
-        self.new = self.changes.filter("kind = 'new'")
-        self.server_flags = self.known.filter(F.col("flags") != F.col("old_flags"))
+    @functools.cached_property
+    def messages(self) -> DataFrame:
+        """A row for each message or file, with what each view has of it (r_, c_, l_) and what that means.
+
+        dead: destroyed on the server; file_gone: its file is; reflagged: its file's flags changed; fresh: a file that is new where it is.
+        """
+        pick = lambda df, p, *names: df.select(F.lit(True).alias(p), *[F.col(a).alias(b) for a, b in names])
+        r = pick(self.remote, "r", ("email_id", "email_id"), ("message_id", "r_mid"), ("mailbox_id", "r_box"), ("flags", "r_flags"))
+        c = pick(self.cached, "c", ("email_id", "email_id"), ("message_id", "c_mid"), ("mailbox_id", "c_box"), ("maildir_id", "maildir_id"), ("flags", "c_flags"))
+        f = pick(self.local, "l", ("maildir_id", "maildir_id"), ("message_id", "l_mid"), ("mailbox_id", "l_box"), ("flags", "l_flags"), ("size", "size"))
+        rows = c.join(r, "email_id", "full")
+        if self.policy.full:
+            rows = rows.withColumn("dead", F.col("c").isNotNull() & F.col("r").isNull())
+        elif self.destroyed_ids is not None:
+            rows = rows.join(self.destroyed_ids.select("email_id", F.lit(True).alias("_d")).distinct(), "email_id", "left").withColumn("dead", F.col("c").isNotNull() & F.col("_d").isNotNull()).drop("_d")
+        else:
+            rows = rows.withColumn("dead", F.lit(False))
+        rows = rows.join(f, "maildir_id", "full")
+        for p in ("r", "c"):
+            if self.live is None:
+                rows = rows.withColumn(f"{p}_live", F.lit(True))
+            else:
+                rows = rows.join(self.live.select(F.col("mailbox_id").alias(f"{p}_box"), F.lit(True).alias(f"{p}_live")).distinct(), f"{p}_box", "left")
+        has = {p: F.coalesce(p, F.lit(False)) for p in ("r", "c", "l", "r_live", "c_live", "dead")}
+        rows = rows.select("email_id", "maildir_id", "r_mid", "r_box", "r_flags", "c_mid", "c_box", "c_flags", "l_mid", "l_box", "l_flags", "size", *[v.alias(k) for k, v in has.items()])
+        same = F.coalesce(F.col("c_box") == F.col("l_box"), F.lit(False))
+        rows = rows.withColumn("file_gone", F.col("c") & ~F.col("l") & F.col("maildir_id").isNotNull())
+        rows = rows.withColumn("reflagged", F.col("l") & same & F.coalesce(F.col("c_flags") != F.col("l_flags"), F.lit(False)))
+        return written(rows.withColumn("fresh", F.col("l") & ~same & F.col("l_mid").isNotNull()), "messages")
+
+    @property
+    def changes(self) -> DataFrame:
+        return local_changes(self.local, self.cached)
+
+    def _known(self) -> DataFrame:
+        return self.messages.filter("r AND c AND r_live")
+
+    @property
+    def known(self) -> DataFrame:
+        """Messages of the server that the cache has: its row, and old_box, maildir_id and old_flags of the cache's."""
+        return self._known().select("email_id", F.col("r_mid").alias("message_id"), F.col("r_box").alias("mailbox_id"), F.col("r_flags").alias("flags"), F.col("c_box").alias("old_box"), "maildir_id", F.col("c_flags").alias("old_flags"))
+
+    @property
+    def unknown(self) -> DataFrame:
+        return self.messages.filter("r AND NOT c").select("email_id", F.col("r_mid").alias("message_id"), F.col("r_box").alias("mailbox_id"), F.col("r_flags").alias("flags"))
+
+    @property
+    def destroyed(self) -> DataFrame:
+        return self.messages.filter("dead").select("email_id", F.col("c_mid").alias("message_id"), F.col("c_box").alias("mailbox_id"), "maildir_id", F.col("c_flags").alias("flags"))
+
+    @property
+    def flagged(self) -> DataFrame:
+        return self.messages.filter("reflagged").select("email_id", "maildir_id", F.col("l_flags").alias("new_flags"))
+
+    @property
+    def server_flags(self) -> DataFrame:
+        return self.known.filter("flags <> old_flags")
+
+    @functools.cached_property
+    def _moves(self) -> DataFrame:
+        new = first_of(self.messages.filter("fresh"), ["l_mid"], "maildir_id", "maildir_id", "l_box", "l_flags").withColumnRenamed("x", "n")
+        gone = first_of(self.messages.filter("file_gone AND NOT dead AND c_mid IS NOT NULL"), ["c_mid"], "email_id", "email_id", "c_box", "c_flags").withColumnRenamed("x", "g")
+        both = gone.join(new, F.col("c_mid") == F.col("l_mid")).filter("g.c_box <> n.l_box")
+        return written(both.select("g.email_id", "n.maildir_id", F.col("g.c_box").alias("from_box"), F.col("n.l_box").alias("to_box"), F.col("g.c_flags").alias("old_flags"), F.col("n.l_flags").alias("flags")), "moves")
 
     def moves(self) -> DataFrame:
+        """(email_id, maildir_id, from_box, to_box, old_flags, flags): a gone file whose message is new in another mailbox. Each side takes part once."""
         return self._moves
 
-    def adoptions(self) -> DataFrame:
-        return self._adoptions
+    def _new_files(self) -> DataFrame:
+        return self.messages.filter("fresh").select("maildir_id", "l_mid", "l_box", "l_flags", "size").join(self.moves().select("maildir_id"), "maildir_id", "left_anti")
 
-    def release(self) -> None:
-        """Gives up the stages that several others read, which are kept in memory and on disk from their first use."""
-        for df in (self.changes, self._moves, self._adoptions):
-            df.unpersist()
+    @functools.cached_property
+    def _arrivals(self) -> DataFrame:
+        mails = self.messages.filter("r AND NOT c AND r_live AND r_mid IS NOT NULL").select("email_id", F.col("r_mid").alias("mid"), F.col("r_box").alias("box"), F.col("r_flags").alias("flags"))
+        file_flags = F.coalesce("l_flags", "c_flags").alias("had")
+        bound = self.messages.filter("c AND maildir_id IS NOT NULL").select(F.col("c_mid").alias("mid"), F.col("c_box").alias("box"), F.col("email_id").alias("old"), F.col("maildir_id").alias("file"), file_flags, "dead")
+        bound = first_of(bound, ["mid", "box"], "old", "old", "file", "had", "dead").withColumnRenamed("x", "b")
+        files = first_of(self._new_files().select(F.col("l_mid").alias("mid"), F.col("l_box").alias("box"), "maildir_id", "l_flags"), ["mid", "box"], "maildir_id", "maildir_id", "l_flags").withColumnRenamed("x", "f")
+        first = mails.groupBy("mid", "box").agg(F.min("email_id").alias("first"))
+        rows = mails.join(first, ["mid", "box"]).join(bound, ["mid", "box"], "left").join(files, ["mid", "box"], "left")
+        b, f = F.col("b").isNotNull(), F.col("f").isNotNull()
+        fate = F.when(b & ~F.col("b.dead"), "alive").when((b | f) & (F.col("email_id") != F.col("first")), "claimed").when(b, "rebind").when(f, "adopt").otherwise("download")
+        took = fate.isin("rebind", "adopt")
+        return written(rows.select(
+            "email_id", F.col("mid").alias("message_id"), F.col("box").alias("mailbox_id"), "flags", fate.alias("fate"),
+            F.when(took, F.coalesce("b.file", "f.maildir_id")).alias("maildir_id"), F.when(took, F.when(b, F.col("b.had")).otherwise(F.col("f.l_flags"))).alias("file_flags"), F.when(fate == "rebind", F.col("b.old")).alias("old_email"),
+        ), "arrivals")
+
+    def arrivals(self) -> DataFrame:
+        """(email_id, message_id, mailbox_id, flags, fate, maildir_id, file_flags, old_email) of messages that the cache doesn't know.
+
+        rebind: the cache has the message in that mailbox under an id that is destroyed, and its file goes to the new id; alive: that id
+        is alive or may be, so that this is a duplicate; adopt: a new file there has the message; claimed: another id got that file;
+        download: nothing of it is here. Messages without a message id have no anchor and no row.
+        """
+        return self._arrivals
+
+    def adoptions(self) -> DataFrame:
+        """(email_id, maildir_id, mailbox_id, flags, file_flags): new messages of the server whose file is here, one to one by smallest ids."""
+        return self.arrivals().filter("fate IN ('adopt', 'rebind')").select("email_id", "maildir_id", "mailbox_id", "flags", "file_flags")
 
     @functools.cached_property
-    def _moves(self) -> DataFrame:
-        """(email_id, maildir_id, from_box, to_box, old_flags, flags): a gone file whose message is new in another mailbox. Each side takes part once."""
-        new = self.new.groupBy("message_id").agg(F.min_by(F.struct("maildir_id", "mailbox_id", "new_flags"), "maildir_id").alias("n"))
-        gone = self.deletes.join(self.destroyed, "email_id", "left_anti").groupBy("message_id").agg(F.min_by(F.struct("email_id", "mailbox_id", "old_flags"), "email_id").alias("g"))
-        both = gone.join(new, "message_id").filter("g.mailbox_id <> n.mailbox_id")
-        both = both.select("g.email_id", "n.maildir_id", F.col("g.mailbox_id").alias("from_box"), F.col("n.mailbox_id").alias("to_box"), F.col("g.old_flags").alias("old_flags"), F.col("n.new_flags").alias("flags"))
-        return both.persist()
+    def _new(self) -> DataFrame:
+        files = self._new_files().join(self.arrivals().filter("fate = 'adopt'").select("maildir_id"), "maildir_id", "left_anti").withColumnsRenamed({"l_mid": "mid", "l_box": "box"})
+        rows = self.messages.filter("c").select(F.col("c_mid").alias("mid"), F.col("c_box").alias("box"), "email_id", "c_flags", "maildir_id")
+        known = first_of(rows, ["mid", "box"], "email_id", "email_id", "c_flags").withColumnRenamed("x", "k")
+        other = rows.filter("maildir_id IS NOT NULL").groupBy("mid").agg(F.min("email_id").alias("other"))
+        first = files.groupBy("mid", "box").agg(F.min("maildir_id").alias("first"))
+        both = files.join(first, ["mid", "box"]).join(known, ["mid", "box"], "left").join(other, "mid", "left")
+        k = F.col("k").isNotNull()
+        fate = F.when(k & (F.col("maildir_id") == F.col("first")), "adopt").when(k, "claimed").when(F.col("other").isNotNull(), "elsewhere").when(F.col("size") > self.policy.largest, "too large").otherwise("upload")
+        return written(both.select("maildir_id", F.col("mid").alias("message_id"), F.col("box").alias("mailbox_id"), F.col("l_flags").alias("file_flags"), fate.alias("fate"), F.when(fate == "adopt", F.col("k.email_id")).alias("email_id"), F.col("k.c_flags").alias("flags")), "new-files")
+
+    def new_files(self) -> DataFrame:
+        """(maildir_id, message_id, mailbox_id, file_flags, fate, email_id, flags) of new files that are no moves and no arrival's.
+
+        adopt: the cache has the message in that mailbox, and the file becomes its; claimed: another file became that; elsewhere: a
+        message of another mailbox has a file with that id; too large; upload.
+        """
+        return self._new
+
+    def _left(self) -> DataFrame:
+        """Messages whose files were deleted here, but for moves and files that came again."""
+        gone = self.messages.filter("file_gone AND NOT dead").join(self.moves().select("email_id"), "email_id", "left_anti")
+        return gone.join(self.new_files().filter("fate = 'adopt'").select("email_id"), "email_id", "left_anti")
+
+    #: Whether the server changed a message that both have.
+    _CHANGED = "r AND r_live AND (r_flags <> c_flags OR r_box <> c_box)"
 
     def delete_conflicts(self) -> DataFrame:
         """Files deleted here whose message the server changed (flags or mailbox)."""
-        moved = self.moves().select("email_id")
-        changed = self.known.filter((F.col("flags") != F.col("old_flags")) | (F.col("mailbox_id") != F.col("old_box")))
-        return changed.join(self.deletes.select("email_id"), "email_id", "left_semi").join(moved, "email_id", "left_anti")
+        rows = self._left().filter(self._CHANGED)
+        return rows.select("email_id", F.col("r_mid").alias("message_id"), F.col("r_box").alias("mailbox_id"), F.col("r_flags").alias("flags"), F.col("c_box").alias("old_box"), "maildir_id", F.col("c_flags").alias("old_flags"))
+
+    def _server_wins(self) -> Column:
+        return F.lit(self.policy.winner == "server")
+
+    def _adopted_flags(self, rows: DataFrame) -> DataFrame:
+        """What brings the flags of an adopted file and of its message together."""
+        differ = F.coalesce(F.col("flags") != F.col("file_flags"), F.lit(False))
+        return acts(rows, (differ & self._server_wins(), act("update_local_flags", "email_id", "maildir_id", flags="flags")), (differ & ~self._server_wins(), act("update_remote_flags", "email_id", "maildir_id", flags="file_flags")))
+
+    def _settled(self) -> DataFrame:
+        """Actions that follow from a message's row alone."""
+        server = F.col("r") & F.col("c") & F.col("r_live")
+        moved, flags = server & (F.col("r_box") != F.col("c_box")), server & (F.col("r_flags") != F.col("c_flags"))
+        file = F.col("maildir_id").isNotNull() & ~F.col("file_gone")
+        here = F.col("reflagged") & ~F.col("dead")
+        pull = flags & file if self.policy.winner == "server" else flags & file & ~F.col("reflagged")
+        push = here & ~F.coalesce(flags, F.lit(False)) if self.policy.winner == "server" else here
+        return acts(
+            self.messages.filter("c"), (moved & file & F.col("c_live"), act("move_local", "email_id", "maildir_id", "c_box", "r_box")), (pull, act("update_local_flags", "email_id", "maildir_id", flags="r_flags")),
+            (push, act("update_remote_flags", "email_id", "maildir_id", flags="l_flags")),
+        )
+
+    def _deletes(self) -> DataFrame:
+        """Files of messages that the server destroyed, unless they are gone or were given to another id."""
+        rows = self.messages.filter("dead AND maildir_id IS NOT NULL AND NOT file_gone AND c_live")
+        rows = rows.join(self.arrivals().filter("fate = 'rebind'").select(F.col("old_email").alias("email_id")), "email_id", "left_anti")
+        return acts(rows, (F.lit(True), act("delete_local", "email_id", "maildir_id", "c_box")))
+
+    def _departures(self) -> DataFrame:
+        restored = F.expr(self._CHANGED) & self._server_wins()
+        return acts(self._left(), (restored, act("download", "email_id", target="r_box", flags="r_flags")), (~F.coalesce(restored, F.lit(False)), act("destroy_remote", "email_id", "maildir_id", "c_box")))
+
+    def _arrived(self) -> DataFrame:
+        taken = F.col("fate").isin("adopt", "rebind")
+        rows = self.arrivals()
+        out = acts(rows, (F.col("fate") == "download", act("download", "email_id", target="mailbox_id", flags="flags")), (taken, act("adopt", "email_id", "maildir_id", "old_email", "mailbox_id")))
+        return out.union(self._adopted_flags(rows.filter(taken)))
+
+    def _uploaded(self) -> DataFrame:
+        rows = self.new_files()
+        out = acts(rows, (F.col("fate") == "upload", act("upload", maildir="maildir_id", target="mailbox_id", flags="file_flags")), (F.col("fate") == "adopt", act("adopt", "email_id", "maildir_id", target="mailbox_id")))
+        return out.union(self._adopted_flags(rows.filter("fate = 'adopt'")))
+
+    def _moved(self) -> DataFrame:
+        return acts(
+            self.moves(), (F.lit(True), act("move_remote", "email_id", "maildir_id", "from_box", "to_box")), (F.lit(True), act("adopt_moved", "email_id", "maildir_id", target="to_box")),
+            (F.col("flags") != F.col("old_flags"), act("update_remote_flags", "email_id", "maildir_id", flags="flags")),
+        )
 
-    def overruled(self) -> DataFrame:
-        return self.delete_conflicts().select("email_id") if self.policy.winner == "server" else self.cached.filter("false").select("email_id")
+    def plan(self) -> DataFrame:
+        out = self._settled()
+        for part in (self._deletes(), self._departures(), self._arrived(), self._uploaded(), self._moved()):
+            out = out.union(part)
+        return out
 
-    @functools.cached_property
-    def _adoptions(self) -> DataFrame:
-        """(email_id, maildir_id, mailbox_id, flags, file_flags): new messages of the server whose file is new here in the same mailbox, one to one by smallest ids."""
-        files = self.new.join(self.moves().select("maildir_id"), "maildir_id", "left_anti")
-        files = files.groupBy("message_id", "mailbox_id").agg(F.min_by(F.struct("maildir_id", "new_flags"), "maildir_id").alias("f"))
-        mails = self.unknown.groupBy("message_id", "mailbox_id").agg(F.min_by(F.struct("email_id", "flags"), "email_id").alias("e"))
-        both = mails.join(files, ["message_id", "mailbox_id"])
-        return both.select("e.email_id", "f.maildir_id", "mailbox_id", F.col("e.flags").alias("flags"), F.col("f.new_flags").alias("file_flags")).persist()
+    def of_kind(self, kind: str) -> DataFrame:
+        return self.plan().filter(F.col("kind") == kind)
 
     def downloads(self) -> DataFrame:
-        fresh = self.unknown.filter("message_id IS NOT NULL").join(self.adoptions().select("email_id"), "email_id", "left_anti")
-        out = action(fresh, "download", "email_id", target="mailbox_id", flags="flags")
-        if self.policy.winner == "server":
-            out = out.union(action(self.delete_conflicts(), "download", "email_id", target="mailbox_id", flags="flags"))
-        return out
+        return self.of_kind("download")
 
     def local_moves(self) -> DataFrame:
-        rows = self.known.filter((F.col("mailbox_id") != F.col("old_box")) & F.col("maildir_id").isNotNull())
-        rows = rows.join(self.deletes.select("email_id"), "email_id", "left_anti")
-        return action(rows, "move_local", "email_id", "maildir_id", "old_box", "mailbox_id")
+        return self.of_kind("move_local")
 
     def local_flag_updates(self) -> DataFrame:
         """Server's flags that go to files; where the file's changed as well, only if the server wins."""
-        rows = self.server_flags.filter("maildir_id IS NOT NULL").join(self.deletes.select("email_id"), "email_id", "left_anti")
-        if self.policy.winner != "server":
-            rows = rows.join(self.flagged.select("email_id"), "email_id", "left_anti")
-        rows = rows.select("email_id", "maildir_id", "flags").union(self.adoptions().filter((F.col("flags") != F.col("file_flags")) & F.lit(self.policy.winner == "server")).select("email_id", "maildir_id", "flags"))
-        return action(rows, "update_local_flags", "email_id", "maildir_id", flags="flags")
+        return self.of_kind("update_local_flags")
 
     def remote_flag_updates(self) -> DataFrame:
-        rows = self.flagged.join(self.destroyed, "email_id", "left_anti")
-        if self.policy.winner == "server":
-            rows = rows.join(self.server_flags, "email_id", "left_anti")
-        rows = rows.select("email_id", "maildir_id", F.col("new_flags").alias("flags"))
-        rows = rows.union(self.moves().filter("flags <> old_flags").select("email_id", "maildir_id", "flags"))
-        rows = rows.union(self.adoptions().filter((F.col("flags") != F.col("file_flags")) & F.lit(self.policy.winner != "server")).select("email_id", "maildir_id", F.col("file_flags").alias("flags")))
-        return action(rows, "update_remote_flags", "email_id", "maildir_id", flags="flags")
+        return self.of_kind("update_remote_flags")
 
     def local_deletes(self) -> DataFrame:
-        """Files of messages that the server destroyed, unless they are gone or adopted for another message."""
-        rows = self.destroyed.filter("maildir_id IS NOT NULL").join(self.deletes.select("maildir_id"), "maildir_id", "left_anti")
-        return action(rows, "delete_local", "email_id", "maildir_id", "mailbox_id")
+        return self.of_kind("delete_local")
 
     def uploads(self) -> DataFrame:
-        """New files of no message of the server in any mailbox, within the size limit."""
-        rows = self.new.join(self.moves().select("maildir_id"), "maildir_id", "left_anti").join(self.adoptions().select("maildir_id"), "maildir_id", "left_anti")
-        rows = rows.join(self.remote.select("message_id"), "message_id", "left_anti").filter(F.col("size") <= self.policy.largest)
-        return action(rows, "upload", maildir="maildir_id", target="mailbox_id", flags="new_flags")
+        return self.of_kind("upload")
 
     def remote_destroys(self) -> DataFrame:
-        rows = self.deletes
-        for settled in (self.destroyed, self.overruled(), self.moves()):
-            rows = rows.join(settled.select("email_id"), "email_id", "left_anti")
-        return action(rows, "destroy_remote", "email_id", "maildir_id", "mailbox_id")
+        return self.of_kind("destroy_remote")
+
+    def skips(self) -> DataFrame:
+        """(email_id, maildir_id, reason) of messages and files that the plan leaves alone though they are new."""
+        mails = self.messages.filter("r AND NOT (c AND r_live)").filter("NOT r_live OR r_mid IS NULL")
+        out = mails.select("email_id", _null().alias("maildir_id"), F.when(~F.col("r_live"), "not synced").otherwise("no message id").alias("reason"))
+        out = out.union(self.arrivals().filter("fate IN ('alive', 'claimed')").select("email_id", _null(), F.concat(F.lit("duplicate: "), "fate")))
+        return out.union(self.new_files().filter("fate IN ('claimed', 'elsewhere', 'too large')").select(_null(), "maildir_id", F.when(F.col("fate") == "too large", "too large").otherwise(F.concat(F.lit("duplicate: "), "fate"))))
+
+
+#: Kinds that change the server, and kinds that change the tree of mailboxes.
+REMOTE_KINDS = ("move_remote", "upload", "update_remote_flags", "destroy_remote", "create_remote_mailbox", "rename_remote_mailbox", "destroy_remote_mailbox")
+STRUCTURAL_KINDS = ("create_local_mailbox", "rename_local_mailbox", "delete_local_folder", "create_remote_mailbox", "rename_remote_mailbox", "destroy_remote_mailbox")
 
-    def plan(self) -> DataFrame:
-        moves = self.moves()
-        parts = [
-            action(moves, "move_remote", "email_id", "maildir_id", "from_box", "to_box"), action(moves, "adopt", "email_id", "maildir_id", target="to_box"),
-            action(self.adoptions(), "adopt", "email_id", "maildir_id", target="mailbox_id"), self.downloads(), self.local_moves(), self.local_flag_updates(),
-            self.local_deletes(), self.uploads(), self.remote_flag_updates(), self.remote_destroys(),
-        ]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.union(p)
-        return out
+
+def with_direction(plan: DataFrame, direction: str) -> DataFrame:
+    """plan with kept: whether a one-way run carries the action out. 'pull' changes the disk, 'push' the server; adoptions are kept in both."""
+    remote = F.col("kind").isin(*REMOTE_KINDS)
+    return plan.withColumn("kept", (F.col("kind") == "adopt") | (remote if direction == "push" else ~remote))
 
 
 def keep_direction(plan: DataFrame, direction: str) -> DataFrame:
-    """The actions of a one-way run: 'pull' changes the disk, 'push' the server; adoptions stay in both."""
-    remote = F.col("kind").isin("move_remote", "upload", "update_remote_flags", "destroy_remote")
-    return plan.filter((F.col("kind") == "adopt") | (remote if direction == "push" else ~remote))
+    """The actions of a one-way run."""
+    return with_direction(plan, direction).filter("kept").drop("kept")
+
+
+def one_way(plan: DataFrame, direction: str) -> DataFrame:
+    """keep_direction of a plan without structural actions; with any it is an error, as a one-way run can't settle the tree of mailboxes."""
+    if not plan.filter(F.col("kind").isin(*STRUCTURAL_KINDS)).isEmpty():
+        raise ValueError("the plan changes mailboxes; run it both ways first")
+    return keep_direction(plan, direction)
 
 
-def applied(cached: DataFrame, plan: DataFrame) -> DataFrame:
-    """The cache after a plan: rows of destroyed messages go, moved, reflagged and adopted ones are changed, new ones come.
+def applied(cached: DataFrame, plan: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """The cache after a plan: rows of destroyed messages and of ids that lost their file to another go, moved, reflagged and adopted ones are changed, new ones come.
 
-    Uploads get their ids from the server and appear with the next remote state; they are left out.
+    failed (email_id): messages whose action failed; their rows stay as they are. Uploads get their ids from the server and appear with
+    the next remote state; they are left out.
     """
-    of = lambda *kinds: plan.filter(F.col("kind").isin(*kinds))
-    gone = of("delete_local", "destroy_remote").select("email_id").distinct()
-    boxes = of("move_local", "move_remote", "adopt", "download").groupBy("email_id").agg(F.max("target").alias("_box"))
-    flags = of("update_local_flags", "update_remote_flags", "download").groupBy("email_id").agg(F.max("flags").alias("_flags"))
-    files = of("adopt").groupBy("email_id").agg(F.max("maildir_id").alias("_file"))
-    new = of("download", "adopt").select("email_id").distinct().join(cached, "email_id", "left_anti")
-    rows = cached.select("email_id", "mailbox_id", "maildir_id", "flags").join(gone, "email_id", "left_anti")
-    null = F.lit(None).cast("string")
-    rows = rows.union(new.select("email_id", null, null, null))
-    rows = rows.join(boxes, "email_id", "left").join(flags, "email_id", "left").join(files, "email_id", "left")
+    k = F.col("kind")
+    done = plan.filter("email_id IS NOT NULL")
+    if failed is not None:
+        done = done.join(failed.select("email_id"), "email_id", "left_anti")
+    lost = done.filter("kind = 'adopt' AND source IS NOT NULL").select(F.col("source").alias("email_id"), F.lit("delete_local").alias("kind"), *[_null().alias(c) for c in ("maildir_id", "target", "flags")])
+    done = done.select("email_id", "kind", "maildir_id", "target", "flags").union(lost)
+    of = lambda c, *kinds: F.max(F.when(k.isin(*kinds), F.col(c)))
+    each = done.groupBy("email_id").agg(
+        F.bool_or(k.isin("delete_local", "destroy_remote")).alias("_gone"), F.bool_or(k.isin("download", "adopt")).alias("_new"),
+        of("target", "move_local", "move_remote", "adopt", "download").alias("_box"), of("maildir_id", "adopt").alias("_file"), of("flags", "update_local_flags", "update_remote_flags", "download").alias("_flags"),
+    )
+    rows = cached.select("email_id", "mailbox_id", "maildir_id", "flags", F.lit(True).alias("_had")).join(each, "email_id", "full")
+    rows = rows.filter(~F.coalesce("_gone", F.lit(False)) & F.coalesce("_had", "_new", F.lit(False)))
     return rows.select("email_id", F.coalesce("_box", "mailbox_id").alias("mailbox_id"), F.coalesce("_file", "maildir_id").alias("maildir_id"), F.coalesce("_flags", "flags").alias("flags"))
 
 

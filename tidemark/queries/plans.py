@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import folders as D
 from tidemark.operators import orphans as O
 from tidemark.operators import reconcile as R
 from tidemark.registry import query
-from tidemark.sources.tables import view, with_views
+from tidemark.sources.tables import table, view, with_views
 
 
 def _sides(spark, d, winner: str = "server") -> R.Sides:
@@ -27,18 +28,20 @@ _BASE = """
     moved AS (SELECT w.email_id, n.maildir_id, w.mailbox_id AS from_box, n.mailbox_id AS to_box, w.flags AS old_flags, n.flags
               FROM went w JOIN came n USING (message_id) WHERE w.mailbox_id <> n.mailbox_id AND w.email_id NOT IN (SELECT email_id FROM dead)),
     pair AS (SELECT r.email_id, r.mailbox_id, r.flags, c.mailbox_id AS old_box, c.maildir_id, c.flags AS old_flags FROM remote r JOIN cached c USING (email_id)),
-    clash AS (SELECT * FROM pair WHERE (flags <> old_flags OR mailbox_id <> old_box) AND email_id IN (SELECT email_id FROM went) AND email_id NOT IN (SELECT email_id FROM moved))
+    again AS (SELECT c.email_id, n.maildir_id, n.mailbox_id, c.flags, n.flags AS file_flags FROM came n JOIN (SELECT email_id, message_id, mailbox_id, flags FROM cached) c USING (message_id, mailbox_id) WHERE n.maildir_id NOT IN (SELECT maildir_id FROM moved)),
+    clash AS (SELECT * FROM pair WHERE (flags <> old_flags OR mailbox_id <> old_box) AND email_id IN (SELECT email_id FROM went) AND email_id NOT IN (SELECT email_id FROM moved) AND email_id NOT IN (SELECT email_id FROM again))
 """
 _PARTS = {
     "download": "SELECT email_id, NULL AS maildir_id, NULL AS source, mailbox_id AS target, flags FROM remote WHERE email_id NOT IN (SELECT email_id FROM cached) AND email_id NOT IN (SELECT email_id FROM adopted) UNION ALL SELECT email_id, NULL, NULL, mailbox_id, flags FROM clash",
     "move_local": "SELECT email_id, maildir_id, old_box AS source, mailbox_id AS target, NULL AS flags FROM pair WHERE mailbox_id <> old_box AND email_id NOT IN (SELECT email_id FROM went)",
-    "update_local_flags": "SELECT email_id, maildir_id, NULL AS source, NULL AS target, flags FROM pair WHERE flags <> old_flags AND email_id NOT IN (SELECT email_id FROM went)",
+    "update_local_flags": "SELECT email_id, maildir_id, NULL AS source, NULL AS target, flags FROM pair WHERE flags <> old_flags AND email_id NOT IN (SELECT email_id FROM went) UNION ALL SELECT email_id, maildir_id, NULL, NULL, flags FROM again WHERE flags <> file_flags",
     "update_remote_flags": "SELECT email_id, maildir_id, NULL AS source, NULL AS target, flags FROM reflag WHERE email_id NOT IN (SELECT email_id FROM dead) AND email_id NOT IN (SELECT email_id FROM pair WHERE flags <> old_flags) UNION ALL SELECT email_id, maildir_id, NULL, NULL, flags FROM moved WHERE flags <> old_flags",
     "delete_local": "SELECT email_id, maildir_id, mailbox_id AS source, NULL AS target, NULL AS flags FROM dead WHERE maildir_id NOT IN (SELECT maildir_id FROM went)",
-    "upload": "SELECT NULL AS email_id, maildir_id, NULL AS source, mailbox_id AS target, flags FROM came WHERE maildir_id NOT IN (SELECT maildir_id FROM moved) AND message_id NOT IN (SELECT message_id FROM remote)",
-    "destroy_remote": "SELECT email_id, maildir_id, mailbox_id AS source, NULL AS target, NULL AS flags FROM went WHERE email_id NOT IN (SELECT email_id FROM dead) AND email_id NOT IN (SELECT email_id FROM clash) AND email_id NOT IN (SELECT email_id FROM moved)",
+    "upload": "SELECT NULL AS email_id, maildir_id, NULL AS source, mailbox_id AS target, flags FROM came WHERE maildir_id NOT IN (SELECT maildir_id FROM moved) AND maildir_id NOT IN (SELECT maildir_id FROM adopted) AND message_id NOT IN (SELECT message_id FROM cached)",
+    "destroy_remote": "SELECT email_id, maildir_id, mailbox_id AS source, NULL AS target, NULL AS flags FROM went WHERE email_id NOT IN (SELECT email_id FROM dead) AND email_id NOT IN (SELECT email_id FROM clash) AND email_id NOT IN (SELECT email_id FROM moved) AND email_id NOT IN (SELECT email_id FROM again)",
     "move_remote": "SELECT email_id, maildir_id, from_box AS source, to_box AS target, NULL AS flags FROM moved",
-    "adopt": "SELECT email_id, maildir_id, NULL AS source, to_box AS target, NULL AS flags FROM moved UNION ALL SELECT email_id, maildir_id, NULL, mailbox_id, NULL FROM adopted",
+    "adopt_moved": "SELECT email_id, maildir_id, NULL AS source, to_box AS target, NULL AS flags FROM moved",
+    "adopt": "SELECT email_id, maildir_id, NULL AS source, mailbox_id AS target, NULL AS flags FROM adopted UNION ALL SELECT email_id, maildir_id, NULL, mailbox_id, NULL FROM again",
 }
 _ADOPTED = ", adopted AS (SELECT r.email_id, n.maildir_id, n.mailbox_id FROM remote r JOIN came n USING (message_id, mailbox_id) WHERE r.email_id NOT IN (SELECT email_id FROM cached) AND n.maildir_id NOT IN (SELECT maildir_id FROM moved))"
 
@@ -48,7 +51,7 @@ def _sql(tail: str) -> str:
 
 
 def _part(kind: str) -> str:
-    return f"SELECT CAST({R.PHASES[kind]} AS INTEGER) AS phase, '{kind}' AS kind, CAST(email_id AS VARCHAR) AS email_id, maildir_id, CAST(source AS VARCHAR) AS source, CAST(target AS VARCHAR) AS target, CAST(flags AS VARCHAR) AS flags FROM ({_PARTS[kind]})"
+    return f"SELECT CAST({R.PHASES[kind]} AS INTEGER) AS phase, '{kind.removesuffix("_moved")}' AS kind, CAST(email_id AS VARCHAR) AS email_id, maildir_id, CAST(source AS VARCHAR) AS source, CAST(target AS VARCHAR) AS target, CAST(flags AS VARCHAR) AS flags FROM ({_PARTS[kind]})"
 
 
 _PLAN = ", plan AS (" + " UNION ALL ".join(map(_part, _PARTS)) + ") "
@@ -137,10 +140,16 @@ def plan_filter_direction(spark, d):
     return R.keep_direction(_sides(spark, d).plan(), "push").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query(_sql(_PLAN + "SELECT phase, email_id, maildir_id, kind FROM plan ORDER BY phase, email_id NULLS FIRST, maildir_id NULLS FIRST LIMIT 200"))
+@query(_sql(_PLAN + "SELECT phase, email_id, maildir_id, kind FROM plan ORDER BY phase, email_id NULLS FIRST, maildir_id NULLS FIRST"))
 def plan_phase_order(spark, d):
-    """The first two hundred actions in the order in which they are carried out."""
-    return _sides(spark, d).plan().orderBy("phase", "email_id", "maildir_id").select("phase", "email_id", "maildir_id", "kind").limit(200)
+    """All actions in the order in which they are carried out."""
+    return _sides(spark, d).plan().orderBy("phase", "email_id", "maildir_id").select("phase", "email_id", "maildir_id", "kind")
+
+
+@query(_sql(_PLAN + "SELECT phase, kind, email_id, maildir_id, kind IN ('adopt', 'download', 'update_local_flags', 'move_local', 'delete_local') AS kept FROM plan"))
+def plan_direction_split(spark, d):
+    """Both halves of a plan in a run that only pulls."""
+    return R.with_direction(_sides(spark, d).plan(), "pull").select("phase", "kind", "email_id", "maildir_id", "kept")
 
 
 @query(_sql(_PLAN + "SELECT bool_or(kind IN ('move_remote', 'move_local')) AS structural FROM plan"))
@@ -193,7 +202,19 @@ def _orphans(spark):
 """))
 def orphan_matrix_local(spark, d):
     s = _sides(spark, d)
-    return O.settle_local(s.plan(), s.cached, _orphans(spark), "server")
+    return O.settle_local(s.plan(), s.cached, _orphans(spark), "server").drop("phase")
+
+
+@query(_sql(_ROLES + """
+    , blocked AS (SELECT DISTINCT CASE WHEN role = 'in' THEN target ELSE home END AS mailbox_id FROM role WHERE role IN ('in', 'changed'))
+    SELECT kind, email_id, maildir_id, source, target FROM role WHERE role IS NULL UNION ALL SELECT 'create_remote_mailbox', NULL, NULL, NULL, mailbox_id FROM blocked
+    UNION ALL SELECT 'upload', NULL, maildir_id, NULL, mailbox_id FROM local WHERE size <= 200000 AND mailbox_id IN (SELECT * FROM blocked)
+    UNION ALL SELECT 'delete_local_folder', NULL, NULL, mailbox_id, NULL FROM orphans WHERE mailbox_id NOT IN (SELECT * FROM blocked)
+"""))
+def orphan_matrix_local_wins(spark, d):
+    """The same where the local side wins: mailboxes with something that keeps them are made anew, with the files in their folders."""
+    s = _sides(spark, d)
+    return O.settle_local(s.plan(), s.cached, _orphans(spark), "local", s.local, 200000).drop("phase")
 
 
 @query(_sql(_PLAN + _ORPHANS + """
@@ -202,7 +223,7 @@ def orphan_matrix_local(spark, d):
     UNION ALL SELECT 'destroy_remote_mailbox', NULL, NULL, mailbox_id, NULL FROM orphans
 """))
 def orphan_matrix_remote(spark, d):
-    return O.settle_remote(_sides(spark, d).plan(), _orphans(spark))
+    return O.settle_remote(_sides(spark, d).plan(), _orphans(spark)).drop("phase")
 
 
 @query(_sql(_ORPHANS + "SELECT 'create_remote_mailbox' AS kind, mailbox_id, NULL AS maildir_id FROM orphans UNION ALL SELECT 'upload', mailbox_id, maildir_id FROM local WHERE size <= 200000 AND mailbox_id IN (SELECT * FROM orphans)"))
@@ -219,7 +240,7 @@ def orphan_resurrect_prepass(spark, d):
 def recon_membership(spark, d):
     """The smallest live mailbox of mails that are in several."""
     r = view(spark, d, "remote").select("email_id", F.explode(F.array("mailbox_id", F.concat(F.lit("MB"), (F.col("size") % 25).cast("string")))).alias("mailbox_id"))
-    live = F.broadcast(view(spark, d, "cached").select("mailbox_id").distinct().filter(~F.col("mailbox_id").isin("MB3", "MB5")))
+    live = view(spark, d, "cached").select("mailbox_id").distinct().filter(~F.col("mailbox_id").isin("MB3", "MB5"))
     return r.join(live, "mailbox_id", "left_semi").groupBy("email_id").agg(F.min("mailbox_id").alias("mailbox_id"))
 
 
@@ -267,3 +288,120 @@ def recon_adopt_flags(spark, d):
     files = s.local.select("message_id", "mailbox_id", "maildir_id", F.col("flags").alias("file"))
     both = fresh.join(files, ["message_id", "mailbox_id"])
     return both.select("email_id", "maildir_id", F.col("flags").alias("server"), "file", F.when(F.col("flags") == F.col("file"), "none").otherwise("update_local_flags").alias("action"))
+
+
+#: More of the server: messages of destroyed ids under new ones, doubles of messages that are alive, two ids for one new file.
+_MORE_REMOTE = [("N", "% 20 = 0"), ("D", "% 30 = 1"), ("X", "% 40 = 18"), ("Y", "% 40 = 18")]
+#: Uploads may have so many bytes; a file whose key ends in 28 of 40 has the message of a file that is there.
+_LARGEST = 150_000
+_ORDER = "SELECT o.o_orderkey AS k, o.o_custkey % 20 AS box, b.o_custkey % 20 AS other_box, c.o_custkey % 20 AS gone_box, CAST(floor(o.o_totalprice) AS BIGINT) AS size FROM orders o LEFT JOIN orders b ON b.o_orderkey = o.o_orderkey - 7 LEFT JOIN orders c ON c.o_orderkey = o.o_orderkey - 2"
+
+
+def _rich(spark, d) -> R.Sides:
+    s, k = _sides(spark, d), F.col("o_orderkey")
+    o = table(spark, d, "orders")
+    text = lambda p, c, q="": F.concat(F.lit(p), c.cast("string"), F.lit(q))
+    remote = s.remote
+    for p, which in _MORE_REMOTE:
+        remote = remote.union(o.filter(f"o_orderkey {which}").select(text(p, k), text("<m", k, "@x>"), text("MB", F.col("o_custkey") % 20), F.lit("S"), F.lit(1).cast("bigint")))
+    key = F.expr("substr(maildir_id, 2)").cast("long")
+    local = s.local.withColumn("message_id", F.when(key % 40 == 28, text("<m", key - 7, "@x>")).otherwise(F.col("message_id")))
+    return R.Sides(remote, s.cached, local, R.Policy(largest=_LARGEST))
+
+
+@query(f"""
+    WITH o AS ({_ORDER})
+    SELECT concat('N', k) AS email_id, 'rebind' AS fate, concat('f', k) AS maildir_id, concat('E', k) AS old_email FROM o WHERE k % 20 = 0
+    UNION ALL SELECT concat('D', k), 'alive', NULL, NULL FROM o WHERE k % 30 = 1 UNION ALL SELECT concat('X', k), 'adopt', concat('f', k), NULL FROM o WHERE k % 40 = 18
+    UNION ALL SELECT concat('Y', k), 'claimed', NULL, NULL FROM o WHERE k % 40 = 18 UNION ALL SELECT concat('E', k), 'download', NULL, NULL FROM o WHERE k % 10 = 9
+""")
+def recon_arrivals(spark, d):
+    """What becomes of messages that the cache doesn't know: by the cache's rows, by new files, by other ids that want the same."""
+    return _rich(spark, d).arrivals().select("email_id", "fate", "maildir_id", "old_email")
+
+
+@query(f"""
+    WITH o AS ({_ORDER})
+    SELECT concat('f', k) AS maildir_id, CASE WHEN k % 40 = 38 THEN CASE WHEN size > {_LARGEST} THEN 'too large' ELSE 'upload' END WHEN k % 40 = 28 THEN CASE WHEN box = other_box THEN 'adopt' ELSE 'elsewhere' END ELSE 'adopt' END AS fate,
+           CASE WHEN k % 40 = 28 AND box = other_box THEN concat('E', k - 7) WHEN k % 40 = 8 THEN concat('E', k - 2) END AS email_id
+    FROM o WHERE k % 40 IN (28, 38) OR k % 40 = 8 AND box = gone_box
+""")
+def recon_new_files(spark, d):
+    """What becomes of new files: uploads, files of known messages, doubles of messages elsewhere, and those that are too large."""
+    return _rich(spark, d).new_files().select("maildir_id", "fate", "email_id")
+
+
+@query(f"""
+    WITH o AS ({_ORDER})
+    SELECT concat('D', k) AS email_id, NULL AS maildir_id, 'duplicate: alive' AS reason FROM o WHERE k % 30 = 1 UNION ALL SELECT concat('Y', k), NULL, 'duplicate: claimed' FROM o WHERE k % 40 = 18
+    UNION ALL SELECT NULL, concat('f', k), 'duplicate: elsewhere' FROM o WHERE k % 40 = 28 AND box <> other_box UNION ALL SELECT NULL, concat('f', k), 'too large' FROM o WHERE k % 40 = 38 AND size > {_LARGEST}
+""")
+def recon_skip_reasons(spark, d):
+    return _rich(spark, d).skips()
+
+
+@query(f"""
+    WITH o AS ({_ORDER}),
+    keep AS (SELECT concat('E', k) AS email_id FROM o WHERE k % 10 BETWEEN 1 AND 7 OR k % 10 = 9 UNION ALL SELECT concat('N', k) FROM o WHERE k % 20 = 0 UNION ALL SELECT concat('X', k) FROM o WHERE k % 40 = 18),
+    moved AS (SELECT concat('E', k - 2) AS email_id FROM o WHERE k % 40 = 8)
+    SELECT email_id FROM keep WHERE CAST(substr(email_id, 2) AS BIGINT) % 10 <> 6 OR email_id IN (SELECT email_id FROM moved)
+""")
+def recon_rebound_state(spark, d):
+    """The ids in the cache after a plan with rebinds and adoptions: old ids go, new ones come, deleted ones whose message isn't elsewhere are destroyed."""
+    s = _rich(spark, d)
+    return R.applied(s.cached, s.plan()).select("email_id")
+
+
+_MAILBOXES = """
+    WITH m AS (SELECT n_nationkey AS k, concat('MB', n_nationkey) AS mailbox_id, CASE WHEN n_nationkey % 8 <> 7 THEN n_name END AS cached, CASE WHEN n_nationkey % 3 = 1 THEN concat(n_name, '2') ELSE n_name END AS server,
+        CASE n_nationkey % 5 WHEN 0 THEN NULL WHEN 1 THEN concat(n_name, '2') WHEN 2 THEN concat(n_name, '3') ELSE n_name END AS disk, n_nationkey % 7 = 2 AS ruled, n_nationkey % 11 <> 2 AS decomposes FROM nation)
+"""
+_DECIDED = """
+    , t AS (SELECT *, CASE WHEN n_kind = 'n' THEN 'first_cycle' WHEN n_kind = 's' AND NOT ruled AND decomposes THEN CASE WHEN server_moved THEN 'conflict_local_wins' ELSE 'local_rename' END WHEN n_kind = 's' THEN 'unchanged'
+        WHEN n_kind = 'e' THEN 'cache_stale' WHEN server_moved THEN 'server_rename' ELSE 'unchanged' END AS decision
+      FROM (SELECT *, server <> cached AS server_moved, CASE WHEN cached IS NULL THEN 'n' WHEN disk IS NULL OR disk = cached THEN 'q' WHEN disk = server THEN 'e' ELSE 's' END AS n_kind FROM m))
+"""
+
+
+def _mailboxes(spark, d):
+    k, name = F.col("n_nationkey"), F.col("n_name")
+    two, three = F.concat(name, F.lit("2")), F.concat(name, F.lit("3"))
+    return table(spark, d, "nation").select(
+        F.concat(F.lit("MB"), k.cast("string")).alias("mailbox_id"), F.when(k % 8 != 7, name).alias("cached"), F.when(k % 3 == 1, two).otherwise(name).alias("server"),
+        F.when(k % 5 == 1, two).when(k % 5 == 2, three).when(k % 5 > 2, name).alias("disk"), (k % 7 == 2).alias("ruled"), (k % 11 != 2).alias("decomposes"), (k % 5 > 2).alias("present"), (k % 2 == 0).alias("sentinel_fits"),
+    )
+
+
+@query(_MAILBOXES + _DECIDED + """
+    SELECT mailbox_id, decision, CASE decision WHEN 'first_cycle' THEN 'new' WHEN 'server_rename' THEN 'pull' WHEN 'local_rename' THEN 'push' WHEN 'conflict_local_wins' THEN 'push' WHEN 'cache_stale' THEN 'metadata' ELSE 'none' END AS slot FROM t
+""")
+def mailbox_slots(spark, d):
+    """Decisions where the local side wins, and what each leads to."""
+    decided = D.decisions(_mailboxes(spark, d), "local")
+    return decided.select("mailbox_id", "decision").join(D.slots(decided), "mailbox_id")
+
+
+@query(_MAILBOXES + _DECIDED + """
+    SELECT CAST(1 AS INTEGER) AS phase, 'create_local_mailbox' AS kind, mailbox_id, NULL AS source, server AS target, cached FROM t WHERE decision = 'first_cycle' OR decision = 'unchanged' AND k % 5 > 2 AND k % 2 = 1
+    UNION ALL SELECT 2, 'rename_local_mailbox', mailbox_id, cached, server, cached FROM t WHERE decision = 'server_rename'
+    UNION ALL SELECT 10, 'rename_remote_mailbox', mailbox_id, cached, disk, cached FROM t WHERE decision IN ('local_rename', 'conflict_local_wins')
+""")
+def folder_actions(spark, d):
+    return D.folder_actions(D.decisions(_mailboxes(spark, d), "local"))
+
+
+@query(with_views("remote", "cached", "local", sql=_BASE + _ADOPTED + _PLAN + _MAILBOXES.replace("WITH m AS", ", m AS") + _DECIDED + """
+    , lost AS (SELECT mailbox_id FROM (VALUES ('MB1'), ('MB4')) t(mailbox_id)), out AS (SELECT mailbox_id FROM (VALUES ('MB7'), ('MB99')) t(mailbox_id)),
+    base AS (SELECT phase, kind, email_id, maildir_id, source, target FROM plan WHERE NOT (kind = 'upload' AND target IN (SELECT * FROM lost))
+        UNION ALL SELECT 9, 'create_remote_mailbox', NULL, NULL, NULL, mailbox_id FROM lost UNION ALL SELECT 11, 'upload', NULL, maildir_id, NULL, mailbox_id FROM local WHERE mailbox_id IN (SELECT * FROM lost))
+    SELECT * FROM base WHERE target IS NULL OR target NOT IN (SELECT * FROM out) UNION ALL SELECT 13, 'move_remote', email_id, maildir_id, target, source FROM base WHERE kind = 'move_local' AND target IN (SELECT * FROM out) AND source NOT IN (SELECT * FROM out)
+    UNION ALL SELECT 15, 'destroy_remote_mailbox', NULL, NULL, mailbox_id, NULL FROM out
+    UNION ALL SELECT 1, 'create_local_mailbox', NULL, NULL, NULL, server FROM t WHERE decision = 'first_cycle' OR decision = 'unchanged' AND k % 5 > 2 AND k % 2 = 1
+    UNION ALL SELECT 2, 'rename_local_mailbox', NULL, NULL, cached, server FROM t WHERE decision = 'server_rename'
+    UNION ALL SELECT 10, 'rename_remote_mailbox', NULL, NULL, cached, disk FROM t WHERE decision IN ('local_rename', 'conflict_local_wins')
+"""))
+def recon_cycle_plan(spark, d):
+    """A whole cycle: folders, messages, mailboxes that the server lost and that come back, folders deleted here whose mailboxes go."""
+    boxes = lambda *names: spark.createDataFrame([(n,) for n in names], "mailbox_id string")
+    policy = R.Policy(deletes="remote")
+    return D.cycle_plan(_sides(spark, d), D.decisions(_mailboxes(spark, d), "local"), boxes("MB1", "MB4"), boxes("MB7", "MB99"), policy)
