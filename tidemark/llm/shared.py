@@ -1,41 +1,16 @@
-"""Folders that all executors see, and tables written there to cut lineage."""
+"""Rows by lists of ids, first rows of repeated keys, and what the operators share otherwise."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Spark's setting that removes shuffle files at the end of the query that wrote them, not when the driver next collects garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from tidemark.sources.shared import shared_dir, written  # noqa: F401
+
 #: Ids of one long each are broadcast up to so many (some 100 MB on an executor); beyond that the rows that they select are shuffled.
 BROADCAST_IDS = 2_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where that is unset (tests on one machine), a folder made once."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tidemark.sharedDir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.tidemark.sharedDir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lost executors don't lose it. What was shuffled for it is given up at once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose id is among ids (id, each once). Whole texts stay where they are unless there are more than BROADCAST_IDS ids."""
     ids = written(ids.select("id"), "ids")

@@ -1,8 +1,9 @@
 """WARC archives as tables of record chunks: payloads are cut, written, read and digested chunk by chunk.
 
-Records are rows (record id, chunk number, bytes) of at most CHUNK bytes each. A writing task streams
+Records are rows (record id, chunk number, bytes) of at most CHUNK bytes each, cut where the payload is read and
+with a digest carried from chunk to chunk; nothing longer is shuffled. A writing task streams
 them, in record order, into gzip members of one archive file; a reading task streams a file into such rows
-again, with a digest that is carried from chunk to chunk, so that no task holds a whole payload of an oversized record.
+again, so that no task holds a whole payload of an oversized record beside the input row.
 """
 
 from __future__ import annotations
@@ -28,11 +29,16 @@ from tidemark.llm.shared import shared_dir, small_batches, written
 CHUNK = 1 << 20
 
 
-def opened(path: str) -> tuple[pa.fs.FileSystem, str]:
-    """The file system of a folder that all executors share, and the path there."""
-    if re.match(r"\w+:", path):
-        return pa.fs.FileSystem.from_uri(path if "://" in path else path.replace(":", "://", 1))
-    return pa.fs.LocalFileSystem(), os.path.abspath(path)
+def shared_uri(spark: SparkSession, folder: str) -> str:
+    """folder with the scheme and the authority that Spark gives it: a path without a scheme is one of the default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def opened(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a folder that all executors share, as shared_uri names it, and the path there."""
+    uri = re.sub(r"^s3[an]:", "s3:", uri)
+    return pa.fs.FileSystem.from_uri(uri if "://" in uri else uri.replace(":", "://", 1))
 
 
 def base32(digest: bytes) -> str:
@@ -49,19 +55,19 @@ def chunked(records: DataFrame, id_col: str, payload_col: str, size: int = CHUNK
 
 
 def digested(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(record_id, payload_bytes, payload_digest in hex) of records whose chunks follow each other in order."""
+    """Chunks of records, those of one following each other in order, with the payload's bytes and digest (in hex) up to and with each chunk."""
     sha, n = hashlib.sha1(), 0
     for batch in chunks:
-        out = []
-        for rid, last, data in zip(batch["record_id"].to_pylist(), batch["last"].to_pylist(), batch["data"], strict=True):
+        sizes, digests = [], []
+        for last, data in zip(batch["last"].to_pylist(), batch["data"], strict=True):
             data = data.as_buffer()
             sha.update(data)
             n += data.size
+            sizes.append(n)
+            digests.append(sha.hexdigest())
             if last:
-                out.append((rid, n, sha.hexdigest()))
                 sha, n = hashlib.sha1(), 0
-        ids, sizes, digests = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], ["record_id", "payload_bytes", "payload_digest"])
+        yield batch.append_column("payload_bytes", pa.array(sizes, pa.int64())).append_column("payload_digest", pa.array(digests, pa.string()))
 
 
 def with_targets(digests: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -167,6 +173,7 @@ def read_archives(spark: SparkSession, files: DataFrame, folder: str, size: int
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA_ROWS).select(names)
 
+    folder = shared_uri(spark, folder)
     return files.select("file").mapInArrow(run, RECORD_ROWS)
 
 
@@ -176,19 +183,21 @@ SCHEMA_ROWS = pa.schema([("record_id", pa.int64()), ("record_type", pa.string())
 def archive(pages: DataFrame, folder: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """Writes a record per row of pages into .warc.gz files in folder; returns the table (file, records) of the files.
 
-    First pass: lengths and digests, chunk by chunk; then each payload finds its response; second pass: the records.
+    Payloads are cut into chunks as they are read, which are written once with the digest carried along; from then on only these
+    chunks move. The last chunk of each record has its length and digest, by which it finds its response.
     A null payload is an empty one. A null id is written without a number. Repeated rows are records of their own.
     """
-    small_batches(pages.sparkSession)
-    own = pages.select(F.col(id_col).cast("long").alias("record_id"), F.col(uri_col).cast("string").alias("uri"), F.col(payload_col).alias("payload"))
-    digests = chunked(own, "record_id", "payload").mapInArrow(digested, "record_id long, payload_bytes long, payload_digest string")
-    known = written(with_targets(digests, least_bytes).distinct(), "digests").select(F.col("record_id").alias("_id"), "payload_bytes", "payload_digest", "refers_to")
-    digest = F.sha1(F.coalesce(F.encode(F.col("payload").cast("string"), "utf-8"), F.lit(b"")))
-    rows = own.withColumn("d", digest)
-    rows = rows.join(known, rows["record_id"].eqNullSafe(known["_id"]) & (rows["d"] == known["payload_digest"]))
-    rows = rows.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
-    chunks = chunked(rows, "record_id", "payload", keep=("uri", "payload_bytes", "payload_digest", "refers_to"))
-    return written(write_archives(chunks, folder), "archives")
+    spark = pages.sparkSession
+    small_batches(spark)
+    own = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("record_id"), F.col(uri_col).cast("string").alias("uri"), F.col(payload_col).alias("payload"))
+    cut = chunked(own, "record_id", "payload", keep=("row", "uri"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", payload_bytes long, payload_digest string"
+    chunks = written(cut.mapInArrow(digested, kinds), "chunks", compression="zstd")
+    targets = with_targets(chunks.filter("last").select("row", "record_id", "payload_bytes", "payload_digest"), least_bytes)
+    known = written(targets.drop("record_id"), "digests")
+    rows = chunks.drop("payload_bytes", "payload_digest").join(known, "row").sortWithinPartitions("row", "chunk")
+    rows = rows.select("record_id", "chunk", "last", F.when(F.col("refers_to").isNull(), F.col("data")).alias("data"), "uri", "payload_bytes", "payload_digest", "refers_to")
+    return written(write_archives(rows, shared_uri(spark, folder)), "archives")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
