@@ -477,6 +477,8 @@ def test_warc(spark, monkeypatch):
     assert warc.round_trip(pages.filter("false")).count() == 0
     folder = f"{spark.conf.get('spark.checkpoint.dir')}/own"
     chunks = warc.read_archives(spark, warc.archive(pages, folder), folder, size=1 << 16).collect()
+    odd = spark.createDataFrame([(None, "u", "same"), (9, "u", "same"), (9, "u", "other"), (9, "u", "same"), (3, None, "same")], "page_id long, url string, html string")
+    assert sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(odd).collect()) == [(0, 4, "response", None), (3, 4, "revisit", 9), (9, 4, "response", None), (9, 4, "response", None), (9, 5, "response", None)]
     whole = collections.defaultdict(bytes)
     for r in sorted(chunks, key=lambda r: (r["record_id"], r["chunk"])):
         assert len(r["data"]) <= 1 << 16
@@ -634,6 +636,64 @@ def test_likeness_of_long_texts_is_by_all_anchors(spark):
     assert 0 < got[2]["near_next"] == got[1]["near_next"] < 0.1
 
 
+def brute_fingerprint(spark, texts):
+    """Anchors, fingerprints and likenesses with plain loops; only the hashes are Spark's."""
+    tokens = [regex.findall(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[^\s\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]+", t) for t in texts]
+    words = sorted({w for t in tokens for w in t})
+    h = {r[0]: r[1] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w")).collect()}
+
+    def hashed(groups):
+        groups = sorted(set(groups))
+        if not groups:
+            return {}
+        names = [f"c{k}" for k in range(len(groups[0]))]
+        rows = spark.createDataFrame(groups, ", ".join(f"{n} long" for n in names[:-1]) + f", {names[-1]} {'long' if abs(max(g[-1] for g in groups)) > 127 else 'tinyint'}")
+        return {tuple(r)[:-1]: r[-1] for r in rows.select(*names, F.xxhash64(*names)).collect()}
+
+    ws = [[h[w] for w in t] for t in tokens]
+    two = hashed([(a[i], a[i + 1]) for a in ws for i in range(len(a) - 1)])
+    five = hashed([tuple(a[i : i + 5]) for a in ws for i in range(len(a) - 4)])
+    chains = []
+    for a in ws:
+        s = [two[a[i], a[i + 1]] for i in range(len(a) - 1)]
+        at = [i for i in range(len(a) - 4) if min(s[i], s[i + 3]) <= min(s[i + 1], s[i + 2])] if len(a) >= 5 else list(range(len(a)))
+        chains.append([(i, five[tuple(a[i : i + 5])] if len(a) >= 5 else a[i]) for i in at])
+    links = hashed([(x[1], y[1], min(y[0] - x[0], 127)) for c in chains for x, y in zip(c, c[1:])])
+    out = []
+    for c in chains:
+        anchors = {x for _, x in c}
+        placed = {links[x[1], y[1], min(y[0] - x[0], 127)] for x, y in zip(c, c[1:])} if len(c) > 1 else anchors
+        out.append(("".join(f"{v:08X}" for v in sorted({x & 0xFFFFFFFF for x in anchors})[:64]), anchors, placed))
+    return out
+
+
+def test_fingerprints_by_brute_force(spark):
+    texts = {i: t for i, t in rows() if i not in (60,)} | {70: prose(71, 900), 71: prose(72, 300) + " " + prose(71, 900)}
+    order = sorted(texts, reverse=True)
+    plain = {i: text_of(texts[i]) for i in order}
+    edit = {}
+    for k, i in enumerate(order):
+        t, n = plain[i], plain[order[(k + 1) % len(order)]]
+        m = len(t) // 3
+        edit[i] = t[: len(t) - m] + n[:m]
+    own = dict(zip(order, brute_fingerprint(spark, [plain[i] for i in order])))
+    new = dict(zip(order, brute_fingerprint(spark, [edit[i] for i in order])))
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    got = {r["doc_id"]: r for r in syncmers.edited_likeness(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for k, i in enumerate(order):
+        n = own[order[(k + 1) % len(order)]]
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (own[i][0], new[i][0]), i
+        for name, a, b in (("near_edited", own[i][1], new[i][1]), ("near_next", own[i][1], n[1]), ("placed_edited", own[i][2], new[i][2]), ("placed_next", own[i][2], n[2])):
+            assert abs(got[i][name] - like(a, b)) < 1e-12, (i, name)
+
+
+def test_places_tell_order(spark):
+    a, b = prose(81, 400), prose(82, 400)
+    mixed = " ".join(w for k in range(0, 400, 8) for w in a.split()[k : k + 8][::1][:6] + b.split()[k : k + 8][:2])
+    got = {r["doc_id"]: r for r in syncmers.edited_likeness(spark.createDataFrame([(2, a), (1, mixed)], "doc_id long, text string")).collect()}
+    assert got[2]["placed_next"] < got[2]["near_next"]
+
+
 # pipeline
 
 

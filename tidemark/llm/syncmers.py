@@ -35,9 +35,22 @@ def with_anchors(df: DataFrame, text: Column, out: str) -> DataFrame:
     return df.drop("_h", "_s", "_p")
 
 
-def with_set(df: DataFrame, text: Column, out: str) -> DataFrame:
-    """df with the array out: each hash of the text's anchors once."""
-    return with_anchors(df, text, "_anchors").withColumn(out, F.expr("array_distinct(_anchors.hash)")).drop("_anchors")
+def with_chain(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """df with the struct out of the text's anchors in order: h, their hashes, and g, how many tokens each stands before the next one."""
+    df = with_anchors(df, text, "_anchors")
+    gaps = F.expr("transform(sequence(0, greatest(size(_anchors) - 2, 0)), i -> CAST(least(coalesce(get(_anchors, i + 1).pos - _anchors[i].pos, 0), 127) AS TINYINT))")
+    chain = F.struct(F.col("_anchors.hash").alias("h"), F.when(F.size("_anchors") > 1, gaps).otherwise(F.array().cast("array<tinyint>")).alias("g"))
+    return df.withColumn(out, chain).drop("_anchors")
+
+
+def hashes(chain: str) -> Column:
+    """Each hash of a chain's anchors once."""
+    return F.expr(f"array_distinct({chain}.h)")
+
+
+def places(chain: str) -> Column:
+    """What two texts share where the same anchors follow each other at the same distance: a hash of each anchor, the next one and the gap. A lone anchor stands for itself."""
+    return F.expr(f"CASE WHEN size({chain}.h) > 1 THEN array_distinct(transform(sequence(0, size({chain}.h) - 2), i -> xxhash64({chain}.h[i], {chain}.h[i + 1], {chain}.g[i]))) ELSE {chain}.h END")
 
 
 def sketch_of(hashes: Column) -> Column:
@@ -100,17 +113,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, and the likeness of all its anchors to the edited text's and to the next document's.
 
-    Edited: the last third of the code points, rounded down, gives way to as many (or all) of the next
+    near_ counts anchors wherever they stand; placed_ counts only those that the same anchor follows at the same distance in both texts, so that
+    common phrases in another order don't count. Edited: the last third of the code points, rounded down, gives way to as many (or all) of the next
     document's first ones. A null id stands last in descending order; a null text is empty.
     """
     rows = docs.select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_k"), text_of(text_col).alias("_t"))
-    rows = with_next(with_set(rows, F.col("_t"), "_a"), "_k", "_t", "_a")
+    rows = with_next(with_chain(rows, F.col("_t"), "_a"), "_k", "_t", "_a")
     n = F.char_length("_t")
     rows = rows.withColumn("_m", F.floor(n / 3).cast("int"))
     edited = F.concat(F.substring("_t", F.lit(1), n - F.col("_m")), F.substring("next_text", F.lit(1), F.col("_m")))
     rows = rows.select(id_col, n.cast("long").alias("n_chars"), edited.alias("_e"), "_a", F.col("next_carried").alias("_n"))
-    rows = with_set(rows, F.col("_e"), "_b")
+    rows = with_chain(rows, F.col("_e"), "_b")
+    rows = rows.select(id_col, "n_chars", "_e", *[f(f"_{c}").alias(f"_{c}{k}") for c in "abn" for k, f in (("h", hashes), ("p", places))])
     return rows.select(
-        id_col, "n_chars", F.sha2("_e", 256).alias("edited_sha256"), as_text(sketch_of(F.col("_a"))).alias("fingerprint"), as_text(sketch_of(F.col("_b"))).alias("edited_fingerprint"),
-        likeness(F.col("_a"), F.col("_b")).alias("near_edited"), likeness(F.col("_a"), F.col("_n")).alias("near_next"),
+        id_col, "n_chars", F.sha2("_e", 256).alias("edited_sha256"), as_text(sketch_of(F.col("_ah"))).alias("fingerprint"), as_text(sketch_of(F.col("_bh"))).alias("edited_fingerprint"),
+        likeness(F.col("_ah"), F.col("_bh")).alias("near_edited"), likeness(F.col("_ah"), F.col("_nh")).alias("near_next"),
+        likeness(F.col("_ap"), F.col("_bp")).alias("placed_edited"), likeness(F.col("_ap"), F.col("_np")).alias("placed_next"),
     )
