@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import dedupe, drift, hierarchy, reconcile
+from tidemark.operators import dedupe, drift, folders, hierarchy, reconcile, store
 from tidemark.registry import ORACLE, QUERIES
 from tidemark.streaming import operators as S
 
@@ -167,6 +167,225 @@ def test_hook_runs_against_a_simulation(spark):
     assert {(x["k"], x["start"] - zero, x["triggers"]) for x in S.hook_runs(df, "k", 30).collect()} == want
 
 
+@pytest.mark.parametrize(("n", "want"), [(1023, "1023 B"), (1024, "1.0 KB"), (1049 * 1049, "1.0 MB"), (1203 * 1203, "1.4 MB"), (1331, "1.3 KB"), (1280, "1.2 KB"), (1_152_921, "1.1 MB"), (5 * 1024**3 + 54_000_000, "5.1 GB"), (2**60, "1073741824.0 GB")])
+def test_human_bytes(spark, n, want):
+    assert value(spark, T.human_bytes(F.col("n")), n=n) == want
+
+
+def test_human_bytes_rounds_as_print_does(spark):
+    sizes = [k * k for k in range(32, 4000, 7)] + [1024 * k + 51 for k in range(1, 400)] + [1024 * k // 20 for k in range(21, 900)]
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select(T.human_bytes(F.col("n")).alias("x")).collect()
+    assert [r["x"] for r in got] == [f"{n} B" if n < 1024 else f"{n / 1024:.1f} KB" if n < 1024**2 else f"{n / 1024**2:.1f} MB" for n in sizes]
+
+
+@pytest.mark.parametrize(("headers", "want"), [("Subject: =?utf-8?q?caf=C3=A9?=\r\n", "café"), ("Subject: x =?utf-8?b?w6k=?= y\n", "x é y"), ("subject:  a\r\n b \r\n", "a b"), ("Subject: =?nope?q?a?=\n", "=?nope?q?a?="), ("Subject:   \r\nTo: x\r\n", None), ("To: x\n", None), (None, None)])
+def test_subject(spark, headers, want):
+    assert value(spark, T.subject(F.col("h")), h=headers) == want
+
+
+@pytest.mark.parametrize(("content", "want"), [("a: b\n\nbody", "a: b\n\n"), ("a: b\r\n\r\nx\n\n", "a: b\r\n\r\n"), ("a: b", "a: b"), ("a" * 30, None), ("a" * 17 + "\n\nx", "a" * 17 + "\n\n"), ("a" * 25 + "\n\n", None), ("", "")])
+def test_header_section(spark, content, want):
+    assert value(spark, T.header_section(F.col("c"), 8, 20), c=content) == want
+
+
+@pytest.mark.parametrize(("base", "at", "want"), [("http://h/a/b", "c", "http://h/a/c"), ("http://h/a/b", "/c/../d", "http://h/d"), ("http://h/a/b", "?q", "http://h/a/b?q"), ("http://h", "//k/x", "http://k/x"), ("http://h", "http://k/x", "http://k/x"), ("http://h", None, None)])
+def test_resolved_url(spark, base, at, want):
+    assert value(spark, T.resolved_url(F.col("b"), F.col("a")), b=base, a=at) == want
+
+
+def test_private_names_and_structural_paths(spark):
+    names = {".tidemark.x": True, ".tidemark-x": True, ".tidemarkx": False, "a": False}
+    assert {n: value(spark, T.is_private(F.col("n")), n=n) for n in names} == names
+    paths = {"a": True, "a/cur": True, "a/cur/x": False, "": False, "a/.tidemark.x": False, "cur": True}
+    assert {p: value(spark, T.is_structural_path(F.col("p")), p=p) for p in paths} == paths
+
+
+def test_name_faults(spark):
+    faults = {"": "empty", "a\0b": "NUL", "a/b": "separator", "..": "dots", "é" * 128: "too long", "ok": None}
+    assert {n: value(spark, T.name_fault(F.col("n")), n=n) for n in faults} == faults
+
+
+def test_decoding_and_eligible_folders(spark):
+    for folder, layout, want in [("a.b.c", "flat", ("c", "a.b")), (".a.b", "maildir++", ("b", ".a")), (".a", "maildir++", ("a", None)), ("a/b", "fs", ("b", "a")), ("a", "fs", ("a", None))]:
+        leaf, parent = hierarchy.decoded(F.col("f"), layout=layout)
+        assert (value(spark, leaf, f=folder), value(spark, parent, f=folder)) == want
+    for folder, layout, want in [("a", "flat", True), ("a/b", "flat", False), ("a", "maildir++", False), (".a", "maildir++", True), (".tidemark.a", "maildir++", False), ("a/b", "fs", True), ("a/.tidemark-x", "fs", False), ("", "fs", False)]:
+        assert value(spark, hierarchy.eligible(F.col("f"), layout), f=folder) == want
+
+
+def test_rebinding_and_doubles(spark):
+    s = sides(spark, [("n", "m", "A", "S", 1), ("n2", "m", "A", "S", 1)], [("o", "m", "A", "f", "")], [("f", "m", "A", "", 1)])
+    assert plan(s) == {("adopt", "n", "f", "o", "A", None), ("update_local_flags", "n", "f", None, None, "S")}
+    assert [tuple(r) for r in reconcile.applied(s.cached, s.plan()).collect()] == [("n", "A", "f", "S")]
+    s = sides(spark, [("o", "m", "A", "", 1), ("n", "m", "A", "", 1)], [("o", "m", "A", "f", "")], [("f", "m", "A", "", 1)])
+    assert plan(s) == set() and [tuple(r) for r in s.skips().collect()] == [("n", None, "duplicate: alive")]
+
+
+def test_changes_only(spark):
+    """A delta has what changed: what it doesn't have is alive unless it says otherwise."""
+    args = [("n", "m", "A", "", 1)], [("o", "m", "A", "f", ""), ("p", "q", "A", "g", "")], [("f", "m", "A", "", 1), ("g", "q", "A", "", 1)]
+    s = sides(spark, *args, full=False)
+    assert plan(s) == set() and s.skips().count() == 1
+    s.destroyed_ids = spark.createDataFrame([("o",)], "email_id string")
+    del s.messages, s._moves, s._arrivals, s._new
+    assert plan(s) == {("adopt", "n", "f", "o", "A", None)}
+
+
+def test_files_that_come_again_and_copies_elsewhere(spark):
+    s = sides(spark, [("e", "m", "A", "", 1)], [("e", "m", "A", "f", "")], [("g", "m", "A", "S", 1)])
+    assert plan(s) == {("adopt", "e", "g", None, "A", None), ("update_local_flags", "e", "g", None, None, "")}
+    s = sides(spark, [("e", "m", "A", "", 1)], [("e", "m", "A", "f", "")], [("f", "m", "A", "", 1), ("g", "m", "B", "", 1), ("h", "k", "B", "", 9)], largest=5)
+    assert plan(s) == set() and sorted(tuple(r) for r in s.skips().collect()) == [(None, "g", "duplicate: elsewhere"), (None, "h", "too large")]
+
+
+def test_mailboxes_that_take_no_part(spark):
+    s = sides(spark, [("e", "m", "X", "S", 1), ("n", "k", "X", "", 1), ("o", None, "A", "", 1)], [("e", "m", "A", "f", ""), ("d", "z", "X", "g", "")], [("f", "m", "A", "", 1), ("g", "z", "X", "", 1)])
+    s.live = spark.createDataFrame([("A",)], "mailbox_id string")
+    assert plan(s) == set()
+    assert sorted(tuple(r) for r in s.skips().collect()) == [("e", None, "not synced"), ("n", None, "not synced"), ("o", None, "no message id")]
+
+
+def test_failed_actions_leave_rows(spark):
+    s = sides(spark, [("a", "m", "B", "S", 1), ("b", "n", "A", "", 1)], [("a", "m", "A", "f", ""), ("b", "n", "A", "g", "")], [("f", "m", "A", "", 1)])
+    failed = spark.createDataFrame([("a",)], "email_id string")
+    assert {tuple(r) for r in reconcile.applied(s.cached, s.plan(), failed).collect()} == {("a", "A", "f", "")}
+
+
+def test_one_way_runs_refuse_structural_plans(spark):
+    s = sides(spark, [("a", "m", "A", "", 1)], [], [])
+    assert reconcile.one_way(s.plan(), "push").count() == 0 and reconcile.one_way(s.plan(), "pull").count() == 1
+    made = reconcile.acts(spark.range(1), (F.lit(True), reconcile.act("create_local_mailbox")))
+    with pytest.raises(ValueError, match="mailboxes"):
+        reconcile.one_way(s.plan().union(made), "pull")
+
+
+def test_seven_decisions(spark):
+    rows = [("1", None, "s", None), ("2", "a", "a", "a"), ("3", "a", "b", None), ("4", "a", "b", "b"), ("5", "a", "a", "c"), ("6", "a", "b", "c")]
+    df = spark.createDataFrame([(*r, False, True) for r in rows] + [("7", "a", "a", "c", True, True), ("8", "a", "a", "c", False, False)], "mailbox_id string, cached string, server string, disk string, ruled boolean, decomposes boolean")
+    want = {"1": "first_cycle", "2": "unchanged", "3": "server_rename", "4": "cache_stale", "5": "local_rename", "6": "conflict_server_wins", "7": "unchanged", "8": "unchanged"}
+    assert {r["mailbox_id"]: r["decision"] for r in folders.decisions(df).collect()} == want
+    assert {r["mailbox_id"]: r["decision"] for r in folders.decisions(df, "local").collect()} == want | {"6": "conflict_local_wins"}
+    assert {tuple(r)[1:5] for r in folders.folder_actions(folders.decisions(df)).collect()} == {("create_local_mailbox", "1", None, "s"), ("rename_local_mailbox", "3", "a", "b"), ("rename_remote_mailbox", "5", "a", "c"), ("rename_local_mailbox", "6", "c", "b")}
+
+
+def test_chains_of_states(spark):
+    edges = {"line": "ab bc cd", "ring": "ab bc ca", "loop": "ab bb", "self": "aa", "apart": "ab xy", "side": "ab bc xx", "rho": "ab bc cb", "none": "", "long": " ".join(f"{i}_{i + 1}" for i in range(40))}
+    rows = [(k, *(e.split("_") if "_" in e else (e[0], e[1])), n) for k, v in edges.items() for n, e in enumerate(v.split())] + [("again", "a", "x", 0), ("again", "a", "b", 1)]
+    cursors = [(k, "0" if k == "long" else "a", True, False) for k in [*edges, "again"]] + [("held", "a", True, True), ("broken", "a", False, False)]
+    got = {r["account"]: r["advanced"] for r in store.walked(spark.createDataFrame(cursors, "account string, cursor string, intact boolean, incomplete boolean"), spark.createDataFrame(rows + [("held", "a", "b", 0), ("broken", "a", "b", 0)], "account string, old string, new string, seq int")).collect()}
+    assert got == {"line": "d", "ring": "a", "loop": "a", "self": "a", "apart": "a", "side": "a", "rho": "a", "none": "a", "long": "40", "again": "b", "held": None, "broken": "a"}
+
+
+def test_creations_by_depth(spark):
+    rows = [("a", None), ("b", "a"), ("c", "b"), ("d", "gone"), ("e", "d"), ("p", "q"), ("q", "p"), ("k", "known")]
+    got = store.resolved_tree(spark.createDataFrame(rows, "ref string, parent_ref string"), spark.createDataFrame([("known",)], "ref string")).collect()
+    assert {(r["ref"], r["depth"]) for r in got} == {("a", 0), ("b", 1), ("c", 2), ("k", 0)}
+
+
+def test_numbers_in_ranges(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(store, "RANGES", 7)
+    r = random.Random(2)
+    rows = [(r.choice(["a", "b", None]), r.randrange(50), r.randrange(9)) for _ in range(300)]
+    got = store.numbered(spark.createDataFrame(rows, "g string, k int, v int"), "g", "k", F.col("v")).collect()
+    assert len(got) == 300
+    for g in ("a", "b", None):
+        mine = sorted((x["before"], x["k"], x["v"]) for x in got if x["g"] == g)
+        order = sorted(mine, key=lambda x: (x[1], x[0], x[2]))
+        assert all(y[0] == x[0] + x[2] for x, y in zip(order, order[1:])) and order[0][0] == 0
+
+
+def test_rows_that_contain_offsets(spark):
+    starts = [("a", i, s) for i, s in enumerate([0, 5, 9, 400, 401, 900])] + [("b", 7, 100)]
+    probes = [("a", p, p) for p in (0, 4, 5, 8, 9, 399, 400, 401, 899, 5000)] + [("b", 99, 99), ("b", 100, 100), ("c", 1, 1)]
+    got = {(r["g"], r["probe"]): r["doc_id"] for r in store.containing(spark.createDataFrame(starts, "g string, doc_id int, start long"), spark.createDataFrame(probes, "g string, probe long, pos long"), "g", 10).collect()}
+    for g, p, pos in probes:
+        assert got[g, p] == max(((s, i) for h, i, s in starts if h == g and s <= pos), default=(0, None))[1]
+
+
+def test_long_chains_and_rings_of_folders(spark):
+    edges = [("chain", f"f{i}", f"m{j}") for i in range(40) for j in (i, min(i + 1, 39))] + [("ring", f"f{i}", f"m{j}") for i in range(40) for j in (i, (i + 1) % 40)] + [("spare", "f", "m"), ("spare", "f", "n"), ("short", "f", "m"), ("short", "g", "m")]
+    got = drift.unique_matchings(spark.createDataFrame(edges, "account string, folder string, mailbox_id string").distinct()).collect()
+    assert {tuple(r) for r in got} == {("chain", f"f{i}", f"m{i}") for i in range(40)}
+
+
+def test_narrow_needs_a_known_folder(spark):
+    p = spark.createDataFrame([("a", "disk_only"), ("b", "db_only")], "folder string, class string")
+    assert drift.narrowed(p, "a").count() == 1 and drift.narrowed(p, disk_only=False).first()["folder"] == "b"
+    with pytest.raises(ValueError, match="c"):
+        drift.narrowed(p, "c")
+
+
+def test_own_batches_use_writes_up(spark):
+    import random
+
+    r = random.Random(4)
+    at = lambda s: dt.datetime(2020, 1, 1) + dt.timedelta(seconds=s)
+    times = r.sample(range(1, 4000), 900)
+    writes = [(r.randrange(2), r.choice("abcd"), t) for t in times[:500]]
+    batches = [(r.randrange(2), n, sorted(r.sample("abcd", r.randrange(1, 3))), t) for n, t in enumerate(times[500:])]
+    want = {}
+    for k in (0, 1):
+        held = {}
+        for t, what in sorted([(t, p) for j, p, t in writes if j == k] + [(t, (n, ps)) for j, n, ps, t in batches if j == k], key=lambda x: x[0]):
+            if isinstance(what, str):
+                held[what] = t
+            else:
+                n, ps = what
+                want[n] = all(p in held and t - held[p] < 60 for p in ps)
+                if want[n]:
+                    for p in ps:
+                        del held[p]
+    b = spark.createDataFrame([(k, n, p, at(t)) for k, n, ps, t in batches for p in ps], "k long, batch long, path string, ts timestamp")
+    w = spark.createDataFrame([(k, p, at(t)) for k, p, t in writes], "k long, path string, ts timestamp")
+    assert {x["batch"]: x["own"] for x in S.own_batches(b, w, "k", 60).collect()} == want and {True, False} == set(want.values())
+
+
+def test_hook_retries_against_a_simulation(spark):
+    import random
+
+    r = random.Random(9)
+    data = sorted((k, t, r.randrange(5)) for k in range(5) for t in r.sample(range(600), 40))
+    df = spark.createDataFrame([(k, dt.datetime(2020, 1, 1) + dt.timedelta(seconds=t), f) for k, t, f in data], "k long, ts timestamp, f int")
+    zero = int(dt.datetime(2020, 1, 1, tzinfo=dt.timezone.utc).timestamp())
+    want = set()
+    for k in range(5):
+        end, waiting = -1, []
+        runs = []
+
+        def run(t, n, f):
+            runs.append((k, t, n, min(f, 2) + 1, f <= 2))
+            return t + 10 * (min(f, 2) + 1)
+
+        for t, f in [(t, f) for j, t, f in data if j == k] + [(10**9, None)]:
+            if waiting and t >= end:
+                end, waiting = run(end, len(waiting), waiting[0]), []
+            if f is None:
+                break
+            if t >= end:
+                end = run(t, 1, f)
+            else:
+                waiting.append(f)
+        want |= set(runs)
+    assert {(x["k"], x["start"] - zero, x["triggers"], x["attempts"], x["ok"]) for x in S.hook_runs(df, "k", 10, fails="f", retries=2).collect()} == want
+
+
+def test_scans_of_named_messages(spark):
+    named = spark.createDataFrame([("a", i) for i in "12345"] + [("b", "1"), ("a", "1")], "folder string, id string")
+    files = spark.createDataFrame([("a", "1", "new", "F"), ("a", "1", "cur", "S"), ("a", "2", "cur", ""), ("a", "3", "new", "")], "folder string, id string, subdir string, flags string")
+    known = spark.createDataFrame([("a", "1", ""), ("a", "2", ""), ("a", "4", "")], "folder string, id string, flags string")
+    assert {tuple(r)[:4] for r in store.scanned(named, files, known).collect()} == {("a", "1", "flags", "cur"), ("a", "2", "same", "cur"), ("a", "3", "new", "new"), ("a", "4", "deleted", None)}
+
+
+def test_empty_batches_don_t_reach_the_handler(spark):
+    seen = []
+    call = S.on_changes(lambda df, n: seen.append(n))
+    call(spark.range(0), 1)
+    call(spark.range(1), 2)
+    assert seen == [2]
+
+
 def test_sessions_on_a_stream(spark, tmp_path):
     rows = [(1, "LocalChange", 0), (1, "Manual", 20), (1, "LocalChange", 200), (2, "Structural", 10)]
     at = lambda s: dt.datetime(2020, 1, 1) + dt.timedelta(seconds=s)

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from email.errors import HeaderParseError
+from email.header import decode_header
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The letters of file-name flags and the keywords of the server.
 KEYWORDS = {"D": "$draft", "F": "$flagged", "P": "$forwarded", "R": "$answered", "S": "$seen", "T": "$deleted"}
@@ -19,6 +26,35 @@ def unfolded_header(headers: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(lines, rf"(?im)^{name}:[ \t]*(.*?)\r?$", 1), F.lit(""))
 
 
+def _decoded(value: str) -> str:
+    parts = []
+    try:
+        for piece, charset in decode_header(value):
+            parts.append(piece if isinstance(piece, str) else piece.decode(charset or "ascii", "replace"))
+    except (HeaderParseError, LookupError):
+        return value
+    return "".join(parts)
+
+
+@F.pandas_udf(StringType())
+def _decoded_words(values: pd.Series) -> pd.Series:
+    return values.map(_decoded, na_action="ignore")
+
+
+def subject(headers: Column) -> Column:
+    """The subject with its encoded words (RFC 2047) decoded, trimmed; null if empty. Only values with such words go through Python."""
+    raw = unfolded_header(headers, "Subject")
+    return blank_to_null(F.coalesce(_decoded_words(F.when(F.contains(raw, F.lit("=?")), raw)), raw))
+
+
+def header_section(content: Column, soft: int = 65_536, hard: int = 1_048_576) -> Column:
+    """A message's headers up to and with the blank line after them, looked for in the first hard bytes; content within soft bytes that has none is headers all over; else null."""
+    head = F.substring(content, 1, hard)
+    ends = [F.when(F.locate(mark, head) > 0, F.locate(mark, head) + len(mark) - 1) for mark in ("\r\n\r\n", "\n\n")]
+    end = F.least(*ends)
+    return F.when(end.isNotNull(), F.substring(head, F.lit(1), end)).when(F.length(content) < soft, content)
+
+
 def message_id(raw: Column) -> Column:
     """What stands between the first < and the last >, else the whole; trimmed, null if empty."""
     inner = F.regexp_extract(raw, r"(?s)<(.*)>", 1)
@@ -86,9 +122,8 @@ def ellipsis(text: Column, limit: int) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """Bytes in B, or KB, MB and GB of 1,024 with one decimal."""
-    def step(k: int, unit: str) -> Column:
-        return F.format_string(f"%.1f {unit}", F.bround(n / F.lit(float(1024**k)), 1))
+    """Bytes in B, or KB, MB and GB of 1,024 with one decimal, rounded by the exact value of the quotient as a double."""
+    step = lambda k, unit: F.concat(one_decimal(n / F.lit(float(1024**k))), F.lit(f" {unit}"))
     return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024**2, step(1, "KB")).when(n < 1024**3, step(2, "MB")).otherwise(step(3, "GB"))
 
 
@@ -128,13 +163,25 @@ def percent(done: Column, total: Column) -> Column:
 def name_fault(name: Column, cap: int = 255) -> Column:
     """Why a mailbox can't have a name; null if it can."""
     return (
-        F.when(F.coalesce(name, F.lit("")) == "", "empty").when(F.octet_length(name) > cap, "too long").when(F.contains(name, F.lit("/")) | F.contains(name, F.lit("\\")), "separator")
-        .when(name.isin(".", ".."), "dots")
+        F.when(F.coalesce(name, F.lit("")) == "", "empty").when(F.octet_length(name) > cap, "too long").when(F.contains(name, F.lit("\0")), "NUL")
+        .when(F.contains(name, F.lit("/")) | F.contains(name, F.lit("\\")), "separator").when(name.isin(".", ".."), "dots")
     )
 
 
-def is_private(name: Column) -> Column:
-    return name.startswith(".jma.") | name.startswith(".jma-")
+def segment_fault(name: Column, layout: str, separator: str = ".") -> Column:
+    """Why a name can't be a segment of a folder's path in a layout ('flat', 'maildir++', 'fs'); null if it can."""
+    if layout == "fs":
+        return F.when(name.isin("cur", "new", "tmp"), "reserved").when(name.startswith("."), "leading dot")
+    fault = F.when(F.contains(name, F.lit(separator)), "separator")
+    return fault.when(name.startswith("."), "leading dot") if layout == "maildir++" else fault
+
+
+#: What this library's own files and folders begin with, after a dot and before a dot or a hyphen.
+PRIVATE = "tidemark"
+
+
+def is_private(name: Column, prefix: str = PRIVATE) -> Column:
+    return name.startswith(f".{prefix}.") | name.startswith(f".{prefix}-")
 
 
 def is_message_path(path: Column) -> Column:
@@ -142,8 +189,89 @@ def is_message_path(path: Column) -> Column:
     return (F.contains(path, F.lit("/cur/")) | F.contains(path, F.lit("/new/"))) & F.substring_index(path, "/", -1).rlike("^[0-9]")
 
 
-def is_transient(status: Column, message: Column) -> Column:
-    """Whether a failed request is worth another try: too many requests, a server's fault, or a connection that broke."""
+def is_structural_path(relative: Column, prefix: str = PRIVATE) -> Column:
+    """A path below the root, without private parts, that isn't inside cur, new or tmp."""
+    parts = F.split(relative, "/")
+    inside = F.exists(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x.isin("cur", "new", "tmp"))
+    return (F.coalesce(relative, F.lit("")) != "") & ~F.exists(parts, lambda x: is_private(x, prefix)) & ~inside
+
+
+def fires(relative: Column, exists: Column, parent_has_sentinel: Column, is_maildir: Column) -> Column:
+    """Whether a structural path means a change: cur, new or tmp itself if it is missing or its folder has no sentinel; anything else if it is a maildir."""
+    trio = F.substring_index(relative, "/", -1).isin("cur", "new", "tmp")
+    return (relative != "") & F.when(trio, ~exists | ~parent_has_sentinel).otherwise(is_maildir)
+
+
+#: What the text of a passing failure contains, kinds of a connection that died, and errors of methods and of single changes that pass.
+PASSING = ("Request failed: Limit", "status 429", "status 502", "status 503", "status 504", "rateLimit", "timed out", "connection reset", "connection closed")
+DEAD = ("ConnectionReset", "ConnectionAborted", "BrokenPipe", "UnexpectedEof", "Timeout", "Connect")
+METHOD_ERRORS, CHANGE_ERRORS = ("serverUnavailable", "serverFail", "serverPartialFail"), ("rateLimit", "overQuota")
+
+
+def is_transient(status: Column, message: Column, kind: Column | None = None, error: Column | None = None) -> Column:
+    """Whether a failed request is worth another try. kind says where it failed: transport (error: how the connection ended), problem (by
+    status), server (by the number that the message begins with), method and set (by the error's name). Else, and without a kind, status and message decide."""
+    status_ok = lambda c: F.coalesce((c == 429) | ((c >= 500) & (c < 600)), F.lit(False))
     low = F.lower(F.coalesce(message, F.lit("")))
-    said = F.exists(F.array(*[F.lit(x) for x in ("timed out", "connection reset", "connection closed", "broken pipe")]), lambda x: F.contains(low, x))
-    return F.coalesce((status == 429) | ((status >= 500) & (status < 600)), F.lit(False)) | said
+    said = F.exists(F.array(*[F.lit(x.lower()) for x in (*PASSING, "broken pipe")]), lambda x: F.contains(low, x))
+    plain = status_ok(status) | said
+    if kind is None:
+        return plain
+    one_of = lambda names: F.coalesce(error.isin(*names), F.lit(False))
+    first = F.split(F.trim(message), r"\s+")[0].try_cast("int")
+    return F.when(kind == "transport", one_of(DEAD)).when(kind == "problem", status_ok(status)).when(kind == "server", status_ok(first)).when(kind == "method", one_of(METHOD_ERRORS)).when(kind == "set", one_of(CHANGE_ERRORS)).otherwise(plain)
+
+
+#: Roles that a mailbox can have.
+ROLES = ("inbox", "sent", "drafts", "trash", "junk", "archive")
+
+
+def role_of(raw: Column) -> Column:
+    """A role in lower case; null for an unknown one."""
+    return F.when(F.lower(raw).isin(*ROLES), F.lower(raw))
+
+
+def toml_string(s: Column) -> Column:
+    """A basic string of TOML: in quotes, quotes and backslashes escaped."""
+    return F.concat(F.lit('"'), F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+def epoch_nanos(time: Column) -> Column:
+    """Nanoseconds since 1970; 0 before, and the largest long where they don't fit."""
+    micros = F.greatest(F.unix_micros(time.cast("timestamp")), F.lit(0))
+    most = 2**63 - 1
+    return F.when(micros > most // 1000, F.lit(most)).otherwise(F.least(micros, F.lit(most // 1000)) * 1000)
+
+
+def write_ttl(debounce_seconds: Column, window_ms: Column) -> Column:
+    """Seconds that an own write is remembered: twice debounce and window, rounded half up, at least 1."""
+    return F.greatest(F.floor(((debounce_seconds * 1000 + window_ms) * 2 + 500) / 1000), F.lit(1)).cast("long")
+
+
+def jittered(backoff: Column, seed: int | None = None) -> Column:
+    """A wait drawn evenly from 0 up to the backoff."""
+    return (F.rand() if seed is None else F.rand(seed)) * backoff
+
+
+def resolved_url(base: Column, location: Column) -> Column:
+    """location as seen from base. One with a scheme of its own, and one that is a path on the same host, need no Python."""
+    @F.pandas_udf(StringType())
+    def joined(b: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else urljoin(x, y) for x, y in zip(b, at, strict=True)], dtype=object)
+
+    whole = location.rlike("^[A-Za-z][A-Za-z0-9+.-]*:")
+    rooted = location.rlike("^/(?!/)") & ~location.rlike(r"(^|/)\.\.?(/|$|[?#])")
+    host = F.regexp_extract(base, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+    easy = F.when(whole, location).when(rooted & (host != ""), F.concat(host, location))
+    return F.coalesce(easy, joined(F.when(easy.isNull(), base), F.when(easy.isNull(), location)))
+
+
+def schema_verdict(exists: Column, version: Column, has_tables: Column, current: int) -> Column:
+    """ok for no store, one of the current version or an empty one without a version; else stale."""
+    return F.when(~exists | (version == current) | ((version == 0) & ~has_tables), "ok").otherwise("stale")
+
+
+def first_fault(**required: Column) -> Column:
+    """The name of the first column that is null or blank; null if none is."""
+    blank: Callable[[Column], Column] = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    return F.coalesce(*[F.when(blank(c), F.lit(n)) for n, c in required.items()])

@@ -8,9 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed value: below this many free folders the matchings are counted one by one.
-MOST_FREE = 12
-
 
 def drift(disk: DataFrame, known: DataFrame, selected: DataFrame) -> DataFrame:
     """(folder, class) of disk (folder, sentinel) against known (folder, mailbox_id) and selected (mailbox_id).
@@ -59,28 +56,116 @@ def decided(groups: DataFrame) -> DataFrame:
     return g.select("folder", F.when((F.col("a") == 1) & (F.col("b") == 1) & (F.col("lo") == F.col("hi")), F.col("lo")).alias("mailbox_id"))
 
 
-def _unique(feasible: dict[str, list[str]]) -> dict[str, str] | None:
-    """The only way to give each folder a mailbox of its own, or None if there is none or another one."""
-    order = sorted(feasible, key=lambda f: len(feasible[f]))
-    found: list[dict[str, str]] = []
+def drift_report(disk: DataFrame, known: DataFrame, selected: DataFrame, root_exists: bool = True) -> DataFrame:
+    """drift, or one row (null, class) that says why there is none: the root is missing, or nothing is known of any mailbox."""
+    verdict = None if root_exists else "maildir_root_missing"
+    if verdict is None and known.isEmpty():
+        verdict = "no_mailbox_map"
+    if verdict:
+        return known.sparkSession.range(1).select(F.lit(None).cast("string").alias("folder"), F.lit(verdict).alias("class"))
+    return drift(disk, known, selected)
+
+
+def narrowed(plan: DataFrame, folder: str | None = None, disk_only: bool | None = None) -> DataFrame:
+    """plan (folder, class) for one folder, or one side. A folder that the plan doesn't have is an error."""
+    out = plan if folder is None else plan.filter(F.col("folder") == folder)
+    if folder is not None and out.isEmpty():
+        raise ValueError(f"no such folder in the plan: {folder}")
+    return out if disk_only is None else out.filter((F.col("class") == "disk_only") == F.lit(disk_only))
+
 
-    def place(i: int, taken: dict[str, str]) -> None:
-        if len(found) > 1:
-            return
-        if i == len(order):
-            found.append({f: b for b, f in taken.items()})
-            return
-        for b in feasible[order[i]]:
-            if b not in taken:
-                place(i + 1, taken | {b: order[i]})
+def prune_outcome(plan: DataFrame, known: DataFrame, blocked: DataFrame, force_non_empty: bool = False, force_configured: bool = False) -> DataFrame:
+    """(folder, outcome, unmapped) of prune_plan's rows, deepest folders first: removed; skipped, if its label needs a force that isn't given; deferred, if it couldn't
+    be removed (blocked: folder). unmapped: a mailbox of known (folder, mailbox_id) went with it."""
+    label = F.col("label")
+    allowed = (label == "safe") | F.lit(force_non_empty) & (label == "needs force: not empty") | F.lit(force_configured) & (label == "needs force: configured")
+    rows = plan.join(blocked.select("folder", F.lit(True).alias("_b")).distinct(), "folder", "left").join(known.select("folder", F.lit(True).alias("_k")).distinct(), "folder", "left")
+    outcome = F.when(~allowed, "skipped").when(F.col("_b"), "deferred").otherwise("removed")
+    return rows.select("folder", outcome.alias("outcome"), ((outcome == "removed") & F.col("_k").isNotNull()).alias("unmapped")).orderBy(F.col("folder").desc())
 
-    place(0, {})
-    return found[0] if len(found) == 1 else None
+
+def clears_cursor(outcome: DataFrame) -> DataFrame:
+    """(clear): whether the cursor of mailboxes must be emptied, as one of them went."""
+    return outcome.agg(F.coalesce(F.bool_or("unmapped"), F.lit(False)).alias("clear"))
+
+
+def cross_mapping(groups: DataFrame, skipped: DataFrame, mailboxes: DataFrame, claimed: DataFrame, folders_on_disk: DataFrame) -> DataFrame:
+    """(account, folder, mailbox_id) of folders that their samples leave open, but that can be given out in only one way.
+
+    groups (account, folder, group, boxes); skipped (account, folder, ambiguous); mailboxes, claimed (account, mailbox_id); folders_on_disk (account, folder). An account takes
+    part if it has as many mailboxes as folders, all its skipped folders are ambiguous, and as many of them as mailboxes that nobody has. A
+    folder can have what all its groups that matched anything agree on and nobody has.
+    """
+    count = lambda df, name: df.groupBy("account").agg(F.count("*").alias(name))
+    free = mailboxes.join(claimed, ["account", "mailbox_id"], "left_anti")
+    open_ = skipped.groupBy("account").agg(F.count("*").alias("n_open"), F.bool_and("ambiguous").alias("_all"))
+    fit = open_.join(count(mailboxes, "n_boxes"), "account").join(count(folders_on_disk, "n_disk"), "account").join(count(free, "n_free"), "account")
+    fit = fit.filter("_all AND n_boxes = n_disk AND n_open = n_free").select("account", "n_open")
+    some = groups.filter(F.size("boxes") > 0)
+    votes = some.groupBy("account", "folder").agg(F.count("*").alias("_n"))
+    each = some.select("account", "folder", "group", F.explode(F.array_distinct("boxes")).alias("mailbox_id")).groupBy("account", "folder", "mailbox_id").agg(F.count("*").alias("_k"))
+    feasible = each.join(votes, ["account", "folder"]).filter("_k = _n").join(free, ["account", "mailbox_id"], "left_semi").join(skipped.select("account", "folder"), ["account", "folder"], "left_semi")
+    whole = feasible.groupBy("account").agg(F.countDistinct("folder").alias("_f")).join(fit, "account").filter("_f = n_open").select("account")
+    return unique_matchings(feasible.join(whole, "account", "left_semi").select("account", "folder", "mailbox_id"))
+
+
+def _unique(feasible: dict[str, list[str]]) -> dict[str, str] | None:
+    """The only way to give each folder a mailbox of its own, or None if there is none or another one.
+
+    One way is found along augmenting paths. There is another if a folder may have a mailbox that is left, or if folders can pass
+    their mailboxes on in a ring; without a ring, taking away folders that can take nobody's mailbox leaves none.
+    """
+    owner: dict[str, str] = {}
+
+    def placed(folder: str) -> bool:
+        came: dict[str, str] = {}
+        waiting = [folder]
+        seen = {folder}
+        while waiting:
+            f = waiting.pop()
+            for b in feasible[f]:
+                if b in came:
+                    continue
+                came[b] = f
+                if b not in owner:
+                    while True:
+                        f = came[b]
+                        had = next((x for x, g in owner.items() if g == f), None)
+                        owner[b] = f
+                        if had is None:
+                            return True
+                        b = had
+                elif owner[b] not in seen:
+                    seen.add(owner[b])
+                    waiting.append(owner[b])
+        return False
+
+    if not all(placed(f) for f in feasible):
+        return None
+    has = {f: b for b, f in owner.items()}
+    takes = {f: {owner.get(b) for b in feasible[f] if b != has[f]} for f in feasible}
+    if any(None in t for t in takes.values()):
+        return None
+    wanted = {f: set() for f in feasible}
+    for f, others in takes.items():
+        for g in others:
+            wanted[g].add(f)
+    ready, left = [f for f, t in takes.items() if not t], len(feasible)
+    while ready:
+        f = ready.pop()
+        left -= 1
+        for g in wanted[f]:
+            takes[g].discard(f)
+            if not takes[g]:
+                ready.append(g)
+    return has if left == 0 else None
 
 
 def unique_matchings(feasible: DataFrame) -> DataFrame:
-    """(account, folder, mailbox_id) for accounts of feasible (account, folder, mailbox_id) that have exactly one perfect matching and MOST_FREE folders at most."""
-    small = feasible.groupBy("account").agg(F.countDistinct("folder").alias("n")).filter(F.col("n") <= MOST_FREE).select("account")
+    """(account, folder, mailbox_id) for accounts of feasible (account, folder, mailbox_id) that have exactly one perfect matching.
+
+    An account's pairs, as many as its mailboxes allow, come together in one row; accounts are dealt over tasks.
+    """
 
     def match(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in groups:
@@ -92,5 +177,5 @@ def unique_matchings(feasible: DataFrame) -> DataFrame:
                 out += [(account, f, b) for f, b in sorted((_unique({f: sorted(set(b)) for f, b in by.items()}) or {}).items())]
             yield pd.DataFrame(out, columns=["account", "folder", "mailbox_id"])
 
-    lists = feasible.join(small, "account", "left_semi").groupBy("account").agg(F.collect_set(F.struct("folder", "mailbox_id")).alias("edges"))
+    lists = feasible.groupBy("account").agg(F.collect_set(F.struct("folder", "mailbox_id")).alias("edges"))
     return lists.mapInPandas(match, feasible.select("account", "folder", "mailbox_id").schema)

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import is_private, name_fault, segment_fault
+from tidemark.sources.shared import written
+
 #: Fixed value: a path has this many parents at most; what lies beyond is left out.
 MAX_DEPTH = 64
 
@@ -15,10 +18,11 @@ def paths(tree: DataFrame) -> DataFrame:
     """(id, path, depth, ids) of each node of (id, name, parent_id): names and ids from the root on, depth 0 at a root.
 
     Each round doubles the stretch of parents that is known, so that a tree of depth n takes log2 n joins. A chain
-    ends at a parent that is missing, and at MAX_DEPTH, where cycles end too.
+    ends at a parent that is missing, and at MAX_DEPTH, where cycles end too. Each round is written, so that none is done again.
     """
     cur = tree.select("id", F.array("name").alias("names"), F.array("id").alias("ids"), F.col("parent_id").alias("up"))
-    while not cur.filter(F.col("up").isNotNull() & (F.size("names") < MAX_DEPTH)).isEmpty():
+    open_ = F.col("up").isNotNull() & (F.size("names") < MAX_DEPTH)
+    while not (cur := written(cur, "paths")).filter(open_).isEmpty():
         above = cur.select(F.col("id").alias("up"), F.col("names").alias("n2"), F.col("ids").alias("i2"), F.col("up").alias("u2"))
         cur = cur.join(above, "up", "left").select(
             "id",
@@ -41,12 +45,42 @@ def encoded(path: Column, layout: str, separator: str = ".") -> Column:
     return F.when(path == "INBOX", F.lit(".")).otherwise(inner)
 
 
-def decoded(folder: Column, separator: str = ".") -> tuple[Column, Column]:
-    """(leaf, parent) of a flat folder; the parent is null at the top."""
-    parts = F.split(folder, "\\Q" + separator + "\\E")
-    leaf = F.element_at(parts, -1)
-    parent = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), separator))
-    return leaf, parent
+def folder_fault(path: Column, layout: str, separator: str = ".", cap: int = 255) -> Column:
+    """Why a path has no folder in a layout: the fault of its first faulty segment, or a folder of more than cap bytes (in fs: a segment); null if it has."""
+    faults = F.filter(F.transform(F.split(path, "/"), lambda x: F.coalesce(name_fault(x), segment_fault(x, layout, separator))), lambda x: x.isNotNull())
+    length = F.array_max(F.transform(F.split(path, "/"), F.octet_length)) if layout == "fs" else F.octet_length(encoded(path, layout, separator))
+    return F.coalesce(F.get(faults, F.lit(0)), F.when(length > cap, "too long"))
+
+
+def decoded(folder: Column, separator: str = ".", layout: str = "flat") -> tuple[Column, Column]:
+    """(leaf, parent) of a folder; the parent is null at the top. In maildir++ a leading dot is no segment, and parents have it again; fs is split at slashes."""
+    separator = "/" if layout == "fs" else separator
+    name = F.regexp_replace(folder, r"^\.", "") if layout == "maildir++" else folder
+    parts = F.split(name, "\\Q" + separator + "\\E")
+    above = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), separator)
+    parent = F.when(F.size(parts) > 1, F.concat(F.lit("."), above) if layout == "maildir++" else above)
+    return F.element_at(parts, -1), parent
+
+
+def with_parents(folders: DataFrame, known: DataFrame, layout: str, separator: str = ".") -> DataFrame:
+    """folders (folder) with leaf, parent, parent_id and fault: the id of the parent among known (folder, mailbox_id); a parent that isn't known is a fault."""
+    leaf, parent = decoded(F.col("folder"), separator, layout)
+    ids = known.select(F.col("folder").alias("parent"), F.col("mailbox_id").alias("parent_id"))
+    rows = folders.withColumn("leaf", leaf).withColumn("parent", parent).join(ids, "parent", "left")
+    return rows.withColumn("fault", F.when(F.col("parent").isNotNull() & F.col("parent_id").isNull(), "unknown parent"))
+
+
+def eligible(folder: Column, layout: str) -> Column:
+    """Whether a folder below the root can be a mailbox's: one name in flat, one with a leading dot in maildir++, any depth in fs; never a private one."""
+    if layout == "fs":
+        return (folder != "") & ~F.exists(F.split(folder, "/"), lambda x: is_private(x))
+    plain = (folder != "") & ~F.contains(folder, F.lit("/")) & ~is_private(folder)
+    return plain & folder.startswith(".") if layout == "maildir++" else plain
+
+
+def unbound(folders: DataFrame, bound: DataFrame, layout: str) -> DataFrame:
+    """Folders (folder) that the layout allows and that no mailbox has, each once."""
+    return folders.select("folder").distinct().filter(eligible(F.col("folder"), layout)).join(bound.select("folder"), "folder", "left_anti")
 
 
 def select_subtrees(rows: DataFrame, path: str, ancestors: Sequence[str]) -> DataFrame:

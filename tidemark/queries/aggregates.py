@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import store
 from tidemark.registry import query
 from tidemark.sources.tables import table, view, with_views
+from tidemark.streaming import operators as S
 
 
 @query(with_views("transfers", sql="SELECT direction, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(max(bytes) AS BIGINT) AS largest FROM transfers GROUP BY 1"))
@@ -63,24 +65,45 @@ def channel_health(spark, d):
     return table(spark, d, "events").groupBy("event_type", (F.col("user_id") % 5).alias("channel")).agg(F.max_by("event_id", "ts").alias("last_event"))
 
 
-@query("SELECT source AS folder, left(text, 40) AS message_id, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY ALL")
+@query("SELECT source AS folder, md5(text) AS message_id, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY ALL")
 def known_index(spark, d):
     """Messages of a folder by their id, with all files in order."""
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
-    return table(spark, d, "documents").groupBy(F.col("source").alias("folder"), F.substring("text", 1, 40).alias("message_id")).agg(F.count("*").alias("n"), ids.alias("ids"))
+    return table(spark, d, "documents").groupBy(F.col("source").alias("folder"), F.md5("text").alias("message_id")).agg(F.count("*").alias("n"), ids.alias("ids"))
 
 
 @query("SELECT source, doc_id, CAST(coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM documents")
 def prefix_offsets(spark, d):
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "documents").select("source", "doc_id", F.coalesce(F.sum("n_chars").over(w), F.lit(0)).alias("start"))
+    return store.numbered(table(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", F.col("n_chars"), "start").select("source", "doc_id", "start")
 
 
-@query("SELECT user_id, event_id, date_diff('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts), ts) AS seconds FROM events")
+_WORK = """
+    WITH p AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'fetch' ELSE 'execute' END AS name, o_orderkey % 7 * 1500 AS ms FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 11 <> 0)
+"""
+
+
+def _phases(spark, d):
+    """Phases of orders: those of 5 never end, those of 11 have an end alone."""
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").select(k.alias("id"), F.when(k % 4 == 0, "fetch").otherwise("execute").alias("name"), F.col("o_orderdate").cast("timestamp").alias("ts"), (k % 7 * 1500).alias("ms"))
+    end = F.timestamp_micros(F.unix_micros("ts") + F.col("ms") * 1000)
+    return S.phases(o.filter("id % 11 <> 0").select("id", "name", F.lit("begin").alias("edge"), "ts").union(o.filter("id % 5 <> 0").select("id", "name", F.lit("end"), end)))
+
+
+@query(_WORK + "SELECT id, name, ms AS millis FROM p")
 def phase_durations(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts")
-    s = lambda c: F.unix_timestamp(c.cast("timestamp"))
-    return table(spark, d, "events").select("user_id", "event_id", (s(F.col("ts")) - s(F.lag("ts").over(w))).alias("seconds"))
+    """The length of each phase, by the end that its id has."""
+    return _phases(spark, d).select("id", "name", "millis")
+
+
+@query(_WORK + """
+    , w AS (SELECT l_orderkey AS id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS bytes, count(*) AS ops FROM lineitem GROUP BY 1)
+    SELECT w.id, bytes, ops, CASE WHEN ms > 0 THEN bytes * 1000 // ms ELSE 0 END AS byte_rate, CASE WHEN ms > 0 THEN ops * 1000 // ms ELSE 0 END AS op_rate FROM w LEFT JOIN (SELECT * FROM p WHERE name = 'execute') USING (id)
+""")
+def phase_rates(spark, d):
+    """Bytes and operations a second over the phase in which they were carried out."""
+    work = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sum(F.col("l_quantity").cast("long")).alias("bytes"), F.count("*").alias("ops"))
+    return S.phase_rates(work, _phases(spark, d).filter("name = 'execute'"))
 
 
 _CHAIN = """
@@ -107,12 +130,12 @@ def cursor_chunk_merge(spark, d):
     return c.select("conv_id", F.coalesce(F.lag("turn").over(w) + 1 == F.col("turn"), F.lit(True)).alias("ok")).groupBy("conv_id").agg(F.bool_and("ok").alias("unbroken"))
 
 
-@query("SELECT l_orderkey, l_linenumber, coalesce('P' || p_partkey, '#' || l_partkey) AS target FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 25) ON l_partkey = p_partkey")
+@query("SELECT l_orderkey, l_linenumber, 'P' || p_partkey AS target FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 25")
 def resolve_refs(spark, d):
-    """Symbolic references with the id that a creation gave them, where there is one."""
-    made = table(spark, d, "part").filter("p_size > 25").select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("made"))
-    rows = table(spark, d, "lineitem").join(made, "l_partkey", "left")
-    return rows.select("l_orderkey", "l_linenumber", F.coalesce("made", F.concat(F.lit("#"), F.col("l_partkey").cast("string"))).alias("target"))
+    """Uploads into mailboxes that are made in the same cycle, with the id that each got; those of one that wasn't made are left out."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    made = table(spark, d, "part").filter("p_size > 25").select(name("#", "p_partkey").alias("ref"), name("P", "p_partkey").alias("id"))
+    return store.resolved(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", name("#", "l_partkey").alias("ref")), made).select("l_orderkey", "l_linenumber", "target")
 
 
 @query("""

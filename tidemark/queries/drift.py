@@ -172,3 +172,52 @@ def bind_validation(spark, d):
     raw = F.concat(F.when(s % 3 == 0, "a=b").otherwise("f"), s.cast("string"), F.lit("=M"), F.col("s_nationkey").cast("string"))
     rows = table(spark, d, "supplier").select("s_suppkey", F.regexp_extract(raw, "^(.*)=([^=]*)$", 1).alias("folder"), F.regexp_extract(raw, "^(.*)=([^=]*)$", 2).alias("mailbox"))
     return rows.join(rows.groupBy("mailbox").agg((F.count("*") > 1).alias("refused")), "mailbox").select("s_suppkey", "folder", "mailbox", "refused")
+
+
+@query(_PRUNE + """
+    , cut AS (SELECT folder FROM customer JOIN prune ON folder = c_name WHERE c_custkey % 2 = 0)
+    SELECT folder, CASE WHEN label = 'needs force: configured' THEN 'skipped' WHEN folder IN (SELECT folder FROM cut) THEN 'deferred' ELSE 'removed' END AS outcome,
+           label <> 'needs force: configured' AND folder NOT IN (SELECT folder FROM cut) AND folder IN (SELECT folder FROM known) AS unmapped FROM prune
+""")
+def prune_apply(spark, d):
+    """What becomes of folders to prune when those with files may go, and some can't be removed just now."""
+    blocked = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_name").alias("folder"))
+    return D.prune_outcome(_pruned(spark, d), _folders(spark, d)[1], blocked, force_non_empty=True)
+
+
+@query(_PRUNE + "SELECT count(*) > 0 AS clear FROM prune WHERE label = 'safe' AND folder IN (SELECT folder FROM known)")
+def prune_clears_cursor(spark, d):
+    nothing = table(spark, d, "customer").filter("false").select(F.col("c_name").alias("folder"))
+    return D.clears_cursor(D.prune_outcome(_pruned(spark, d), _folders(spark, d)[1], nothing))
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS folder, x AS class FROM (VALUES ('maildir_root_missing'), ('no_mailbox_map')) t(x)")
+def drift_verdicts(spark, d):
+    """Why there is no comparison: no root, or nothing known."""
+    disk, known, selected = _folders(spark, d)
+    return D.drift_report(disk, known, selected, root_exists=False).union(D.drift_report(disk, known.filter("false"), selected))
+
+
+@query(with_views("cached", "remote", sql="SELECT count(*) AS orphans, CAST(sum(n) AS BIGINT) AS server_emails FROM (SELECT mailbox_id, count(*) AS n FROM remote WHERE mailbox_id IN (SELECT mailbox_id FROM cached WHERE email_id NOT IN (SELECT email_id FROM remote)) GROUP BY 1)"))
+def orphan_server_totals(spark, d):
+    """Mailboxes with orphans, and how many mails the server has in them."""
+    gone = view(spark, d, "cached").join(view(spark, d, "remote"), "email_id", "left_anti").select("mailbox_id").distinct()
+    return view(spark, d, "remote").join(gone, "mailbox_id", "left_semi").groupBy("mailbox_id").agg(F.count("*").alias("server_email_count")).agg(F.count("*").alias("orphans"), F.sum("server_email_count").alias("server_emails"))
+
+
+@query("""
+    SELECT s_suppkey AS account, concat('f', i) AS folder, concat('m', i) AS mailbox_id FROM supplier, unnest(range(15)) t(i) WHERE s_suppkey % 4 = 0
+""")
+def rebind_cross_map(spark, d):
+    """Folders whose samples leave several mailboxes open, given out where that goes in one way: a chain of 15 does (0 of 4), a ring doesn't (1), nor one with a folder too many (2) or without an ambiguous cause (3)."""
+    a = F.col("account")
+    base = table(spark, d, "supplier").select(F.col("s_suppkey").alias("account"), F.explode(F.sequence(F.lit(0), F.lit(14))).alias("i"))
+    m = lambda c: F.concat(F.lit("m"), c.cast("string"))
+    i = F.col("i")
+    folder = F.concat(F.lit("f"), i.cast("string")).alias("folder")
+    other = F.when(a % 4 == 1, (i + 1) % 15).otherwise(F.least(i + 1, F.lit(14)))
+    groups = base.select("account", folder, F.lit(0).alias("group"), F.array(m(i), m(other), F.lit("claimed")).alias("boxes")).union(base.select("account", folder, F.lit(1), F.array(m(i), m(other), F.lit("x")))).union(base.select("account", folder, F.lit(2), F.array().cast("array<string>")))
+    skipped = base.select("account", folder, (~((a % 4 == 3) & (i == 7))).alias("ambiguous"))
+    boxes = base.select("account", m(i).alias("mailbox_id"))
+    disk = base.select("account", folder).union(base.filter((a % 4 == 2) & (i == 0)).select("account", F.lit("more")))
+    return D.cross_mapping(groups, skipped, boxes, boxes.filter("false"), disk)

@@ -91,8 +91,43 @@ def path_escape(spark, d):
     return table(spark, d, "pages").select("page_id", (path.startswith("/") | F.array_contains(F.split(path, "/"), "..")).alias("escapes"))
 
 
-@query(with_views("messages", sql="SELECT DISTINCT folder FROM messages WHERE folder NOT IN (SELECT source FROM documents WHERE doc_id % 97 = 0) AND length(folder) = 5"))
+@query("""
+    SELECT DISTINCT 'flat' AS layout, source AS folder FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 97 = 0) UNION ALL SELECT DISTINCT 'flat', concat('.', source) FROM documents WHERE doc_id % 3 = 0
+    UNION ALL SELECT DISTINCT 'maildir++', concat('.', source) FROM documents WHERE doc_id % 3 = 0
+    UNION ALL SELECT DISTINCT 'fs', source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 97 = 0) UNION ALL SELECT DISTINCT 'fs', concat('.', source) FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT DISTINCT 'fs', concat(source, '/', lang) FROM documents WHERE doc_id % 3 = 1
+""")
 def unbound_folders(spark, d):
-    m = view(spark, d, "messages")
-    bound = m.filter("doc_id % 97 = 0").select("folder").distinct()
-    return m.select("folder").distinct().filter(F.length("folder") == 5).join(bound, "folder", "left_anti")
+    """Folders without a mailbox, by what each layout takes for a folder."""
+    k = F.col("doc_id")
+    docs = table(spark, d, "documents")
+    names = F.array(F.col("source"), F.when(k % 3 == 0, F.concat(F.lit("."), "source")), F.when(k % 3 == 1, F.concat_ws("/", "source", "lang")), F.concat(F.lit(".tidemark."), "source"))
+    folders = docs.select(F.explode(F.array_compact(names)).alias("folder"))
+    bound = docs.filter(k % 97 == 0).select(F.col("source").alias("folder")).distinct()
+    out = [H.unbound(folders, bound, x).select(F.lit(x).alias("layout"), "folder") for x in ("flat", "maildir++", "fs")]
+    return out[0].union(out[1]).union(out[2])
+
+
+@query(with_views("tree", sql=_PATHS + """
+    SELECT p.id, t.name AS leaf, CASE WHEN t.parent_id IS NOT NULL THEN concat('.', replace(q.path, '/', '.')) END AS plus_parent, q.path AS fs_parent FROM p JOIN tree t USING (id) LEFT JOIN p q ON q.id = t.parent_id
+"""))
+def layout_decode_all(spark, d):
+    """Leaves and parents of the same paths in the layouts with a leading dot and with real folders."""
+    p = H.paths(view(spark, d, "tree"))
+    plus, fs = (H.decoded(H.encoded(F.col("path"), x), layout=x) for x in ("maildir++", "fs"))
+    return p.filter(plus[0] == fs[0]).select("id", plus[0].alias("leaf"), plus[1].alias("plus_parent"), fs[1].alias("fs_parent"))
+
+
+@query(with_views("tree", sql=_PATHS + "SELECT p.path AS folder, t.name AS leaf, CASE WHEN t.parent_id NOT IN ('N3', 'R2') THEN t.parent_id END AS parent_id, CASE WHEN t.parent_id IN ('N3', 'R2') THEN 'unknown parent' END AS fault FROM p JOIN tree t USING (id)"))
+def disk_parents(spark, d):
+    """Folders with the id of their parent; two parents aren't known."""
+    p = H.paths(view(spark, d, "tree"))
+    known = p.filter(~F.col("id").isin("N3", "R2")).select(F.col("path").alias("folder"), F.col("id").alias("mailbox_id"))
+    return H.with_parents(p.select(F.col("path").alias("folder")), known, "fs").select("folder", "leaf", "parent_id", "fault")
+
+
+@query(with_views("tree", sql=_PATHS + "SELECT id, CASE WHEN contains(path, '.') THEN 'separator' WHEN strlen(path) > 30 THEN 'too long' END AS flat, CASE WHEN contains(path, '.') THEN NULL WHEN strlen(path) - 1 >= 30 THEN 'too long' END AS plus FROM p"))
+def layout_faults(spark, d):
+    """Paths that a layout has no folder for."""
+    p = H.paths(view(spark, d, "tree"))
+    plus = H.folder_fault(F.replace("path", F.lit("."), F.lit("_")), "maildir++", cap=30)
+    return p.select("id", H.folder_fault(F.col("path"), "flat", cap=30).alias("flat"), plus.alias("plus"))

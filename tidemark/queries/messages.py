@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import dedupe
+from tidemark.operators import dedupe, store
 from tidemark.registry import query
 from tidemark.sources.tables import table, view, with_views
 
@@ -75,13 +75,13 @@ def folder_checkpoint(spark, d):
 
 @query(with_views("messages", sql="""
     , now AS (SELECT folder, count(*) AS n, max(mtime) AS t FROM messages GROUP BY folder),
-    old AS (SELECT folder, count(*) AS n, max(mtime) AS t FROM messages WHERE doc_id < 900 AND substr(folder, -1) <> '3' GROUP BY folder)
+    old AS (SELECT folder, count(*) AS n, max(mtime) AS t FROM messages WHERE substr(folder, -1) <> '3' AND NOT (substr(folder, -1) = '7' AND doc_id % 10 = 4) GROUP BY folder)
     SELECT folder FROM now LEFT JOIN old USING (folder) WHERE old.n IS NULL OR old.n <> now.n OR old.t <> now.t
 """))
 def dirty_folders(spark, d):
     m = view(spark, d, "messages")
     snap = lambda x: x.groupBy("folder").agg(F.struct(F.count("*").alias("n"), F.max("mtime").alias("t")).alias("s"))
-    old = snap(m.filter((F.col("doc_id") < 900) & ~F.col("folder").endswith("3"))).withColumnRenamed("s", "old")
+    old = snap(m.filter(~F.col("folder").endswith("3") & ~(F.col("folder").endswith("7") & (F.col("doc_id") % 10 == 4)))).withColumnRenamed("s", "old")
     return snap(m).join(old, "folder", "left").filter(~F.col("s").eqNullSafe(F.col("old"))).select("folder")
 
 
@@ -119,14 +119,13 @@ def suppress_dedupe_victims(spark, d):
 
 @query("SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 50 AS chunk FROM documents")
 def batch_chunks(spark, d):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, d, "documents").select("doc_id", F.floor((n - 1) / 50).alias("chunk"))
+    rows = store.numbered(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id")
+    return rows.select("doc_id", F.floor(F.col("before") / 50).alias("chunk"))
 
 
 @query("SELECT doc_id, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) % 5 AS slot FROM documents")
 def round_robin(spark, d):
-    n = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
-    return table(spark, d, "documents").select("doc_id", ((n - 1) % 5).cast("long").alias("slot"))
+    return store.numbered(table(spark, d, "documents").select("lang", "doc_id"), "lang", "doc_id").select("doc_id", (F.col("before") % 5).alias("slot"))
 
 
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256(concat(source, '/', doc_id))) AS r FROM documents) WHERE r <= 12")

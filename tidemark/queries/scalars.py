@@ -9,9 +9,9 @@ from tidemark.registry import query
 from tidemark.sources.tables import table, view, with_views
 
 
-@query("SELECT doc_id, nullif(trim(regexp_extract(h, '(?s)<(.*)>', 1)), '') AS message_id FROM (SELECT doc_id, concat('  <', trim(substr(text, 1, 20)), '> x <', doc_id, '@y> ') AS h FROM documents)")
+@query("SELECT doc_id, nullif(trim(regexp_extract(h, '(?s)<(.*)>', 1)), '') AS message_id FROM (SELECT doc_id, concat('  <', trim(text), '> x <', doc_id, '@y> ') AS h FROM documents)")
 def msgid_extract(spark, d):
-    raw = F.concat(F.lit("  <"), F.trim(F.substring("text", 1, 20)), F.lit("> x <"), F.col("doc_id").cast("string"), F.lit("@y> "))
+    raw = F.concat(F.lit("  <"), F.trim("text"), F.lit("> x <"), F.col("doc_id").cast("string"), F.lit("@y> "))
     return table(spark, d, "documents").select("doc_id", T.message_id(raw).alias("message_id"))
 
 
@@ -129,7 +129,7 @@ def name_validation(spark, d):
     k = F.col("c_custkey") % 6
     name = F.when(k == 0, "").when(k == 1, F.concat("c_name", F.lit("/x"))).when(k == 2, "..").when(k == 3, F.repeat(F.lit("é"), 128)).otherwise(F.col("c_name"))
     raw = F.when(F.col("c_custkey") % 3 == 0, "INBOX").when(F.col("c_custkey") % 3 == 1, "Sent").otherwise("other")
-    role = F.when(F.lower(raw).isin("inbox", "sent", "drafts", "trash", "junk", "archive"), F.lower(raw))
+    role = T.role_of(raw)
     return table(spark, d, "customer").select("c_custkey", T.name_fault(name).alias("fault"), role.alias("role"))
 
 
@@ -141,8 +141,8 @@ def event_path_filter(spark, d):
     p = F.col("page_id")
     sub = F.when(p % 3 == 0, F.when(p % 2 == 0, "cur").otherwise("new")).otherwise("tmp")
     path = F.concat(F.lit("/m/a/"), sub, F.lit("/"), F.when(p % 5 == 0, "x").otherwise(""), p.cast("string"))
-    folder = F.concat(F.lit("a/"), F.when(p % 7 == 0, ".jma.lock").otherwise("b"), F.lit("/c"))
-    return table(spark, d, "pages").select("page_id", T.is_message_path(path).alias("message"), F.exists(F.split(folder, "/"), T.is_private).alias("private"))
+    folder = F.concat(F.lit("a/"), F.when(p % 7 == 0, ".tidemark.lock").otherwise("b"), F.lit("/c"))
+    return table(spark, d, "pages").select("page_id", T.is_message_path(path).alias("message"), F.exists(F.split(folder, "/"), lambda x: T.is_private(x)).alias("private"))
 
 
 @query("""
@@ -153,3 +153,84 @@ def transient_errors(spark, d):
     status = F.when(e == 0, 429).when(e == 1, 503).when(e == 2, 404)
     said = F.when(F.col("event_type") == "error", "Connection reset by peer").otherwise("no such id")
     return table(spark, d, "events").select("event_id", T.is_transient(status, said).alias("transient"))
+
+
+@query("""
+    SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Grüße ' || doc_id WHEN 1 THEN 'a b ' || doc_id WHEN 2 THEN '=?broken ' || doc_id END AS subject FROM documents
+""")
+def subject_decode(spark, d):
+    """Subjects with encoded words, in base64 and quoted, whole or in two parts, and plain ones; blank ones are null."""
+    k, text = F.col("doc_id"), F.col("doc_id").cast("string")
+    coded = F.concat(F.lit("=?utf-8?B?R3LDvMOfZQ==?=\r\n =?utf-8?q?_"), text, F.lit("?="))
+    value = F.when(k % 4 == 0, coded).when(k % 4 == 1, F.concat(F.lit(" a\r\n\tb "), text, F.lit("  "))).when(k % 4 == 2, F.concat(F.lit("=?broken "), text)).otherwise("  ")
+    headers = F.concat(F.lit("From: x\r\nSubject: "), value, F.lit("\r\nTo: c\r\n"))
+    return table(spark, d, "documents").select("doc_id", T.subject(headers).alias("subject"))
+
+
+@query("""
+    SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 26 WHEN doc_id % 4 = 1 THEN 13 WHEN n_chars < 300 AND doc_id % 4 = 2 THEN n_chars + 11 WHEN doc_id % 4 = 3 AND n_chars + 15 <= 3000 THEN n_chars + 15 END AS length
+    FROM (SELECT doc_id, length(replace(text, chr(10), ' ')) AS n_chars FROM documents)
+""")
+def header_sections(spark, d):
+    """Lengths of header sections: with blank lines of either kind, none in a short file, none in a long one, one that comes late."""
+    k = F.col("doc_id")
+    line = F.replace("text", F.lit("\n"), F.lit(" "))
+    content = F.when(k % 4 == 0, F.concat(F.lit("From: a\r\nTo: 123456789\r\n\r\n"), line)).when(k % 4 == 1, F.concat(F.lit("Subject: ab\n\n"), line)).when(k % 4 == 2, F.concat(F.lit("X-Comment: "), line)).otherwise(F.concat(F.lit("X-Comment: "), line, F.lit("\r\n\r\n"), F.repeat(F.lit("y"), 400)))
+    return table(spark, d, "documents").select("doc_id", F.length(T.header_section(content, 311, 3000)).cast("long").alias("length"))
+
+
+@query("""
+    SELECT c_custkey, CASE WHEN k = 2 THEN 'separator' END AS flat, CASE k WHEN 1 THEN 'separator' WHEN 2 THEN 'separator' END AS plus, CASE k WHEN 0 THEN 'reserved' WHEN 1 THEN 'leading dot' END AS fs
+    FROM (SELECT *, c_custkey % 4 AS k FROM customer)
+""")
+def segment_faults(spark, d):
+    k = F.col("c_custkey") % 4
+    name = F.when(k == 0, "cur").when(k == 1, F.concat(F.lit(".x"), "c_custkey")).when(k == 2, F.concat(F.lit("a."), "c_custkey")).otherwise(F.col("c_name"))
+    flat = F.when(k == 1, "x").otherwise(name)
+    return table(spark, d, "customer").select("c_custkey", T.segment_fault(flat, "flat").alias("flat"), T.segment_fault(name, "maildir++").alias("plus"), T.segment_fault(name, "fs").alias("fs"))
+
+
+@query("""
+    SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id % 3 <> 1 WHEN 1 THEN event_id % 3 <> 1 WHEN 2 THEN event_id % 3 = 2 WHEN 3 THEN event_id % 3 <> 2 ELSE event_id % 3 = 0 END AS transient FROM events
+""")
+def transient_kinds(spark, d):
+    """Failures by where they happened: transport, problem, a server's text, a method's error, a single change's."""
+    e, r = F.col("event_id") % 5, F.col("event_id") % 3
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("transport", "problem", "server", "method", "set")]), (e + 1).cast("int"))
+    pick = lambda a, b, c: F.when(r == 0, a).when(r == 1, b).otherwise(c)
+    status = F.when(e == 1, pick(F.lit(429), F.lit(404), F.lit(599)))
+    message = F.when(e == 2, pick(F.lit("400 Bad Request"), F.lit("request 503"), F.lit(" 503 Service Unavailable")))
+    error = F.when(e == 0, pick(F.lit("ConnectionReset"), F.lit("InvalidData"), F.lit("Timeout"))).when(e == 3, pick(F.lit("serverFail"), F.lit("serverUnavailable"), F.lit("forbidden"))).when(e == 4, pick(F.lit("rateLimit"), F.lit("notFound"), F.lit("invalidPatch")))
+    return table(spark, d, "events").select("event_id", T.is_transient(status, message, kind, error).alias("transient"))
+
+
+@query(r"""
+    SELECT page_id, concat('"a', chr(92), chr(92), 'b', chr(92), '"', page_id, '"') AS toml, greatest(CAST(round((page_id % 7 * 1000 + page_id % 1000) * 2 / 1000.0) AS BIGINT), 1) AS ttl,
+           CASE WHEN page_id % 3 = 0 THEN 0 ELSE page_id * 1000000000 END AS nanos, CASE WHEN page_id % 4 IN (0, 3) OR page_id % 5 = 0 THEN 'ok' ELSE 'stale' END AS verdict
+    FROM pages
+""")
+def small_scalars(spark, d):
+    p = F.col("page_id")
+    time = F.timestamp_seconds(F.when(p % 3 == 0, -p).otherwise(p))
+    version = F.when(p % 4 == 3, 7).when(p % 4 == 0, 0).otherwise(p % 4)
+    return table(spark, d, "pages").select(
+        "page_id", T.toml_string(F.concat(F.lit('a\\b"'), p.cast("string"))).alias("toml"), T.write_ttl(p % 7, p % 1000).alias("ttl"), T.epoch_nanos(time).alias("nanos"),
+        T.schema_verdict(p % 5 != 0, version, p % 2 == 1, 7).alias("verdict"),
+    )
+
+
+@query("""
+    SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://o.example/' || page_id WHEN 1 THEN 'https://h.example/x/' || page_id WHEN 2 THEN 'https://h.example/a/y' || page_id WHEN 3 THEN 'https://h.example/z' || page_id ELSE 'https://c.example/w' || page_id END AS url FROM pages
+""")
+def redirects(spark, d):
+    """Where a redirect leads: absolute, from the root, beside the page, above it, and without a scheme."""
+    p = F.col("page_id")
+    at = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("https://o.example/", "/x/", "y", "../z", "//c.example/w")]), (p % 5 + 1).cast("int")), p.cast("string"))
+    return table(spark, d, "pages").select("page_id", T.resolved_url(F.lit("https://h.example/a/b?q=1"), at).alias("url"))
+
+
+@query("SELECT count(*) AS n, bool_and(TRUE) AS within FROM events WHERE event_type = 'error'")
+def jitter_bounds(spark, d):
+    """Drawn waits lie between 0 and the backoff."""
+    e = table(spark, d, "events").filter("event_type = 'error'").select(F.pow(F.lit(2.0), F.col("event_id") % 6).alias("b")).withColumn("w", T.jittered(F.col("b"), 7))
+    return e.agg(F.count("*").alias("n"), F.bool_and((F.col("w") >= 0) & (F.col("w") <= F.col("b"))).alias("within"))

@@ -11,7 +11,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 #: Stored messages: a file for each document; the anchor is what copies of a message share.
 MESSAGES = """
-    SELECT doc_id, CAST(doc_id AS STRING) AS maildir_id, source AS folder, substr(text, 1, 40) AS message_id, n_chars AS size,
+    SELECT doc_id, CAST(doc_id AS STRING) AS maildir_id, source AS folder, md5(text) AS message_id, n_chars AS size,
            doc_id AS mtime, CASE WHEN doc_id % 10 = 0 THEN 'new' ELSE 'cur' END AS subdir, text AS body
     FROM documents
 """

@@ -5,12 +5,14 @@ Streams need event times with a zone and a bound for late rows, which the batch
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import is_message_path
+
 #: The kinds of triggers, the most important first, and what they have scanned.
 DOMINANCE = ("Initial", "Manual", "RemoteChange", "Structural", "LocalChange")
 
@@ -27,14 +29,77 @@ def sessions(triggers: DataFrame, gap: str, keys: list[str], watermark: str | No
     return g.select(*keys, F.col("w.start").alias("start"), "end", "n", F.element_at(F.array(*[F.lit(k) for k in DOMINANCE]), F.col("_rank").cast("int")).alias("kind"))
 
 
+def folded(triggers: DataFrame, gap: str, keys: list[str], watermark: str | None = None, time: str = "ts") -> DataFrame:
+    """sessions of triggers (kind, candidates, paths: arrays) with the paths that their runs carry: those of structural and local changes, one after
+    another, repeats and all. A run that scans everything needs none; a structural one has candidates of its kind and everybody's paths; a local one paths alone."""
+    if watermark:
+        triggers = triggers.withWatermark(time, watermark)
+    rank = F.array_position(F.array(*[F.lit(k) for k in DOMINANCE]), F.col("kind"))
+    g = triggers.groupBy(F.session_window(time, gap).alias("w"), *keys).agg(
+        F.min(rank).cast("int").alias("_rank"), F.count("*").alias("n"), F.flatten(F.collect_list(F.when(F.col("kind") == "Structural", F.col("candidates")))).alias("_c"),
+        F.flatten(F.collect_list(F.when(F.col("kind").isin("Structural", "LocalChange"), F.col("paths")))).alias("_p"),
+    )
+    none = F.array().cast("array<string>")
+    kind = F.element_at(F.array(*[F.lit(k) for k in DOMINANCE]), F.col("_rank"))
+    return g.select(*keys, F.col("w.start").alias("start"), "n", kind.alias("kind"), F.when(F.col("_rank") == 4, F.col("_c")).otherwise(none).alias("candidates"), F.when(F.col("_rank") >= 4, F.col("_p")).otherwise(none).alias("paths"))
+
+
+def classified(events: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """(batch, kind, candidates, paths) of batches of events (batch, path, exists, fires): what a batch of file events triggers.
+
+    Message paths count only if one of them is in cur or gone, and not all are own writes (own: batch). Of other paths those that can be
+    structural come (null in fires: they can't); if one fires, the batch is structural, else only its messages count. Batches of neither are left out.
+    """
+    message = is_message_path(F.col("path"))
+    lively = F.contains("path", F.lit("/cur/")) | ~F.col("exists")
+    g = events.groupBy("batch").agg(
+        F.array_sort(F.collect_list(F.when(message, F.col("path")))).alias("_m"), F.coalesce(F.bool_or(F.when(message, lively)), F.lit(False)).alias("_live"),
+        F.array_sort(F.collect_list(F.when(~message & F.col("fires").isNotNull(), F.col("path")))).alias("_c"), F.coalesce(F.bool_or(F.when(~message, F.col("fires"))), F.lit(False)).alias("_fires"),
+    )
+    if own is not None:
+        g = g.join(own.select("batch", F.lit(True).alias("_own")).distinct(), "batch", "left").withColumn("_live", F.col("_live") & F.col("_own").isNull())
+    none = F.array().cast("array<string>")
+    rows = g.select("batch", F.when(F.col("_fires"), "Structural").when(F.col("_live"), "LocalChange").alias("kind"), F.when(F.col("_fires"), F.col("_c")).otherwise(none).alias("candidates"), F.when(F.col("_live"), F.col("_m")).otherwise(none).alias("paths"))
+    return rows.filter("kind IS NOT NULL")
+
+
+def predicted_paths(folder: Column, maildir_id: Column, flags: Column) -> Column:
+    """Paths under which a delivery will be seen: read ones in cur; others in new, and in cur once a reader takes them there with the same flags."""
+    name = F.concat(maildir_id, F.lit(":2,"), flags)
+    at = lambda sub: F.concat(folder, F.lit(f"/{sub}/"), name)
+    return F.when(F.contains(flags, F.lit("S")), F.array(at("cur"))).otherwise(F.array(at("new"), at("cur")))
+
+
+def on_changes(handler: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: handler is only called for batches that have rows."""
+    def call(batch: DataFrame, batch_id: int) -> None:
+        if not batch.isEmpty():
+            handler(batch, batch_id)
+
+    return call
+
+
 def scope(kind: Column) -> Column:
     return F.when(kind.isin("Initial", "Manual", "RemoteChange"), "full").when(kind == "Structural", "folders").otherwise("paths")
 
 
-def advances(events: DataFrame, keys: list[str], state: str, time: str = "ts") -> DataFrame:
-    """Events whose state isn't that of the one before with the same keys; the first one counts."""
-    before = F.lag(state).over(Window.partitionBy(*keys).orderBy(time))
-    return events.withColumn("_b", before).filter(~F.col(state).eqNullSafe(F.col("_b"))).drop("_b")
+def advances(events: DataFrame, keys: list[str], state: str, time: str = "ts", seeds: DataFrame | None = None, valid: str | None = None) -> DataFrame:
+    """Events whose state isn't that of the one before with the same keys; the first one counts, unless seeds (keys, state) has its state.
+
+    valid: a column that says whether the event could be read. One that couldn't always counts, and leaves the state as it was.
+    """
+    own = F.col(state) if valid is None else F.when(F.col(valid), F.col(state))
+    w = Window.partitionBy(*keys).orderBy(time)
+    if valid is None:
+        rows = events.withColumn("_b", F.lag(state).over(w))
+    else:
+        rows = events.withColumn("_b", F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    if seeds is not None:
+        rows = rows.withColumn("_first", F.row_number().over(w)).join(seeds.select(*keys, F.col(state).alias("_seed")), keys, "left")
+        first = F.col("_first") == 1 if valid is None else F.col("_b").isNull()
+        rows = rows.withColumn("_b", F.when(first, F.col("_seed")).otherwise(F.col("_b"))).drop("_first", "_seed")
+    changed = ~F.col(state).eqNullSafe(F.col("_b"))
+    return rows.filter(changed if valid is None else changed | ~F.col(valid)).drop("_b")
 
 
 def watchdog_gaps(events: DataFrame, keys: list[str], ping: str, time: str = "ts", first_budget: int = 300, slack: int = 5) -> DataFrame:
@@ -52,6 +117,55 @@ def sliding_rate(samples: DataFrame, keys: list[str], amount: str, seconds: int,
     return samples.withColumn("rate", F.sum(amount).over(w) / seconds)
 
 
+def rates_at(samples: DataFrame, probes: DataFrame, keys: list[str], amount: str, seconds: int, idle: int, time: str = "ts") -> DataFrame:
+    """probes (keys, time) with rate (what came within the last seconds, by that fixed time; 0 if the newest sample is more than idle seconds old) and total (all that came so far)."""
+    order = F.unix_micros(F.col(time).cast("timestamp"))
+    both = samples.select(*keys, time, F.col(amount).alias("_n"), F.lit(False).alias("_probe")).union(probes.select(*keys, time, F.lit(0).cast(samples.schema[amount].dataType), F.lit(True)))
+    w = Window.partitionBy(*keys).orderBy("_at")
+    rows = both.withColumn("_at", order)
+    came = F.when(~F.col("_probe"), F.col("_at"))
+    rows = rows.withColumn("_sum", F.sum("_n").over(w.rangeBetween(-seconds * 1_000_000, 0))).withColumn("_last", F.max(came).over(w)).withColumn("total", F.sum("_n").over(w))
+    rate = F.when(F.col("_at") - F.col("_last") <= idle * 1_000_000, F.col("_sum") / seconds).otherwise(F.lit(0.0))
+    return rows.filter("_probe").select(*keys, time, rate.alias("rate"), "total")
+
+
+def eta(rates: DataFrame, left: str) -> DataFrame:
+    """rates with eta: seconds that what is left takes at the rate; null at rate 0."""
+    return rates.withColumn("eta", F.when(F.col("rate") > 0, F.col(left) / F.col("rate")))
+
+
+def own_batches(batches: DataFrame, written: DataFrame, key: str, ttl: int, time: str = "ts") -> DataFrame:
+    """(key, batch, own) of batches (key, batch, path, time) against written (key, path, time): own if each path of the batch was written here less than ttl
+    seconds before its last event; then its entries are used up. A path written again is remembered from then on.
+
+    A key's events go through one task in order; what is held are its writes of the last ttl seconds.
+    """
+    def step(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key_now, entries, gc_at = None, {}, 0
+        for pdf in pdfs:
+            out = []
+            for k, t, batch, paths in zip(pdf["k"], pdf["t"], pdf["batch"], pdf["paths"], strict=True):
+                if k != key_now:
+                    key_now, entries, gc_at = k, {}, t
+                if batch < 0:
+                    entries.update((p, t) for p in paths)
+                    if t >= gc_at + ttl * 1_000_000:
+                        entries, gc_at = {p: u for p, u in entries.items() if t - u < ttl * 1_000_000}, t
+                else:
+                    own = all(p in entries and t - entries[p] < ttl * 1_000_000 for p in paths)
+                    if own:
+                        for p in paths:
+                            entries.pop(p, None)
+                    out.append((k, batch, own))
+            yield pd.DataFrame(out, columns=["k", "batch", "own"])
+
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    whole = batches.groupBy(F.col(key).cast("long").alias("k"), F.col("batch").cast("long").alias("batch")).agg(F.max(micros).alias("t"), F.collect_set("path").alias("paths"))
+    notes = written.select(F.col(key).cast("long").alias("k"), F.lit(-1).cast("long").alias("batch"), micros.alias("t"), F.array("path").alias("paths"))
+    rows = notes.unionByName(whole).repartition("k").sortWithinPartitions("k", "t", "batch")
+    return rows.select("k", "t", "batch", "paths").mapInPandas(step, "k long, batch long, own boolean").withColumnRenamed("k", key)
+
+
 def own_writes(batches: DataFrame, written: DataFrame, ttl: int) -> DataFrame:
     """(batch, own) of batches (batch, path, ts) against written (path, ts): own if each path was written here less than ttl seconds before. A write answers for one path of a batch."""
     seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp"))) / 1_000_000
@@ -60,39 +174,66 @@ def own_writes(batches: DataFrame, written: DataFrame, ttl: int) -> DataFrame:
     return batches.select("batch", "path").distinct().join(hits, ["batch", "path"], "left").groupBy("batch").agg(F.bool_and(F.coalesce("hit", F.lit(False))).alias("own"))
 
 
-def hook_runs(triggers: DataFrame, key: str, run_seconds: int, time: str = "ts") -> DataFrame:
+#: Fixed value: a hook is tried again this often at most.
+MOST_RETRIES = 10
+
+
+def hook_runs(triggers: DataFrame, key: str, run_seconds: int, time: str = "ts", fails: str | None = None, retries: int = 0) -> DataFrame:
     """(key, start, triggers) of runs of a hook that has one slot: triggers while it runs make one further run right after it.
 
-    A key's triggers go through one task in order, a bounded state at a time.
+    fails: a column with how often a run that this trigger begins fails (for a further run: its first trigger); each failure is followed by another try of
+    run_seconds, up to retries (MOST_RETRIES at most), and the runs have attempts and ok as well. A key's triggers go through one task in
+    order, a bounded state at a time.
     """
-    def step(pdf_iter: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key_now, start, end, n, waiting = None, None, None, 0, 0
-        for pdf in pdf_iter:
-            out = []
-            for k, t in zip(pdf["k"], pdf["t"], strict=True):
+    allowed = min(retries, MOST_RETRIES)
+
+    def step(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        key_now, end, waiting, bad = None, 0, 0, 0
+
+        def begin(t: int, n: int, f: int) -> int:
+            attempts = min(f, allowed) + 1
+            out.append((key_now, t, n, attempts, f <= allowed))
+            return t + run_seconds * attempts
+
+        for pdf in pdfs:
+            for k, t, f in zip(pdf["k"], pdf["t"], pdf["f"], strict=True):
                 if k != key_now:
-                    if key_now is not None:
-                        out.append((key_now, start, n))
-                        if waiting:
-                            out.append((key_now, end, waiting))
-                    key_now, start, end, n, waiting = k, t, t + run_seconds, 1, 0
-                elif t >= end:
-                    out.append((key_now, start, n))
                     if waiting:
-                        start, end, n, waiting = end, end + run_seconds, waiting, 0
-                        if t >= end:
-                            out.append((key_now, start, n))
-                            start, end, n = t, t + run_seconds, 1
-                        else:
-                            waiting = 1
-                    else:
-                        start, end, n = t, t + run_seconds, 1
+                        begin(end, waiting, bad)
+                    key_now, waiting = k, 0
+                    end = begin(t, 1, f)
+                    continue
+                if waiting and t >= end:
+                    end, waiting = begin(end, waiting, bad), 0
+                if t >= end:
+                    end = begin(t, 1, f)
                 else:
+                    bad = bad if waiting else f
                     waiting += 1
-            yield pd.DataFrame(out, columns=["k", "start", "n"])
-        if key_now is not None:
-            yield pd.DataFrame([(key_now, start, n)] + ([(key_now, end, waiting)] if waiting else []), columns=["k", "start", "n"])
-
-    rows = triggers.select(F.col(key).cast("long").alias("k"), F.unix_timestamp(F.col(time).cast("timestamp")).alias("t"))
-    runs = rows.repartition("k").sortWithinPartitions("k", "t").mapInPandas(step, "k long, start long, n long")
-    return runs.select(F.col("k").alias(key), "start", F.col("n").alias("triggers"))
+            yield pd.DataFrame(out, columns=["k", "start", "n", "attempts", "ok"])
+            out.clear()
+        if waiting:
+            begin(end, waiting, bad)
+        yield pd.DataFrame(out, columns=["k", "start", "n", "attempts", "ok"])
+
+    failures = F.lit(0).cast("long") if fails is None else F.coalesce(F.col(fails).cast("long"), F.lit(0))
+    rows = triggers.select(F.col(key).cast("long").alias("k"), F.unix_timestamp(F.col(time).cast("timestamp")).alias("t"), failures.alias("f"))
+    runs = rows.repartition("k").sortWithinPartitions("k", "t").mapInPandas(step, "k long, start long, n long, attempts long, ok boolean")
+    own = [] if fails is None else ["attempts", "ok"]
+    return runs.select(F.col("k").alias(key), "start", F.col("n").alias("triggers"), *own)
+
+
+def phases(events: DataFrame, time: str = "ts") -> DataFrame:
+    """(id, name, begin, millis) of phases from events (id, name, edge 'begin' or 'end', time): an end closes the phase that began under its id. Ends of nothing and phases that never end are left out."""
+    begin, end = (F.when(F.col("edge") == e, F.struct(F.col(time).alias("t"), "name")) for e in ("begin", "end"))
+    g = events.groupBy("id").agg(F.max(begin).alias("b"), F.max(end).alias("e")).filter("b IS NOT NULL AND e.t >= b.t")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return g.select("id", F.col("b.name").alias("name"), F.col("b.t").alias("begin"), F.floor((micros("e.t") - micros("b.t")) / 1000).alias("millis"))
+
+
+def phase_rates(work: DataFrame, phase: DataFrame) -> DataFrame:
+    """work (id, bytes, ops) with byte_rate and op_rate: by the length of the phase (id, millis), per second; 0 for a phase of no length or none."""
+    rows = work.join(phase.groupBy("id").agg(F.min("millis").alias("millis")), "id", "left")
+    rate = lambda c: F.when(F.coalesce("millis", F.lit(0)) > 0, F.floor(F.col(c) * 1000 / F.col("millis"))).otherwise(F.lit(0)).cast("long")
+    return rows.select("id", "bytes", "ops", rate("bytes").alias("byte_rate"), rate("ops").alias("op_rate"))
