@@ -270,14 +270,20 @@ class Sides:
             (F.col("flags") != F.col("old_flags"), act("update_remote_flags", "email_id", "maildir_id", flags="flags")),
         )
 
-    def plan(self) -> DataFrame:
-        out = self._settled()
-        for part in (self._deletes(), self._departures(), self._arrived(), self._uploaded(), self._moved()):
-            out = out.union(part)
-        return out
+    #: The stages, and the kinds of actions that each gives.
+    _STAGES = {
+        "_settled": {"move_local", "update_local_flags", "update_remote_flags"}, "_deletes": {"delete_local"}, "_departures": {"download", "destroy_remote"},
+        "_arrived": {"download", "adopt", "update_local_flags", "update_remote_flags"}, "_uploaded": {"upload", "adopt", "update_local_flags", "update_remote_flags"}, "_moved": {"move_remote", "adopt", "update_remote_flags"},
+    }
+
+    def plan(self, *kinds: str) -> DataFrame:
+        """All actions, or those of some kinds: only the stages that give them are run."""
+        parts = [getattr(self, name)() for name, gives in self._STAGES.items() if not kinds or gives & set(kinds)]
+        out = functools.reduce(DataFrame.union, parts)
+        return out.filter(F.col("kind").isin(*kinds)) if kinds else out
 
     def of_kind(self, kind: str) -> DataFrame:
-        return self.plan().filter(F.col("kind") == kind)
+        return self.plan(kind)
 
     def downloads(self) -> DataFrame:
         return self.of_kind("download")

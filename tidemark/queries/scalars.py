@@ -78,7 +78,7 @@ def url_template(spark, d):
 
 @query("""
     SELECT doc_id, CASE WHEN length(text) <= 24 THEN text ELSE concat(substr(text, 1, 23), '…') END AS short, format('{:,}', n_chars * 1237) AS grouped,
-           CASE WHEN n < 1024 THEN concat(n, ' B') WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) ELSE printf('%.1f MB', n / 1048576.0) END AS size
+           CASE WHEN n < 1024 THEN concat(n, ' B') WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.1f GB', n / 1073741824.0) END AS size
     FROM (SELECT *, n_chars * n_chars AS n FROM documents)
 """)
 def display_format(spark, d):
