@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -117,6 +118,21 @@ def test_sharding(spark, docs, empty):
     assert sharding.place(empty).count() == 0
 
 
+def test_sharding_by_brute_force(spark, docs):
+    def best(key, weights):
+        bids = []
+        for k, w in enumerate(weights):
+            u = (int(hashlib.md5(f"{key}/{k}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            bids.append((-math.log(u) / w, k))
+        return min(bids)[1]
+
+    for r in sharding.place(docs).collect():
+        assert (r["shard"], r["grown_shard"]) == (best(r["doc_id"], [1.0] * 24), best(r["doc_id"], [1.0] * 25))
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(300)], "k string")
+    weights = [1.0, 0.5, 3.0]
+    assert all(r["s"] == best(r["k"], weights) for r in keys.select("k", sharding.rendezvous(F.col("k"), weights).alias("s")).collect())
+
+
 def test_weights(spark):
     ids = spark.range(20000)
     counts = dict(ids.select(sharding.rendezvous(F.col("id"), [1, 2, 0, 5]).alias("s")).groupBy("s").count().collect())
@@ -687,6 +703,12 @@ def test_fingerprints_by_brute_force(spark):
             assert abs(got[i][name] - like(a, b)) < 1e-12, (i, name)
 
 
+def test_tokens_with_and_without_unspaced_scripts(spark):
+    texts = ["a  b\tc\x0bd\u00a0e\u2028f ", " \n", "", "“Ünï” çödé…", "abc日本 x", "ไทย x", "ｶﾅ 〆 々 ー", "\U00020000 z", "x\ue000y"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(syncmers.tokens(F.col("t")).alias("a"), F.regexp_extract_all("t", F.lit(syncmers.TOKEN), F.lit(0)).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got)
+
+
 def test_places_tell_order(spark):
     a, b = prose(81, 400), prose(82, 400)
     mixed = " ".join(w for k in range(0, 400, 8) for w in a.split()[k : k + 8][::1][:6] + b.split()[k : k + 8][:2])

@@ -16,17 +16,25 @@ K, S = 5, 2
 #: Hashes in a fingerprint: the least ones of all anchors of the whole text.
 SKETCH = 64
 TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]+"
+#: A class that has all characters of these scripts, and quickly shows that a text has none.
+UNSPACED = r"[\u0E00-\u0E7F\u2E80-\uD7FF\uF900-\uFAFF\uFE30-\uFFFF\x{10000}-\x{10FFFF}]"
 #: Ranges of the key in which documents are put in order: so many, or as many as the session has shuffle partitions.
 BUCKETS = 256
 
 
+def tokens(text: Column) -> Column:
+    """The words of a text, and each character of a script without blanks. Texts without such characters are just split, which gives the same in a third of the time."""
+    plain = (F.octet_length(text) == F.char_length(text)) | ~text.rlike(UNSPACED)
+    return F.when(plain, F.filter(F.split(text, r"\s+"), lambda w: w != "")).otherwise(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
+
+
 def with_anchors(df: DataFrame, text: Column, out: str) -> DataFrame:
     """df with the array out of (pos, hash): the text's closed syncmers, pos counted in tokens from 0.
 
     A text of fewer than K tokens has each token as an anchor; an empty one has none.
     """
     inner = K - S + 1
-    df = df.withColumn("_h", F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda w: F.xxhash64(w)))
+    df = df.withColumn("_h", F.transform(tokens(text), lambda w: F.xxhash64(w)))
     df = df.withColumn("_s", F.expr(f"CASE WHEN size(_h) >= {K} THEN transform(sequence(0, size(_h) - {S}), i -> xxhash64(_h[i], _h[i + 1])) END"))
     mid = ", ".join(f"_s[i + {j}]" for j in range(1, inner - 1))
     df = df.withColumn("_p", F.expr(f"CASE WHEN size(_h) >= {K} THEN filter(sequence(0, size(_h) - {K}), i -> least(_s[i], _s[i + {inner - 1}]) <= least({mid})) WHEN size(_h) > 0 THEN sequence(0, size(_h) - 1) ELSE array() END"))
@@ -80,8 +88,8 @@ def bucket(key: Column, cuts: list[int]) -> Column:
     return first + below(F.slice(whole, first + 1, F.lit(w)))
 
 
-def with_next(df: DataFrame, key: str, text: str, carried: str) -> DataFrame:
-    """df with next_text and next_carried, of the row that follows by descending key (after the last: of the first).
+def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
+    """df with next_text, of the row that follows by descending key (after the last: of the first).
 
     Rows are dealt into ranges of the key, followed inside a range by a window, and across ranges by
     the first row of the next range; what the driver sees is a key for each range. Equal keys follow by text.
@@ -93,14 +101,13 @@ def with_next(df: DataFrame, key: str, text: str, carried: str) -> DataFrame:
     order = sorted(ends, reverse=True)
     follows = [(b, order[(i + 1) % len(order)]) for i, b in enumerate(order)]
     w = Window.partitionBy("_b").orderBy(F.col(key).desc(), F.col(text))
-    df = df.withColumn("_lead", F.lead(F.struct(F.col(text).alias("t"), F.col(carried).alias("c"))).over(w))
+    df = df.withColumn("_lead", F.lead(text).over(w))
     firsts = df.sparkSession.createDataFrame([(b, ends[n]) for b, n in follows], "_b int, _first bigint")
-    starts = df.select(F.col(key).alias("_first"), F.struct(F.col(text).alias("t"), F.col(carried).alias("c")).alias("_start")).filter(F.col("_first").isin([ends[n] for _, n in follows]))
+    starts = df.select(F.col(key).alias("_first"), F.col(text).alias("_start")).filter(F.col("_first").isin([ends[n] for _, n in follows]))
     starts = starts.groupBy("_first").agg(F.min("_start").alias("_start"))
     jump = F.broadcast(firsts).join(starts, "_first").select("_b", "_start")
     df = df.join(jump, "_b", "left")
-    df = df.withColumn("_f", F.coalesce("_lead", "_start"))
-    return df.withColumn("next_text", F.col("_f.t")).withColumn("next_carried", F.col("_f.c")).drop("_b", "_lead", "_start", "_f")
+    return df.withColumn("next_text", F.coalesce("_lead", "_start")).drop("_b", "_lead", "_start")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,12 +125,13 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document's first ones. A null id stands last in descending order; a null text is empty.
     """
     rows = docs.select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_k"), text_of(text_col).alias("_t"))
-    rows = with_next(with_chain(rows, F.col("_t"), "_a"), "_k", "_t", "_a")
+    rows = with_next(rows, "_k", "_t")
     n = F.char_length("_t")
     rows = rows.withColumn("_m", F.floor(n / 3).cast("int"))
     edited = F.concat(F.substring("_t", F.lit(1), n - F.col("_m")), F.substring("next_text", F.lit(1), F.col("_m")))
-    rows = rows.select(id_col, n.cast("long").alias("n_chars"), edited.alias("_e"), "_a", F.col("next_carried").alias("_n"))
-    rows = with_chain(rows, F.col("_e"), "_b")
+    rows = rows.select(id_col, n.cast("long").alias("n_chars"), "_t", edited.alias("_e"), F.col("next_text").alias("_x"))
+    for text, chain in (("_t", "_a"), ("_e", "_b"), ("_x", "_n")):
+        rows = with_chain(rows, F.col(text), chain)
     rows = rows.select(id_col, "n_chars", "_e", *[f(f"_{c}").alias(f"_{c}{k}") for c in "abn" for k, f in (("h", hashes), ("p", places))])
     return rows.select(
         id_col, "n_chars", F.sha2("_e", 256).alias("edited_sha256"), as_text(sketch_of(F.col("_ah"))).alias("fingerprint"), as_text(sketch_of(F.col("_bh"))).alias("edited_fingerprint"),
