@@ -448,6 +448,21 @@ def test_packing(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_null_ids_repeats_and_padding(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    one = prose(91, 30)
+    odd = packing.pack(spark.createDataFrame([(None, one), (5, None), (5, None), (None, None)], "doc_id long, text string"), path).collect()
+    tokens = collections.Counter((r["doc_id"], r["doc_tokens"]) for r in odd if r["start"] == 0)
+    n = len(Tokenizer.from_file(path).encode(one, add_special_tokens=False).ids) + 1
+    assert tokens == {(None, n): 1, (None, 1): 1, (5, 1): 2}
+    many = spark.createDataFrame([(i, prose(i, 20 + i * 7 % 900)) for i in range(600)], "doc_id long, text string")
+    length = collections.Counter()
+    for r in packing.pack(many, path).collect():
+        length[r["sequence_id"]] += r["length"]
+    padding = sum(0 if x & (x - 1) == 0 else packing.WINDOW - x for x in length.values())
+    assert padding < 0.05 * sum(length.values())
+
+
 def test_byte_bpe_random_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
     t, b, r = Tokenizer.from_file(path), packing.ByteBpe(path), random.Random(2)
@@ -719,6 +734,26 @@ def test_places_tell_order(spark):
 # pipeline
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    one, two = prose(61, 80), prose(62, 80)
+    data = [(1, one, "e"), (1, one, "e"), (None, two, "e"), (None, None, "e"), (2, None, "e"), (3, "", "e"), (4, one + " " + two, "e"), (6, prose(63, 30_000), "e")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, kept string")
+    spark.createDataFrame([(1, 0), (4, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.filter("false"), str(tmp_path)).count() == 0
+    assert stage_rows(corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))) == stage_rows(docs)
+    exact_ = corpus_pipeline.drop_exact_copies(spark, docs, "")
+    assert sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in exact_.collect()) == sorted([(1, len(one)), (0, len(two)), (3, 0), (4, len(one) + len(two) + 1), (6, len(data[-1][1]))])
+    assert corpus_pipeline.drop_near_copies(spark, docs, "").count() == 7
+    cut = {(r["doc_id"], len(r["text"] or "")) for r in corpus_pipeline.drop_repeated_strings(spark, docs, "").collect()}
+    assert (None, len(two)) in cut and (2, 0) in cut and any(i == 4 and n < len(two) + 5 for i, n in cut)
+    assert corpus_pipeline.pack(spark, docs, "").filter("start = 0").count() == len(data)
+
+
+def stage_rows(df):
+    return sorted(((r["doc_id"] or 0, r["text"] or "") for r in df.collect()))
+
+
 def test_pipeline(spark, tmp_path):
     data = [(i, t) for i, t in rows() if i < 60]
     toxic = [(1000 + i, prose(i, 60) + (" zonk grubling" if i % 2 else "")) for i in range(120)]

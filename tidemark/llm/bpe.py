@@ -33,6 +33,8 @@ from tidemark.llm.shared import small_batches, text_of
 
 #: Fixed value: white space as Unicode defines it.
 BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
+#: Characters outside these well-known ranges are looked up among the rare ones.
+UNCOMMON = re.compile("[^\x00-\u02ff\u0400-\u0481\u2010-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff]")
 #: Different words whose codes a task remembers, up to this many characters each, and pairs of tokens known to fit or not.
 REMEMBERED, SHORT, PAIRS = 600_000, 64, 1_000_000
 WORD_END = ""
@@ -75,18 +77,23 @@ def moved_marks() -> str:
     return "".join(c for c in marks if any(nfc(x) != unicodedata.normalize("NFC", x) for p in "\u0307\u0323\u0334\u0345" for x in (c + p, p + c)))
 
 
+@functools.cache
+def open_characters(kind: str) -> str:
+    """Characters that are letters (kind L) or numbers (N) in the regex module's version of Unicode or in Python's, not in both."""
+    newer = set(regex.findall(rf"\p{{{kind}}}", every_character()))
+    return "".join(sorted(newer ^ {c for c in every_character() if unicodedata.category(c)[0] == kind}))
+
+
 def class_of(kind: str) -> str:
     """The class of letters (kind L) or numbers (N) as the tokenizers library has it, for a pattern of nested sets.
 
     This library's tables, the regex module's and Python's are of different versions of Unicode. Where the last two agree so does
     the first, which lies between them; on the others it is asked.
     """
-    newer = set(regex.findall(rf"\p{{{kind}}}", every_character()))
-    older = {c for c in every_character() if unicodedata.category(c)[0] == kind}
-    open_ = "".join(sorted(newer ^ older))
+    open_ = open_characters(kind)
     left = {c for piece, _ in Split(Regex(rf"\p{{{kind}}}"), "removed").pre_tokenize_str(open_) for c in piece} if open_ else set()
-    own = set(open_) - left
-    out, more = newer & left, own - newer
+    newer = set(regex.findall(rf"\p{{{kind}}}", open_))
+    out, more = newer & left, set(open_) - left - newer
     return rf"[[\p{{{kind}}}" + (f"--[{ranges(out)}]" if out else "") + "]" + (f"[{ranges(more)}]" if more else "") + "]"
 
 
@@ -101,8 +108,9 @@ class WordBpe(dict):
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pattern = regex.compile(pattern.replace(r"\p{L}", class_of("L")).replace(r"\p{N}", class_of("N")), regex.V1)
-        self.rare = re.compile(f"[{ranges(unknown_characters() + moved_marks())}]")
+        self.pattern = regex.compile(pattern)
+        self.exact_pattern = regex.compile(pattern.replace(r"\p{L}", class_of("L")).replace(r"\p{N}", class_of("N")), regex.V1)
+        self.rare = re.compile(f"[{ranges(set(unknown_characters() + moved_marks() + open_characters('L') + open_characters('N')))}]")
         self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
@@ -192,7 +200,8 @@ class WordBpe(dict):
             return self.word(chunk)
         if chunk[:-1].isalpha() and chunk[-1] in ".,!?":
             return self.remember(chunk, self.word(chunk[:-1]) + self.word(chunk[-1]))
-        return self.remember(chunk, b"".join(map(self.word, self.pattern.findall(chunk))))
+        pattern = self.exact_pattern if self.has_rare(chunk) else self.pattern
+        return self.remember(chunk, b"".join(map(self.word, pattern.findall(chunk))))
 
     def remember(self, chunk: str, packed: bytes) -> bytes:
         if len(chunk) <= SHORT:
@@ -201,9 +210,13 @@ class WordBpe(dict):
             self[chunk] = packed
         return packed
 
+    def has_rare(self, text: str) -> bool:
+        """Whether tables of different versions of Unicode may disagree on a character of the text."""
+        return not text.isascii() and UNCOMMON.search(text) is not None and self.rare.search(text) is not None
+
     def normalised(self, text: str) -> str:
         """NFC, white space as one blank, lower case; by the tokenizers library if the text has characters that Python doesn't know or orders otherwise."""
-        if not text.isascii() and self.rare.search(text):
+        if self.has_rare(text):
             return self.normalizer.normalize_str(text)
         return BLANKS.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
 

@@ -1,20 +1,19 @@
-"""Removal of byte strings that repeat across documents, by sorting sampled suffixes and inducing the rest.
+"""Removal of byte strings that repeat across documents, by content-defined anchors and sorted runs of windows.
 
-Sorting every suffix of a corpus moves many times its size. As in induced sorting, only a sample of the
-suffixes is sorted and the others follow from it. The sample is content-defined: of the K-byte strings
-inside a window of LENGTH bytes, the leftmost one of the least hash is the window's anchor, so that equal
+Sorting every suffix of a corpus moves many times its size (README, "Method not as named"). Here hashes of stretches are sorted instead. Of the K-byte
+strings inside a window of LENGTH bytes, the leftmost one of the least hash is the window's anchor, so that equal
 windows have their anchor at the same place. Neighbouring windows mostly share an anchor; such windows
-together are a run. About one suffix in 15 is an anchor.
+together are a run. About one byte in 15 begins an anchor. Bytes are never compared: stretches count as equal if their hashes do.
 
 1. A tuple (anchor, run, document) for each run goes through Spark's external sort, which spills to disk
    and merges there. A run that also is in a smaller document is wholly repeated. Runs whose anchor is
-   shared while the run differs have a common prefix at that anchor that may or may not be long enough.
+   shared while the run differs may have windows in common.
 2. Only for these, the bytes of the run go through a second sort; each of its windows is compared with those
    of the other runs of its anchor. An anchor with more than HOT runs (the edge of a very common passage)
    has its windows sorted on their own, so that no group is held in memory.
-3. Each document induces its repeated windows from its runs' verdicts and drops the bytes they cover.
+3. Each document finds its repeated windows by its runs' verdicts and drops the bytes they cover.
 
-No document's suffixes are sorted in one task, and every step streams over sorted tuples.
+No document is sorted in one task, and every step streams over sorted tuples.
 """
 
 from __future__ import annotations
