@@ -1,6 +1,7 @@
 """From raw documents to packed training sequences: five stages, each written as Parquet and read again.
 
-Every stage works on all rows that the one before it kept. All but the last return the columns of documents.
+Every stage works on all rows that the one before it kept. All but the last return the columns of documents, others that are there too.
+Empty tables give empty ones. A null text counts as an empty one and stays null where its row stays.
 """
 
 from __future__ import annotations
@@ -13,17 +14,17 @@ from tidemark.llm.shared import table, text_of, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, fitted on the labels, doesn't reject."""
+    """Documents that the toxicity model, fitted on the labels, doesn't reject. Each row is judged by its text alone: repeated rows and rows without an id as any, null and empty texts stay."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document of the largest id."""
+    """Of equal texts, the document of the largest id; one without an id only if no copy has one. Repeated rows become one, texts that share an id are each kept."""
     return exact.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents, that of the smallest id."""
+    """Of linked documents, that of the smallest id. Rows without an id or whose id has several texts stay, as do texts without words."""
     return minhash.drop_near_duplicates(docs)
 
 
@@ -43,7 +44,7 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences. Repeated rows are packed each, an empty or null text as its end alone, a null id as the least one."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
