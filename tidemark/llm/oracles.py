@@ -46,4 +46,16 @@ OP9 = r"""
     SELECT doc_id, coalesce(n, 0) AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id, n
 """
 
-ORACLE = {"op2_exact_dedup": OP2, "op5_suffix_dedup": OP5, "op8_warc": OP8, "op9_minhash": OP9}
+#: A turn's marks and blanks by role, and one more letter for each control string inside a text.
+OP11 = r"""
+    WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    n AS (SELECT *, length(text) + len(regexp_extract_all(text, '<\\*/?s>|\[\\*/?INST\]|<\\*</?SYS>>|\[\\*(OUT|/?ROLE|END)\]|<\\*\|endoftext\|>'))
+              + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 15 WHEN 'assistant' THEN 9 ELSE 18 + length(role) END AS chars FROM t)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
+           CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(3 + sum(chars) AS BIGINT) AS formatted_chars
+    FROM n GROUP BY conv_id
+"""
+
+ORACLE = {"op2_exact_dedup": OP2, "op5_suffix_dedup": OP5, "op8_warc": OP8, "op9_minhash": OP9, "op11_chat": OP11}
