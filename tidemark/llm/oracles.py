@@ -58,4 +58,26 @@ OP11 = r"""
     FROM n GROUP BY conv_id
 """
 
-ORACLE = {"op2_exact_dedup": OP2, "op5_suffix_dedup": OP5, "op8_warc": OP8, "op9_minhash": OP9, "op11_chat": OP11}
+
+
+def _op13(rounds: int = 4) -> str:
+    """Codebooks c0, c1 and so on as rows (part, entry, place, value), each from the nearest entries of the one before. Values are integers, held as doubles where they are summed."""
+    near = """
+        d{k} AS (SELECT vec_id, v.part, entry, sum((v.x - c{k}.x) * (v.x - c{k}.x)) AS dist FROM v JOIN c{k} ON v.part = c{k}.part AND v.place = c{k}.place GROUP BY ALL),
+        a{k} AS MATERIALIZED (SELECT vec_id, part, min_by(entry, (dist, entry)) AS entry, min(dist) AS dist FROM d{k} GROUP BY ALL)"""
+    move = """,
+        c{n} AS MATERIALIZED (SELECT c{k}.part, c{k}.entry, c{k}.place, coalesce(m.x, c{k}.x) AS x FROM c{k} LEFT JOIN
+            (SELECT part, entry, place, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM v JOIN a{k} USING (vec_id, part) GROUP BY ALL) m ON m.part = c{k}.part AND m.entry = c{k}.entry AND m.place = c{k}.place),"""
+    steps = "".join(near.format(k=k) + (move.format(k=k, n=k + 1) if k < rounds else "") for k in range(rounds + 1))
+    return f"""
+        WITH kept AS (SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        v AS MATERIALIZED (SELECT vec_id, (i - 1) // (len(embedding) // 4) AS part, (i - 1) % (len(embedding) // 4) AS place, CAST(floor(1024 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x FROM kept, unnest(range(1, len(embedding) + 1)) t(i)),
+        c0 AS MATERIALIZED (SELECT part, k AS entry, place, x FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM kept) USING (vec_id) WHERE k < 256),
+        {steps},
+        e AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error FROM a{rounds} GROUP BY 1)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, place)) FROM c{rounds}) AS codebooks_sha256
+        FROM e JOIN kept USING (vec_id)
+    """
+
+
+ORACLE = {"op2_exact_dedup": OP2, "op5_suffix_dedup": OP5, "op8_warc": OP8, "op9_minhash": OP9, "op11_chat": OP11, "op13_codes": _op13()}
