@@ -58,6 +58,21 @@ OP11 = r"""
     FROM n GROUP BY conv_id
 """
 
+#: The checksum is table-driven over a word's bytes. Words are near if they are equal with one letter masked in each, or if one without a letter is the other.
+OP12 = r"""
+    WITH RECURSIVE steps AS MATERIALIZED (SELECT list(list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+    run AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents),
+    many AS (SELECT doc_id, w, count(*) AS n, hex(encode(concat(doc_id, ':', w))) AS x FROM run WHERE length(w) >= 7 GROUP BY ALL),
+    summed AS (SELECT w, n, xor(list_reduce(list_concat([4294967295], list_transform(range(0, len(x) // 2), lambda k: CAST(concat('0x', substr(x, 2 * k + 1, 2)) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS h FROM many, steps),
+    word AS MATERIALIZED (SELECT CASE WHEN h % 31 = 0 THEN concat(substr(w, 1, h % length(w)), substr(w, h % length(w) + 2)) ELSE w END AS word, CAST(sum(n) AS BIGINT) AS n FROM summed GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2),
+    cut AS (SELECT word, i, concat(substr(word, 1, i - 1), chr(1), substr(word, i + 1)) AS masked, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS without FROM word, unnest(range(1, length(word) + 1)) t(i)),
+    half AS (SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b USING (masked) WHERE a.word <> b.word UNION SELECT cut.word, word.word FROM cut JOIN word ON cut.without = word.word),
+    near AS (SELECT a, b FROM half UNION SELECT b, a FROM half),
+    best AS (SELECT a, count(*) AS n_near, max(n) AS most, arg_min(b, (-n, b)) AS b FROM near JOIN word ON b = word GROUP BY a),
+    found AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * n THEN b END AS form, CASE WHEN most >= 10 * n THEN most END AS form_n FROM word LEFT JOIN best ON a = word),
+    chain AS (SELECT word, word AS root, form AS next FROM found UNION ALL SELECT chain.word, found.word, found.form FROM chain JOIN found ON chain.next = found.word)
+    SELECT found.word, form, root, n, n_near, form_n FROM found JOIN chain ON chain.word = found.word AND next IS NULL
+"""
 
 
 def _op13(rounds: int = 4) -> str:
@@ -80,4 +95,4 @@ def _op13(rounds: int = 4) -> str:
     """
 
 
-ORACLE = {"op2_exact_dedup": OP2, "op5_suffix_dedup": OP5, "op8_warc": OP8, "op9_minhash": OP9, "op11_chat": OP11, "op13_codes": _op13()}
+ORACLE = {"op2_exact_dedup": OP2, "op5_suffix_dedup": OP5, "op8_warc": OP8, "op9_minhash": OP9, "op11_chat": OP11, "op12_spelling": OP12, "op13_codes": _op13()}

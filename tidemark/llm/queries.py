@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, codes, exact, minhash, packing, sharding, suffixes, syncmers, toxicity, urls, warc
+from tidemark.llm import bpe, chat, codes, exact, minhash, packing, sharding, spelling, suffixes, syncmers, toxicity, urls, warc
 from tidemark.llm.oracles import ORACLE  # noqa: F401
 from tidemark.llm.shared import table, written
 
@@ -68,6 +68,10 @@ def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(written(chat.formatted(turns, path), "chat"), path)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(table(spark, sf_dir, "documents"))
+
+
 def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compressed(table(spark, sf_dir, "embeddings"))
 
@@ -78,4 +82,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_toxicity, op4_sharding, op5_suffix_dedup, op6_bpe, op7_packing, op8_warc, op9_minhash, op10_syncmers, op11_chat, op13_codes, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_toxicity, op4_sharding, op5_suffix_dedup, op6_bpe, op7_packing, op8_warc, op9_minhash, op10_syncmers, op11_chat, op12_spelling, op13_codes, pipeline)}
