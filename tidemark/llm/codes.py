@@ -44,7 +44,7 @@ def _scaled(column: pa.ListArray, width: int) -> np.ndarray:
     v = np.floor(column.flatten().to_numpy(zero_copy_only=False) * SCALE)
     if v.size and np.abs(v).max() >= BOUND:
         raise ValueError(f"components must be smaller than {BOUND // SCALE} in absolute value")
-    return v.astype(np.int64).reshape(-1, width)
+    return v.astype(np.int64).reshape(len(lengths), width)
 
 
 def _list(arrays: list[pa.Array]) -> pa.ListArray:

@@ -184,7 +184,7 @@ def archive(pages: DataFrame, folder: str, id_col: str = "page_id", uri_col: str
     """Writes a record per row of pages into .warc.gz files in folder; returns the table (file, records) of the files.
 
     Payloads are cut into chunks as they are read, which are written once with the digest carried along; from then on only these
-    chunks move. The last chunk of each record has its length and digest, by which it finds its response.
+    chunks move, and only those of oversized payloads, which are brought together by record. The last chunk of each record has its length and digest, by which it finds its response.
     A null payload is an empty one. A null id is written without a number. Repeated rows are records of their own.
     """
     spark = pages.sparkSession
@@ -195,7 +195,9 @@ def archive(pages: DataFrame, folder: str, id_col: str = "page_id", uri_col: str
     chunks = written(cut.mapInArrow(digested, kinds), "chunks", compression="zstd")
     targets = with_targets(chunks.filter("last").select("row", "record_id", "payload_bytes", "payload_digest"), least_bytes)
     known = written(targets.drop("record_id"), "digests")
-    rows = chunks.drop("payload_bytes", "payload_digest").join(known, "row").sortWithinPartitions("row", "chunk")
+    both = chunks.drop("payload_bytes", "payload_digest").join(known, "row")
+    whole = (F.col("chunk") == 0) & F.col("last")  # a file of chunks may be read in several splits: only records of one chunk may stay where they are
+    rows = both.filter(whole).unionByName(both.filter(~whole).repartition("row").sortWithinPartitions("row", "chunk"))
     rows = rows.select("record_id", "chunk", "last", F.when(F.col("refers_to").isNull(), F.col("data")).alias("data"), "uri", "payload_bytes", "payload_digest", "refers_to")
     return written(write_archives(rows, shared_uri(spark, folder)), "archives")
 
