@@ -41,8 +41,12 @@ def state_advance(spark, d):
         FROM (SELECT *, CASE WHEN event_type = 'view' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) * 600 END AS p FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts)) WHERE gap > budget * 1000000
 """)
 def watchdog_gaps(spark, d):
-    ping = F.when(F.col("event_type") == "view", F.get_json_object("props", "$.k").cast("long") * 600)
-    return S.watchdog_gaps(table(spark, d, "events").withColumn("ping", ping), ["user_id"], "ping").select("user_id", "event_id", "budget")
+    return S.watchdog_gaps(table(spark, d, "events").withColumn("ping", ping()), ["user_id"], "ping").select("user_id", "event_id", "budget")
+
+
+def ping():
+    """The interval that a view announces, as a server's ping."""
+    return F.when(F.col("event_type") == "view", F.get_json_object("props", "$.k").cast("long") * 600)
 
 
 @query("SELECT user_id, event_id, round(sum(n) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) / 21600.0, 9) AS rate FROM (SELECT *, CAST(floor(value) AS BIGINT) AS n FROM events)")
@@ -171,22 +175,32 @@ def eta_idle(spark, d):
 """)
 def state_advance_seeded(spark, d):
     """Advances over states that were kept from before; an event that can't be read always counts."""
-    e = table(spark, d, "events").select("user_id", "event_id", "ts", F.floor(F.get_json_object("props", "$.k").cast("long") / 10).alias("state"), (F.col("event_type") != "error").alias("ok"))
-    seeds = e.filter("user_id % 2 = 0").select("user_id", F.lit(3).cast("long").alias("state")).distinct()
+    e, seeds = seeded(spark, d)
     return S.advances(e, ["user_id"], "state", seeds=seeds, valid="ok").select("user_id", "event_id")
 
 
+def seeded(spark, d):
+    """Events with their state and whether it can be read; states kept from before."""
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", F.floor(F.get_json_object("props", "$.k").cast("long") / 10).alias("state"), (F.col("event_type") != "error").alias("ok"))
+    return e, e.filter("user_id % 2 = 0").select("user_id", F.lit(3).cast("long").alias("state")).distinct()
+
+
 @query("""
     WITH m AS (SELECT user_id, event_id // 3 AS batch, event_type, bool_or(event_id % 4 <> 0) AS w FROM events GROUP BY ALL)
     SELECT user_id, batch, bool_and(w) AS own FROM m GROUP BY ALL
 """)
 def own_batches(spark, d):
     """Batches of paths of which each was written here a minute before."""
+    return S.own_batches(*own_parts(spark, d), "user_id", 3600)
+
+
+def own_parts(spark, d):
+    """Batches (user_id, batch, path, ts), and the writes of some of their paths a minute before their end."""
     e = table(spark, d, "events").select("user_id", "event_id", F.floor(F.col("event_id") / 3).alias("batch"), "event_type", "ts")
     path = F.concat(F.col("batch").cast("string"), F.lit("/"), F.col("event_type"))
     last = e.groupBy("user_id", "batch").agg(F.max("ts").alias("t"))
     writes = e.filter("event_id % 4 <> 0").join(last, ["user_id", "batch"]).select("user_id", path.alias("path"), (F.col("t") - F.expr("INTERVAL 1 MINUTE")).alias("ts"))
-    return S.own_batches(e.select("user_id", "batch", path.alias("path"), "ts"), writes, "user_id", 3600)
+    return e.select("user_id", "batch", path.alias("path"), "ts"), writes
 
 
 @query()
