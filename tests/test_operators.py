@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import dedupe, drift, folders, hierarchy, reconcile, store
+from tidemark.operators import dedupe, drift, folders, hierarchy, ordered, reconcile, store
 from tidemark.registry import ORACLE, QUERIES
 from tidemark.streaming import operators as S
 
@@ -299,7 +299,7 @@ def test_numbers_in_ranges(spark, monkeypatch):
 def test_rows_that_contain_offsets(spark):
     starts = [("a", i, s) for i, s in enumerate([0, 5, 9, 400, 401, 900])] + [("b", 7, 100)]
     probes = [("a", p, p) for p in (0, 4, 5, 8, 9, 399, 400, 401, 899, 5000)] + [("b", 99, 99), ("b", 100, 100), ("c", 1, 1)]
-    got = {(r["g"], r["probe"]): r["doc_id"] for r in store.containing(spark.createDataFrame(starts, "g string, doc_id int, start long"), spark.createDataFrame(probes, "g string, probe long, pos long"), "g", 10).collect()}
+    got = {(r["g"], r["probe"]): r["doc_id"] for r in ordered.containing(spark.createDataFrame(starts, "g string, doc_id int, start long"), spark.createDataFrame(probes, "g string, probe long, pos long"), "g").collect()}
     for g, p, pos in probes:
         assert got[g, p] == max(((s, i) for h, i, s in starts if h == g and s <= pos), default=(0, None))[1]
 

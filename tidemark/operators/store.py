@@ -128,23 +128,6 @@ def numbered(df: DataFrame, group: str, order: str, value: Column | None = None,
     return rows.join(sums, rows[group].eqNullSafe(sums["_g"]) & (rows["_at"] == sums["_k"])).withColumn(name, F.col("_own") + F.col("_s")).drop("_v", "_at", "_own", "_g", "_k", "_s")
 
 
-def containing(rows: DataFrame, probes: DataFrame, group: str, width: int = 65_536) -> DataFrame:
-    """probes (group, probe, pos) with the doc_id of rows (group, doc_id, start) that starts last at or before pos.
-
-    Starts are dealt into cells of width; a probe looks into its own cell, and for cells without a start the last one before them is carried over, a row a cell.
-    """
-    cell = lambda c: F.floor(F.col(c) / width)
-    starts = rows.withColumn("_cell", cell("start"))
-    last = starts.groupBy(group, "_cell").agg(F.max(F.struct("start", "doc_id")).alias("_last"))
-    asked = probes.withColumn("_cell", cell("pos"))
-    cells = last.select(group, "_cell", "_last").unionByName(asked.select(group, "_cell").distinct().join(last.select(group, "_cell"), [group, "_cell"], "left_anti"), allowMissingColumns=True)
-    before = F.last("_last", ignorenulls=True).over(Window.partitionBy(group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
-    cells = cells.select(group, "_cell", before.alias("_before"))
-    here = asked.join(starts, [group, "_cell"]).filter("start <= pos").groupBy(group, "probe", "pos").agg(F.max(F.struct("start", "doc_id")).alias("_here"))
-    both = asked.join(here, [group, "probe", "pos"], "left").join(cells, [group, "_cell"], "left")
-    return both.select(group, "probe", "pos", F.coalesce("_here.doc_id", "_before.doc_id").alias("doc_id"))
-
-
 def scanned(named: DataFrame, files: DataFrame, known: DataFrame) -> DataFrame:
     """(folder, id, kind, subdir, flags) of the messages that events name (folder, id): new, flags or same by the file (folder, id, subdir, flags) that is there, one
     in cur before one in new; deleted if none is and the cache has the message in just this folder (known: folder, id, flags). Other ids say nothing."""

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import store
+from tidemark.operators import ordered, store
 from tidemark.registry import query
 from tidemark.sources.tables import table, view, with_views
 from tidemark.streaming import operators as S
@@ -106,6 +105,24 @@ def phase_rates(spark, d):
     return S.phase_rates(work, _phases(spark, d).filter("name = 'execute'"))
 
 
+_EDGES = """
+    WITH e AS (SELECT user_id, event_id, ts, CASE WHEN event_type IN ('view', 'signup') THEN 1 WHEN event_type IN ('click', 'error') THEN -1 END AS step FROM events WHERE event_type <> 'purchase'),
+    s AS (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM e),
+    f AS (SELECT *, min(s - step) OVER (PARTITION BY user_id ORDER BY ts) AS floor FROM s),
+    l AS (SELECT *, s - floor + CASE WHEN step < 0 THEN 1 ELSE 0 END AS level FROM f),
+    o AS (SELECT *, lag(event_id) OVER w AS opener, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS us FROM l WHERE level > 0 WINDOW w AS (PARTITION BY user_id, floor, level ORDER BY ts))
+"""
+
+
+@query(_EDGES + "SELECT user_id, event_id AS closer, opener, us // 1000 AS millis FROM o WHERE step < 0")
+def nested_phases(spark, d):
+    """Phases of users that open again before they are closed: each closing with what it closes."""
+    kind = F.col("event_type")
+    e = table(spark, d, "events").filter("event_type <> 'purchase'").select("user_id", "event_id", "ts", S.micros("ts").alias("at"), kind)
+    done = ordered.nested(e, "user_id", ["at"], kind.isin("view", "signup"), F.struct("event_id", "at"))
+    return done.select("user_id", F.col("event_id").alias("closer"), F.col("opened.event_id").alias("opener"), F.floor((F.col("at") - F.col("opened.at")) / 1000).alias("millis"))
+
+
 _CHAIN = """
     WITH e AS (SELECT conv_id, turn AS old, turn + 1 AS new FROM conversations WHERE NOT (conv_id % 9 = 0 AND turn = 2)),
     n AS (SELECT conv_id, count(*) AS edges, min(old) AS first FROM e GROUP BY 1)
@@ -121,13 +138,23 @@ def cursor_chain(spark, d):
     return n.filter(whole).select("conv_id", F.col("last").alias("reached"), (F.col("first") == 0).alias("whole"))
 
 
-@query("""
-    SELECT conv_id, bool_and(ok) AS unbroken FROM (SELECT conv_id, coalesce(lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) + 1 = turn, TRUE) AS ok FROM conversations WHERE NOT (conv_id % 9 = 0 AND turn = 2)) GROUP BY 1
+_CHUNKS = """
+    WITH c AS (SELECT conv_id, turn, CASE WHEN conv_id % 7 <> 3 OR turn <> 1 THEN concat('s', turn) END AS old, CASE WHEN conv_id % 5 <> 2 OR turn <> 0 THEN concat('s', turn + 1) END AS new FROM conversations WHERE NOT (conv_id % 9 = 0 AND turn = 2)),
+    w AS (SELECT *, old IS NOT NULL AND new IS NOT NULL AS whole FROM c),
+    b AS (SELECT *, last_value(CASE WHEN whole THEN new END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w)
+"""
+
+
+@query(_CHUNKS + """
+    SELECT conv_id, arg_min(old, turn) FILTER (whole) AS old, CASE WHEN NOT coalesce(bool_or(before IS NOT NULL AND (NOT whole OR old <> before)), FALSE) THEN arg_max(new, turn) FILTER (whole) END AS new FROM b GROUP BY 1
 """)
 def cursor_chunk_merge(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, d, "conversations").filter(~((F.col("conv_id") % 9 == 0) & (F.col("turn") == 2)))
-    return c.select("conv_id", F.coalesce(F.lag("turn").over(w) + 1 == F.col("turn"), F.lit(True)).alias("ok")).groupBy("conv_id").agg(F.bool_and("ok").alias("unbroken"))
+    """Where the chain of each conversation's chunks begins, and where it leads unless it breaks. Some chunks are missing, some lack a state."""
+    k, t = F.col("conv_id"), F.col("turn")
+    at = lambda n: F.concat(F.lit("s"), n.cast("string"))
+    c = table(spark, d, "conversations").filter(~((k % 9 == 0) & (t == 2)))
+    chunks = c.select(k, t, F.when((k % 7 != 3) | (t != 1), at(t)).alias("old"), F.when((k % 5 != 2) | (t != 0), at(t + 1)).alias("new"))
+    return ordered.merged_chain(chunks, ["conv_id"], "turn")
 
 
 @query("SELECT l_orderkey, l_linenumber, 'P' || p_partkey AS target FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 25")
@@ -145,9 +172,11 @@ def resolve_refs(spark, d):
 """)
 def backoff_schedule(spark, d):
     """The wait after each failure: doubled for each one since the last success, up to a minute."""
-    w = Window.partitionBy("user_id").orderBy("ts")
-    e = table(spark, d, "events").withColumn("run", F.count_if(F.col("event_type") != "error").over(w)).filter("event_type = 'error'")
-    k = F.row_number().over(Window.partitionBy("user_id", "run").orderBy("ts"))
+    bad = F.col("event_type") == "error"
+    e = table(spark, d, "events").select("user_id", "event_id", S.micros("ts").alias("at"), bad.alias("bad"))
+    e = ordered.scan(e, ["user_id"], ["at"], failures=("sum", F.col("bad").cast("int")))
+    e = ordered.scan(e, ["user_id"], ["at"], settled=("last", F.when(~F.col("bad"), F.col("failures")))).filter("bad")
+    k = F.col("failures") - F.coalesce("settled", F.lit(0))
     return e.select("user_id", "event_id", F.least(F.pow(F.lit(2.0), k - 1) * 1000, F.lit(60000.0)).cast("long").alias("wait_ms"))
 
 

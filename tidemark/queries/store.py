@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import ordered
 from tidemark.operators import store as T
 from tidemark.registry import query
 from tidemark.sources.shared import shared_dir
@@ -169,4 +170,4 @@ def row_at_offset(spark, d):
     docs = table(spark, d, "documents")
     o = T.numbered(docs.select("source", "doc_id", "n_chars"), "source", "doc_id", F.col("n_chars"), "start").filter("n_chars > 0")
     probes = o.select("source", F.col("doc_id").alias("probe"), (F.col("start") + F.floor(F.col("n_chars") / 2)).alias("pos"))
-    return T.containing(o.select("source", "doc_id", "start"), probes, "source").select("probe", "doc_id")
+    return ordered.containing(o.select("source", "doc_id", "start"), probes, "source").select("probe", "doc_id")

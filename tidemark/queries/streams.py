@@ -62,17 +62,6 @@ def eta_estimate(spark, d):
     return S.sliding_rate(e, ["user_id"], "n", 21600).filter("rate > 0").select("user_id", "event_id", F.round(100 / F.col("rate"), 3).alias("eta"))
 
 
-@query("""
-    WITH b AS (SELECT user_id, event_id // 4 AS batch, concat(user_id, '/', event_type) AS path, ts FROM events WHERE event_type <> 'purchase'),
-    w AS (SELECT concat(user_id, '/', event_type) AS path, ts - INTERVAL 1 HOUR AS done FROM events WHERE event_id % 3 <> 0)
-    SELECT batch, bool_and(hit) AS own FROM (SELECT batch, b.path, bool_or(done IS NOT NULL) AS hit FROM b LEFT JOIN w ON b.path = w.path AND b.ts >= w.done AND b.ts < w.done + INTERVAL 2 HOUR GROUP BY ALL) GROUP BY 1
-""")
-def self_write_match(spark, d):
-    e = table(spark, d, "events").withColumn("path", F.concat(F.col("user_id").cast("string"), F.lit("/"), F.col("event_type")))
-    batches = e.filter("event_type <> 'purchase'").select(F.floor(F.col("event_id") / 4).alias("batch"), "path", "ts")
-    return S.own_writes(batches, e.filter("event_id % 3 <> 0").select("path", (F.col("ts") - F.expr("INTERVAL 1 HOUR")).alias("ts")), 7200)
-
-
 @query()
 def hook_runs(spark, d):
     """Not in SQL: a state machine in order of time, held against a plain simulation in the tests."""

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import is_message_path
+from tidemark.operators import ordered
 
 #: The kinds of triggers, the most important first, and what they have scanned.
 DOMINANCE = ("Initial", "Manual", "RemoteChange", "Structural", "LocalChange")
@@ -88,18 +89,18 @@ def advances(events: DataFrame, keys: list[str], state: str, time: str = "ts", s
 
     valid: a column that says whether the event could be read. One that couldn't always counts, and leaves the state as it was.
     """
-    own = F.col(state) if valid is None else F.when(F.col(valid), F.col(state))
-    w = Window.partitionBy(*keys).orderBy(time)
-    if valid is None:
-        rows = events.withColumn("_b", F.lag(state).over(w))
-    else:
-        rows = events.withColumn("_b", F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    own = F.struct(F.col(state).alias("s")) if valid is None else F.when(F.col(valid) & F.col(state).isNotNull(), F.struct(F.col(state).alias("s")))
+    rows = ordered.scan(events.withColumn("_micros", micros(time)), keys, ["_micros"], _b=("before", own))
     if seeds is not None:
-        rows = rows.withColumn("_first", F.row_number().over(w)).join(seeds.select(*keys, F.col(state).alias("_seed")), keys, "left")
-        first = F.col("_first") == 1 if valid is None else F.col("_b").isNull()
-        rows = rows.withColumn("_b", F.when(first, F.col("_seed")).otherwise(F.col("_b"))).drop("_first", "_seed")
-    changed = ~F.col(state).eqNullSafe(F.col("_b"))
-    return rows.filter(changed if valid is None else changed | ~F.col(valid)).drop("_b")
+        rows = rows.join(seeds.select(*keys, F.struct(F.col(state).alias("s")).alias("_seed")), keys, "left").withColumn("_b", F.coalesce("_b", "_seed")).drop("_seed")
+    changed = ~F.col(state).eqNullSafe(F.col("_b.s"))
+    if valid is None:
+        changed = changed | F.col("_b").isNull()
+    return rows.filter(changed if valid is None else changed | ~F.col(valid)).select(*events.columns)
+
+
+def micros(time: str) -> Column:
+    return F.unix_micros(F.col(time).cast("timestamp"))
 
 
 def watchdog_gaps(events: DataFrame, keys: list[str], ping: str, time: str = "ts", first_budget: int = 300, slack: int = 5) -> DataFrame:
@@ -118,15 +119,22 @@ def sliding_rate(samples: DataFrame, keys: list[str], amount: str, seconds: int,
 
 
 def rates_at(samples: DataFrame, probes: DataFrame, keys: list[str], amount: str, seconds: int, idle: int, time: str = "ts") -> DataFrame:
-    """probes (keys, time) with rate (what came within the last seconds, by that fixed time; 0 if the newest sample is more than idle seconds old) and total (all that came so far)."""
-    order = F.unix_micros(F.col(time).cast("timestamp"))
-    both = samples.select(*keys, time, F.col(amount).alias("_n"), F.lit(False).alias("_probe")).union(probes.select(*keys, time, F.lit(0).cast(samples.schema[amount].dataType), F.lit(True)))
-    w = Window.partitionBy(*keys).orderBy("_at")
-    rows = both.withColumn("_at", order)
-    came = F.when(~F.col("_probe"), F.col("_at"))
-    rows = rows.withColumn("_sum", F.sum("_n").over(w.rangeBetween(-seconds * 1_000_000, 0))).withColumn("_last", F.max(came).over(w)).withColumn("total", F.sum("_n").over(w))
-    rate = F.when(F.col("_at") - F.col("_last") <= idle * 1_000_000, F.col("_sum") / seconds).otherwise(F.lit(0.0))
-    return rows.filter("_probe").select(*keys, time, rate.alias("rate"), "total")
+    """probes (keys, time) with rate (what came within the last seconds, by that fixed time; 0 if the newest sample is more than idle seconds old) and total (all that came so far).
+
+    What came within a window is what came up to the probe without what came up to a mark before the window: all three are rows of one scan.
+    """
+    kind = samples.schema[amount].dataType
+    row = lambda rows, at, n, what: rows.select(*keys, time, at.alias("_at"), n.cast(kind).alias("_n"), F.lit(what).alias("_what"))
+    probes = probes.select(*keys, time).filter(F.col(time).isNotNull())
+    both = row(samples.filter(F.col(time).isNotNull()), micros(time), F.col(amount), 0).union(row(probes, micros(time) - (seconds * 1_000_000 + 1), F.lit(None), 1)).union(row(probes, micros(time), F.lit(None), 2))
+    came = F.when(F.col("_what") == 0, F.col("_at"))
+    rows = ordered.scan(both, keys, ["_at", "_what"], _sum=("sum", F.col("_n")), _last=("max", came)).filter("_what > 0")
+    at = lambda what, c: F.max(F.when(F.col("_what") == what, F.col(c)))
+    # A mark and its probe meet by time; of probes that share one, each has as many rows as there are.
+    g = rows.groupBy(*keys, time).agg(at(2, "_sum").alias("total"), at(1, "_sum").alias("_old"), at(2, "_last").alias("_last"), F.count_if(F.col("_what") == 2).cast("int").alias("_times"))
+    rate = F.when(micros(time) - F.col("_last") <= idle * 1_000_000, (F.col("total") - F.coalesce("_old", F.lit(0))) / seconds).otherwise(F.lit(0.0))
+    g = g.withColumn("rate", rate).withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return g.select(*keys, time, "rate", "total")
 
 
 def eta(rates: DataFrame, left: str) -> DataFrame:
@@ -166,14 +174,6 @@ def own_batches(batches: DataFrame, written: DataFrame, key: str, ttl: int, time
     return rows.select("k", "t", "batch", "paths").mapInPandas(step, "k long, batch long, own boolean").withColumnRenamed("k", key)
 
 
-def own_writes(batches: DataFrame, written: DataFrame, ttl: int) -> DataFrame:
-    """(batch, own) of batches (batch, path, ts) against written (path, ts): own if each path was written here less than ttl seconds before. A write answers for one path of a batch."""
-    seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp"))) / 1_000_000
-    w = written.select("path", F.col("ts").alias("at"))
-    hits = batches.join(w, "path").filter((seconds >= 0) & (seconds < ttl)).select("batch", "path").distinct().withColumn("hit", F.lit(True))
-    return batches.select("batch", "path").distinct().join(hits, ["batch", "path"], "left").groupBy("batch").agg(F.bool_and(F.coalesce("hit", F.lit(False))).alias("own"))
-
-
 #: Fixed value: a hook is tried again this often at most.
 MOST_RETRIES = 10
 
@@ -225,11 +225,11 @@ def hook_runs(triggers: DataFrame, key: str, run_seconds: int, time: str = "ts",
 
 
 def phases(events: DataFrame, time: str = "ts") -> DataFrame:
-    """(id, name, begin, millis) of phases from events (id, name, edge 'begin' or 'end', time): an end closes the phase that began under its id. Ends of nothing and phases that never end are left out."""
-    begin, end = (F.when(F.col("edge") == e, F.struct(F.col(time).alias("t"), "name")) for e in ("begin", "end"))
-    g = events.groupBy("id").agg(F.max(begin).alias("b"), F.max(end).alias("e")).filter("b IS NOT NULL AND e.t >= b.t")
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return g.select("id", F.col("b.name").alias("name"), F.col("b.t").alias("begin"), F.floor((micros("e.t") - micros("b.t")) / 1000).alias("millis"))
+    """(id, name, begin, millis) of phases from events (id, name, edge 'begin' or 'end', time). An id may begin again before its end: an end closes the phase that began last
+    under its id and is still open. At one time phases begin before others end. Ends of nothing and phases that never end are left out."""
+    rows = events.withColumn("_micros", micros(time)).filter("_micros IS NOT NULL")
+    done = ordered.nested(rows, "id", ["_micros", "edge"], F.col("edge") == "begin", F.struct(F.col("_micros").alias("t"), "name", F.col(time).alias("begin")))
+    return done.select("id", F.col("opened.name").alias("name"), F.col("opened.begin").alias("begin"), F.floor((F.col("_micros") - F.col("opened.t")) / 1000).alias("millis"))
 
 
 def phase_rates(work: DataFrame, phase: DataFrame) -> DataFrame:
