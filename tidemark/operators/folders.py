@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,14 +49,26 @@ def slots(decided: DataFrame) -> DataFrame:
     return decided.select("mailbox_id", slot.alias("slot"))
 
 
+def _alive(sides: Sides, orphans_: DataFrame) -> DataFrame:
+    """Mailboxes that take part in a cycle: those that sides has, without the ones that the server deleted."""
+    known = sides.live
+    if known is None:
+        known = sides.remote.select("mailbox_id").union(sides.cached.select("mailbox_id")).union(sides.local.select("mailbox_id")).distinct()
+    return known.join(orphans_.select("mailbox_id"), "mailbox_id", "left_anti")
+
+
 def cycle_plan(sides: Sides, decided: DataFrame, local_orphans: DataFrame, remote_orphans: DataFrame, policy: Policy) -> DataFrame:
     """The plan of a cycle (SHORT): folders to make and rename; messages; mailboxes that the server deleted (local_orphans: their folders are
-    left) and folders that were deleted here (remote_orphans), settled or brought back as the policy says."""
+    left) and folders that were deleted here (remote_orphans), settled or brought back as the policy says.
+
+    What is in a mailbox that the server deleted is neither moved nor deleted one by one: its folder goes as a whole, or comes back with all files within the size limit.
+    """
     folders = folder_actions(decided).select("phase", "kind", F.lit(None).cast("string").alias("email_id"), F.lit(None).cast("string").alias("maildir_id"), "source", "target")
+    sides = dataclasses.replace(sides, policy=policy, live=_alive(sides, local_orphans))
     plan = sides.plan()
     null = F.lit(None).cast("string")
     if policy.deletes in ("local", "both"):
-        plan = orphans.settle_local(plan, sides.cached, local_orphans, policy.winner)
+        plan = orphans.settle_local(plan, sides.cached, local_orphans, policy.winner, sides.local, policy.largest)
     else:
         lost = local_orphans.select(F.col("mailbox_id").alias("l_box"))
         again = sides.local.join(lost, F.col("mailbox_id") == F.col("l_box"), "left_semi").select("maildir_id", F.lit("upload").alias("kind"))

@@ -10,12 +10,12 @@ from tidemark.operators.reconcile import COLUMNS, PHASES
 
 def roles(plan: DataFrame, cached: DataFrame, orphans: DataFrame) -> DataFrame:
     """plan with orphan and role: blocker if the action brings something into a mailbox of orphans (mailbox_id) or changes what is in it, moot if
-    the mailbox's end makes it needless. An action that goes from one orphan into another counts for the one it goes into."""
+    the mailbox's end makes it needless. Of adoptions only those of moved files bring something. An action that goes from one orphan into another counts for the one it goes into."""
     where = cached.select("email_id", F.col("mailbox_id").alias("_home")).dropDuplicates(["email_id"])
     rows = plan.join(where, "email_id", "left")
     o = orphans.select("mailbox_id").distinct()
     rows = rows.join(o.withColumnRenamed("mailbox_id", "_to"), F.col("target") == F.col("_to"), "left").join(o.withColumnRenamed("mailbox_id", "_at"), F.col("_home") == F.col("_at"), "left")
-    into = F.col("_to").isNotNull() & F.col("kind").isin("upload", "move_remote", "adopt")
+    into = F.col("_to").isNotNull() & (F.col("kind").isin("upload", "move_remote") | (F.col("phase") == PHASES["adopt_moved"]))
     changed = F.col("_at").isNotNull() & (F.col("kind") == "update_remote_flags")
     needless = F.col("_at").isNotNull() & F.col("kind").isin("move_remote", "destroy_remote")
     role = F.when(into | changed, "blocker").when(needless, "moot")
@@ -30,7 +30,7 @@ def settle_local(plan: DataFrame, cached: DataFrame, orphans: DataFrame, winner:
     """(phase, kind, email_id, maildir_id, source, target) after the mailboxes of orphans, which the server deleted, are settled.
 
     Without a blocker the folder goes, with its moot actions. With one, if the server wins, its blockers go as well and files moved
-    in go back; if the local side wins, the mailbox is made anew, and gets the files (as in resurrected) that are in its folder.
+    in go back to where they came from, if that is no orphan too; if the local side wins, the mailbox is made anew, and gets the files (as in resurrected) that are in its folder.
     """
     tagged = roles(plan, cached, orphans)
     blocked = tagged.filter("role = 'blocker'").select(F.col("orphan").alias("mailbox_id")).distinct()
@@ -39,7 +39,7 @@ def settle_local(plan: DataFrame, cached: DataFrame, orphans: DataFrame, winner:
     kept = tagged.filter("role IS NULL").select(*short)
     gone = orphans.select("mailbox_id").distinct()
     if winner == "server":
-        back = tagged.filter("role = 'blocker' AND kind = 'move_remote'").select(*_of("move_local"), "email_id", "maildir_id", F.col("target"), F.col("source"))
+        back = tagged.filter("role = 'blocker' AND kind = 'move_remote'").join(gone.withColumnRenamed("mailbox_id", "source"), "source", "left_anti").select(*_of("move_local"), "email_id", "maildir_id", F.col("target"), F.col("source"))
         return kept.union(back).union(gone.select(*_of("delete_local_folder"), null, null, "mailbox_id", null))
     made = blocked.select(*_of("create_remote_mailbox"), null, null, null, "mailbox_id")
     if files is not None:

@@ -12,7 +12,7 @@ from tidemark.operators import folders as D
 from tidemark.operators import orphans as O
 from tidemark.operators import reconcile as R
 from tidemark.registry import query
-from tidemark.sources.tables import table, view, with_views
+from tidemark.sources.tables import VIEWS, table, view, with_views
 
 
 def _sides(spark, d, winner: str = "server") -> R.Sides:
@@ -152,11 +152,6 @@ def plan_direction_split(spark, d):
     return R.with_direction(_sides(spark, d).plan(), "pull").select("phase", "kind", "email_id", "maildir_id", "kept")
 
 
-@query(_sql(_PLAN + "SELECT bool_or(kind IN ('move_remote', 'move_local')) AS structural FROM plan"))
-def plan_structural_flag(spark, d):
-    return _sides(spark, d).plan().agg(F.bool_or(F.col("kind").isin("move_remote", "move_local")).alias("structural"))
-
-
 @query(_sql(_PLAN + "SELECT CAST(count(*) FILTER (contains(kind, 'flags')) AS BIGINT) AS flags, count(*) FILTER (contains(kind, 'move')) AS moves, count(*) FILTER (kind IN ('delete_local', 'destroy_remote')) AS deletes FROM plan"))
 def cycle_outcome(spark, d):
     k = F.col("kind")
@@ -187,7 +182,7 @@ def move_adopt_apply(spark, d):
 _ORPHANS = " , orphans AS (SELECT mailbox_id FROM (VALUES ('MB1'), ('MB4'), ('MB99')) t(mailbox_id)) "
 _ROLES = _PLAN + _ORPHANS + """
     , home AS (SELECT p.*, c.mailbox_id AS home FROM plan p LEFT JOIN cached c ON p.email_id = c.email_id),
-    role AS (SELECT *, CASE WHEN kind IN ('upload', 'move_remote', 'adopt') AND target IN (SELECT * FROM orphans) THEN 'in' WHEN home IN (SELECT * FROM orphans) AND kind = 'update_remote_flags' THEN 'changed'
+    role AS (SELECT *, CASE WHEN (kind IN ('upload', 'move_remote') OR phase = 16) AND target IN (SELECT * FROM orphans) THEN 'in' WHEN home IN (SELECT * FROM orphans) AND kind = 'update_remote_flags' THEN 'changed'
              WHEN home IN (SELECT * FROM orphans) AND kind IN ('move_remote', 'destroy_remote') THEN 'moot' END AS role FROM home)
 """
 
@@ -197,7 +192,7 @@ def _orphans(spark):
 
 
 @query(_sql(_ROLES + """
-    SELECT kind, email_id, maildir_id, source, target FROM role WHERE role IS NULL UNION ALL SELECT 'move_local', email_id, maildir_id, target, source FROM role WHERE role = 'in' AND kind = 'move_remote'
+    SELECT kind, email_id, maildir_id, source, target FROM role WHERE role IS NULL UNION ALL SELECT 'move_local', email_id, maildir_id, target, source FROM role WHERE role = 'in' AND kind = 'move_remote' AND source NOT IN (SELECT * FROM orphans)
     UNION ALL SELECT 'delete_local_folder', NULL, NULL, mailbox_id, NULL FROM orphans
 """))
 def orphan_matrix_local(spark, d):
@@ -390,18 +385,89 @@ def folder_actions(spark, d):
     return D.folder_actions(D.decisions(_mailboxes(spark, d), "local"))
 
 
-@query(with_views("remote", "cached", "local", sql=_BASE + _ADOPTED + _PLAN + _MAILBOXES.replace("WITH m AS", ", m AS") + _DECIDED + """
-    , lost AS (SELECT mailbox_id FROM (VALUES ('MB1'), ('MB4')) t(mailbox_id)), out AS (SELECT mailbox_id FROM (VALUES ('MB7'), ('MB99')) t(mailbox_id)),
-    base AS (SELECT phase, kind, email_id, maildir_id, source, target FROM plan WHERE NOT (kind = 'upload' AND target IN (SELECT * FROM lost))
-        UNION ALL SELECT 9, 'create_remote_mailbox', NULL, NULL, NULL, mailbox_id FROM lost UNION ALL SELECT 11, 'upload', NULL, maildir_id, NULL, mailbox_id FROM local WHERE mailbox_id IN (SELECT * FROM lost))
-    SELECT * FROM base WHERE target IS NULL OR target NOT IN (SELECT * FROM out) UNION ALL SELECT 13, 'move_remote', email_id, maildir_id, target, source FROM base WHERE kind = 'move_local' AND target IN (SELECT * FROM out) AND source NOT IN (SELECT * FROM out)
-    UNION ALL SELECT 15, 'destroy_remote_mailbox', NULL, NULL, mailbox_id, NULL FROM out
-    UNION ALL SELECT 1, 'create_local_mailbox', NULL, NULL, NULL, server FROM t WHERE decision = 'first_cycle' OR decision = 'unchanged' AND k % 5 > 2 AND k % 2 = 1
-    UNION ALL SELECT 2, 'rename_local_mailbox', NULL, NULL, cached, server FROM t WHERE decision = 'server_rename'
-    UNION ALL SELECT 10, 'rename_remote_mailbox', NULL, NULL, cached, disk FROM t WHERE decision IN ('local_rename', 'conflict_local_wins')
-"""))
-def recon_cycle_plan(spark, d):
-    """A whole cycle: folders, messages, mailboxes that the server lost and that come back, folders deleted here whose mailboxes go."""
+#: A cycle in which the server has no MB1 and MB4 any more, and the folders of MB7 and MB99 were deleted here. What is in the lost mailboxes isn't moved or deleted one by one.
+_CYCLE = _BASE + _ADOPTED + _PLAN + _MAILBOXES.replace("WITH m AS", ", m AS") + _DECIDED + """
+    , orphans AS (SELECT mailbox_id FROM (VALUES ('MB1'), ('MB4')) t(mailbox_id)), out AS (SELECT mailbox_id FROM (VALUES ('MB7'), ('MB99')) t(mailbox_id)),
+    alive AS (SELECT * FROM plan WHERE NOT (kind IN ('move_local', 'delete_local') AND source IN (SELECT * FROM orphans))),
+    home AS (SELECT p.*, c.mailbox_id AS home FROM alive p LEFT JOIN cached c ON p.email_id = c.email_id),
+    role AS (SELECT *, CASE WHEN (kind IN ('upload', 'move_remote') OR phase = 16) AND target IN (SELECT * FROM orphans) THEN 'in' WHEN home IN (SELECT * FROM orphans) AND kind = 'update_remote_flags' THEN 'changed'
+             WHEN home IN (SELECT * FROM orphans) AND kind IN ('move_remote', 'destroy_remote') THEN 'moot' END AS role FROM home),
+    blocked AS (SELECT DISTINCT CASE WHEN role = 'in' THEN target ELSE home END AS mailbox_id FROM role WHERE role IN ('in', 'changed')),
+    files AS (SELECT 11 AS phase, 'upload' AS kind, NULL AS email_id, maildir_id, NULL AS source, mailbox_id AS target FROM local),
+    kept AS (SELECT phase, kind, email_id, maildir_id, source, target FROM role WHERE role IS NULL),
+    folders AS (SELECT 1 AS phase, 'create_local_mailbox' AS kind, NULL AS email_id, NULL AS maildir_id, NULL AS source, server AS target FROM t WHERE decision = 'first_cycle' OR decision = 'unchanged' AND k % 5 > 2 AND k % 2 = 1
+        UNION ALL SELECT 2, 'rename_local_mailbox', NULL, NULL, cached, server FROM t WHERE decision = 'server_rename'
+        UNION ALL SELECT 10, 'rename_remote_mailbox', NULL, NULL, cached, disk FROM t WHERE decision IN ('local_rename', 'conflict_local_wins')),
+"""
+_BACK = """
+    base AS (SELECT phase, kind, email_id, maildir_id, source, target FROM alive WHERE NOT (kind = 'upload' AND target IN (SELECT * FROM orphans))
+        UNION ALL SELECT 9, 'create_remote_mailbox', NULL, NULL, NULL, mailbox_id FROM orphans UNION ALL SELECT * FROM files WHERE target IN (SELECT * FROM orphans)),
+"""
+_SERVER_WINS = """
+    base AS (SELECT * FROM kept UNION ALL SELECT 6, 'move_local', email_id, maildir_id, target, source FROM role WHERE role = 'in' AND kind = 'move_remote' AND source NOT IN (SELECT * FROM orphans)
+        UNION ALL SELECT 8, 'delete_local_folder', NULL, NULL, mailbox_id, NULL FROM orphans),
+"""
+_LOCAL_WINS = """
+    base AS (SELECT * FROM kept UNION ALL SELECT 8, 'delete_local_folder', NULL, NULL, mailbox_id, NULL FROM orphans WHERE mailbox_id NOT IN (SELECT * FROM blocked)
+        UNION ALL SELECT 9, 'create_remote_mailbox', NULL, NULL, NULL, mailbox_id FROM blocked UNION ALL SELECT * FROM files WHERE target IN (SELECT * FROM blocked)),
+"""
+#: What the plan has instead where the local side wins: deletions here hold against changes there, and files' flags go to the server.
+_LOCAL_PLAN = """
+    ours AS (SELECT * FROM plan WHERE NOT (kind = 'download' AND email_id IN (SELECT email_id FROM clash)) AND NOT (kind = 'update_local_flags' AND email_id IN (SELECT email_id FROM reflag UNION ALL SELECT email_id FROM again))
+        UNION ALL SELECT 14, 'destroy_remote', email_id, maildir_id, old_box, NULL, NULL FROM clash
+        UNION ALL SELECT 12, 'update_remote_flags', email_id, maildir_id, NULL, NULL, flags FROM reflag WHERE email_id NOT IN (SELECT email_id FROM dead) AND email_id IN (SELECT email_id FROM pair WHERE flags <> old_flags)
+        UNION ALL SELECT 12, 'update_remote_flags', email_id, maildir_id, NULL, NULL, file_flags FROM again WHERE flags <> file_flags),
+    alive AS (SELECT * FROM ours """
+_KEPT = "after AS (SELECT * FROM base) SELECT * FROM after UNION ALL SELECT * FROM folders"
+_GONE = """
+    after AS (SELECT * FROM base WHERE target IS NULL OR target NOT IN (SELECT * FROM out) UNION ALL SELECT 13, 'move_remote', email_id, maildir_id, target, source FROM base WHERE kind = 'move_local' AND target IN (SELECT * FROM out) AND source NOT IN (SELECT * FROM out)
+        UNION ALL SELECT 15, 'destroy_remote_mailbox', NULL, NULL, mailbox_id, NULL FROM out)
+    SELECT * FROM after UNION ALL SELECT * FROM folders
+"""
+
+
+def _cycle_sql(*parts: str) -> str:
+    lost = f"SELECT * FROM ({VIEWS['remote']}) WHERE mailbox_id NOT IN ('MB1', 'MB4')"
+    return with_views("remote", "cached", "local", sql=_CYCLE + "".join(parts)).replace(VIEWS["remote"], lost)
+
+
+def _cycle(spark, d, winner: str, deletes: str):
+    """A whole cycle: folders, messages, mailboxes that the server lost, folders deleted here whose mailboxes go."""
     boxes = lambda *names: spark.createDataFrame([(n,) for n in names], "mailbox_id string")
-    policy = R.Policy(deletes="remote")
-    return D.cycle_plan(_sides(spark, d), D.decisions(_mailboxes(spark, d), "local"), boxes("MB1", "MB4"), boxes("MB7", "MB99"), policy)
+    lost, policy = boxes("MB1", "MB4"), R.Policy(winner, deletes=deletes)
+    sides = R.Sides(view(spark, d, "remote").join(lost, "mailbox_id", "left_anti"), view(spark, d, "cached"), view(spark, d, "local"), policy)
+    return D.cycle_plan(sides, D.decisions(_mailboxes(spark, d), "local"), lost, boxes("MB7", "MB99"), policy)
+
+
+@query(_cycle_sql(_BACK, _GONE))
+def recon_cycle_plan(spark, d):
+    """Lost mailboxes come back with their files; mailboxes of deleted folders go."""
+    return _cycle(spark, d, "server", "remote")
+
+
+@query(_cycle_sql(_BACK, _KEPT))
+def recon_cycle_keeps(spark, d):
+    """Neither side may delete."""
+    return _cycle(spark, d, "server", "none")
+
+
+@query(_cycle_sql(_SERVER_WINS, _KEPT))
+def recon_cycle_server_wins(spark, d):
+    """Folders of lost mailboxes go, with what was brought into them."""
+    return _cycle(spark, d, "server", "local")
+
+
+@query(_cycle_sql(_LOCAL_WINS, _GONE).replace("alive AS (SELECT * FROM plan ", _LOCAL_PLAN))
+def recon_cycle_local_wins(spark, d):
+    """Lost mailboxes into which something was brought are made anew with all their files, others go, as do mailboxes of deleted folders. The local side's flags win."""
+    return _cycle(spark, d, "local", "both")
+
+
+_STRUCTURAL = ", ".join(f"'{k}'" for k in R.STRUCTURAL_KINDS)
+
+
+@query(f"SELECT bool_or(kind IN ({_STRUCTURAL})) AS structural, count(*) AS actions FROM ({_cycle_sql(_BACK, _KEPT)})")
+def plan_structural_flag(spark, d):
+    """Whether a cycle changes the tree of mailboxes, so that a one-way run must be refused."""
+    plan = _cycle(spark, d, "server", "none")
+    return plan.agg(F.bool_or(F.col("kind").isin(*R.STRUCTURAL_KINDS)).alias("structural"), F.count("*").alias("actions"))
