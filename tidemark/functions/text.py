@@ -127,6 +127,30 @@ def human_bytes(n: Column) -> Column:
     return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024**2, step(1, "KB")).when(n < 1024**3, step(2, "MB")).otherwise(step(3, "GB"))
 
 
+def signed_bytes(n: Column) -> Column:
+    """human_bytes with a sign before it: a change of size."""
+    return F.concat(F.when(n < 0, "-").otherwise("+"), human_bytes(F.abs(n)))
+
+
+def human_rate(per_second: Column) -> Column:
+    """Bytes a second as whole B, halves to the even one, or KB and MB with one decimal."""
+    r = per_second.cast("double")
+    step = lambda k, unit: F.concat(one_decimal(r / F.lit(float(1024**k))), F.lit(f" {unit}"))
+    return F.when(r >= 1024**2, step(2, "MB")).when(r >= 1024, step(1, "KB")).otherwise(F.concat(F.rint(r).cast("long").cast("string"), F.lit(" B")))
+
+
+def state_map(data: Column) -> Column:
+    """The changed states of an event's data, account by account and type by type; null if it isn't JSON or has none."""
+    return F.from_json(data, "changed map<string, map<string, string>>").getField("changed")
+
+
+def leaves(path: Column) -> Column:
+    """Whether a path that is taken below a folder goes out of it: absolute ones, and those that at some place have gone up further than down."""
+    step = lambda p: F.when(p == "..", -1).when(p.isin("", "."), 0).otherwise(1)
+    low = F.aggregate(F.split(path, "/"), F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")), lambda a, p: F.struct((a["at"] + step(p)).alias("at"), F.least(a["low"], a["at"] + step(p)).alias("low")), lambda a: a["low"])
+    return path.startswith("/") | (low < 0)
+
+
 def ago(seconds: Column) -> Column:
     """A duration in whole seconds, minutes, hours or days; the future is 0s."""
     s = F.greatest(seconds, F.lit(0)).cast("long")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import leaves
+
 
 def drift(disk: DataFrame, known: DataFrame, selected: DataFrame) -> DataFrame:
     """(folder, class) of disk (folder, sentinel) against known (folder, mailbox_id) and selected (mailbox_id).
@@ -56,6 +58,13 @@ def decided(groups: DataFrame) -> DataFrame:
     return g.select("folder", F.when((F.col("a") == 1) & (F.col("b") == 1) & (F.col("lo") == F.col("hi")), F.col("lo")).alias("mailbox_id"))
 
 
+def verdicts(accounts: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """(key, verdict) of accounts (key, root: whether their root is there) against known (key): why an account's folders can't be compared, null if they can."""
+    has = known.select(key, F.lit(True).alias("_known")).distinct()
+    verdict = F.when(~F.col("root"), "maildir_root_missing").when(F.col("_known").isNull(), "no_mailbox_map")
+    return accounts.join(has, key, "left").select(key, verdict.alias("verdict"))
+
+
 def drift_report(disk: DataFrame, known: DataFrame, selected: DataFrame, root_exists: bool = True) -> DataFrame:
     """drift, or one row (null, class) that says why there is none: the root is missing, or nothing is known of any mailbox."""
     verdict = None if root_exists else "maildir_root_missing"
@@ -116,6 +125,7 @@ def _unique(feasible: dict[str, list[str]]) -> dict[str, str] | None:
     their mailboxes on in a ring; without a ring, taking away folders that can take nobody's mailbox leaves none.
     """
     owner: dict[str, str] = {}
+    held: dict[str, str] = {}
 
     def placed(folder: str) -> bool:
         came: dict[str, str] = {}
@@ -130,8 +140,8 @@ def _unique(feasible: dict[str, list[str]]) -> dict[str, str] | None:
                 if b not in owner:
                     while True:
                         f = came[b]
-                        had = next((x for x, g in owner.items() if g == f), None)
-                        owner[b] = f
+                        had = held.get(f)
+                        owner[b], held[f] = f, b
                         if had is None:
                             return True
                         b = had
@@ -142,7 +152,7 @@ def _unique(feasible: dict[str, list[str]]) -> dict[str, str] | None:
 
     if not all(placed(f) for f in feasible):
         return None
-    has = {f: b for b, f in owner.items()}
+    has = held
     takes = {f: {owner.get(b) for b in feasible[f] if b != has[f]} for f in feasible}
     if any(None in t for t in takes.values()):
         return None
@@ -161,6 +171,21 @@ def _unique(feasible: dict[str, list[str]]) -> dict[str, str] | None:
     return has if left == 0 else None
 
 
+def refused_binds(binds: DataFrame, on_disk: DataFrame, server: DataFrame, claimed: DataFrame) -> DataFrame:
+    """(folder, remote_path, mailbox_id, refusal) of explicit binds (folder, remote_path), for the first thing that is wrong with each, null if nothing is.
+
+    'no folder': it isn't on disk (on_disk: folder); 'outside': it leaves the root; 'no mailbox': the server has none at that path (server: mailbox_id, remote_path); 'claimed': the
+    mailbox has a folder already in the cache or by a sentinel (claimed: mailbox_id), or another bind names it as well. One refusal refuses the run.
+    """
+    rows = binds.join(on_disk.select("folder", F.lit(True).alias("_disk")).distinct(), "folder", "left").join(server.select("remote_path", "mailbox_id"), "remote_path", "left")
+    rows = rows.join(claimed.select("mailbox_id", F.lit(True).alias("_claimed")).distinct(), "mailbox_id", "left")
+    twice = rows.filter("mailbox_id IS NOT NULL").groupBy("mailbox_id").agg((F.count("*") > 1).alias("_twice"))
+    rows = rows.join(twice, "mailbox_id", "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    refusal = F.when(leaves(F.col("folder")), "outside").when(~yes("_disk"), "no folder").when(F.col("mailbox_id").isNull(), "no mailbox").when(yes("_claimed") | yes("_twice"), "claimed")
+    return rows.select("folder", "remote_path", "mailbox_id", refusal.alias("refusal"))
+
+
 def unique_matchings(feasible: DataFrame) -> DataFrame:
     """(account, folder, mailbox_id) for accounts of feasible (account, folder, mailbox_id) that have exactly one perfect matching.
 

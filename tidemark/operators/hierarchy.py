@@ -103,3 +103,15 @@ def creation_chain(folders: DataFrame, bound: DataFrame, separator: str = "/") -
     parts = F.split("folder", "\\Q" + separator + "\\E")
     ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n), separator).alias("folder"), n.alias("depth")))
     return folders.select(F.explode(ups).alias("u")).select("u.folder", "u.depth").distinct().join(bound.select("folder"), "folder", "left_anti")
+
+
+def listed_or_reused(accounts: DataFrame, pages: DataFrame, server: DataFrame, cached: DataFrame, key: str = "account") -> DataFrame:
+    """Mailboxes (key, mailbox_id, folder, parent_id, total, unread, reused) of accounts (key, cursor): the cache's, without counts, where nothing but counts changed since the cursor; else the server's.
+
+    pages (key, n, structural, failed): change pages after the cursor in order, up to the last. An account without a cursor, with a structural page, or whose server can't say what changed, is listed anew.
+    """
+    changed = pages.groupBy(key).agg(F.bool_or(F.col("structural") | F.col("failed")).alias("_changed"))
+    choice = accounts.join(changed, key, "left").select(key, (F.col("cursor").isNotNull() & ~F.coalesce("_changed", F.lit(False))).alias("reused"))
+    columns = (key, "mailbox_id", "folder", "parent_id")
+    old = cached.join(choice.filter("reused"), key).select(*columns, F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("unread"), "reused")
+    return old.unionByName(server.join(choice.filter("NOT reused"), key).select(*columns, "total", "unread", "reused"))

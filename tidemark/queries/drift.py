@@ -54,10 +54,12 @@ def prune_plan(spark, d):
     return _pruned(spark, d)
 
 
-@query(_PRUNE + "SELECT folder, label FROM prune WHERE folder < 'Customer#000000900' AND label <> 'safe' ORDER BY folder DESC")
+@query(_FOLDERS + "SELECT folder, class FROM drift WHERE class IN ('disk_only', 'config_dropped') AND class <> 'disk_only'")
 def prune_narrow(spark, d):
-    """Part of a plan, deepest folders first."""
-    return _pruned(spark, d).filter("folder < 'Customer#000000900' AND label <> 'safe'").orderBy(F.col("folder").desc()).select("folder", "label")
+    """The side of a plan that isn't on disk alone."""
+    disk, known, selected = _folders(spark, d)
+    drifted = D.drift(disk, known, selected.select("mailbox_id")).filter(F.col("class").isin("disk_only", "config_dropped"))
+    return D.narrowed(drifted, disk_only=False)
 
 
 @query(_PRUNE + "SELECT label, count(*) AS n, bool_or(files > 0) AS any_files FROM prune GROUP BY label")
@@ -191,11 +193,15 @@ def prune_clears_cursor(spark, d):
     return D.clears_cursor(D.prune_outcome(_pruned(spark, d), _folders(spark, d)[1], nothing))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS folder, x AS class FROM (VALUES ('maildir_root_missing'), ('no_mailbox_map')) t(x)")
+@query(_FOLDERS + """
+    , n AS (SELECT n_nationkey AS nation FROM nation), by_nation AS (SELECT c_nationkey AS nation, count(*) FILTER (c_custkey % 13 = 1) AS known FROM customer GROUP BY 1)
+    SELECT nation, CASE WHEN nation % 6 = 0 THEN 'maildir_root_missing' WHEN coalesce(known, 0) = 0 THEN 'no_mailbox_map' END AS verdict FROM n LEFT JOIN by_nation USING (nation)
+""")
 def drift_verdicts(spark, d):
-    """Why there is no comparison: no root, or nothing known."""
-    disk, known, selected = _folders(spark, d)
-    return D.drift_report(disk, known, selected, root_exists=False).union(D.drift_report(disk, known.filter("false"), selected))
+    """For each account, why there is no comparison: no root, or nothing known of any mailbox."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("nation"), (F.col("n_nationkey") % 6 != 0).alias("root"))
+    known = table(spark, d, "customer").filter("c_custkey % 13 = 1").select(F.col("c_nationkey").alias("nation"))
+    return D.verdicts(n, known, "nation")
 
 
 @query(with_views("cached", "remote", sql="SELECT count(*) AS orphans, CAST(sum(n) AS BIGINT) AS server_emails FROM (SELECT mailbox_id, count(*) AS n FROM remote WHERE mailbox_id IN (SELECT mailbox_id FROM cached WHERE email_id NOT IN (SELECT email_id FROM remote)) GROUP BY 1)"))
@@ -221,3 +227,22 @@ def rebind_cross_map(spark, d):
     boxes = base.select("account", m(i).alias("mailbox_id"))
     disk = base.select("account", folder).union(base.filter((a % 4 == 2) & (i == 0)).select("account", F.lit("more")))
     return D.cross_mapping(groups, skipped, boxes, boxes.filter("false"), disk)
+
+
+@query("""
+    WITH b AS (SELECT CASE s_suppkey % 5 WHEN 0 THEN concat('../f', s_suppkey) WHEN 1 THEN concat('a/../f', s_suppkey) ELSE concat('f', s_suppkey) END AS folder, concat('Top/', CASE WHEN s_suppkey % 7 = 3 THEN 'x' ELSE '' END, s_suppkey - s_suppkey % 2) AS remote_path FROM supplier),
+    s AS (SELECT concat('Top/', s_suppkey) AS remote_path, concat('M', s_suppkey) AS mailbox_id, s_suppkey FROM supplier),
+    j AS (SELECT b.*, s.mailbox_id, s.s_suppkey % 11 = 0 AS claimed, count(s.mailbox_id) OVER (PARTITION BY s.mailbox_id) > 1 AS twice FROM b LEFT JOIN s USING (remote_path))
+    SELECT folder, remote_path, mailbox_id, CASE WHEN folder LIKE '../%' THEN 'outside' WHEN folder NOT IN (SELECT concat('f', s_suppkey) FROM supplier WHERE s_suppkey % 3 <> 0) AND folder NOT LIKE 'a/%' THEN 'no folder'
+        WHEN mailbox_id IS NULL THEN 'no mailbox' WHEN claimed OR twice THEN 'claimed' END AS refusal FROM j
+""")
+def bind_refusals(spark, d):
+    """Explicit binds of folders to the server's paths, each with what is wrong with it."""
+    k = F.col("s_suppkey")
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    s = table(spark, d, "supplier")
+    folder = F.when(k % 5 == 0, text("../f", k)).when(k % 5 == 1, text("a/../f", k)).otherwise(text("f", k))
+    binds = s.select(folder.alias("folder"), F.concat(F.lit("Top/"), F.when(k % 7 == 3, "x").otherwise(""), (k - k % 2).cast("string")).alias("remote_path"))
+    on_disk = s.filter(k % 3 != 0).select(text("f", k).alias("folder")).union(s.select(text("a/../f", k)))
+    server = s.select(text("M", k).alias("mailbox_id"), text("Top/", k).alias("remote_path"))
+    return D.refused_binds(binds, on_disk, server, s.filter(k % 11 == 0).select(text("M", k).alias("mailbox_id")))

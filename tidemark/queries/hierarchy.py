@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
 from tidemark.operators import hierarchy as H
 from tidemark.registry import query
 from tidemark.sources.tables import table, view, with_views
@@ -84,11 +85,19 @@ def nested_folders(spark, d):
     return p.join(below, "id", "left_semi").select("path")
 
 
-@query("SELECT page_id, page_id % 4 IN (1, 2) AS escapes FROM pages")
+@query(r"""
+    WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[^:]*://[^/]*/?', ''), '/', CASE WHEN page_id % 3 = 0 THEN '/../' WHEN page_id % 3 = 1 THEN '/../../' ELSE '/' END) AS path FROM pages),
+    s AS (SELECT page_id, path, i, CASE WHEN part = '..' THEN -1 WHEN part IN ('', '.') THEN 0 ELSE 1 END AS step FROM (SELECT page_id, path, unnest(string_split(path, '/')) AS part, generate_subscripts(string_split(path, '/'), 1) AS i FROM p)),
+    d AS (SELECT page_id, path, sum(step) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM s)
+    SELECT page_id, path LIKE '/%' OR min(depth) < 0 AS escapes FROM d GROUP BY page_id, path
+""")
 def path_escape(spark, d):
-    p = F.col("page_id")
-    path = F.when(p % 4 == 1, "/etc/x").when(p % 4 == 2, F.concat(F.lit("a/../../"), p.cast("string"))).when(p % 4 == 3, "a/..b/c").otherwise("a/b")
-    return table(spark, d, "pages").select("page_id", (path.startswith("/") | F.array_contains(F.split(path, "/"), "..")).alias("escapes"))
+    """Paths of urls, some led astray, that go out of the folder that they are taken below."""
+    up = F.when(F.col("page_id") % 3 == 0, "/../").when(F.col("page_id") % 3 == 1, "/../../").otherwise("/")
+    path = F.regexp_replace("url", "^[^:]*://[^/]*/?", "")
+    first = F.instr(path, "/")
+    path = F.when(first > 0, F.concat(F.substring(path, F.lit(1), first - 1), up, F.substring(path, first + 1, F.length(path)))).otherwise(path)
+    return table(spark, d, "pages").select("page_id", T.leaves(path).alias("escapes"))
 
 
 @query("""
@@ -131,3 +140,18 @@ def layout_faults(spark, d):
     p = H.paths(view(spark, d, "tree"))
     plus = H.folder_fault(F.replace("path", F.lit("."), F.lit("_")), "maildir++", cap=30)
     return p.select("id", H.folder_fault(F.col("path"), "flat", cap=30).alias("flat"), plus.alias("plus"))
+
+
+@query("""
+    WITH a AS (SELECT n_nationkey AS account, n_nationkey % 5 <> 0 AND NOT coalesce((SELECT bool_or(s_suppkey % 7 = 3 OR s_suppkey % 11 = 4) FROM supplier WHERE s_nationkey = n_nationkey), FALSE) AS reused FROM nation),
+    m AS (SELECT c_nationkey AS account, concat('C', c_custkey) AS mailbox_id, c_name AS folder, CASE WHEN c_custkey % 3 = 0 THEN concat('C', c_custkey - 1) END AS parent_id, c_custkey AS k FROM customer)
+    SELECT account, mailbox_id, folder, parent_id, CASE WHEN reused THEN 0 ELSE k END AS total, CASE WHEN reused THEN 0 ELSE k % 7 END AS unread, reused FROM a JOIN m USING (account) WHERE NOT reused OR k % 2 = 0
+""")
+def mailbox_choice(spark, d):
+    """Each account's mailboxes: those that the cache has, if only counts changed, else the server's."""
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    name = lambda c: F.concat(F.lit("C"), c.cast("string"))
+    accounts = table(spark, d, "nation").select(F.col("n_nationkey").alias("account"), F.when(F.col("n_nationkey") % 5 != 0, "s").alias("cursor"))
+    pages = table(spark, d, "supplier").select(F.col("s_nationkey").alias("account"), s.alias("n"), (s % 7 == 3).alias("structural"), (s % 11 == 4).alias("failed"))
+    server = table(spark, d, "customer").select(F.col("c_nationkey").alias("account"), name(k).alias("mailbox_id"), F.col("c_name").alias("folder"), F.when(k % 3 == 0, name(k - 1)).alias("parent_id"), k.alias("total"), (k % 7).alias("unread"))
+    return H.listed_or_reused(accounts, pages, server, server.filter("total % 2 = 0"))

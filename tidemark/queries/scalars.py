@@ -234,3 +234,30 @@ def jitter_bounds(spark, d):
     """Drawn waits lie between 0 and the backoff."""
     e = table(spark, d, "events").filter("event_type = 'error'").select(F.pow(F.lit(2.0), F.col("event_id") % 6).alias("b")).withColumn("w", T.jittered(F.col("b"), 7))
     return e.agg(F.count("*").alias("n"), F.bool_and((F.col("w") >= 0) & (F.col("w") <= F.col("b"))).alias("within"))
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, CASE WHEN r >= 1048576 THEN printf('%.1f MB', r / 1048576) WHEN r >= 1024 THEN printf('%.1f KB', r / 1024) ELSE printf('%d B', CAST(round_even(r, 0) AS BIGINT)) END AS rate,
+           concat(CASE WHEN n < 0 THEN '-' ELSE '+' END, CASE WHEN abs(n) < 1024 THEN concat(abs(n), ' B') WHEN abs(n) < 1048576 THEN printf('%.1f KB', abs(n) / 1024.0) ELSE printf('%.1f MB', abs(n) / 1048576.0) END) AS change
+    FROM (SELECT l_orderkey, l_linenumber, l_extendedprice * l_quantity / 4 AS r, CAST(floor(l_extendedprice * 100) AS BIGINT) * (l_linenumber - 3) AS n FROM lineitem)
+""")
+def rate_format(spark, d):
+    """Rates and signed changes of size for people."""
+    n = F.floor(F.col("l_extendedprice") * 100).cast("long") * (F.col("l_linenumber") - 3)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.human_rate(F.col("l_extendedprice") * F.col("l_quantity") / 4).alias("rate"), T.signed_bytes(n).alias("change"))
+
+
+@query("""
+    WITH e AS (SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+    r AS (SELECT event_id, concat('a', user_id % 4) AS account, 'Email' AS type, concat('e', k) AS state FROM e WHERE event_id % 9 <> 0 UNION ALL SELECT event_id, concat('a', user_id % 4), 'Mailbox', concat('m', k // 10) FROM e WHERE event_id % 3 = 0 AND event_id % 9 <> 0
+        UNION ALL SELECT event_id, 'other', 'Email', 'x' FROM e WHERE event_id % 2 = 0 AND event_id % 9 <> 0)
+    SELECT event_id, account, type, state FROM r
+""")
+def sse_states(spark, d):
+    """The states that each event brings, of all its accounts and types; one that isn't JSON has none."""
+    k = F.get_json_object("props", "$.k")
+    mine = F.concat(F.lit('"a'), (F.col("user_id") % 4).cast("string"), F.lit('":{"Email":"e'), k, F.lit('"'), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(',"Mailbox":"m'), F.floor(k.cast("long") / 10).cast("string"), F.lit('"'))).otherwise(""), F.lit("}"))
+    other = F.when(F.col("event_id") % 2 == 0, ',"other":{"Email":"x"}').otherwise("")
+    data = F.when(F.col("event_id") % 9 == 0, "ping").otherwise(F.concat(F.lit('{"@type":"StateChange","changed":{'), mine, other, F.lit("}}")))
+    rows = table(spark, d, "events").select("event_id", F.explode(T.state_map(data)).alias("account", "types"))
+    return rows.select("event_id", "account", F.explode("types").alias("type", "state"))
