@@ -424,3 +424,66 @@ def test_query_equals_its_sql(spark, duck, name):
     order = [rel.columns.index(c) for c in sorted(rel.columns)]
     assert sorted(df.columns) == sorted(rel.columns)
     assert got == sorted((tuple(plain(r[i]) for i in order) for r in rel.fetchall()), key=repr)
+
+
+@pytest.mark.parametrize(("winner", "deletes", "want"), [
+    ("local", "local", {("create_remote_mailbox", None, "MB1"), ("upload", "f1", "MB1"), ("upload", "f2", "MB1"), ("upload", "f3", "MB1")}),
+    ("server", "local", {("delete_local_folder", None, None)}),
+    ("server", "none", {("create_remote_mailbox", None, "MB1"), ("upload", "f1", "MB1"), ("upload", "f2", "MB1"), ("upload", "f3", "MB1")}),
+])
+def test_cycle_with_a_lost_mailbox(spark, winner, deletes, want):
+    """The server deleted MB1, in which f3 is new here; f1 and f2 were known."""
+    remote = spark.createDataFrame([("E9", "<m9>", "MB2", "", 1)], "email_id string, message_id string, mailbox_id string, flags string, size long")
+    cached = spark.createDataFrame([("E1", "<m1>", "MB1", "f1", ""), ("E2", "<m2>", "MB1", "f2", ""), ("E9", "<m9>", "MB2", "f9", "")], "email_id string, message_id string, mailbox_id string, maildir_id string, flags string")
+    local = spark.createDataFrame([(f"f{k}", f"<m{k}>", "MB2" if k == 9 else "MB1", "", 1) for k in (1, 2, 3, 9)], "maildir_id string, message_id string, mailbox_id string, flags string, size long")
+    boxes = spark.createDataFrame([("MB1",)], "mailbox_id string")
+    decided = folders.decisions(spark.createDataFrame([], "mailbox_id string, cached string, server string, disk string, ruled boolean, decomposes boolean"))
+    policy = reconcile.Policy(winner, deletes=deletes)
+    plan = folders.cycle_plan(reconcile.Sides(remote, cached, local, policy), decided, boxes, boxes.filter("false"), policy).collect()
+    assert {(r["kind"], r["maildir_id"], r["target"]) for r in plan} == want and len(plan) == len(want)
+
+
+def test_cycle_without_blockers_deletes_the_folder_alone(spark):
+    remote = spark.createDataFrame([], "email_id string, message_id string, mailbox_id string, flags string, size long")
+    cached = spark.createDataFrame([("E1", "<m1>", "MB1", "f1", "")], "email_id string, message_id string, mailbox_id string, maildir_id string, flags string")
+    local = spark.createDataFrame([("f1", "<m1>", "MB1", "", 1)], "maildir_id string, message_id string, mailbox_id string, flags string, size long")
+    boxes = spark.createDataFrame([("MB1",)], "mailbox_id string")
+    decided = folders.decisions(spark.createDataFrame([], "mailbox_id string, cached string, server string, disk string, ruled boolean, decomposes boolean"))
+    policy = reconcile.Policy("local", deletes="local")
+    plan = folders.cycle_plan(reconcile.Sides(remote, cached, local, policy), decided, boxes, boxes.filter("false"), policy).collect()
+    assert [(r["kind"], r["source"]) for r in plan] == [("delete_local_folder", "MB1")]
+
+
+def test_refused_binds(spark):
+    rows = lambda data, schema: spark.createDataFrame(data, schema)
+    binds = rows([("a", "A"), ("b", "B"), ("c", "B"), ("d", "D"), ("../e", "E"), ("gone", "A2"), ("f", "nowhere"), ("s", "S")], "folder string, remote_path string")
+    disk = rows([(x,) for x in ("a", "b", "c", "d", "../e", "f", "s")], "folder string")
+    server = rows([("mA", "A"), ("mB", "B"), ("mD", "D"), ("mE", "E"), ("mA2", "A2"), ("mS", "S")], "mailbox_id string, remote_path string")
+    got = {r["folder"]: r["refusal"] for r in drift.refused_binds(binds, disk, server, rows([("mD",), ("mD",), ("mS",)], "mailbox_id string")).collect()}
+    assert got == {"a": None, "b": "claimed", "c": "claimed", "d": "claimed", "../e": "outside", "gone": "no folder", "f": "no mailbox", "s": "claimed"}
+
+
+@pytest.mark.parametrize(("path", "want"), [("a/b", False), ("a/../b", False), ("a/../../b", True), ("..", True), ("/a", True), ("a/..b/c", False), ("./a/./..", False), ("", False), ("a//../..", True)])
+def test_paths_that_leave(spark, path, want):
+    assert value(spark, T.leaves(F.col("p")), p=path) is want
+
+
+@pytest.mark.parametrize(("r", "want"), [(0, "0 B"), (1023, "1023 B"), (1024, "1.0 KB"), (1536, "1.5 KB"), (3 * 1024**2, "3.0 MB"), (5 * 1024**3, "5120.0 MB")])
+def test_rates(spark, r, want):
+    assert value(spark, T.human_rate(F.col("r")), r=r) == want
+    assert value(spark, T.human_rate(F.lit(2.5)), r=r) == "2 B" and value(spark, T.human_rate(F.lit(3.5)), r=r) == "4 B"
+    assert value(spark, T.signed_bytes(F.col("r")), r=-2048) == "-2.0 KB" and value(spark, T.signed_bytes(F.col("r")), r=0) == "+0 B"
+
+
+def test_states_of_an_event(spark):
+    got = value(spark, T.state_map(F.col("d")), d='{"changed":{"a":{"Email":"J1","Mailbox":"M"},"b":{}}}')
+    assert got == {"a": {"Email": "J1", "Mailbox": "M"}, "b": {}}
+    assert value(spark, T.state_map(F.col("d")), d="no json") is None and value(spark, T.state_map(F.col("d")), d="{}") is None
+
+
+def test_mailboxes_are_listed_anew_or_reused(spark):
+    accounts = spark.createDataFrame([(1, "s"), (2, None), (3, "s"), (4, "s"), (5, "s")], "account int, cursor string")
+    pages = spark.createDataFrame([(1, 0, False, False), (3, 0, False, False), (3, 1, True, False), (4, 0, False, True)], "account int, n int, structural boolean, failed boolean")
+    server = spark.createDataFrame([(k, f"m{k}", "f", None, 9, 4) for k in range(1, 6)], "account int, mailbox_id string, folder string, parent_id string, total long, unread long")
+    got = {r["account"]: (r["reused"], r["total"], r["unread"]) for r in hierarchy.listed_or_reused(accounts, pages, server, server.drop("total", "unread")).collect()}
+    assert got == {1: (True, 0, 0), 2: (False, 9, 4), 3: (False, 9, 4), 4: (False, 9, 4), 5: (True, 0, 0)}
