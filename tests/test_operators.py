@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import dedupe, drift, folders, hierarchy, ordered, reconcile, store
+from tidemark.operators import dedupe, drift, folders, hierarchy, ordered, orphans, reconcile, store
 from tidemark.registry import ORACLE, QUERIES
 from tidemark.streaming import operators as S
 
@@ -487,3 +487,35 @@ def test_mailboxes_are_listed_anew_or_reused(spark):
     server = spark.createDataFrame([(k, f"m{k}", "f", None, 9, 4) for k in range(1, 6)], "account int, mailbox_id string, folder string, parent_id string, total long, unread long")
     got = {r["account"]: (r["reused"], r["total"], r["unread"]) for r in hierarchy.listed_or_reused(accounts, pages, server, server.drop("total", "unread")).collect()}
     assert got == {1: (True, 0, 0), 2: (False, 9, 4), 3: (False, 9, 4), 4: (False, 9, 4), 5: (True, 0, 0)}
+
+
+def test_mailboxes_by_name(spark):
+    rows = spark.createDataFrame([("1", "INBOX/x", None), ("2", "Work", None), ("3", "work", None), ("4", "Posteingang", "inbox"), ("5", "WÖRK", None)], "id string, path string, role string")
+    names = lambda *n: spark.createDataFrame(list(n), "name string, any_case boolean")
+    chosen = lambda *n: sorted(r["id"] for r in hierarchy.named(rows, names(*n)).collect())
+    assert chosen() == ["1", "2", "3", "4", "5"] and chosen(("work", False)) == ["3"] and chosen(("WORK", True), ("work", False)) == ["2", "3"]
+    assert chosen(("INBOX", False)) == ["4"] and chosen(("inbox", False)) == [] and chosen(("inbox", True)) == ["4"] and chosen(("wörk", True)) == []
+
+
+def test_live_orphans_are_hoisted(spark):
+    plan = spark.createDataFrame([(14, "destroy_remote", "E1", "f1", "MB1", None), (14, "destroy_remote", "E3", "f3", "MB3", None), (4, "download", "E2", None, None, "MB1")], "phase int, kind string, email_id string, maildir_id string, source string, target string")
+    cached = spark.createDataFrame([("E1", "MB1"), ("E3", "MB3")], "email_id string, mailbox_id string")
+    orphans_ = spark.createDataFrame([("MB1",), ("MB3",)], "mailbox_id string")
+    whole = spark.createDataFrame([("E1", "MB1"), ("E2", "MB1"), ("E3", "MB3")], "email_id string, mailbox_id string")
+    out, rest = orphans.hoist(plan, cached, orphans_, whole.filter("email_id = 'E2'"), whole)
+    assert sorted((r["kind"], r["email_id"] or "", r["target"] or "") for r in out.collect()) == [("create_local_mailbox", "", "MB1"), ("destroy_remote", "E3", ""), ("download", "E1", "MB1"), ("download", "E2", "MB1")]
+    assert [r["mailbox_id"] for r in rest.collect()] == ["MB3"]
+
+
+def test_plan_in_numbers_and_words(spark):
+    plan = spark.createDataFrame([(4, "download", "E2", None, None, "MB1"), (13, "move_remote", "E3", "f3", "MB1", "MB2"), (9, "create_remote_mailbox", None, None, None, "MB9"), (14, "destroy_remote", "E1", "f1", "MB1", None)], "phase int, kind string, email_id string, maildir_id string, source string, target string")
+    s = reconcile.summary(plan).first()
+    assert (s["downloads"], s["deletes"], s["remote_folder_creates"], s["uploads"], s["empty"]) == (1, 1, 1, 0, False) and reconcile.summary(plan.filter("false")).first()["empty"]
+    assert [r["line"] for r in reconcile.described(plan).orderBy("phase").collect()] == ["pull download E2 to MB1", "push create remote mailbox folder to MB9", "push move remote E3 from MB1 to MB2", "push destroy remote E1 from MB1"]
+
+
+def test_members_and_faults_by_group(spark):
+    df = spark.createDataFrame([("a", 1, "x", [" p ", "", None]), ("a", 2, " ", None), ("b", 3, None, ["  "])], "g string, n int, e string, m array<string>")
+    _, totals = store.validated(df, "n", "e", by=("g",))
+    assert {tuple(r) for r in totals.collect()} == {("a", 1, 1, "e"), ("b", 0, 1, "e")}
+    assert [r["m"] for r in df.orderBy("n").select(store.members(F.col("m")).alias("m")).collect()] == [["p"], None, []]

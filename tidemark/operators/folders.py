@@ -57,11 +57,12 @@ def _alive(sides: Sides, orphans_: DataFrame) -> DataFrame:
     return known.join(orphans_.select("mailbox_id"), "mailbox_id", "left_anti")
 
 
-def cycle_plan(sides: Sides, decided: DataFrame, local_orphans: DataFrame, remote_orphans: DataFrame, policy: Policy) -> DataFrame:
+def cycle_plan(sides: Sides, decided: DataFrame, local_orphans: DataFrame, remote_orphans: DataFrame, policy: Policy, whole: DataFrame | None = None) -> DataFrame:
     """The plan of a cycle (SHORT): folders to make and rename; messages; mailboxes that the server deleted (local_orphans: their folders are
     left) and folders that were deleted here (remote_orphans), settled or brought back as the policy says.
 
     What is in a mailbox that the server deleted is neither moved nor deleted one by one: its folder goes as a whole, or comes back with all files within the size limit.
+    whole (email_id, mailbox_id): all that the server has, for a cycle of changes alone; if the server wins, mailboxes of deleted folders in which it changed something come back with it.
     """
     folders = folder_actions(decided).select("phase", "kind", F.lit(None).cast("string").alias("email_id"), F.lit(None).cast("string").alias("maildir_id"), "source", "target")
     sides = dataclasses.replace(sides, policy=policy, live=_alive(sides, local_orphans))
@@ -76,5 +77,7 @@ def cycle_plan(sides: Sides, decided: DataFrame, local_orphans: DataFrame, remot
         phase = F.when(F.col("kind") == "upload", PHASES["upload"]).otherwise(PHASES["create_remote_mailbox"])
         plan = plan.join(again, ["maildir_id", "kind"], "left_anti").select(*SHORT).union(back.select(phase, "kind", null, "maildir_id", null, "mailbox_id"))
     if policy.deletes in ("remote", "both"):
+        if whole is not None and policy.winner == "server":
+            plan, remote_orphans = orphans.hoist(plan, sides.cached, remote_orphans, sides.remote, whole)
         plan = orphans.settle_remote(plan, remote_orphans)
     return folders.union(plan.select(*SHORT))

@@ -115,3 +115,15 @@ def listed_or_reused(accounts: DataFrame, pages: DataFrame, server: DataFrame, c
     columns = (key, "mailbox_id", "folder", "parent_id")
     old = cached.join(choice.filter("reused"), key).select(*columns, F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("unread"), "reused")
     return old.unionByName(server.join(choice.filter("NOT reused"), key).select(*columns, "total", "unread", "reused"))
+
+
+def named(mailboxes: DataFrame, names: DataFrame) -> DataFrame:
+    """mailboxes (id, path, role) that names (name, any_case) choose: by their whole path, A to Z in any case where that is asked for; INBOX also chooses the one with that role. Without names all are chosen."""
+    fold = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    if names.isEmpty():
+        return mailboxes
+    keys = names.select(F.when(F.col("any_case"), fold("name")).otherwise(F.col("name")).alias("_name"), F.col("any_case").alias("_any")).distinct()
+    inbox = names.filter(F.when(F.col("any_case"), F.upper("name")).otherwise(F.col("name")) == "INBOX").select(F.lit("inbox").alias("role")).distinct()
+    plain = mailboxes.join(keys.filter("NOT _any"), F.col("path") == F.col("_name"), "left_semi")
+    loose = mailboxes.join(keys.filter("_any"), fold("path") == F.col("_name"), "left_semi")
+    return plain.union(loose).union(mailboxes.join(inbox, "role", "left_semi").select(*mailboxes.columns)).distinct()

@@ -70,3 +70,21 @@ def hoisted(orphans: DataFrame, remote: DataFrame) -> DataFrame:
     """(mailbox_id, live): orphans that hold a mail of the server in this cycle are live again."""
     held = remote.select("mailbox_id", F.lit(True).alias("live")).distinct()
     return orphans.select("mailbox_id").distinct().join(held, "mailbox_id", "left").select("mailbox_id", F.coalesce("live", F.lit(False)).alias("live"))
+
+
+def hoist(plan: DataFrame, cached: DataFrame, orphans: DataFrame, changed: DataFrame, whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The plan, and the orphans that are left, when mailboxes whose folders were deleted here are live again because the server changed something in them.
+
+    changed: what the server said of this cycle; whole: all that it has (email_id, mailbox_id). A live orphan gets its folder and all its mails again; what
+    would be destroyed of it isn't.
+    """
+    verdicts = hoisted(orphans, changed)
+    live = verdicts.filter("live").select("mailbox_id")
+    kept = cached.join(live, "mailbox_id", "left_semi").select("email_id", F.lit("destroy_remote").alias("kind")).distinct()
+    short = ["phase", "kind", "email_id", "maildir_id", "source", "target"]
+    null = F.lit(None).cast("string")
+    mails = whole.join(live, "mailbox_id", "left_semi")
+    twice = mails.select("email_id", F.lit("download").alias("kind")).distinct()
+    out = plan.select(*short).join(kept, ["email_id", "kind"], "left_anti").join(twice, ["email_id", "kind"], "left_anti").select(*short)
+    back = live.select(*_of("create_local_mailbox"), null, null, null, "mailbox_id").union(mails.select(*_of("download"), "email_id", null, null, "mailbox_id"))
+    return out.union(back), verdicts.filter("NOT live").select("mailbox_id")

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import keywords_of
 from tidemark.sources.shared import written
 
 #: The order in which kinds of actions are carried out; adoptions of moved files wait for the server's answer.
@@ -320,6 +321,39 @@ REMOTE_KINDS = ("move_remote", "upload", "update_remote_flags", "destroy_remote"
 STRUCTURAL_KINDS = ("create_local_mailbox", "rename_local_mailbox", "delete_local_folder", "create_remote_mailbox", "rename_remote_mailbox", "destroy_remote_mailbox")
 
 
+#: What a plan's summary counts, and the kinds that each count has.
+COUNTERS = {
+    "downloads": ("download",), "uploads": ("upload",), "adoptions": ("adopt",), "flag_updates": ("update_local_flags", "update_remote_flags"), "deletes": ("delete_local", "destroy_remote"),
+    "local_folder_creates": ("create_local_mailbox",), "remote_folder_creates": ("create_remote_mailbox",), "local_folder_renames": ("rename_local_mailbox",), "remote_folder_renames": ("rename_remote_mailbox",),
+}
+
+
+def summary(plan: DataFrame) -> DataFrame:
+    """One row with COUNTERS, and empty: whether there is nothing to do at all."""
+    counts = [F.count_if(F.col("kind").isin(*kinds)).alias(name) for name, kinds in COUNTERS.items()]
+    return plan.agg(*counts, (F.count("*") == 0).alias("empty"))
+
+
+def described(plan: DataFrame) -> DataFrame:
+    """(phase, email_id, maildir_id, line): each action as a line of text, with the side that it changes, what it does it to, and from where to where."""
+    side = F.when(F.col("kind").isin(*REMOTE_KINDS), "push").otherwise("pull")
+    what = F.coalesce("email_id", "maildir_id", F.lit("folder"))
+    line = F.concat_ws(" ", side, F.replace("kind", F.lit("_"), F.lit(" ")), what, F.concat(F.lit("from "), "source"), F.concat(F.lit("to "), "target"))
+    return plan.select("phase", "email_id", "maildir_id", line.alias("line"))
+
+
+def adopted_flags(rows: DataFrame, winner: str) -> DataFrame:
+    """(email_id, action, flags, patch) of adopted files (email_id, blob_id, thread_id, server_flags, file_flags) whose flags aren't the server's.
+
+    If the server wins its flags go to the file, where both its ids are known; else a patch of all six keywords goes to the server.
+    """
+    rows = rows.filter(~F.col("server_flags").eqNullSafe(F.col("file_flags")))
+    if winner == "server":
+        known = rows.filter(F.col("blob_id").isNotNull() & F.col("thread_id").isNotNull())
+        return known.select("email_id", F.lit("update_local_flags").alias("action"), F.col("server_flags").alias("flags"), _null().alias("patch"))
+    return rows.select("email_id", F.lit("update_remote_flags").alias("action"), F.col("file_flags").alias("flags"), F.to_json(keywords_of(F.col("file_flags"))).alias("patch"))
+
+
 def with_direction(plan: DataFrame, direction: str) -> DataFrame:
     """plan with kept: whether a one-way run carries the action out. 'pull' changes the disk, 'push' the server; adoptions are kept in both."""
     remote = F.col("kind").isin(*REMOTE_KINDS)

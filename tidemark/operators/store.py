@@ -57,11 +57,16 @@ def appended(profile: DataFrame, folder: str) -> DataFrame:
     return profile.sparkSession.read.schema(profile.schema).json(folder)
 
 
-def validated(rows: DataFrame, position: str, *required: str) -> tuple[DataFrame, DataFrame]:
-    """rows with fault (the first required column that is blank; null: valid), and (valid, dropped, first_fault): how many, and the fault of the first dropped row."""
+def validated(rows: DataFrame, position: str, *required: str, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """rows with fault (the first required column that is blank; null: valid), and (by, valid, dropped, first_fault): how many of each group, and the fault of its first dropped row."""
     judged = rows.withColumn("fault", first_fault(**{c: F.col(c) for c in required}))
     bad = F.col("fault").isNotNull()
-    return judged, judged.agg(F.count_if(~bad).alias("valid"), F.count_if(bad).alias("dropped"), F.min_by(F.when(bad, F.col("fault")), F.when(bad, F.col(position))).alias("first_fault"))
+    return judged, judged.groupBy(*by).agg(F.count_if(~bad).alias("valid"), F.count_if(bad).alias("dropped"), F.min_by(F.when(bad, F.col("fault")), F.when(bad, F.col(position))).alias("first_fault"))
+
+
+def members(values: Column) -> Column:
+    """A list's members without the blanks around them, and without empty ones; null stays null."""
+    return F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != ""))
 
 
 def resolved(rows: DataFrame, made: DataFrame, ref: str = "ref") -> DataFrame:

@@ -77,6 +77,14 @@ def recon_move_local(spark, d):
     return _sides(spark, d).local_moves()
 
 
+@query(_sql(", p AS (" + _part("move_local") + ") SELECT * FROM p WHERE source NOT IN ('MB3', 'MB5') AND target NOT IN ('MB3', 'MB5')"))
+def recon_move_local_live(spark, d):
+    """Moves among mailboxes that take part; two don't."""
+    s = _sides(spark, d)
+    live = s.remote.select("mailbox_id").union(s.cached.select("mailbox_id")).distinct().filter(~F.col("mailbox_id").isin("MB3", "MB5"))
+    return R.Sides(s.remote, s.cached, s.local, s.policy, live).local_moves()
+
+
 @query(_sql(_part("delete_local")))
 def recon_delete_local(spark, d):
     return _sides(spark, d).local_deletes()
@@ -135,6 +143,21 @@ def plan_summary(spark, d):
     return _sides(spark, d).plan().groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query(_sql(_PLAN + "SELECT " + ", ".join(f"count(*) FILTER (kind IN ({', '.join(map(repr, kinds))})) AS {name}" for name, kinds in R.COUNTERS.items()) + ", count(*) = 0 AS empty FROM plan"))
+def plan_counters(spark, d):
+    """What a plan's summary says."""
+    return R.summary(_sides(spark, d).plan())
+
+
+@query(_sql(_PLAN + """
+    SELECT phase, email_id, maildir_id, concat_ws(' ', CASE WHEN kind IN ('move_remote', 'upload', 'update_remote_flags', 'destroy_remote') THEN 'push' ELSE 'pull' END, replace(kind, '_', ' '), coalesce(email_id, maildir_id, 'folder'),
+        CASE WHEN source IS NOT NULL THEN concat('from ', source) END, CASE WHEN target IS NOT NULL THEN concat('to ', target) END) AS line FROM plan
+"""))
+def plan_lines(spark, d):
+    """A plan in words."""
+    return R.described(_sides(spark, d).plan())
+
+
 @query(_sql(_PLAN + "SELECT kind, count(*) AS n FROM plan WHERE kind IN ('adopt', 'move_remote', 'upload', 'update_remote_flags', 'destroy_remote') GROUP BY kind"))
 def plan_filter_direction(spark, d):
     return R.keep_direction(_sides(spark, d).plan(), "push").groupBy("kind").agg(F.count("*").alias("n"))
@@ -231,6 +254,17 @@ def orphan_resurrect_prepass(spark, d):
     return O.hoisted(_orphans(spark), view(spark, d, "remote"))
 
 
+@query(_sql(_PLAN + _ORPHANS + """
+    , delta AS (SELECT * FROM remote WHERE size % 50 = 0 AND mailbox_id <> 'MB4'), live AS (SELECT mailbox_id FROM orphans WHERE mailbox_id IN (SELECT mailbox_id FROM delta)), mails AS (SELECT * FROM remote WHERE mailbox_id IN (SELECT * FROM live))
+    SELECT phase, kind, email_id, maildir_id, source, target FROM plan WHERE NOT coalesce(kind = 'destroy_remote' AND email_id IN (SELECT email_id FROM cached WHERE mailbox_id IN (SELECT * FROM live)) OR kind = 'download' AND email_id IN (SELECT email_id FROM mails), FALSE)
+    UNION ALL SELECT 1, 'create_local_mailbox', NULL, NULL, NULL, mailbox_id FROM live UNION ALL SELECT 4, 'download', email_id, NULL, NULL, mailbox_id FROM mails
+"""))
+def orphan_hoisted(spark, d):
+    """A plan in which mailboxes of deleted folders are live again where the server changed something in them: they come back whole."""
+    s = _sides(spark, d)
+    return O.hoist(s.plan(), s.cached, _orphans(spark), s.remote.filter("size % 50 = 0 AND mailbox_id <> 'MB4'"), s.remote)[0]
+
+
 @query(_sql("SELECT email_id, min(box) AS mailbox_id FROM (SELECT email_id, mailbox_id AS box FROM remote UNION ALL SELECT email_id, concat('MB', size % 25) FROM remote) WHERE box NOT IN ('MB3', 'MB5') AND CAST(substr(box, 3) AS INTEGER) < 20 GROUP BY 1"))
 def recon_membership(spark, d):
     """The smallest live mailbox of mails that are in several."""
@@ -277,12 +311,19 @@ def recon_adopt_disk(spark, d):
     return R.claims(both, s.local)
 
 
-@query(_sql(_AGAIN + "SELECT f.email_id, l.maildir_id, f.flags AS server, l.flags AS file, CASE WHEN f.flags = l.flags THEN 'none' ELSE 'update_local_flags' END AS action FROM fresh f JOIN local l USING (message_id, mailbox_id)"))
+@query(_sql(_AGAIN + """
+    , unlike AS (SELECT f.email_id, f.flags AS server, l.flags AS file, substr(f.email_id, -3, 1) IN ('0', '4') AS bare FROM fresh f JOIN local l USING (message_id, mailbox_id) WHERE f.flags <> l.flags)
+    SELECT 'server' AS winner, email_id, 'update_local_flags' AS action, server AS flags, NULL AS patch FROM unlike WHERE NOT bare
+    UNION ALL SELECT 'local', email_id, 'update_remote_flags', file, concat('{"$draft":', contains(file, 'D'), ',"$flagged":', contains(file, 'F'), ',"$forwarded":', contains(file, 'P'), ',"$answered":', contains(file, 'R'), ',"$seen":', contains(file, 'S'), ',"$deleted":', contains(file, 'T'), '}') FROM unlike
+"""))
 def recon_adopt_flags(spark, d):
+    """What brings the flags of adopted files and of their messages together, whoever wins; some messages lack their other ids."""
     s, fresh = _fresh(spark, d)
-    files = s.local.select("message_id", "mailbox_id", "maildir_id", F.col("flags").alias("file"))
-    both = fresh.join(files, ["message_id", "mailbox_id"])
-    return both.select("email_id", "maildir_id", F.col("flags").alias("server"), "file", F.when(F.col("flags") == F.col("file"), "none").otherwise("update_local_flags").alias("action"))
+    blob = F.when(~F.substring("email_id", -3, 1).isin("0", "4"), "b").alias("blob_id")
+    files = s.local.select("message_id", "mailbox_id", F.col("flags").alias("file_flags"))
+    rows = fresh.join(files, ["message_id", "mailbox_id"]).select("email_id", blob, F.lit("t").alias("thread_id"), F.col("flags").alias("server_flags"), "file_flags")
+    one = lambda winner: R.adopted_flags(rows, winner).select(F.lit(winner).alias("winner"), "email_id", "action", "flags", "patch")
+    return one("server").union(one("local"))
 
 
 #: More of the server: messages of destroyed ids under new ones, doubles of messages that are alive, two ids for one new file.

@@ -70,15 +70,19 @@ def profile_append(spark, d):
     return T.appended(rows.filter("bytes > 40"), folder).groupBy("direction").agg(F.count("*").alias("n"))
 
 
-@query("SELECT source, count(*) FILTER (k NOT IN (0, 1, 4)) AS valid, count(*) FILTER (k IN (0, 1, 4)) AS dropped, CASE arg_min(k, doc_id) FILTER (k IN (0, 1, 4)) WHEN 0 THEN 'email_id' WHEN 1 THEN 'blob_id' WHEN 4 THEN 'thread_id' END AS first_fault FROM (SELECT *, doc_id % 9 AS k FROM documents WHERE source = (SELECT min(source) FROM documents)) GROUP BY 1")
+@query("SELECT source, count(*) FILTER (k NOT IN (0, 1, 4)) AS valid, count(*) FILTER (k IN (0, 1, 4)) AS dropped, CASE arg_min(k, doc_id) FILTER (k IN (0, 1, 4)) WHEN 0 THEN 'email_id' WHEN 1 THEN 'blob_id' WHEN 4 THEN 'thread_id' END AS first_fault FROM (SELECT *, doc_id % 9 AS k FROM documents) GROUP BY 1")
 def row_validation_totals(spark, d):
-    """How many rows of a folder lack an id, and what the first of them lacks."""
-    docs = table(spark, d, "documents")
-    first = docs.agg(F.min("source")).first()[0]
+    """How many rows of each folder lack an id, and what the first of them lacks."""
     k = F.col("doc_id") % 9
     blank = lambda n, v: F.when(k == n, v).otherwise("x")
-    rows = docs.filter(F.col("source") == first).select("doc_id", blank(0, " ").alias("email_id"), blank(1, "").alias("blob_id"), F.when(k != 4, "t").alias("thread_id"))
-    return T.validated(rows, "doc_id", "email_id", "blob_id", "thread_id")[1].select(F.lit(first).alias("source"), "valid", "dropped", "first_fault")
+    rows = table(spark, d, "documents").select("source", "doc_id", blank(0, " ").alias("email_id"), blank(1, "").alias("blob_id"), F.when(k != 4, "t").alias("thread_id"))
+    return T.validated(rows, "doc_id", "email_id", "blob_id", "thread_id", by=("source",))[1]
+
+
+@query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, '.'), lambda x: trim(x)), lambda x: x <> ''), '|') AS members FROM documents")
+def member_lists(spark, d):
+    """What lists have once blanks are trimmed and empty members dropped."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.members(F.split("text", r"\.")), "|").alias("members"))
 
 
 @query("""

@@ -197,3 +197,13 @@ def hook_retries(spark, d):
     """Not in SQL: runs that fail and are tried again, held against a plain simulation in the tests."""
     e = table(spark, d, "events").withColumn("fails", F.col("event_id") % 4)
     return S.hook_runs(e, "user_id", 7200, fails="fails", retries=2)
+
+
+@query("""
+    SELECT event_id, CASE event_id % 7 WHEN 0 THEN FALSE WHEN 1 THEN event_id % 5 = 0 OR event_id % 3 <> 0 WHEN 2 THEN event_id % 5 = 0 OR event_id % 3 <> 0 WHEN 3 THEN event_id % 5 = 0 OR event_id % 3 <> 0 ELSE event_id % 11 = 1 END AS fires FROM events
+""")
+def structural_fires(spark, d):
+    """Whether events of folders' own paths mean a change: the root never does, cur, new and tmp do if they are gone or their folder has no sentinel, others if they are maildirs."""
+    k = F.col("event_id")
+    path = F.when(k % 7 == 0, "").when(k % 7 == 1, "a/cur").when(k % 7 == 2, "a/b/new").when(k % 7 == 3, "tmp").when(k % 7 == 4, "a").otherwise("a/b.cur")
+    return table(spark, d, "events").select("event_id", T.fires(path, k % 5 != 0, k % 3 == 0, k % 11 == 1).alias("fires"))
