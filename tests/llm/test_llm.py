@@ -230,9 +230,44 @@ def test_calibrate():
     assert urls.calibrate([(0, 5, 1), (1, 1, 5)]) == 0.01
 
 
+def test_url_grams(spark):
+    rows = ["abc", "", "a", "\u00e4\U0001f600b/%$.^", "xxx", "\u65e5\ud7ffz", "a|b[c]{d}\\e", None, "ab/\u00e9" * 30_000]
+    got = spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "i int, u string")
+    found: dict[int, list[str]] = {}
+    for r in urls.grams(got, "u").select("i", "gram").collect():
+        found.setdefault(r["i"], []).append(r["gram"])
+    for i, u in enumerate(rows):
+        padded = None if u is None else urls.START * (urls.ORDER - 1) + u + urls.END
+        assert found.get(i) == (padded and [padded[j : j + urls.ORDER] for j in range(len(u) + 1)])
+
+
 # toxicity
 
 
+def test_toxicity_model_by_plain_counts(spark):
+    r = random.Random(5)
+    marks = ["zonk", "grubling", "grublich", "plonk", "snarf"]
+    rows = [(i, f"{prose(i, 40)} w{i}q {' '.join(r.sample(marks, 1 + i % 3)) if i % 4 == 0 else ''}", int(i % 4 == 0)) for i in range(240)]
+    model = toxicity.fit(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, toxic int"))
+    sample = list({(toxicity.copy_key(t), k): (t, k) for _, t, k in sorted(rows, reverse=True)}.values())
+    words = {t: {w for w in toxicity.WORD.findall(t.lower())} for t, _ in sample}
+    names = {t: ws | {w[:n] + "*" for w in ws for n in toxicity.PREFIXES if len(w) >= n} for t, ws in words.items()}
+    all_bad = sum(k for _, k in sample)
+    all_good = len(sample) - all_bad
+    chosen = {}
+    for name in set().union(*names.values()):
+        bad, good = (sum(name in names[t] for t, kind in sample if kind == k) for k in (1, 0))
+        lift = (bad + 0.5) / (all_bad + 1) / ((good + 0.5) / (all_good + 1))
+        z = np.log(lift) / np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
+        if bad >= max(toxicity.LEAST_ROWS, toxicity.LEAST_SHARE * all_bad) and lift >= toxicity.LEAST_LIFT and z >= toxicity.LEAST_Z:
+            chosen[name] = z
+    assert set(model.vocabulary) == set(chosen)
+    for _, t, _ in rows[:40]:
+        score = sum(model.weights[model.vocabulary[n]] for n in chosen if n in names[t]) if t in names else None
+        if score is not None:
+            assert np.allclose(model.predict([t])[0], [1 / (1 + np.exp(b - score)) for b in model.thresholds])
+
+
 def test_toxicity(spark, empty):
     data, labels = [], []
     for i in range(600):

@@ -68,9 +68,14 @@ def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RU
 
 
 def grams(urls: DataFrame, url: str) -> DataFrame:
-    """urls with a row for each character of url and its end: gram is the character after ORDER - 1 before it."""
-    padded = F.concat(F.lit(START * (ORDER - 1)), F.col(url), F.lit(END))
-    return urls.withColumn("gram", F.explode(F.transform(F.sequence(F.lit(1), F.length(url) + 1), lambda i: F.substring(padded, i, F.lit(ORDER)))))
+    """urls with a row for each character of url and its end: gram is the character after ORDER - 1 before it.
+
+    The characters are an array of their own below the explode, so that the work grows with the length of a URL and not with its square.
+    """
+    characters = F.concat(F.array(*[F.lit(START)] * (ORDER - 1)), F.array_remove(F.split(url, ""), ""), F.array(F.lit(END)))
+    places = F.sequence(F.lit(1), F.length(url) + 1)
+    gram = F.explode(F.transform(places, lambda i: F.array_join(F.slice("_characters", i, ORDER), "")))
+    return urls.withColumn("_characters", characters).withColumn("gram", gram).drop("_characters")
 
 
 @dataclass
