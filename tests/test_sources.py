@@ -68,6 +68,17 @@ def test_files_are_scanned_by_name_alone(spark, folder):
     assert "content" in plan(files) and "content" not in plan(files.drop("header"))
 
 
+def test_headers_of_bodies_in_any_code(spark, folder):
+    """The bytes that are read for a header end within a character of the first body; the second isn't UTF-8 at all."""
+    bodies = [("1", "é" * maildir.HEADER), ("2", "x" + "é" * maildir.HEADER)]
+    maildir.deliver(spark.createDataFrame([("a", "new", k, "", "m" + k, b) for k, b in bodies], "folder string, subdir string, maildir_id string, flags string, message_id string, body string"), folder)
+    fs, top = opened(shared_uri(spark, folder))
+    with fs.open_output_stream(f"{top}/a/new/3") as out:
+        out.write(b"Message-ID: <m3>\n\n\xff\xfe")
+    files = maildir.scanned(spark, folder)
+    assert {r["maildir_id"]: r["m"] for r in files.select("maildir_id", maildir.message_id(F.col("header")).alias("m")).collect()} == {"1": "m1", "2": "m2", "3": "m3"}
+
+
 def test_upsert_rewrites_touched_buckets_alone(spark, folder):
     rows = spark.range(1000).select("id", F.lit("old").alias("v"), F.lit(None).cast("string").alias("w"))
     buckets.create(rows, folder, "id", 16)

@@ -10,7 +10,7 @@ from tidemark.operators import buckets, dedupe
 from tidemark.operators.reconcile import local_changes
 from tidemark.registry import ORACLE, query
 from tidemark.sources import maildir, pages
-from tidemark.sources.shared import shared_dir
+from tidemark.sources.shared import shared_dir, written
 from tidemark.sources.tables import table, view, with_views
 
 
@@ -70,7 +70,8 @@ def dedupe_files(spark, d):
     """Copies of messages in one folder, by the ids in their files' headers; a file's name begins with its time."""
     files = maildir.scanned(spark, delivered(spark, d))
     mtime = F.regexp_extract("maildir_id", r"^\d+", 0).cast("long")
-    return dedupe.dedupe_plan(files.select("folder", maildir.message_id(F.col("header")).alias("message_id"), "maildir_id", mtime.alias("mtime"), "subdir"))
+    # The plan reads its files several times; they are opened once.
+    return dedupe.dedupe_plan(written(files.select("folder", maildir.message_id(F.col("header")).alias("message_id"), "maildir_id", mtime.alias("mtime"), "subdir"), "files"))
 
 
 @query("""
