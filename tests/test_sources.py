@@ -79,6 +79,15 @@ def test_headers_of_bodies_in_any_code(spark, folder):
     assert {r["maildir_id"]: r["m"] for r in files.select("maildir_id", maildir.message_id(F.col("header")).alias("m")).collect()} == {"1": "m1", "2": "m2", "3": "m3"}
 
 
+def test_files_are_listed_by_tasks(spark, folder):
+    """As many tasks as there are folders or cores, not one for so many files; a root without messages has none."""
+    rows = spark.range(3000).select(F.lit("a/b").alias("folder"), F.lit("new").alias("subdir"), F.col("id").cast("string").alias("maildir_id"), F.lit("").alias("flags"), F.col("id").cast("string").alias("message_id"), F.lit("x").alias("body"))
+    maildir.deliver(rows, folder)
+    names = maildir.scanned(spark, folder).drop("header")
+    assert names.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism and names.count() == 3000
+    assert maildir.scanned(spark, f"{folder}/none").count() == 0
+
+
 def test_upsert_rewrites_touched_buckets_alone(spark, folder):
     rows = spark.range(1000).select("id", F.lit("old").alias("v"), F.lit(None).cast("string").alias("w"))
     buckets.create(rows, folder, "id", 16)
