@@ -310,6 +310,13 @@ def test_long_chains_and_rings_of_folders(spark):
     assert {tuple(r) for r in got} == {("chain", f"f{i}", f"m{i}") for i in range(40)}
 
 
+def test_narrowed_sides_are_the_whole_plan(spark):
+    d = "/root/testdata/sf0.001"
+    sides, plan = (QUERIES[n](spark, d).collect() for n in ("prune_narrow", "prune_plan"))
+    assert sorted((r["folder"], r["files"], r["label"]) for r in sides) == sorted(tuple(r) for r in plan) and len({r["disk_only"] for r in sides}) == 2
+    assert [r["folder"] for r in sides] == sorted((r["folder"] for r in sides), reverse=True)
+
+
 def test_narrow_needs_a_known_folder(spark):
     p = spark.createDataFrame([("a", "disk_only"), ("b", "db_only")], "folder string, class string")
     assert drift.narrowed(p, "a").count() == 1 and drift.narrowed(p, disk_only=False).first()["folder"] == "b"

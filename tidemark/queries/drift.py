@@ -42,11 +42,16 @@ _PRUNE = _FOLDERS + """
 """
 
 
-def _pruned(spark, d):
+def _prunable(spark, d):
+    """Folders of the classes that can be removed, files in them, and folders that the configuration names."""
     disk, known, selected = _folders(spark, d)
     drifted = D.drift(disk, known, selected.select("mailbox_id")).filter(F.col("class").isin("disk_only", "config_dropped"))
     files = table(spark, d, "orders").filter("o_orderkey % 29 = 0").select(F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("folder"), "o_orderkey")
-    return D.prune_plan(drifted, files, selected)
+    return drifted, files, selected
+
+
+def _pruned(spark, d):
+    return D.prune_plan(*_prunable(spark, d))
 
 
 @query(_PRUNE + "SELECT folder, files, label FROM prune")
@@ -54,12 +59,12 @@ def prune_plan(spark, d):
     return _pruned(spark, d)
 
 
-@query(_FOLDERS + "SELECT folder, class FROM drift WHERE class IN ('disk_only', 'config_dropped') AND class <> 'disk_only'")
+@query(_PRUNE + "SELECT folder, folder IN (SELECT folder FROM drift WHERE class = 'disk_only') AS disk_only, files, label FROM prune ORDER BY folder DESC")
 def prune_narrow(spark, d):
-    """The side of a plan that isn't on disk alone."""
-    disk, known, selected = _folders(spark, d)
-    drifted = D.drift(disk, known, selected.select("mailbox_id")).filter(F.col("class").isin("disk_only", "config_dropped"))
-    return D.narrowed(drifted, disk_only=False)
+    """Each side of a plan by itself, with files and labels: what is on disk alone, and the rest. Deepest folders first."""
+    drifted, files, selected = _prunable(spark, d)
+    sides = [D.prune_plan(D.narrowed(drifted, disk_only=on), files, selected).withColumn("disk_only", F.lit(on)) for on in (True, False)]
+    return sides[0].union(sides[1]).select("folder", "disk_only", "files", "label").orderBy(F.col("folder").desc())
 
 
 @query(_PRUNE + "SELECT label, count(*) AS n, bool_or(files > 0) AS any_files FROM prune GROUP BY label")
