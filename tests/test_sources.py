@@ -35,6 +35,16 @@ def test_pages_that_no_filter_needs_are_not_read(spark, folder):
     assert tasks(none) <= 1 and none.count() == 0
 
 
+def test_long_lists_are_read_by_a_bounded_number_of_tasks(spark, folder):
+    rows = spark.range(6000).select(F.col("id"), (F.col("id") % 7).alias("v"))
+    pages.lay_out(rows, folder, ["id"], 10)
+    table = pages.listed(spark, folder, rows.schema)
+    assert spark.read.parquet(f"{folder}/plan").count() > 2 * pages.TASKS and table.rdd.getNumPartitions() <= pages.TASKS
+    assert sorted(map(tuple, table.collect())) == [(k, k % 7) for k in range(6000)]
+    some = table.filter("id >= 5990")
+    assert some.rdd.getNumPartitions() <= 2 and some.count() == 10
+
+
 def test_pages_without_a_plan_are_walked_by_one_task(spark, folder):
     rows = spark.range(1000).withColumn("v", F.col("id") % 7)
     pages.lay_out(rows, folder, ["id"], 50, planned=False)

@@ -1,15 +1,17 @@
 """Lists that are read page by page, as from a server that gives out so many rows at a time and may say beforehand how many there are.
 
 A list is a folder of Parquet files in the list's order, a row group a page. Its plan, a table of the pages with their sizes and least and greatest values, is
-what the first answer's total is to a server's list: with it all pages are read at the same time, a task each, and those that a filter can't need aren't
-read. Without it one task walks the pages one after another until there are no more.
+what the first answer's total is to a server's list: with it all pages are read at the same time, a task each (of a long list: a task for a run of them), and
+those that a filter can't need aren't read. Without it one task walks the pages one after another until there are no more.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.dataset
 import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,8 @@ from pyspark.sql.types import StructType
 from tidemark.sources.shared import opened, shared_uri
 
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
+#: Tasks that read a list, at most: of more pages each reads a run.
+TASKS = 256
 PLAN = "file string, page int, n long, bounds map<string, struct<lo: string, hi: string, numeric: boolean>>"
 
 
@@ -54,12 +58,12 @@ def plan(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInArrow(read, PLAN)
 
 
-class Page(InputPartition):
-    """One page, or without a file all of them in turn."""
+class Run(InputPartition):
+    """Pages (file, number) that a task reads, or without any all of them in turn."""
 
-    def __init__(self, file: str | None, page: int):
-        super().__init__((file, page))
-        self.file, self.page = file, page
+    def __init__(self, pages: list[tuple[str, int]]):
+        super().__init__(pages)
+        self.pages = pages
 
 
 def _value(text: str, numeric: bool):
@@ -95,19 +99,23 @@ class PageReader(DataSourceReader):
         self.filters = [f for f in filters if isinstance(f, EqualTo | In | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual)]
         yield from filters
 
-    def partitions(self) -> list[Page]:
+    def partitions(self) -> list[Run]:
         fs, top = opened(self.path)
         if fs.get_file_info(f"{top}/plan").type == pa.fs.FileType.NotFound:
-            return [Page(None, 0)]
-        pages = pq.read_table(f"{top}/plan", filesystem=fs).to_pylist()
-        return [Page(p["file"], p["page"]) for p in sorted(pages, key=lambda p: (p["file"], p["page"])) if all(may_hold(dict(p["bounds"]), f) for f in self.filters)]
-
-    def read(self, partition: Page | None) -> Iterator[pa.RecordBatch]:
+            return [Run([])]
+        plan = pa.dataset.dataset(f"{top}/plan", filesystem=fs, format="parquet")
+        batches = plan.to_batches(columns=["file", "page", "bounds"] if self.filters else ["file", "page"])
+        pages = sorted((p["file"], p["page"]) for b in batches for p in b.to_pylist() if not self.filters or all(may_hold(dict(p["bounds"]), f) for f in self.filters))
+        each = -(-len(pages) // TASKS)
+        return [Run(pages[k : k + each]) for k in range(0, len(pages), max(1, each))]
+
+    def read(self, partition: Run | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # Spark's one task where there are no pages
             return
         fs, top = opened(self.path)
-        if partition.file is not None:
-            yield from pq.ParquetFile(f"{top}/pages/{partition.file}", filesystem=fs).iter_batches(row_groups=[partition.page], columns=self.columns)
+        if partition.pages:
+            for file, pages in itertools.groupby(partition.pages, key=lambda p: p[0]):
+                yield from pq.ParquetFile(f"{top}/pages/{file}", filesystem=fs).iter_batches(row_groups=[n for _, n in pages], columns=self.columns)
             return
         for f in sorted(fs.get_file_info(pa.fs.FileSelector(f"{top}/pages")), key=lambda f: f.base_name):
             if f.base_name.endswith(".parquet"):
@@ -136,7 +144,7 @@ def listed(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
 
 
 def changes_since(spark: SparkSession, folder: str, schema: StructType, since: int, state: str = "state") -> DataFrame | None:
-    """The changes (id, op: 0 created, 1 updated, 2 destroyed; state) of a paged log whose state is over since, each page of them a task; None if the log
+    """The changes (id, op: 0 created, 1 updated, 2 destroyed; state) of a paged log whose state is over since, read page by page; None if the log
     doesn't reach back to since any more, and all has to be listed anew."""
     oldest = spark.read.schema(PLAN).parquet(f"{folder}/plan").agg(F.min(F.col("bounds")[state]["lo"].cast("long"))).first()[0]
     if oldest is not None and oldest > since + 1:
