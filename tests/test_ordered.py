@@ -1,5 +1,6 @@
 """Running values, lookups, nested phases and chains against plain loops, with one group that has nearly all rows."""
 
+import math
 import datetime as dt
 import itertools
 import random
@@ -102,3 +103,23 @@ def test_rates_at_probes_that_share_a_time(spark):
     probes = spark.createDataFrame([(k, at(t)) for k, t in [(1, 0), (1, 10), (1, 10), (1, 15), (1, 29), (1, 30), (2, 3)]], "k int, ts timestamp")
     got = sorted((r["k"], (r["ts"] - at(0)).seconds, r["rate"], r["total"]) for r in S.rates_at(samples, probes, ["k"], "n", 10, 12).collect() if r["k"] == 1)
     assert got == [(1, 0, 0.4, 4), (1, 10, 1.2, 12), (1, 10, 1.2, 12), (1, 15, 0.8, 12), (1, 29, 0.0, 12), (1, 30, 0.9, 21)]
+
+
+def test_nested_fits_ranges_once(spark, monkeypatch):
+    """And its plan doesn't run what is below it again for each scan."""
+    fitted = []
+    fit = type(spark.range(0)).approxQuantile
+    monkeypatch.setattr(type(spark.range(0)), "approxQuantile", lambda self, *a: fitted.append(a) or fit(self, *a))
+    df = spark.range(2000).select((F.col("id") % 5).alias("k"), F.col("id").alias("t"), (F.col("id") % 20 < 10).alias("opens"))
+    done = ordered.nested(df, "k", ["t"], F.col("opens"), F.struct("t"))
+    assert len(fitted) == 1 and "Range (" not in done._jdf.queryExecution().executedPlan().toString()
+    # Key k opens at t and t + 5 of each twenty, and closes at t + 10 and t + 15, the inner one first.
+    got = sorted((r["t"], r["opened"]["t"]) for r in done.collect())
+    assert got == [(t, t - 5 if t % 20 < 15 else t - 15) for t in range(2000) if t % 20 >= 10]
+
+
+def test_ranges_of_odd_places(spark):
+    df = spark.createDataFrame([(float("nan"),), (float("inf"),), (float("-inf"),), *((float(k // 3),) for k in range(300))], "x double")
+    got = sorted(((r["x"], r["__range"]) for r in ordered.ranged(df, "x", 8).collect()), key=lambda p: (math.isnan(p[0]), p[0]))
+    assert [n for _, n in got] == sorted(n for _, n in got) and 4 <= len({n for _, n in got}) <= 9
+    assert len({(x, n) for x, n in got[:-1]}) == len({x for x, _ in got[:-1]})

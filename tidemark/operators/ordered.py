@@ -6,27 +6,37 @@ was carried into it. What is written on top of this, lookups of the row before,
 
 from __future__ import annotations
 
+import functools
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import written
+
 #: Ranges of the order; a group has at most so many summaries.
 RANGES = 256
 
 
-def ranges_of(rows: DataFrame, order: str, ranges: int = RANGES) -> Column:
-    """The range that a row's place in a numeric order is in; ranges have about as many rows each, and rows of one place are together."""
-    cuts = sorted(set(rows.approxQuantile(order, [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+def ranged(rows: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
+    """rows with __range, the range that a row's place in a numeric order is in; ranges have about as many rows each, and rows of one place are together."""
+    cuts = sorted({c for c in rows.approxQuantile(order, [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if math.isfinite(c)}) if ranges > 1 else []
+    if not cuts:
+        return rows.withColumn("__range", F.lit(0))
+    found = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=order, outputCol="__range", handleInvalid="keep").transform(rows)
+    return found.withColumn("__range", F.coalesce(F.col("__range").cast("int"), F.lit(0)))
 
 
 def scan(rows: DataFrame, keys: list[str], order: list[str], ranges: int = RANGES, **running: tuple[str, Column]) -> DataFrame:
     """rows with a column for each of running, (kind, value): what kind makes of value over the rows of its keys up to and with each, in order.
 
     Kinds are sum, min, max and last, which pass over nulls, and before: the last one, of the rows before alone. order is a numeric column, without nulls, and others that break
-    its ties. Null keys are one group. Rows are shuffled once; of their summaries there is one for each key and range.
+    its ties. Null keys are one group. Rows are shuffled once; of their summaries there is one for each key and range, and only those after a key's first are joined. Rows that have been
+    ranged by this order already keep their ranges.
     """
     here = Window.partitionBy("__key", "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    own = rows.withColumns({"__key": F.struct(*keys), "__range": ranges_of(rows, order[0], ranges), **{f"__v_{n}": v for n, (_, v) in running.items()}})
+    own = (rows if "__range" in rows.columns else ranged(rows, order[0], ranges)).withColumns({"__key": F.struct(*keys), **{f"__v_{n}": v for n, (_, v) in running.items()}})
     plain = {"sum": F.sum, "min": F.min, "max": F.max}
     place = F.struct(*order)
     summary, carried, inner, columns = [], {}, {}, {}
@@ -40,7 +50,7 @@ def scan(rows: DataFrame, keys: list[str], order: list[str], ranges: int = RANGE
         i, c = F.col(f"__i_{name}"), F.col(f"__c_{name}")
         columns[name] = {"sum": F.coalesce(i + c, i, c), "min": F.least(i, c), "max": F.greatest(i, c)}.get(kind, F.coalesce(i, c))
     sums = own.groupBy("__key", "__range").agg(*summary).withColumns(carried).select("__key", "__range", *carried)
-    both = own.withColumns(inner).join(sums, ["__key", "__range"])
+    both = own.withColumns(inner).join(sums.filter(functools.reduce(Column.__or__, [F.col(c).isNotNull() for c in carried])), ["__key", "__range"], "left")
     return both.select(*[c for c in rows.columns if c not in columns], *[e.alias(n) for n, e in columns.items()])
 
 
@@ -61,13 +71,21 @@ def nested(edges: DataFrame, key: str, order: list[str], opens: Column, value: C
     A key's depth goes up and down by one, and never below zero: where its plain sum falls to a new least value, nothing was open, and
     the sum counts from there on. What opens at a depth is closed by the next closing at that depth, so that the last one before it there is its own.
     """
-    rows = edges.withColumns({"_step": F.when(opens, 1).otherwise(-1), "_value": value})
-    rows = scan(rows, [key], order, _sum=("sum", F.col("_step")))
-    rows = scan(rows, [key], order, _floor=("min", F.col("_sum") - F.col("_step")))
+    rows = ranged(edges.withColumns({"_step": F.when(opens, 1).otherwise(-1), "_value": value}), order[0])
+    here = Window.partitionBy(key, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # Sum and least value of each range by itself; they are written once, as what comes next reads them several times.
+    rows = written(rows.withColumn("_sum", F.sum("_step").over(here)).withColumn("_floor", F.min(F.col("_sum") - F.col("_step")).over(here)), "edges")
+    earlier = Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(key, "__range").agg(F.sum("_step").alias("_s"), F.min("_floor").alias("_m")).withColumn("_base", F.sum("_s").over(earlier))
+    sums = sums.withColumn("_least", F.min(F.coalesce("_base", F.lit(0)) + F.col("_m")).over(earlier)).filter("_base IS NOT NULL")
+    sums = sums.select(F.col(key).alias("_key"), F.col("__range").alias("_range"), "_base", "_least")
+    rows = rows.join(sums, F.col(key).eqNullSafe(F.col("_key")) & (F.col("__range") == F.col("_range")), "left").drop("_key", "_range")
+    base = F.coalesce("_base", F.lit(0))
+    rows = rows.withColumns({"_sum": F.col("_sum") + base, "_floor": F.least(F.col("_floor") + base, "_least")}).drop("_base", "_least")
     level = F.when(F.col("_step") > 0, F.col("_sum") - F.col("_floor")).otherwise(F.col("_sum") + 1 - F.col("_floor"))
-    rows = rows.withColumn("_level", level).filter("_level > 0")
+    rows = written(rows.withColumn("_level", level).filter("_level > 0"), "levels")
     rows = scan(rows, [key, "_floor", "_level"], order, opened=("before", F.when(F.col("_step") > 0, F.col("_value"))))
-    return rows.filter("_step < 0").drop("_step", "_value", "_sum", "_floor", "_level")
+    return rows.filter("_step < 0").drop("_step", "_value", "_sum", "_floor", "_level", "__range")
 
 
 def merged_chain(chunks: DataFrame, keys: list[str], order: str, old: str = "old", new: str = "new") -> DataFrame:
