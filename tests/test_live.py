@@ -2,9 +2,11 @@
 
 import datetime as dt
 import time
+import types
 import uuid
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark import registry
@@ -92,6 +94,43 @@ def test_live_writes_are_forgotten(spark, folder):
     assert out == [(1, 1, True), (1, 2, False)]
 
 
+class Map(dict):
+    """A map of state that counts how often it is asked."""
+
+    asked = 0
+
+    def __getattribute__(self, name):
+        calls = {"getValue": lambda k: self.get(k), "updateValue": lambda k, v: self.__setitem__(k, v), "removeKey": lambda k: self.pop(k, None), "iterator": lambda: iter(list(self.items()))}
+        if name not in calls:
+            return super().__getattribute__(name)
+        Map.asked += 1
+        return calls[name]
+
+
+def test_writes_that_are_used_up_at_once_never_reach_the_state(monkeypatch):
+    timers = []
+    kept = Map()
+    op = state.OwnWrites(3600, live=False)
+    op.init(types.SimpleNamespace(getMapState=lambda *_: kept, registerTimer=timers.append))
+    row = lambda t, batch, *paths: Row(micros=t * 1_000_000, batch=batch, paths=list(paths))
+    monkeypatch.setattr(Map, "asked", 0)
+    rows = [r for k in range(500) for r in (row(k * 4000, -1, f"a{k}"), row(k * 4000 + 60, k, f"a{k}"))]
+    assert all(r["own"] for r in op.handleInputRows((1,), iter([*rows, row(2_000_000, -1, "b")]), None))
+    assert Map.asked <= 5 and len(timers) == 1 and dict(kept) == {("b",): (2_000_000_000_000,)}
+    # A later micro-batch finds what is left: once within the time, then no more.
+    later = [row(2_000_100, 1000, "b"), row(2_000_101, 1001, "b"), row(2_000_102, -1, "c"), row(2_003_702, 1002, "c")]
+    assert [r["own"] for r in op.handleInputRows((1,), iter(later), None)] == [True, False, False]
+    assert dict(kept) == {("c",): (2_000_102_000_000,)} and timers[1] * 1000 >= 2_003_702_000_000
+
+
+def test_slots_are_read_by_several_tasks(spark, folder, monkeypatch):
+    monkeypatch.setattr(events, "GROUP", 100)
+    empty = events.spool(spark.range(1000).select("id", (F.lit(at(0)) + F.make_dt_interval(secs=F.col("id"))).alias("ts")), f"{folder}/slots", 1, tick=False)
+    reader = events.SlotReader({"path": shared_uri(spark, f"{folder}/slots")}, empty.schema)
+    parts = reader.partitions({"slot": 0}, {"slot": 1})
+    assert len(parts) == 10 and sum(b.num_rows for p in parts for b in reader.read(p)) == 1000
+
+
 def test_seeds_count_at_the_first_start_only(spark, folder):
     e = [(1, 1, 0, 3, True), (1, 2, 1, 4, True), (1, 3, 2, 3, True), (2, 4, 0, None, False), (2, 5, 3, 3, True), (2, 6, 4, 3, True), (3, 7, 5, None, True)]
     df = spark.createDataFrame([(k, i, t, s, ok, at(t)) for k, i, t, s, ok in e], "k long, event_id long, micros long, state long, ok boolean, ts timestamp")

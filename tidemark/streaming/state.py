@@ -34,7 +34,8 @@ def _ordered(rows: Iterator[Row], *names: str) -> list[Row]:
 class OwnWrites(StatefulProcessor):
     """A map from paths to when they were written. A batch whose paths were all written less than ttl seconds before uses its entries up.
 
-    By event time entries go by timers, one for all writes of a stretch of ttl; live, the map itself forgets them by Spark's TTL.
+    A key's entries are read once a micro-batch, and what has changed at its end is put back: a write that is used up in its own micro-batch never gets there.
+    By event time entries go by a timer, one for what a micro-batch leaves; live, the map itself forgets them by Spark's TTL.
     """
 
     def __init__(self, ttl: int, live: bool):
@@ -45,23 +46,29 @@ class OwnWrites(StatefulProcessor):
         self.written = handle.getMapState("written", "path string", "micros long", self.ttl // 1000 if self.live else None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        due = set()
-        for r in _ordered(rows, "micros", "batch"):
-            t, paths = r["micros"], r["paths"]
-            if r["batch"] < 0:
-                for p in paths:
-                    self.written.updateValue((p,), (t,))
-                due.add((t // self.ttl + 2) * self.ttl // 1000)
+        rows = _ordered(rows, "micros", "batch")
+        if not rows:
+            return
+        before = {path[0]: value[0] for path, value in self.written.iterator()}
+        now, noted = dict(before), set()
+        for r in rows:
+            t, batch, paths = r["micros"], r["batch"], r["paths"]
+            if batch < 0:
+                now.update((p, t) for p in paths)
+                noted.update(paths)
                 continue
-            found = [self.written.getValue((p,)) for p in paths]
-            own = all(f is not None and t - f[0] < self.ttl for f in found)
+            own = all(p in now and t - now[p] < self.ttl for p in paths)
             if own:
                 for p in paths:
-                    self.written.removeKey((p,))
-            yield Row(k=key[0], batch=r["batch"], own=own)
-        if not self.live:
-            for t in due:
-                self.handle.registerTimer(t)
+                    now.pop(p, None)
+            yield Row(k=key[0], batch=batch, own=own)
+        for p in before.keys() - now.keys():
+            self.written.removeKey((p,))
+        left = {p: t for p, t in now.items() if p in noted}
+        for p, t in left.items():
+            self.written.updateValue((p,), (t,))
+        if left and not self.live:
+            self.handle.registerTimer((max(left.values()) // self.ttl + 2) * self.ttl // 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs() * 1000
@@ -92,7 +99,7 @@ class Watchdog(StatefulProcessor):
         rows = _ordered(rows, "micros")
         if not rows:
             return
-        last = self.last.get() if self.last.exists() else None
+        last = self.last.get()
         before = last[3] if last else None
         for r in rows:
             if last and not last[4] and r["micros"] - last[1] > last[2] * 1_000_000:
@@ -139,7 +146,7 @@ class HookSlot(StatefulProcessor):
         rows = _ordered(rows, "seconds", "fails")
         if not rows:
             return
-        end, waiting, bad = self.slot.get() if self.slot.exists() else (None, 0, 0)
+        end, waiting, bad = self.slot.get() or (None, 0, 0)
         before = end if waiting else None
         for r in rows:
             t = r["seconds"]
