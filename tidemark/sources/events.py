@@ -19,18 +19,21 @@ from pyspark.sql.types import StructType
 
 from tidemark.sources.shared import opened, shared_uri
 
+#: Rows of a slot that a task reads, at most.
+GROUP = 200_000
+
 
 def spool(events: DataFrame, folder: str, slots: int, time: str = "ts", tick: bool = True) -> DataFrame:
     """Writes events in up to so many slots by time, and returns their schema as an empty frame; time becomes a timestamp.
 
-    Slots are ranges of time that Spark deals out, each a file of its own. With tick there is one more row at the end, ten years after the last, with nothing but its time:
+    Slots are ranges of time that Spark deals out, each a file of its own in row groups of up to GROUP rows, which are read by a task each. With tick there is one more row at the end, ten years after the last, with nothing but its time:
     a watermark that follows it closes all windows and fires all timers.
     """
     rows = events.withColumn(time, F.col(time).cast("timestamp"))
     if tick:
         last = rows.agg((F.max(time) + F.expr("INTERVAL 10 YEARS")).alias(time)).filter(F.col(time).isNotNull())
         rows = rows.unionByName(last, allowMissingColumns=True)
-    rows.repartitionByRange(slots, time).sortWithinPartitions(time).write.parquet(folder)
+    rows.repartitionByRange(slots, time).sortWithinPartitions(time).write.option("parquet.block.row.count.limit", str(GROUP)).parquet(folder)
     return events.sparkSession.createDataFrame([], rows.schema)
 
 
