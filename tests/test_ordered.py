@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import ordered
+from tidemark.queries import aggregates
 from tidemark.streaming import operators as S
 
 
@@ -123,3 +124,35 @@ def test_ranges_of_odd_places(spark):
     got = sorted(((r["x"], r["__range"]) for r in ordered.ranged(df, "x", 8).collect()), key=lambda p: (math.isnan(p[0]), p[0]))
     assert [n for _, n in got] == sorted(n for _, n in got) and 4 <= len({n for _, n in got}) <= 9
     assert len({(x, n) for x, n in got[:-1]}) == len({x for x, _ in got[:-1]})
+
+
+def test_phase_rates_shuffles_each_table_once(spark, monkeypatch):
+    """Phases of ids with few edges are found where their id's edges meet, and stay there for the join; no ranges are fitted."""
+    fitted = []
+    fit = type(spark.range(0)).approxQuantile
+    monkeypatch.setattr(type(spark.range(0)), "approxQuantile", lambda self, *a: fitted.append(a) or fit(self, *a))
+    plan = aggregates.phase_rates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not fitted and plan.count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize("whole", [0, 3, 100, 1000])
+def test_phases_of_keys_with_few_and_many_edges(spark, monkeypatch, whole):
+    """All in ranges; all but key 3 (at whole 3); key 1 and null alone; all whole."""
+    monkeypatch.setattr(ordered, "WHOLE", whole)
+    r = random.Random(9)
+    day = dt.datetime(2024, 1, 1)
+    data = [(r.choice([1] * 6 + [None] * 3 + [2]), f"p{k}", r.choice(["begin", "begin", "end"] if k < 200 else ["begin", "end", "end"]), day + dt.timedelta(milliseconds=7 * k)) for k in range(600)]
+    data += [(3, "a", "end", day), (3, "b", "begin", day + dt.timedelta(seconds=1)), (3, "b", "end", day + dt.timedelta(seconds=3))]
+    open_, want = {}, []
+    for i, name, edge, t in data:
+        if edge == "begin":
+            open_.setdefault(i, []).append((name, t))
+        elif open_.get(i):
+            began, t0 = open_[i].pop()
+            want.append((i is not None, i or 0, began, t0, (t - t0) // dt.timedelta(milliseconds=1)))
+    edges = spark.createDataFrame(data, "id long, name string, edge string, ts timestamp_ntz").repartition(3)
+    many = ordered.crowded(edges, "id", whole)
+    counts = {i: sum(d[0] == i for d in data) for i in (1, 2, 3, None)}
+    assert {m["_key"] for m in many.collect()} == {i for i, n in counts.items() if n > whole} if many is not None else whole >= max(counts.values())
+    got = S.phases(edges)
+    assert sorted((r["id"] is not None, r["id"] or 0, r["name"], r["begin"], r["millis"]) for r in got.collect()) == sorted(want)

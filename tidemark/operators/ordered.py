@@ -17,6 +17,10 @@ from tidemark.sources.shared import written
 
 #: Ranges of the order; a group has at most so many summaries.
 RANGES = 256
+#: Rows of one key that nested may put in order in one task.
+WHOLE = 100_000
+#: Hashes by which rows are counted, to find the keys that may have more.
+BUCKETS = 1 << 16
 
 
 def ranged(rows: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
@@ -65,12 +69,48 @@ def containing(rows: DataFrame, probes: DataFrame, group: str) -> DataFrame:
     return found.filter("_kind = 1").select(group, "probe", F.col("_pos").alias("pos"), "doc_id")
 
 
-def nested(edges: DataFrame, key: str, order: list[str], opens: Column, value: Column) -> DataFrame:
+def crowded(rows: DataFrame, key: str, most: int) -> DataFrame | None:
+    """(_key) of the keys with more than most rows; None if there are none. Rows are counted by a hash of their key, and by the key itself only where a hash has more than most."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+    full = [r[0] for r in rows.groupBy(bucket.alias("bucket")).count().filter(F.col("count") > most).collect()]
+    if not full:
+        return None
+    keys = written(rows.filter(bucket.isin(full)).groupBy(F.col(key).alias("_key")).count().filter(F.col("count") > most).select("_key"), "keys")
+    return None if keys.isEmpty() else keys
+
+
+def _level() -> Column:
+    """How deep an edge is: what opens counts itself, what closes counts what it closes."""
+    return F.when(F.col("_step") > 0, F.col("_sum") - F.col("_floor")).otherwise(F.col("_sum") + 1 - F.col("_floor"))
+
+
+def nested(edges: DataFrame, key: str, order: list[str], opens: Column, value: Column, whole: int = 0) -> DataFrame:
     """edges that close something, with opened: the value of what they close, which is what their key opened last and hasn't closed yet. Closings of nothing are left out.
 
     A key's depth goes up and down by one, and never below zero: where its plain sum falls to a new least value, nothing was open, and
     the sum counts from there on. What opens at a depth is closed by the next closing at that depth, so that the last one before it there is its own.
+    Keys of at most whole edges are put in order by one task each, all in one shuffle; the edges of other keys are cut into ranges.
     """
+    if not whole:
+        return _nested_in_ranges(edges, key, order, opens, value)
+    many = crowded(edges, key, whole)
+    if many is None:
+        return _nested_by_key(edges, key, order, opens, value)
+    of = lambda how: edges.join(F.broadcast(many), F.col(key).eqNullSafe(F.col("_key")), how)
+    return _nested_by_key(of("left_anti"), key, order, opens, value).union(_nested_in_ranges(of("left_semi"), key, order, opens, value))
+
+
+def _nested_by_key(edges: DataFrame, key: str, order: list[str], opens: Column, value: Column) -> DataFrame:
+    """All windows hold their key, so that what is shuffled by it for the first serves the others too."""
+    here = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = edges.withColumn("_step", F.when(opens, 1).otherwise(-1)).withColumn("_sum", F.sum("_step").over(here)).withColumn("_floor", F.min(F.col("_sum") - F.col("_step")).over(here))
+    rows = rows.withColumn("_level", _level()).filter("_level > 0")
+    before = Window.partitionBy(key, "_floor", "_level").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("opened", F.last(F.when(F.col("_step") > 0, value), ignorenulls=True).over(before))
+    return rows.filter("_step < 0").drop("_step", "_sum", "_floor", "_level")
+
+
+def _nested_in_ranges(edges: DataFrame, key: str, order: list[str], opens: Column, value: Column) -> DataFrame:
     rows = ranged(edges.withColumns({"_step": F.when(opens, 1).otherwise(-1), "_value": value}), order[0])
     here = Window.partitionBy(key, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     # Sum and least value of each range by itself; they are written once, as what comes next reads them several times.
@@ -82,8 +122,7 @@ def nested(edges: DataFrame, key: str, order: list[str], opens: Column, value: C
     rows = rows.join(sums, F.col(key).eqNullSafe(F.col("_key")) & (F.col("__range") == F.col("_range")), "left").drop("_key", "_range")
     base = F.coalesce("_base", F.lit(0))
     rows = rows.withColumns({"_sum": F.col("_sum") + base, "_floor": F.least(F.col("_floor") + base, "_least")}).drop("_base", "_least")
-    level = F.when(F.col("_step") > 0, F.col("_sum") - F.col("_floor")).otherwise(F.col("_sum") + 1 - F.col("_floor"))
-    rows = written(rows.withColumn("_level", level).filter("_level > 0"), "levels")
+    rows = written(rows.withColumn("_level", _level()).filter("_level > 0"), "levels")
     rows = scan(rows, [key, "_floor", "_level"], order, opened=("before", F.when(F.col("_step") > 0, F.col("_value"))))
     return rows.filter("_step < 0").drop("_step", "_value", "_sum", "_floor", "_level", "__range")
 

@@ -119,7 +119,7 @@ def nested_phases(spark, d):
     """Phases of users that open again before they are closed: each closing with what it closes."""
     kind = F.col("event_type")
     e = table(spark, d, "events").filter("event_type <> 'purchase'").select("user_id", "event_id", "ts", S.micros("ts").alias("at"), kind)
-    done = ordered.nested(e, "user_id", ["at"], kind.isin("view", "signup"), F.struct("event_id", "at"))
+    done = ordered.nested(e, "user_id", ["at"], kind.isin("view", "signup"), F.struct("event_id", "at"), ordered.WHOLE)
     return done.select("user_id", F.col("event_id").alias("closer"), F.col("opened.event_id").alias("opener"), F.floor((F.col("at") - F.col("opened.at")) / 1000).alias("millis"))
 
 

@@ -228,7 +228,7 @@ def phases(events: DataFrame, time: str = "ts") -> DataFrame:
     """(id, name, begin, millis) of phases from events (id, name, edge 'begin' or 'end', time). An id may begin again before its end: an end closes the phase that began last
     under its id and is still open. At one time phases begin before others end. Ends of nothing and phases that never end are left out."""
     rows = events.withColumn("_micros", micros(time)).filter("_micros IS NOT NULL")
-    done = ordered.nested(rows, "id", ["_micros", "edge"], F.col("edge") == "begin", F.struct(F.col("_micros").alias("t"), "name", F.col(time).alias("begin")))
+    done = ordered.nested(rows, "id", ["_micros", "edge"], F.col("edge") == "begin", F.struct(F.col("_micros").alias("t"), "name", F.col(time).alias("begin")), ordered.WHOLE)
     return done.select("id", F.col("opened.name").alias("name"), F.col("opened.begin").alias("begin"), F.floor((F.col("_micros") - F.col("opened.t")) / 1000).alias("millis"))
 
 
